@@ -67,11 +67,12 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def words(texts: list[bytes], *tables: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, bytes]:
+def words(texts: list[bytes], *tables: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, bytes]:
     """Words of a chunk of texts, in order.
 
     Returns the index of each text's first word (one more entry than texts), the
-    words' hashes by each table, their first and end byte, and the bytes.
+    words' hashes by each table (then, by the last one, those of their first bytes,
+    as many as each of ``heads`` says), their first and end byte, and the bytes.
     """
     buffer = b"\n".join(texts)
     raw = np.frombuffer(buffer, np.uint8)
@@ -86,6 +87,9 @@ def words(texts: list[bytes], *tables: np.ndarray) -> tuple[np.ndarray, list[np.
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(table[raw] * up[:n], out=sums[1:])
         hashes.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+    for k in heads:
+        cut = np.minimum(ends, starts + k)
+        hashes.append(mix((sums[cut] - sums[starts]) * down[starts] ^ np.uint64(k << 56)))
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
     return np.searchsorted(starts, offsets), hashes, starts, ends, buffer
