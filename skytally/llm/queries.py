@@ -11,6 +11,7 @@ from ..session import ship_package
 from .common import documents
 from .exact_dedup import exact_dedup
 from .minhash_dedup import near_duplicates
+from .pii import find_pii, pii_report
 from .quality import score_quality
 from .substring_dedup import substring_dedup
 from .toxicity import score_toxicity
@@ -30,6 +31,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(find_pii(documents(spark, sf_dir)))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_pii": op4_pii,
     "op7_toxicity": op7_toxicity,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
