@@ -116,7 +116,7 @@ def _discovered(found: DataFrame, rounds: int, support: int, confidence: float)
     others = F.transform("tokens", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _context(s["before"]).alias("pattern"), F.lit(0.0).alias("seed")))
     rows = found.select("doc_id", F.explode(F.concat(seeds, others)).alias("o")).select("doc_id", "o.*")
     rows = materialise(rows, "identifiers")
-    edges = rows.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    edges = rows.where("pattern <> ''").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     score = edges
     salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     salt = F.pmod(F.xxhash64("value"), F.lit(_SALTS)).cast("int")
