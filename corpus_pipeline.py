@@ -1,10 +1,77 @@
-"""A document-cleaning pipeline of five of the text operators."""
+"""A document-cleaning pipeline of five of the text operators.
+
+Each stage takes what the one before kept, written as Parquet and read again, and
+returns the columns of ``documents``; the last returns the encoded documents.
+Ids are taken to be unique, but for rows that are repeated as a whole.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skytally.llm.common import materialise
+from skytally.llm.decontamination import decontaminate
+from skytally.llm.line_dedup import dedup_lines
+from skytally.llm.minhash_dedup import near_duplicates
+from skytally.llm.pieces import encode_pieces
+from skytally.llm.quality import score_quality
+from skytally.session import ship_package
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows of these ids; a null id is an id like any other."""
+    gone = dropped.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    ship_package(spark)
+    scores = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, scores.where("predicted = 0"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document, or the same one, already has go; every document stays."""
+    ship_package(spark)
+    lines = dedup_lines(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).distinct()
+    joined = docs.join(lines, docs["doc_id"].eqNullSafe(lines["_id"])).withColumns({"text": F.col("_text"), "n_chars": F.length("_text").cast("long")})
+    return joined.select(*docs.columns)
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the least id."""
+    ship_package(spark)
+    return _without(docs, near_duplicates(docs).where("NOT kept")).dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item go."""
+    ship_package(spark)
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Columns doc_id, ids, n_pieces and text, which is decoded from the ids."""
+    ship_package(spark)
+    return encode_pieces(docs).withColumnRenamed("decoded", "text")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", minhash_dedup),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", piece_encoding),
+]
+
+#: A kernel classifier and a segmentation have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

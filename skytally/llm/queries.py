@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import documents
+from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
+from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
+from .pieces import encode_pieces
 from .pii import find_pii, pii_report
 from .quality import score_quality
 from .substring_dedup import substring_dedup
@@ -35,23 +39,49 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(find_pii(documents(spark, sf_dir)))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and benchmark item it holds a copy of; clean documents have none."""
+    ship_package(spark)
+    leaks = find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks.select("doc_id", "item_id", F.round("score", 6).alias("score"), "first_word", "end_word")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return near_duplicates(documents(spark, sf_dir), shingle=5, percent=75)
 
 
+def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return encode_pieces(documents(spark, sf_dir)).select("doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_pii": op4_pii,
+    "op5_decontamination": op5_decontamination,
+    "op6_html_extraction": op6_html_extraction,
     "op7_toxicity": op7_toxicity,
+    "op8_line_dedup": op8_line_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_piece_encoding": op10_piece_encoding,
 }
 
 ORACLES: dict[str, str] = {
