@@ -2,21 +2,26 @@
 
 * A document's set is its distinct runs of ``shingle`` words. Documents with
   equal sets form one class from the start; only class representatives go on.
-* The signature has ``slots`` MinHash values of 16 bits; its distance is the
-  number of slots that differ. By the pigeonhole principle two signatures within
-  ``distance`` of one another have a chunk, of ``chunk`` slots, with at most
-  ``distance // chunks`` errors. Each chunk is indexed once for every way to
-  leave that many of its slots out, so the pair shares a key: none is lost.
+* The signature has ``slots`` MinHash values of 16 bits, which are indexed, and
+  ``extra`` more of 8 bits; its distance is the number of slots that differ. By
+  the pigeonhole principle two signatures whose indexed slots differ in
+  ``distance`` or fewer have a chunk with at most ``distance // chunks`` errors.
+  Each chunk is indexed once for every way to leave that many of its slots out, so
+  the pair shares a key: none is lost. The extra slots sharpen the distance before
+  full sets are looked at.
 * Keys that several representatives share are buckets. Comparing every pair in a
-  bucket would be quadratic, and is not needed for the groups: first each member
-  is compared with the least one of its bucket, by signature and then on the full
-  sets, and linked pairs are merged. Then only pairs of a bucket whose members
-  are still in different groups are compared. Every pair that is left out either
-  is beyond the signature distance or is in one group already.
+  bucket would be quadratic, and is not needed for the groups. Three steps, each
+  by signature and then on the full sets, with linked pairs merged in between:
+  every member with the least one of its bucket; every member outside a bucket's
+  largest group with the nearest one of another group; at last all members of a
+  bucket that are still in different groups, each two in the first bucket they
+  share, and in tiles if a bucket is large. A pair that is left out either is beyond the signature
+  distance or is in one group already.
 
 Two documents at the similarity bound differ in each slot with probability a
-quarter, so with 64 slots and a distance of 30 about one such pair in 60,000 is
-missed by the signatures; pairs above the bound are missed far less often.
+quarter. Both bounds on the distance lie 4.2 standard deviations above that, so
+about one such pair in 40,000 is missed by the signatures; pairs above the
+similarity bound are missed far less often.
 """
 
 from __future__ import annotations
@@ -34,8 +39,11 @@ from .components import connected_components
 from .tokens import as_bytes, byte_table, chunks, mix, window_starts, windows, words
 
 SLOTS, DISTANCE, CHUNKS = 64, 30, 16
+EXTRA, WHOLE_DISTANCE = 192, 93
 #: Salts for the members that are compared with one representative.
 SALTS = 64
+#: Members of a bucket that one task compares with one another, or with as many others.
+TILE = 4096
 
 
 def _shingle_sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
@@ -55,16 +63,20 @@ def _shingle_sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
 
 def _signature(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     least = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        part = shingles[at : at + 2048]
+    for at in range(0, len(shingles), 512):
+        part = shingles[at : at + 512]
         # Multiply-shift permutations of mixed hashes: odd factors permute the 64-bit numbers.
         np.minimum(least, (part[None, :] * seeds[:, None]).min(axis=1), out=least)
-    return (mix(least) & np.uint64(0xFFFF)).astype("<u2")
+    return mix(least)
 
 
-def signatures(docs: DataFrame, shingle: int = 5, slots: int = SLOTS) -> DataFrame:
+def _packed(least: np.ndarray, slots: int) -> bytes:
+    return least[:slots].astype("<u2").tobytes() + least[slots:].astype(np.uint8).tobytes()
+
+
+def signatures(docs: DataFrame, shingle: int = 5, slots: int = SLOTS, extra: int = EXTRA) -> DataFrame:
     """Columns doc_id, n_shingles, set_key (128-bit digest of the set, null if empty), signature."""
-    seeds = np.random.default_rng(9).integers(1, 2**63, slots, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    seeds = np.random.default_rng(9).integers(1, 2**63, slots + extra, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,35 +89,80 @@ def signatures(docs: DataFrame, shingle: int = 5, slots: int = SLOTS) -> DataFra
                     continue
                 x = mix(s)
                 keys.append(np.array([x.sum(), mix(x ^ np.uint64(len(s))).sum()], np.uint64).tobytes())
-                signs.append(_signature(x, seeds).tobytes())
+                signs.append(_packed(_signature(x, seeds), slots))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
-def chunk_keys(reps: DataFrame, distance: int, n_chunks: int, slots: int) -> DataFrame:
-    """A row (key, rep, signature left out) for each indexed part of each signature."""
-    parts = np.array_split(np.arange(slots), n_chunks)
+def _masks(slots: int, n_chunks: int, distance: int) -> list[list[int]]:
+    """The slots of each key: every chunk, with every choice of as many of its slots as may be in error left out."""
     errors = distance // n_chunks
-    masks = [[int(x) for x in kept] for part in parts for kept in combinations(part, max(1, len(part) - errors))]
+    return [[int(x) for x in kept] for part in np.array_split(np.arange(slots), n_chunks) for kept in combinations(part, max(1, len(part) - errors))]
+
+
+def chunk_keys(reps: DataFrame, masks: list[list[int]]) -> DataFrame:
+    """A row (rep, mask, key) for each key of each signature."""
     value = lambda slot: F.substring("signature", 2 * slot + 1, 2)
     keys = F.array(*(F.xxhash64(F.lit(i), *(value(s) for s in kept)) for i, kept in enumerate(masks)))
-    return reps.select("rep", F.explode(keys).alias("key"))
+    return reps.select("rep", F.posexplode(keys).alias("mask", "key"))
+
 
+class _Signatures:
+    """Signatures of a batch, compared row by row."""
 
-def _distances(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sign_a", "sign_b"))
-            near = (a != b).sum(axis=1) <= limit
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
+    def __init__(self, column: pa.ChunkedArray | pa.Array, slots: int) -> None:
+        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+        self.indexed = np.ascontiguousarray(raw[:, : 2 * slots]).view("<u2")
+        self.extra = np.ascontiguousarray(raw[:, 2 * slots :])
 
+    def near(self, i: int, others: np.ndarray, distance: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the others within both distances of row i, and how far they are."""
+        own = (self.indexed[others] != self.indexed[i]).sum(axis=1)
+        others, own = others[own <= distance], own[own <= distance]
+        far = own + (self.extra[others] != self.extra[i]).sum(axis=1)
+        return others[far <= whole], far[far <= whole]
+
+
+def near_pairs(pairs: DataFrame, reps: DataFrame, slots: int, distance: int, whole: int) -> DataFrame:
+    """Those of the pairs (a, b) whose signatures are within the distances."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (_Signatures(batch.column(c), slots) for c in ("sign_a", "sign_b"))
+                own = (a.indexed != b.indexed).sum(axis=1)
+                near = pa.array((own <= distance) & (own + (a.extra != b.extra).sum(axis=1) <= whole))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
 
-def near_pairs(pairs: DataFrame, reps: DataFrame, distance: int) -> DataFrame:
-    """Those of the pairs (a, b) whose signatures are within the distance."""
     signs = reps.select("rep", "signature")
     both = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b")
-    return both.mapInArrow(lambda batches: _distances(batches, distance), "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _between_groups(table: pa.Table, slots: int, distance: int, whole: int, masks: list[list[int]] | None) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of a bucket (or of two tiles of one): those of other groups within the distances.
+
+    Without ``masks``, the nearest for each member outside the largest group; with
+    them, all for which the bucket's key is the first that the two share.
+    """
+    signs = _Signatures(table.column("signature"), slots)
+    tile, (_, group) = table.column("tile").to_numpy(), np.unique(table.column("group").to_numpy(), return_inverse=True)
+    main = group == np.bincount(group).argmax()
+    mask, apart = table.column("mask")[0].as_py(), table.column("p")[0].as_py() != table.column("q")[0].as_py()
+    for i in np.flatnonzero(~main):
+        # Of two members outside the largest group, the former finds the pair.
+        others = np.flatnonzero((group != group[i]) & (main | (np.arange(len(main)) > i)) & (~apart | (tile != tile[i])))
+        others, far = signs.near(i, others, distance, whole)
+        if masks is None:
+            others = others[far.argsort(kind="stable")[:1]]
+        else:
+            same = signs.indexed[others] == signs.indexed[i]
+            for earlier in masks[:mask]:
+                fresh = ~same[:, earlier].all(axis=1)
+                others, same = others[fresh], same[fresh]
+        if len(others):
+            yield i, others
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -140,19 +197,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(key: tuple, table: pa.Table, distance: int) -> pa.Table:
-    """Pairs of a bucket, within the distance, whose members are in different groups."""
-    sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(table.num_rows, -1)
-    rep, group = table.column("rep").to_numpy(), table.column("group").to_numpy()
-    left, right = [], []
-    for i in range(len(rep) - 1):
-        near = i + 1 + np.flatnonzero((group[i + 1 :] != group[i]) & ((sign[i + 1 :] != sign[i]).sum(axis=1) <= distance))
-        left.append(np.minimum(rep[i], rep[near]))
-        right.append(np.maximum(rep[i], rep[near]))
-    return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, slots: int = SLOTS, distance: int = DISTANCE, n_chunks: int = CHUNKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, slots: int = SLOTS, distance: int = DISTANCE, n_chunks: int = CHUNKS, extra: int = EXTRA, whole_distance: int = WHOLE_DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, n_shingles, component_id, kept, a row per document.
 
     Documents are linked if 100 * intersection >= percent * union of their sets
@@ -166,28 +211,83 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, slots:
     table; other columns are not read.
     """
     docs = id_and_text(docs, id_col, text_col)
-    sets = materialise(signatures(docs, shingle, slots), "signatures")
+    masks = _masks(slots, n_chunks, distance)
+    sets = materialise(signatures(docs, shingle, slots, extra), "signatures")
     classes = sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     reps = materialise(classes, "classes")
-    keys = chunk_keys(reps, distance, n_chunks, slots)
+    keys = chunk_keys(reps, masks)
     shared = keys.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head <> last").select("key", "head")
     members = materialise(keys.join(shared, "key"), "buckets")
     stars = members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    texts = docs
-    links = materialise(confirm(materialise(near_pairs(stars, reps, distance), "stars"), texts, shingle, percent), "links")
+    links = materialise(confirm(near_pairs(stars, reps, slots, distance, whole_distance), docs, shingle, percent), "links")
+    groups = connected_components(links)
+    within = (slots, distance, whole_distance)
+    pairs = materialise(nearest_pairs(members, reps, groups, within), "pairs")
+    links = links.unionByName(materialise(confirm(pairs, docs, shingle, percent), "links"))
+    groups = connected_components(links)
+    links = links.unionByName(materialise(remaining_links(members, reps, groups, docs, within, masks, shingle, percent), "links"))
     groups = connected_components(links)
-    labelled = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("group", "rep"))
-    mixed = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-    open_ = labelled.join(mixed, "key").join(reps.select("rep", "signature"), "rep").select("key", "rep", "group", "signature")
-    rest = open_.groupBy("key").applyInArrow(lambda key, table: _cross_pairs(key, table, distance), "a long, b long").distinct()
-    rest = materialise(rest, "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(confirm(rest, texts, shingle, percent))
-        groups = connected_components(materialise(links, "links"))
     merged = reps.select("set_key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("group", "rep").alias("component_id"))
     return with_class(sets.select("doc_id", "n_shingles", "set_key"), merged)
 
 
+def open_buckets(members: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one group, with signature and group.
+
+    A bucket of more than TILE members is cut into tiles; every two of them (p, q),
+    or one with itself, are looked at by themselves.
+    """
+    labelled = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+    mixed = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low <> high")
+    tiles = mixed.select("key", F.ceil(F.col("n") / TILE).alias("tiles"))
+    rows = labelled.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    rows = rows.select("key", "mask", "rep", "group", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
+    return rows.join(reps.select("rep", "signature"), "rep").select("key", "p", "q", "mask", "tile", "rep", "group", "signature")
+
+
+_OPEN = "key long, p long, q long, mask int, tile long, rep long, group long, signature binary"
+
+
+def nearest_pairs(members: DataFrame, reps: DataFrame, groups: DataFrame, within: tuple[int, int, int]) -> DataFrame:
+    """Pairs (a, b): in each open bucket, the nearest of another group for every member outside the largest one."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rep = table.column("rep").to_numpy()
+        found = np.array([(rep[i], rep[others[0]]) for i, others in _between_groups(table, *within, None)], np.int64).reshape(-1, 2)
+        return pa.table({"a": found.min(axis=1), "b": found.max(axis=1)})
+
+    return open_buckets(members, reps, groups).groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
+
+
+def remaining_links(members: DataFrame, reps: DataFrame, groups: DataFrame, texts: DataFrame, within: tuple[int, int, int], masks: list[list[int]], shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between all members of open buckets that are in different groups.
+
+    The pairs themselves are never rows: first each bucket says which of its
+    members have one, then these get their texts and are compared where they meet.
+    """
+
+    def needed(key: tuple, table: pa.Table) -> pa.Table:
+        use = np.zeros(table.num_rows, bool)
+        for i, others in _between_groups(table, *within, masks):
+            use[i] = True
+            use[others] = True
+        return table.filter(pa.array(use))
+
+    def linked(key: tuple, table: pa.Table) -> pa.Table:
+        rep, sets, found = table.column("rep").to_numpy(), list(_shingle_sets(as_bytes(table.column("text")), shingle)), []
+        for i, others in _between_groups(table, *within, masks):
+            for k in others:
+                common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if 100 * common >= percent * (len(sets[i]) + len(sets[k]) - common):
+                    found.append((rep[i], rep[k]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+
+    rows = open_buckets(members, reps, groups).groupBy("key", "p", "q").applyInArrow(needed, _OPEN)
+    with_text = rows.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    return with_text.groupBy("key", "p", "q").applyInArrow(linked, "a long, b long").distinct()
+
+
 def with_class(sets: DataFrame, merged: DataFrame) -> DataFrame:
     """Each document with its class's component; a class that holds a thousandth of the rows or more is joined by broadcast."""
     least = max(2, -(-sets.count() // 1000))
