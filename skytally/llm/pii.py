@@ -22,6 +22,7 @@ before an identifier) and instances (the identifiers):
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,7 @@ from .common import id_and_text, materialise, outer_id
 
 KINDS = ("email", "ip", "card", "phone")
 _SALTS = 16
+RUN = 128
 #: A private-use character in place of an inner separator, and what stands for the same character in the text.
 _MARK, _TAKEN = "\ue000", "\ue001"
 _LOCAL = r"A-Za-z0-9._%+\-" + _MARK
@@ -47,11 +49,17 @@ _PATTERNS = {
 _NEEDS = {"email": "@", "phone": "+"}
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _found(text: Column, pattern: str) -> Column:
     """Matches as an array of (start, end, value, before); before: what precedes since the last match."""
     values, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(values)).alias("before"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.length(pair["before"])
@@ -59,7 +67,18 @@ def _found(text: Column, pattern: str) -> Column:
         one = F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"), pair["before"].alias("before"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(values) == 0, start["out"]).otherwise(F.aggregate(pairs, start, step)["out"])
+    def placed(pairs: Column) -> Column:
+        # Appending copies what is there, so matches are placed in runs of RUN, and the runs then moved to where they begin.
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(RUN))
+        runs = F.transform(firsts, lambda i: F.aggregate(F.slice(pairs, i, F.lit(RUN)), start, step))
+        return F.when(F.size(pairs) <= RUN, F.aggregate(pairs, start, step)["out"]).otherwise(_let(runs, moved))
+
+    def moved(runs: Column) -> Column:
+        begins = F.aggregate(runs, F.array(F.lit(0)), lambda sums, run: F.concat(sums, F.array(F.element_at(sums, -1) + run["at"])))
+        move = lambda m, by: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["value"].alias("value"), m["before"].alias("before"))
+        return F.flatten(F.zip_with(runs, F.slice(begins, F.lit(1), F.size(runs)), lambda run, by: F.transform(run["out"], lambda m: move(m, by))))
+
+    return _let(pairs, placed)
 
 
 def _digits(value: Column) -> Column:
