@@ -29,6 +29,7 @@ _ENDS = (10, 33, 46, 63)
 _SPLIT = [b for b in range(128) if not chr(b).isalnum()]
 _BIAS = -7.0
 _HEADS = (4, 5, 6)
+PART_ROWS = 1000
 
 
 def _sentences(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
@@ -132,7 +133,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
     docs = id_and_text(docs, id_col, text_col)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out(folds, left))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
-    train = materialise(docs.join(F.broadcast(sample), "doc_id").select("text", "y").repartition(12, F.xxhash64("text", "y")), "toxicity-train")
+    # Averaging the weights of many small parts leaves them too careful: a part has PART_ROWS rows or more.
+    parts = max(1, min(12, sample.count() // PART_ROWS))
+    train = materialise(docs.join(F.broadcast(sample), "doc_id").select("text", "y").repartition(parts, F.xxhash64("text", "y")), "toxicity-train")
     vocabulary, weights = fit(train, n_words, rounds, steps)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
