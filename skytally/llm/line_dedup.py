@@ -3,9 +3,9 @@
 A line's tokens are its distinct words. Lines with equal sets are one class,
 known by its first line; the join is between these.
 
-1. One pass writes each line's class digest, and counts tokens in a hashed table
-   of fixed size. The counts give all lines the same order of tokens, rare ones
-   first (any common order keeps the filters exact).
+1. One pass counts tokens in a hashed table of fixed size. The counts give all
+   lines the same order of tokens, rare ones first (any common order keeps the
+   filters exact). A second pass gives each class its first line and its prefix.
 2. Sets of similarity ``t`` or more share a token among the first
    ``n - ceil(t * n) + 1`` of each: these prefixes are joined by token, under the
    length filter and the positional filter (what can still match behind the two
@@ -16,8 +16,8 @@ known by its first line; the join is between these.
    earlier lines of their lists.
 4. Every candidate is verified on the full sets.
 
-The texts are shuffled once, in blocks; prefixes, sets to verify and the result
-are all made from that exchange.
+Prefixes are made where the texts are read; for sets to verify and for the result
+the texts are shuffled, in blocks.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from .tokens import as_bytes, byte_table, chunks, mix, words
 
 BUCKET_BITS, SLICES = 20, 64
 _TABLE = byte_table(lower=True, seed=11)
-_LINES = "doc_id long, line long, key binary, n long, part long, counts binary"
+_CLASSES = "key binary, doc long, line long, n long, prefix array<long>"
 
 
 class _Lines:
@@ -71,19 +71,14 @@ def _bucket(token: np.ndarray) -> np.ndarray:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The class of every line that has tokens; at the end, the partition's token counts in slices."""
+    """The partition's token counts, in slices."""
     total = np.zeros(1 << BUCKET_BITS, np.int64)
-    names = ["doc_id", "line", "key", "n", "part", "counts"]
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_numpy(), as_bytes(batch.column("text"))
+        texts = as_bytes(batch.column("text"))
         for begin, end in chunks(texts):
-            lines = _Lines(texts[begin:end])
-            total += np.bincount(_bucket(lines.all_tokens), minlength=len(total))
-            n = len(lines.filled)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[begin + lines.text_of_line[lines.filled]]), pa.array(lines.number[lines.filled]), pa.array(lines.keys(), pa.binary()), pa.array(lines.n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+            total += np.bincount(_bucket(words(texts[begin:end], _TABLE)[1][0]), minlength=len(total))
     parts = np.split(np.minimum(total, 2**32 - 1).astype("<u4"), SLICES)
-    empty = pa.nulls(SLICES, pa.int64())
-    yield pa.RecordBatch.from_arrays([empty, empty, pa.nulls(SLICES, pa.binary()), empty, pa.array(range(SLICES), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names)
+    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
 
 
 def _merge_counts(key: tuple, table: pa.Table) -> pa.Table:
@@ -120,9 +115,8 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.85, block_bytes: int = 8
     docs = id_and_text(docs, id_col, text_col)
     spark = docs.sparkSession
     t = float(similarity)
-    survey = materialise(docs.mapInArrow(_survey, _LINES), "lines")
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    for part, merged in survey.where("part IS NOT NULL").groupBy("part").applyInArrow(_merge_counts, "part long, counts binary").collect():
+    for part, merged in docs.mapInArrow(_survey, "part long, counts binary").groupBy("part").applyInArrow(_merge_counts, "part long, counts binary").collect():
         width = len(counts) // SLICES
         counts[part * width : (part + 1) * width] = np.frombuffer(merged, "<u4")
     shared_counts = spark.sparkContext.broadcast(counts.astype("<u4"))
@@ -130,26 +124,22 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.85, block_bytes: int = 8
     blocks = max(1, -(-size // block_bytes))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     by_block = docs.withColumn("block", block("doc_id")).groupBy("block")
-    firsts = survey.where("part IS NULL").groupBy("key").agg(F.min(F.struct(F.col("doc_id").alias("doc"), "line")).alias("f")).select("f.doc", "f.line").withColumn("block", block("doc"))
     least = t / (1 - t)
 
-    def prefixes(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        first, out = _wanted(right), []
-        ids, texts = left.column("doc_id").to_numpy(), as_bytes(left.column("text"))
-        for begin, end in chunks(texts):
-            lines = _Lines(texts[begin:end])
-            own = np.concatenate([np.isin(lines.number[lines.filled[lines.text_of_line[lines.filled] == k]], first.get(int(ids[begin + k]), [])) for k in range(end - begin)] or [np.zeros(0, bool)])
-            own &= lines.n + 1e-9 >= least
-            rank = np.repeat(np.arange(len(lines.filled)), lines.n)
-            often = shared_counts.value[_bucket(lines.token)]
-            order = np.lexsort((lines.token, often, rank))
-            position = np.arange(len(order)) - np.repeat(lines.begin, lines.n)
-            length = lines.n[rank]
-            inside = own[rank] & (position <= length - np.ceil(t * length - 1e-9)) & (often[order] > 1)
-            at = np.flatnonzero(inside)
-            doc = ids[begin + lines.text_of_line[lines.filled[rank[at]]]]
-            out.append(pa.table({"token": lines.token[order[at]].view(np.int64), "doc": doc, "line": lines.number[lines.filled[rank[at]]], "n": length[at], "pos": position[at]}))
-        return pa.concat_tables(out)
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each line that has tokens: its class, place, and prefix, without tokens that occur once (null) and empty where only equal sets match."""
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_numpy(), as_bytes(batch.column("text"))
+            for begin, end in chunks(texts):
+                lines = _Lines(texts[begin:end])
+                rank = np.repeat(np.arange(len(lines.filled)), lines.n)
+                often = shared_counts.value[_bucket(lines.token)]
+                order = np.lexsort((lines.token, often, rank))
+                position, length = np.arange(len(order)) - np.repeat(lines.begin, lines.n), lines.n[rank]
+                at = np.flatnonzero((length + 1e-9 >= least) & (position <= length - np.ceil(t * length - 1e-9)))
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(rank[at], minlength=len(lines.filled)))]).astype(np.int32)
+                tokens = pa.array(lines.token[order[at]].view(np.int64), mask=often[order[at]] <= 1)
+                yield pa.RecordBatch.from_arrays([pa.array(lines.keys(), pa.binary()), pa.array(ids[begin + lines.text_of_line[lines.filled]]), pa.array(lines.number[lines.filled]), pa.array(lines.n), pa.ListArray.from_arrays(pa.array(offsets), tokens)], ["key", "doc", "line", "n", "prefix"])
 
     def sets(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         needed, doc, line, tokens = _wanted(right), [], [], []
@@ -186,12 +176,15 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.85, block_bytes: int = 8
         return (short + 1e-9 >= t * long_) & (ahead + 1e-9 >= t / (1 + t) * (a["n"] + b["n"]))
 
     place = lambda c: F.struct(c["doc"].alias("doc"), c["line"].alias("line"))
-    prefix = by_block.cogroup(firsts.groupBy("block")).applyInArrow(prefixes, "token long, doc long, line long, n long, pos long")
-    prefix = prefix.select("token", F.struct("doc", "line", "n", "pos").alias("b"))
+    classes = docs.mapInArrow(prefixes, _CLASSES).groupBy("key").agg(F.min(F.struct("doc", "line", "n", "prefix")).alias("f")).select("f.*")
+    classes = materialise(classes, "line-classes")
+    firsts = classes.select("doc", "line").withColumn("block", block("doc"))
+    prefix = classes.select("doc", "line", "n", F.posexplode("prefix").alias("pos", "token")).where("token IS NOT NULL")
+    prefix = prefix.select("token", F.struct("doc", "line", "n", F.col("pos").cast("long").alias("pos")).alias("b"))
     heads = prefix.groupBy("token").agg(F.min("b").alias("a"))
     a, b = F.col("a"), F.col("b")
     stars = prefix.join(heads, "token").where(_before(a, b) & possible(a, b)).select(place(a).alias("a"), place(b).alias("b")).distinct()
-    settled = verified(stars)
+    settled = materialise(verified(stars), "settled-lines")
     others = prefix.join(settled.toDF("d", "l"), (F.col("b.doc") == F.col("d")) & (F.col("b.line") == F.col("l")), "left_anti")
     rest = others.join(prefix.toDF("token", "a"), "token").where(_before(a, b) & possible(a, b)).select(place(a).alias("a"), place(b).alias("b")).distinct()
     matched = settled.union(verified(rest)).withColumn("block", block("doc"))
