@@ -7,17 +7,21 @@ known by its first line; the join is between these.
    lines the same order of tokens, rare ones first (any common order keeps the
    filters exact). A second pass gives each class its first line and its prefix.
 2. Sets of similarity ``t`` or more share a token among the first
-   ``n - ceil(t * n) + 1`` of each: these prefixes are joined by token, under the
-   length filter and the positional filter (what can still match behind the two
-   positions must suffice).
+   ``n - ceil(t * n) + 1`` of the longer and the first
+   ``n - ceil(2 * t / (1 + t) * n) + 1`` of the shorter: these prefixes are joined
+   by token, under the length filter, the positional filter (what can still match
+   behind the two positions must suffice) and a parity filter: each token flips
+   one of 64 bits of its line, and sets differ in at least as many tokens as these
+   differ in bits.
 3. What matters is whether *some* earlier line matches. So each line is first
-   compared with the first line of each token's list, which settles groups of
-   near copies without their pairs; only lines still unmatched are joined with all
-   earlier lines of their lists.
+   compared with the first line of each token's list of short prefixes, which
+   settles groups of near copies without their pairs; only lines still unmatched
+   are joined with all earlier lines of their lists.
 4. Every candidate is verified on the full sets.
 
-Prefixes are made where the texts are read; for sets to verify and for the result
-the texts are shuffled, in blocks.
+Prefixes, and the lines to verify, are taken where the texts are read; a table of
+fixed size says which lines and documents may be wanted, and a join what is.
+Only texts that lose lines, and those that share their slot, are shuffled.
 """
 
 from __future__ import annotations
@@ -33,9 +37,10 @@ from pyspark.sql import functions as F
 from .common import id_and_text, materialise, outer_id
 from .tokens import as_bytes, byte_table, chunks, mix, words
 
-BUCKET_BITS, SLICES = 20, 64
+#: Bits of the table of counts, its slices, and slots of the table of wanted lines or documents.
+BUCKET_BITS, SLICES, SLOTS = 20, 64, 1 << 25
 _TABLE = byte_table(lower=True, seed=11)
-_CLASSES = "key binary, doc long, line long, n long, prefix array<long>"
+_CLASSES = "key binary, doc long, line long, n long, parity long, prefix array<long>"
 
 
 class _Lines:
@@ -49,7 +54,7 @@ class _Lines:
         first_line = np.searchsorted(newlines, text_start)
         self.text_of_line = np.searchsorted(first_line, np.arange(len(newlines)), "right") - 1
         self.number = np.arange(len(newlines)) - first_line[self.text_of_line]
-        order = np.lexsort((h, line_of_word))
+        order = np.argsort(line_of_word.astype(np.uint64) << np.uint64(40) | h >> np.uint64(24)) if len(newlines) < 1 << 24 else np.lexsort((h, line_of_word))
         line, token = line_of_word[order], h[order]
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(line) != 0) | (np.diff(token) != 0)
@@ -65,6 +70,10 @@ class _Lines:
         raw = np.stack([mix(a + self.n.astype(np.uint64)), mix(b)], axis=1).tobytes()
         return [raw[i : i + 16] for i in range(0, len(raw), 16)]
 
+    def parity(self) -> np.ndarray:
+        bits = np.uint64(1) << (self.token & np.uint64(63))
+        return np.bitwise_xor.reduceat(bits, self.begin).view(np.int64) if len(self.begin) else np.zeros(0, np.int64)
+
 
 def _bucket(token: np.ndarray) -> np.ndarray:
     return (token >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
@@ -86,11 +95,26 @@ def _merge_counts(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"part": [key[0].as_py()], "counts": pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
 
 
-def _wanted(table: pa.Table) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for doc, line in zip(table.column("doc").to_pylist(), table.column("line").to_pylist(), strict=True):
-        out.setdefault(doc, []).append(line)
-    return out
+def _slot(doc, line, mod=lambda x: x % SLOTS):
+    """Slot of a line (numbers), the same by numpy and by columns."""
+    return mod(mod(doc) * 20_392_817 + mod(line) * 9_737_333)
+
+
+def _marked(places: DataFrame) -> np.ndarray:
+    """Which slots the lines (doc, line) have: a table of fixed size, as 64-bit words."""
+    at = _slot(F.col("doc"), F.col("line"), lambda x: F.pmod(x, F.lit(SLOTS)))
+    bits = places.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
+    table = np.zeros(SLOTS >> 6, np.int64)
+    table[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    return table
+
+
+def _in(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def _tokens(line: bytes) -> set[bytes]:
+    return set(line.lower().split())
 
 
 def _before(a: Column, b: Column) -> Column:
@@ -123,84 +147,128 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.85, block_bytes: int = 8
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    by_block = docs.withColumn("block", block("doc_id")).groupBy("block")
     least = t / (1 - t)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each line that has tokens: its class, place, and prefix, without tokens that occur once (null) and empty where only equal sets match."""
+        """Each line that has tokens: its class, place, parity and prefix, without tokens that occur once (null) and empty where only equal sets match; and for each text, as line -1, how many lines have tokens.
+
+        A token's key is its count on a scale of logarithms, then 30 bits of its
+        hash; tokens of one key count as one here, which adds candidates only.
+        """
+        fields = ("key", "doc", "line", "n", "parity", "prefix")
+        scale = (np.log2(np.maximum(shared_counts.value, 1)) * 31).astype(np.uint64)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_numpy(), as_bytes(batch.column("text"))
             for begin, end in chunks(texts):
                 lines = _Lines(texts[begin:end])
                 rank = np.repeat(np.arange(len(lines.filled)), lines.n)
-                often = shared_counts.value[_bucket(lines.token)]
-                order = np.lexsort((lines.token, often, rank))
-                position, length = np.arange(len(order)) - np.repeat(lines.begin, lines.n), lines.n[rank]
+                key = scale[_bucket(lines.token)] << np.uint64(30) | lines.token >> np.uint64(14) & np.uint64((1 << 30) - 1)
+                if len(lines.filled) < 1 << 24:
+                    key = np.sort(rank.astype(np.uint64) << np.uint64(40) | key) & np.uint64((1 << 40) - 1)
+                else:
+                    key = key[np.lexsort((key, rank))]
+                position, length = np.arange(len(key)) - np.repeat(lines.begin, lines.n), lines.n[rank]
                 at = np.flatnonzero((length + 1e-9 >= least) & (position <= length - np.ceil(t * length - 1e-9)))
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(rank[at], minlength=len(lines.filled)))]).astype(np.int32)
-                tokens = pa.array(lines.token[order[at]].view(np.int64), mask=often[order[at]] <= 1)
-                yield pa.RecordBatch.from_arrays([pa.array(lines.keys(), pa.binary()), pa.array(ids[begin + lines.text_of_line[lines.filled]]), pa.array(lines.number[lines.filled]), pa.array(lines.n), pa.ListArray.from_arrays(pa.array(offsets), tokens)], ["key", "doc", "line", "n", "prefix"])
-
-    def sets(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        needed, doc, line, tokens = _wanted(right), [], [], []
-        for i, text in zip(left.column("doc_id").to_pylist(), as_bytes(left.column("text")), strict=True):
-            if i in needed:
-                parts = text.split(b"\n")
-                for k in needed[i]:
-                    if k < len(parts):
-                        doc.append(i)
-                        line.append(k)
-                        tokens.append(np.unique(words([parts[k]], _TABLE)[1][0]).tobytes())
-        return pa.table({"doc": pa.array(doc, pa.int64()), "line": pa.array(line, pa.int64()), "tokens": pa.array(tokens, pa.binary())})
+                tokens = pa.array(key[at].view(np.int64), mask=key[at] >> np.uint64(30) == 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lines.keys(), pa.binary()), pa.array(ids[begin + lines.text_of_line[lines.filled]]), pa.array(lines.number[lines.filled]), pa.array(lines.n), pa.array(lines.parity()), pa.ListArray.from_arrays(pa.array(offsets), tokens)],
+                    list(fields),
+                )
+                own, n = ids[begin:end], np.bincount(lines.text_of_line[lines.filled], minlength=end - begin)
+                key = np.stack([own, n], axis=1).astype(np.int64).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b"d" + key[i : i + 16] for i in range(0, len(key), 16)], pa.binary()), pa.array(own), pa.array(np.full(len(n), -1)), pa.array(n), pa.array(np.zeros(len(n), np.int64)), pa.nulls(len(n), pa.list_(pa.int64()))],
+                    list(fields),
+                )
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
+            for x, y in zip(map(_tokens, batch.column("text_a").to_pylist()), map(_tokens, batch.column("text_b").to_pylist()), strict=True):
+                common = len(x & y)
                 keep.append(common + 1e-9 >= t * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("doc", "line")], ["doc", "line"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The later lines of those pairs (a, b) that are similar."""
-        needed = pairs.select("a.*").union(pairs.select("b.*")).distinct().withColumn("block", block("doc"))
-        full = by_block.cogroup(needed.groupBy("block")).applyInArrow(sets, "doc long, line long, tokens binary").select(F.struct("doc", "line").alias("at"), "tokens")
-        both = pairs.join(full.toDF("a", "tokens_a"), "a").join(full.toDF("b", "tokens_b"), "b")
-        return both.select("b.*", "tokens_a", "tokens_b").mapInArrow(similar, "doc long, line long").distinct()
-
-    def possible(a: Column, b: Column) -> Column:
-        """Length and positional filter."""
-        short, long_ = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
-        ahead = F.least(a["pos"], b["pos"]) + 1 + F.least(a["n"] - a["pos"], b["n"] - b["pos"]) - 1
-        return (short + 1e-9 >= t * long_) & (ahead + 1e-9 >= t / (1 + t) * (a["n"] + b["n"]))
-
-    place = lambda c: F.struct(c["doc"].alias("doc"), c["line"].alias("line"))
-    classes = docs.mapInArrow(prefixes, _CLASSES).groupBy("key").agg(F.min(F.struct("doc", "line", "n", "prefix")).alias("f")).select("f.*")
+        pairs = materialise(pairs, name)
+        table = spark.sparkContext.broadcast(_marked(pairs.select("a.*").union(pairs.select("b.*"))))
+        owners = spark.sparkContext.broadcast(_marked(pairs.select("a.doc", F.lit(0).alias("line")).union(pairs.select("b.doc", F.lit(0)))))
+
+        def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, texts = batch.column("doc_id").to_numpy(), batch.column("text")
+                for r in np.flatnonzero(_in(owners.value, _slot(ids, 0))):
+                    parts = (texts[int(r)].as_py() or "").encode().split(b"\n")
+                    at = np.flatnonzero(_in(table.value, _slot(ids[r], np.arange(len(parts)))))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[r])), pa.array(at), pa.array([parts[k] for k in at], pa.binary())], ["doc", "line", "text"])
+
+        full = materialise(docs.mapInArrow(wanted, "doc long, line long, text binary").select(F.struct("doc", "line").alias("at"), "text"), name + "-texts")
+        both = pairs.join(full.toDF("a", "text_a"), "a").join(full.toDF("b", "text_b"), "b")
+        return both.select("b.*", "text_a", "text_b").mapInArrow(similar, "doc long, line long").distinct()
+
+    def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Pairs of places, the first before the second, that pass the length, positional and parity filter."""
+        x, y = ({k: F.col(f"{s}_{k}") for k in ("doc", "line", "n", "parity", "pos")} for s in "ab")
+        ahead = F.least(x["pos"], y["pos"]) + F.least(x["n"] - x["pos"], y["n"] - y["pos"])
+        both = x["n"] + y["n"]
+        possible = (F.least(x["n"], y["n"]) + 1e-9 >= t * F.greatest(x["n"], y["n"])) & (ahead + 1e-9 >= t / (1 + t) * both)
+        possible &= F.bit_count(x["parity"].bitwiseXOR(y["parity"])) <= (1 - t) / (1 + t) * both + 1e-9
+        place = lambda c: F.struct(c["doc"].alias("doc"), c["line"].alias("line"))
+        first, second = place(x), place(y)
+        pairs = a.join(b, "token").where(possible & ((x["doc"] != y["doc"]) | (x["line"] != y["line"])))
+        return pairs.select(F.when(_before(x, y), first).otherwise(second).alias("a"), F.when(_before(x, y), second).otherwise(first).alias("b"), F.when(_before(x, y), y["n"]).otherwise(x["n"]).alias("n"))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("token", *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "line", "n", "parity", "pos")))
+
+    members = docs.mapInArrow(prefixes, _CLASSES)
+    classes = members.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "parity", "prefix")).alias("f")).select("f.*")
     classes = materialise(classes, "line-classes")
-    firsts = classes.select("doc", "line").withColumn("block", block("doc"))
-    prefix = classes.select("doc", "line", "n", F.posexplode("prefix").alias("pos", "token")).where("token IS NOT NULL")
-    prefix = prefix.select("token", F.struct("doc", "line", "n", F.col("pos").cast("long").alias("pos")).alias("b"))
-    heads = prefix.groupBy("token").agg(F.min("b").alias("a"))
-    a, b = F.col("a"), F.col("b")
-    stars = prefix.join(heads, "token").where(_before(a, b) & possible(a, b)).select(place(a).alias("a"), place(b).alias("b")).distinct()
-    settled = materialise(verified(stars), "settled-lines")
-    others = prefix.join(settled.toDF("d", "l"), (F.col("b.doc") == F.col("d")) & (F.col("b.line") == F.col("l")), "left_anti")
-    rest = others.join(prefix.toDF("token", "a"), "token").where(_before(a, b) & possible(a, b)).select(place(a).alias("a"), place(b).alias("b")).distinct()
-    matched = settled.union(verified(rest)).withColumn("block", block("doc"))
-    kept = firsts.join(matched.drop("block"), ["doc", "line"], "left_anti")
+    sizes, classes = classes.where("line < 0"), classes.where("line >= 0")
+    firsts = classes.select("doc", "line")
+    prefix = classes.select("doc", "line", F.col("n").cast("int").alias("n"), "parity", F.posexplode("prefix").alias("pos", "token")).where("token IS NOT NULL")
+    short = prefix.where(F.col("pos") <= F.col("n") - F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9))
+    heads = short.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "parity", "pos")).alias("h")).select("token", "h.*")
+    stars = candidates(side(heads, "a"), side(short, "b")).select("a", "b").distinct()
+    settled = materialise(verified(stars, "line-stars"), "settled-lines")
+    gone = settled.select(F.col("doc").alias("gone_doc"), F.col("line").alias("gone_line"), F.lit(True).alias("is_settled"))
+    flag = lambda rows: rows.join(gone, (F.col("doc") == F.col("gone_doc")) & (F.col("line") == F.col("gone_line")), "left")
+    long_flag, short_flag = flag(prefix), flag(short)
+    open_, done = F.col("is_settled").isNull(), F.col("is_settled").isNotNull()
+    # The later line of a pair must be unsettled, so no pair of two settled ones is made.
+    rest = candidates(side(long_flag.where(open_), "a"), side(short, "b")).unionAll(candidates(side(long_flag.where(done), "a"), side(short_flag.where(open_), "b")))
+    rest = rest.join(settled.select(F.struct("doc", "line").alias("b")), "b", "left_anti").select("a", "b").distinct()
+    matched = settled.union(verified(rest, "line-rest"))
+    kept = materialise(firsts.join(matched, ["doc", "line"], "left_anti").distinct(), "kept-lines")
+    per_doc = sizes.select("doc", "n", F.lit(0).alias("own")).unionAll(kept.select("doc", F.lit(None).cast("long"), F.lit(1)))
+    losing = per_doc.groupBy("doc").agg(F.max("n").alias("most"), F.min("n").alias("fewest"), F.sum("own").alias("own")).where("own < most OR fewest < most")
+    losing = spark.sparkContext.broadcast(_marked(losing.select("doc", F.lit(0).alias("line"))))
+
+    def texts_that(change: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_in(losing.value, _slot(batch.column("doc_id").to_numpy(), 0)) == change))
+
+        return docs.mapInArrow(run, "doc_id long, text string")
 
     def apply(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        keep, n, gone, out = _wanted(right), [], [], []
+        keep, n, gone, out = {}, [], [], []
+        for doc, line in zip(right.column("doc").to_pylist(), right.column("line").to_pylist(), strict=True):
+            keep.setdefault(doc, set()).add(line)
         ids = left.column("doc_id").to_pylist()
         for i, text in zip(ids, as_bytes(left.column("text")), strict=True):
             parts = text.split(b"\n")
-            own = set(keep.get(i, ()))
+            own = keep.get(i, ())
             mask = [k in own or not part.split() for k, part in enumerate(parts)]
             n.append(len(parts))
             gone.append(len(parts) - sum(mask))
             out.append(text if all(mask) else b"\n".join(compress(parts, mask)))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "text": pa.array(out, pa.binary()).cast(pa.string())})
 
-    result = by_block.cogroup(kept.select("doc", "line", block("doc").alias("block")).groupBy("block")).applyInArrow(apply, "doc_id long, n_lines long, n_removed long, text string")
-    return result.select(outer_id(), "n_lines", "n_removed", "text")
+    columns = "doc_id long, n_lines long, n_removed long, text string"
+    changed = texts_that(True).groupBy(block("doc_id").alias("block")).cogroup(kept.groupBy(block("doc").alias("block"))).applyInArrow(apply, columns)
+    unchanged = texts_that(False).select("doc_id", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), "text")
+    return unchanged.unionAll(changed).select(outer_id(), "n_lines", "n_removed", "text")
