@@ -26,7 +26,7 @@ Only texts that lose lines, and those that share their slot, are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -117,7 +117,7 @@ def _tokens(line: bytes) -> set[bytes]:
     return set(line.lower().split())
 
 
-def _before(a: Column, b: Column) -> Column:
+def _before(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (a["doc"] < b["doc"]) | ((a["doc"] == b["doc"]) & (a["line"] < b["line"]))
 
 
@@ -209,7 +209,7 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.85, block_bytes: int = 8
         both = pairs.join(full.toDF("a", "text_a"), "a").join(full.toDF("b", "text_b"), "b")
         return both.select("b.*", "text_a", "text_b").mapInArrow(similar, "doc long, line long").distinct()
 
-    def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    def candidates(a: DataFrame, b: DataFrame, wanted: Callable[[dict, dict], Column] = lambda x, y: F.lit(True)) -> DataFrame:
         """Pairs of places, the first before the second, that pass the length, positional and parity filter."""
         x, y = ({k: F.col(f"{s}_{k}") for k in ("doc", "line", "n", "parity", "pos")} for s in "ab")
         ahead = F.least(x["pos"], y["pos"]) + F.least(x["n"] - x["pos"], y["n"] - y["pos"])
@@ -218,11 +218,11 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.85, block_bytes: int = 8
         possible &= F.bit_count(x["parity"].bitwiseXOR(y["parity"])) <= (1 - t) / (1 + t) * both + 1e-9
         place = lambda c: F.struct(c["doc"].alias("doc"), c["line"].alias("line"))
         first, second = place(x), place(y)
-        pairs = a.join(b, "token").where(possible & ((x["doc"] != y["doc"]) | (x["line"] != y["line"])))
-        return pairs.select(F.when(_before(x, y), first).otherwise(second).alias("a"), F.when(_before(x, y), second).otherwise(first).alias("b"), F.when(_before(x, y), y["n"]).otherwise(x["n"]).alias("n"))
+        pairs = a.join(b, "token").where(possible & wanted(x, y) & ((x["doc"] != y["doc"]) | (x["line"] != y["line"])))
+        return pairs.select(F.when(_before(x, y), first).otherwise(second).alias("a"), F.when(_before(x, y), second).otherwise(first).alias("b"))
 
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("token", *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "line", "n", "parity", "pos")))
+    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        return rows.select("token", *(F.col(c).alias(f"{name}_{c}") for c in ("doc", "line", "n", "parity", "pos", *more)))
 
     members = docs.mapInArrow(prefixes, _CLASSES)
     classes = members.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "parity", "prefix")).alias("f")).select("f.*")
@@ -232,15 +232,15 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.85, block_bytes: int = 8
     prefix = classes.select("doc", "line", F.col("n").cast("int").alias("n"), "parity", F.posexplode("prefix").alias("pos", "token")).where("token IS NOT NULL")
     short = prefix.where(F.col("pos") <= F.col("n") - F.ceil(2 * t / (1 + t) * F.col("n") - 1e-9))
     heads = short.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "parity", "pos")).alias("h")).select("token", "h.*")
-    stars = candidates(side(heads, "a"), side(short, "b")).select("a", "b").distinct()
+    stars = candidates(side(heads, "a"), side(short, "b")).distinct()
     settled = materialise(verified(stars, "line-stars"), "settled-lines")
-    gone = settled.select(F.col("doc").alias("gone_doc"), F.col("line").alias("gone_line"), F.lit(True).alias("is_settled"))
-    flag = lambda rows: rows.join(gone, (F.col("doc") == F.col("gone_doc")) & (F.col("line") == F.col("gone_line")), "left")
-    long_flag, short_flag = flag(prefix), flag(short)
-    open_, done = F.col("is_settled").isNull(), F.col("is_settled").isNotNull()
-    # The later line of a pair must be unsettled, so no pair of two settled ones is made.
-    rest = candidates(side(long_flag.where(open_), "a"), side(short, "b")).unionAll(candidates(side(long_flag.where(done), "a"), side(short_flag.where(open_), "b")))
-    rest = rest.join(settled.select(F.struct("doc", "line").alias("b")), "b", "left_anti").select("a", "b").distinct()
+    gone = settled.select(F.col("doc").alias("gone_doc"), F.col("line").alias("gone_line"), F.lit(True).alias("found"))
+    flagged = lambda rows: rows.join(gone, (F.col("doc") == F.col("gone_doc")) & (F.col("line") == F.col("gone_line")), "left").withColumn("done", F.col("found").isNotNull())
+    longs, shorts = flagged(prefix), flagged(short)
+    open_long, open_short = (side(rows.where("NOT done"), name) for rows, name in ((longs, "a"), (shorts, "b")))
+    # Only pairs whose later line is still open are made.
+    rest = candidates(open_long, side(shorts, "b", "done"), lambda x, y: ~F.col("b_done") | _before(y, x))
+    rest = rest.unionAll(candidates(side(longs.where("done"), "a"), open_short, _before)).distinct()
     matched = settled.union(verified(rest, "line-rest"))
     kept = materialise(firsts.join(matched, ["doc", "line"], "left_anti").distinct(), "kept-lines")
     per_doc = sizes.select("doc", "n", F.lit(0).alias("own")).unionAll(kept.select("doc", F.lit(None).cast("long"), F.lit(1)))
