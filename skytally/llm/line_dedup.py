@@ -15,8 +15,9 @@ known by its first line; the join is between these.
    differ in bits.
 3. What matters is whether *some* earlier line matches. So each line is first
    compared with the first line of each token's list of short prefixes, which
-   settles groups of near copies without their pairs; only lines still unmatched
-   are joined with all earlier lines of their lists.
+   settles most lines of groups of near copies without their pairs, then, where
+   still unmatched, with the next ``next_heads``; only lines unmatched by then are
+   joined with all earlier lines of their lists.
 4. Every candidate is verified on the full sets.
 
 Prefixes, and the lines to verify, are taken where the texts are read; a table of
@@ -31,7 +32,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, materialise, outer_id
@@ -121,7 +122,7 @@ def _before(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return (a["doc"] < b["doc"]) | ((a["doc"] == b["doc"]) & (a["line"] < b["line"]))
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.85, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = 0.85, block_bytes: int = 8 << 20, next_heads: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, n_lines, n_removed, text, a row per document.
 
     Lines end at a newline; a line's tokens are its runs of characters other than
@@ -234,8 +235,16 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.85, block_bytes: int = 8
     heads = short.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "parity", "pos")).alias("h")).select("token", "h.*")
     stars = candidates(side(heads, "a"), side(short, "b")).distinct()
     settled = materialise(verified(stars, "line-stars"), "settled-lines")
-    gone = settled.select(F.col("doc").alias("gone_doc"), F.col("line").alias("gone_line"), F.lit(True).alias("found"))
-    flagged = lambda rows: rows.join(gone, (F.col("doc") == F.col("gone_doc")) & (F.col("line") == F.col("gone_line")), "left").withColumn("done", F.col("found").isNotNull())
+
+    def flagged(rows: DataFrame) -> DataFrame:
+        gone = settled.select(F.col("doc").alias("gone_doc"), F.col("line").alias("gone_line"), F.lit(True).alias("found"))
+        return rows.join(gone, (F.col("doc") == F.col("gone_doc")) & (F.col("line") == F.col("gone_line")), "left").withColumn("done", F.col("found").isNotNull())
+
+    # A line that is not like the first of its lists is tried against the next few, which leaves few lines to join with all.
+    nth = F.row_number().over(Window.partitionBy("token").orderBy("doc", "line"))
+    following = short.withColumn("nth", nth).where((F.col("nth") > 1) & (F.col("nth") <= 1 + next_heads))
+    more = candidates(side(following, "a"), side(flagged(short).where("NOT done"), "b"), _before).distinct()
+    settled = materialise(settled.union(verified(more, "line-more")), "settled-lines")
     longs, shorts = flagged(prefix), flagged(short)
     open_long, open_short = (side(rows.where("NOT done"), name) for rows, name in ((longs, "a"), (shorts, "b")))
     # Only pairs whose later line is still open are made.
