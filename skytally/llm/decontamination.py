@@ -1,20 +1,27 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word seeds that lose nothing, then Smith-Waterman alignment.
 
 The benchmark is a stated set of queries against all documents. It is taken in
 blocks of bounded size (one, unless it is large); for each block:
 
-1. one pass counts, over all documents, how many hold each of its n-grams;
-2. the rarer half of each item's n-grams are its seeds, so what is common in the
-   corpus seeds nothing, at any corpus size;
-3. a second pass finds the seeds, and aligns the passage around them with the
-   item, word by word. The score is that of the best local alignment as a share
-   of the item's own: edits cost, but do not hide a copy.
+1. one pass counts how often the documents have each of its words;
+2. an alignment that scores ``least`` of an item's own score matches at least
+   ``k = ceil(least * m)`` of the item's m words, so it matches one of any
+   ``m - k + 1``: the rarest ones (those that no document has first, as they cost
+   nothing) are its seeds. What is common in the corpus seeds nothing while an
+   item has enough else, and no alignment is lost, whatever was edited;
+3. such an alignment spans ``3 * m - 2 * least * m`` words of the document at most.
+   A second pass cuts texts into overlapping stretches that hold any such span,
+   finds the seeds, leaves out stretches that have fewer than k of the item's
+   words, and aligns the others with the item, word by word. The score is that of
+   the best local alignment as a share of the item's own: edits cost, but do not
+   hide a copy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, id_and_text, outer_id
-from .tokens import as_bytes, byte_table, chunks, window_starts, windows, words
+from .tokens import as_bytes, byte_table, chunks, windows, words
 
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 BLOCK_BYTES = 16 << 20
@@ -54,81 +61,161 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     return best, *span
 
 
-def _grams(first: np.ndarray, h: np.ndarray, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each n-gram length: hashes, first words and texts of the n-grams of a chunk."""
-    for size in sizes:
-        starts, owner = window_starts(first, size)
-        yield windows(h, size)[starts] ^ np.uint64(size), starts, owner
-
-
-def _find(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the values are among the sorted known ones, and where there."""
-    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    hit = np.flatnonzero(known[at] == values)
-    return hit, at[hit]
+def best_scores(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
+    """The score of the best local alignment of each passage with the item beside it, many at once."""
+    out = np.zeros(len(items), np.float32)
+    order = np.lexsort(([len(p) for p in passages], [len(i) for i in items]))
+    for at in range(0, len(order), 128):
+        part = order[at : at + 128]
+        # What pads a short one matches nothing, so it raises no score.
+        width, height = max(len(passages[k]) for k in part), max(len(items[k]) for k in part)
+        a, b = np.full((len(part), width), -1), np.full((len(part), height), -2)
+        for row, k in enumerate(part):
+            a[row, : len(passages[k])], b[row, : len(items[k])] = passages[k], items[k]
+        ramp = (-GAP * np.arange(width)).astype(np.float32)
+        score, best = np.zeros((len(part), width + 1), np.float32), np.zeros((len(part), width), np.float32)
+        for q in range(height):
+            fresh = score[:, :-1] + np.where(a == b[:, q, None], np.float32(MATCH), np.float32(MISMATCH))
+            np.maximum(fresh, score[:, 1:] + np.float32(GAP), out=fresh)
+            np.maximum(fresh, 0, out=fresh)
+            np.maximum(best, fresh, out=best)
+            fresh += ramp
+            score[:, 1:] = np.maximum.accumulate(fresh, axis=1) - ramp
+        out[part] = best.max(axis=1)
+    return out
+
+
+def _numbers(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place of each word among the sorted known ones; their count for other words."""
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, at, len(known))
+
+
+def _spread(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each count."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+class _Items:
+    """The items of a block: their words as numbers, what a copy needs at least, and the seeds."""
+
+    def __init__(self, items: list[np.ndarray], known: np.ndarray, uses: np.ndarray, least: float) -> None:
+        self.known, self.words = known, [np.searchsorted(known, h) for h in items]
+        m = np.array([len(h) for h in items])
+        #: Matches of an alignment that scores enough, and the words of a text that it spans.
+        self.matches = np.maximum(1, np.ceil(least * m - 1e-9).astype(np.int64))
+        self.span = np.maximum(1, np.floor(3 * m - 2 * least * m + 1e-9).astype(np.int64))
+        self.step = max(64, int(self.span.max()))
+        self.padded = np.full((len(items), int(m.max())), len(known))
+        seeds: list[np.ndarray] = []
+        for i, w in enumerate(self.words):
+            self.padded[i, : len(w)] = w
+            seeds.append(np.unique(w[np.lexsort((w, uses[w]))[: max(0, len(w) - self.matches[i] + 1)]]))
+        word = np.concatenate(seeds)
+        order = np.argsort(word, kind="stable")
+        self.item_of_seed = np.repeat(np.arange(len(items)), [len(w) for w in seeds])[order]
+        self.begin = np.searchsorted(word[order], np.arange(len(known) + 2))
+
+    def stretches(self, number: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Text, item, first and end word of the stretches of a chunk that can hold a copy, by text and item."""
+        step, n_words, nothing = self.step, np.diff(first), len(self.known)
+        n_stretches = np.maximum(1, -(-n_words // step) - 1)
+        base = np.cumsum(n_stretches) - n_stretches
+        text = np.repeat(np.arange(len(n_words)), n_words)
+        block = (np.arange(len(number)) - first[:-1][text]) // step
+        # Each word lies in the stretch that begins with its block, and in the one before.
+        at = np.flatnonzero(number < nothing)
+        here, before = block[at] < n_stretches[text[at]], block[at] > 0
+        place = np.concatenate([(base[text[at]] + block[at])[here], (base[text[at]] + block[at] - 1)[before]])
+        word = np.concatenate([number[at][here], number[at][before]])
+        held = np.unique(place * (nothing + 1) + word)
+        place, word = np.divmod(held, nothing + 1)
+        counts = self.begin[word + 1] - self.begin[word]
+        found = np.repeat(place, counts) * len(self.words) + self.item_of_seed[np.repeat(self.begin[word], counts) + _spread(counts)]
+        place_of, item_of = np.divmod(np.unique(found), len(self.words))
+        # Different words share a column only in a large vocabulary, which keeps stretches but loses none.
+        columns = min(nothing, 1 << 14)
+        group = max(1, (1 << 24) // (columns + 1))
+        total = int(n_stretches.sum())
+        owner = np.repeat(np.arange(len(n_words)), n_stretches)
+        width = self.padded.shape[1]
+        rows = max(1, (1 << 21) // width)
+        good = np.zeros(len(place_of), bool)
+        for low in range(0, total, group):
+            a, b = np.searchsorted(place, (low, low + group))
+            c, d = np.searchsorted(place_of, (low, low + group))
+            if c == d:
+                continue
+            has = np.zeros((min(group, total - low), columns + 1), bool)
+            has[place[a:b] - low, word[a:b] % columns] = True
+            for k in range(c, d, rows):
+                part = slice(k, min(k + rows, d))
+                w = self.padded[item_of[part]]
+                column = np.where(w < nothing, w % columns, columns)
+                good[part] = has[place_of[part, None] - low, column].sum(axis=1) >= self.matches[item_of[part]]
+        place_of, item_of = place_of[good], item_of[good]
+        order = np.lexsort((place_of, item_of, owner[place_of]))
+        mine = np.zeros(nothing + 1, bool)
+        for place, item in zip(place_of[order].tolist(), item_of[order].tolist(), strict=True):
+            t = int(owner[place])
+            low = int(first[t]) + (place - int(base[t])) * step
+            high = min(low + 2 * step, int(first[t + 1]))
+            mine[self.words[item]] = True
+            sums = np.concatenate([[0], np.cumsum(mine[number[low:high]])])
+            mine[self.words[item]] = False
+            span = min(int(self.span[item]), high - low)
+            enough = np.flatnonzero(sums[span:] - sums[:-span] >= self.matches[item])
+            if len(enough):
+                yield t, item, low + int(enough[0]), low + int(enough[-1]) + span
 
 
 def _leaks_of_block(docs: DataFrame, rows: list[tuple[int, str]], size: int, least: float) -> DataFrame:
     kind = "doc_id long, item_id long, score double, first_word long, end_word long, passage string"
     items: list[tuple[int, np.ndarray]] = []
-    grams: list[tuple[np.ndarray, int]] = []
     for item_id, text in rows:
         _, (h,), *_ = words([(text or "").encode()], _TABLE)
         if len(h):
-            length = min(size, len(h))
-            grams.append((windows(h, length) ^ np.uint64(length), len(items)))
             items.append((item_id, h))
     if not items:
         return docs.sparkSession.createDataFrame([], kind)
-    sizes = sorted({min(size, len(h)) for _, h in items})
-    known = np.unique(np.concatenate([g for g, _ in grams]))
+    known = np.unique(np.concatenate([h for _, h in items]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known), np.int64)
+        total = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             for begin, end in chunks(texts):
-                first, (h,), *_ = words(texts[begin:end], _TABLE)
-                for values, _, owner in _grams(first, h, sizes):
-                    hit, at = _find(known, values)
-                    np.add.at(total, np.unique(np.stack([owner[hit], at]), axis=1)[1], 1)
-        has = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], ["gram", "n"])
-
-    holders = np.zeros(len(known), np.int64)
-    for gram, n in docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
-        holders[gram] = n
-    seeds: dict[int, list[tuple[int, int]]] = {}
-    for values, item in grams:
-        at = np.searchsorted(known, values)
-        rare = np.lexsort((values, holders[at]))[: -(-len(values) // 2)]
-        for q in rare.tolist():
-            seeds.setdefault(int(at[q]), []).append((item, q))
-    wanted = np.array(sorted(seeds))
-    seeded = known[wanted]
+                _, (h,), *_ = words(texts[begin:end], _TABLE)
+                total += np.bincount(_numbers(known, h), minlength=len(total))
+        has = np.flatnonzero(total[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(total[has])], ["word", "n"])
+
+    uses = np.zeros(len(known), np.int64)
+    for word, n in docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n")).collect():
+        uses[word] = n
+    sought = _Items([h for _, h in items], known, uses, least)
+    #: Of items so short that common phrases would score enough: the runs of words of which a text must hold one.
+    runs = {i: (r := min(size, len(h)), windows(h, r)) for i, (_, h) in enumerate(items) if len(h) < 2 * size}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, found = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), []
             for begin, end in chunks(texts):
                 first, (h,), starts, ends, buffer = words(texts[begin:end], _TABLE)
-                places: dict[tuple[int, int], list[int]] = {}
-                for values, where, owner in _grams(first, h, sizes):
-                    for k, at in zip(*_find(seeded, values), strict=True):
-                        for item, q in seeds[int(wanted[at])]:
-                            places.setdefault((int(owner[k]), item), []).append(int(where[k]) - q)
-                for (text, item), diagonals in places.items():
+                number = _numbers(known, h)
+                near_items = list(sought.stretches(number, first))
+                scores = best_scores([number[low:high] for *_, low, high in near_items], [sought.words[item] for _, item, *_ in near_items])
+                enough = [x for x, score in zip(near_items, scores.tolist(), strict=True) if score / (MATCH * len(sought.words[x[1]])) >= least]
+                for (text, item), near in groupby(enough, key=lambda x: x[:2]):
                     item_id, sequence = items[item]
-                    m, a, b = len(sequence), int(first[text]), int(first[text + 1])
+                    a, b = int(first[text]), int(first[text + 1])
+                    if item in runs and not np.isin(windows(h[a:b], runs[item][0]), runs[item][1]).any():
+                        continue
                     best = (0.0, 0, 0)
-                    diagonals.sort()
-                    while diagonals:
-                        near = [d for d in diagonals if d <= diagonals[0] + m]
-                        diagonals = diagonals[len(near) :]
-                        low, high = max(a, near[0] - m // 2), min(b, near[-1] + m + m // 2)
+                    for *_, low, high in near:
                         score, x, y = align(h[low:high], sequence)
-                        best = max(best, (score / (MATCH * m), low + x, low + y), key=lambda t: t[0])
-                    if best[0] >= least:
+                        best = max(best, (score / (MATCH * len(sequence)), low + x, low + y), key=lambda t: t[0])
+                    if best[0] >= least and best[2] > best[1]:
                         passage = buffer[starts[best[1]] : ends[best[2] - 1]].decode("utf-8", "replace")
                         found.append((ids[begin + text], item_id, best[0], best[1] - a, best[2] - a, passage))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 6, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word", "passage"])
@@ -143,8 +230,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 4, least: floa
     local alignment's share of the item's own score, ``least`` or more. Words
     count from 0, the end is exclusive.
 
-    Null or empty texts and items without words match nothing. An item of fewer
-    than ``size`` words is its own seed. A null doc_id comes back as null; items
+    Every pair that scores enough is found. Of an item of fewer than ``2 * size``
+    words the text must also hold a run of ``size`` words (a shorter item as a whole).
+
+    Null or empty texts and items without words match nothing. A null doc_id comes back as null; items
     with a null id are left out. Repeated documents and items are reported one by
     one. An empty table on either side gives an empty table; other columns are not read.
     """

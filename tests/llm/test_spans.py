@@ -75,6 +75,33 @@ def test_leaks(spark, table):
     assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} == set(docs) - {3, 7, 9, 11}
 
 
+def test_leaks_edited(spark, table):
+    """Every copy that scores enough is found, with a verbatim copy elsewhere, long texts and common words around."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(1500)]
+    prose = lambda n: [vocabulary[int(1500 * rng.random() ** 3)] for _ in range(n)]
+    items = [prose(n) for n in (12, 20, 30, 30, 45, 55) for _ in range(3)]
+    docs = [prose(40) + items[k] + prose(30) for k in range(0, len(items), 4)]
+    for k in range(150):
+        copy, out = rng.choice(items), []
+        rate = rng.uniform(0.1, 0.3)
+        for w in copy:
+            edit = rng.random() < rate
+            kind = rng.random() if edit else 1.0
+            out += [w] if not edit else ["new" + str(k), w] if kind < 0.2 else [] if kind < 0.4 else ["new" + str(rng.randrange(10**6))]
+        docs.append(prose(rng.choice([0, 5, 60, 700])) + out + prose(rng.choice([0, 5, 60, 300])))
+    wanted = {}
+    for i, w in enumerate(docs):
+        for k, item in enumerate(items):
+            score = align(np.array([hash(x) for x in w]), np.array([hash(x) for x in item]))[0]
+            if score >= len(item):
+                wanted[i, k] = score / (2 * len(item))
+    assert len(wanted) > 100
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = find_leaks(table([(i, " ".join(w)) for i, w in enumerate(docs)]), benchmark).collect()
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in found} == {k: round(v, 9) for k, v in wanted.items()}
+
+
 def test_leaks_odd(spark, table, odd):
     items = spark.createDataFrame([(1, "lost words of a row without an id"), (2, "same row")], "item_id long, text string")
     got = [(r.doc_id, r.item_id) for r in find_leaks(table(odd), items).collect()]
