@@ -2,23 +2,26 @@
 
 A text's characters, spaces as the meta symbol, start as single symbols; an agenda
 of adjacent pairs that the vocabulary knows is worked off by score, best first and
-leftmost of equals. Each candidate merge is skipped if a keyed hash of (seed,
-variant, chunk, the two symbols' place) is below the dropout rate, so a chunk is
-cut differently under each of the ``variants`` that documents are dealt to, and
-the same way whenever it is encoded again.
+leftmost of equals. Each candidate merge is skipped with the dropout rate, as a
+hash keyed by the seed, the document's id and the chunk's place in it says: every
+occurrence of a chunk is cut by itself, and the same way whenever the document is
+encoded again.
 
 Symbols outside the vocabulary become byte pieces, and so does a meta symbol that
 the text itself holds; decoding gives back every text exactly.
 
 No merge crosses from a non-space to a space, or a newline (which only bytes
-encode), so chunks (spaces and the run of other characters after them) are encoded by themselves and kept in a bounded
-memory of each Python worker.
+encode), so chunks (spaces and the run of other characters after them) are encoded by themselves. What a chunk becomes depends only on which of its
+candidates, by number, are skipped; a bounded memory of each Python worker keeps
+that for the choices met so far.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,11 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, outer_id
+from .tokens import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _CHUNK = re.compile(" *[^ \n]+| +|\n")
 MEMORY = 1 << 17
+#: Odd factors of a chunk's place and of the number of a skip.
+_PLACE, _ROUND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Codec:
@@ -53,19 +59,23 @@ class Codec:
         self.bytes_of = [p.replace(SPACE, " ").encode() for p in pieces]
         for b, i in enumerate(self.byte_id):
             self.bytes_of[i] = bytes([b])
-        self.skip_below, self.seed = int(dropout * 2**64), seed
-        self.memory: dict[int, dict[str, bytes]] = {}
-
-    def _skipped(self, keyed: int, place: int, length: int) -> bool:
-        """The keyed hash of one candidate merge: of the chunk's digest, the pair's place and its length."""
-        return ((keyed ^ place * 0x9E3779B97F4A7C15 ^ length * 0xC2B2AE3D27D4EB4F) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF < self.skip_below
-
-    def chunk_ids(self, chunk: str, variant: int) -> bytes:
-        """Ids of one chunk as 32-bit numbers."""
-        keyed = xxhash.xxh3_64_intdigest(chunk.encode(), self.seed + variant)
+        self.dropout, self.seed = dropout, seed
+        #: For each chunk its ids, how many candidates these took, and the same by the candidate skipped next.
+        self.memory: dict[str, tuple[bytes, int, dict]] = {}
+        self.kept = 0
+
+    def _gaps(self, keyed: np.ndarray) -> np.ndarray:
+        """How many candidates are tried before the next one is skipped, for each hash."""
+        if not 0 < self.dropout < 1:
+            return np.full(len(keyed), 0 if self.dropout >= 1 else 1 << 60)
+        share = ((mix(keyed) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
+        return (np.log(share) / math.log1p(-self.dropout)).astype(np.int64)
+
+    def _cut(self, chunk: str, skipped: tuple[int, ...]) -> tuple[bytes, int, dict]:
+        """Ids of one chunk as 32-bit numbers if the candidates of these numbers are skipped, and the number of all."""
         # A meta symbol of the text's own never merges: it is told apart until it becomes bytes.
         symbols = [SPACE if c == " " else c if c != SPACE else "\0" + c for c in chunk]
-        merged = self._few(symbols, keyed) if len(symbols) <= 48 else self._many(symbols, keyed)
+        merged, tried = self._few(symbols, skipped) if len(symbols) <= 48 else self._many(symbols, frozenset(skipped))
         out: list[int] = []
         for s in merged:
             known = self.id.get(s)
@@ -73,33 +83,34 @@ class Codec:
                 out.append(known)
             else:
                 out.extend(self.byte_id[b] for b in (" " if s == SPACE else s.replace("\0" + SPACE, SPACE)).encode())
-        return np.array(out, "<i4").tobytes()
+        self.kept += 1
+        return struct.pack(f"<{len(out)}i", *out), tried, {}
 
-    def _few(self, symbols: list[str], keyed: int) -> list[str]:
+    def _few(self, symbols: list[str], skipped: tuple[int, ...]) -> tuple[list[str], int]:
         """The agenda as a list of scores in text order, for chunks of a few symbols."""
-        get, never = self.score.get, float("-inf")
+        get, never, tried = self.score.get, float("-inf"), 0
         agenda = [get(a + b, never) for a, b in zip(symbols, symbols[1:], strict=False)]
-        places = list(range(len(symbols)))
         while agenda:
             best = max(agenda)
             if best == never:
                 break
             i = agenda.index(best)
-            both = symbols[i] + symbols[i + 1]
-            if self._skipped(keyed, places[i], len(both)):
+            tried += 1
+            if tried - 1 in skipped:
                 agenda[i] = never
                 continue
+            both = symbols[i] + symbols[i + 1]
             symbols[i] = both
-            del symbols[i + 1], places[i + 1], agenda[i]
+            del symbols[i + 1], agenda[i]
             if i < len(agenda):
                 agenda[i] = get(both + symbols[i + 1], never)
             if i:
                 agenda[i - 1] = get(symbols[i - 1] + both, never)
-        return symbols
+        return symbols, tried
 
-    def _many(self, symbols: list[str], keyed: int) -> list[str]:
+    def _many(self, symbols: list[str], skipped: frozenset[int]) -> tuple[list[str], int]:
         """The agenda as a heap, for long chunks."""
-        n, score = len(symbols), self.score
+        n, score, tried = len(symbols), self.score, 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
         for i in range(n - 1):
@@ -109,7 +120,10 @@ class Codec:
         heapq.heapify(agenda)
         while agenda:
             _, i, j, both = heapq.heappop(agenda)
-            if not symbols[i] or not symbols[j] or after[i] != j or symbols[i] + symbols[j] != both or self._skipped(keyed, i, len(both)):
+            if not symbols[i] or not symbols[j] or after[i] != j or symbols[i] + symbols[j] != both:
+                continue
+            tried += 1
+            if tried - 1 in skipped:
                 continue
             symbols[i], symbols[j] = both, ""
             after[i] = after[j]
@@ -118,21 +132,45 @@ class Codec:
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < n and (joined := symbols[a] + symbols[b]) in score:
                     heapq.heappush(agenda, (-score[joined], a, b, joined))
-        return [s for s in symbols if s]
+        return [s for s in symbols if s], tried
+
+    def _long(self, chunk: str, at: int, keyed: np.uint64) -> bytes:
+        """Ids of a chunk too long to be kept: all places of skipped candidates are drawn at once."""
+        most = 4 * len(chunk) + 16
+        gaps = self._gaps(keyed + np.arange(1, most, dtype=np.uint64) * _ROUND)
+        places = np.cumsum(np.concatenate([[at], np.minimum(gaps, most) + 1]))
+        return self._cut(chunk, tuple(places[places < most].tolist()))[0]
 
-    def encode(self, text: str, variant: int = 0) -> bytes:
+    def encode(self, text: str, document: int = 0) -> bytes:
         """The text's ids as 32-bit numbers."""
-        known = self.memory.setdefault(variant, {})
-        if len(known) > MEMORY:
+        known = self.memory
+        if self.kept > MEMORY:
             known.clear()
-        out = []
-        for chunk in _CHUNK.findall(text):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self.chunk_ids(chunk, variant)
-                if len(chunk) < 64:
-                    known[chunk] = ids
-            out.append(ids)
+            self.kept = 0
+        found, out = _CHUNK.findall(text), []
+        start = np.uint64(xxhash.xxh3_64_intdigest(document.to_bytes(8, "little", signed=True), self.seed))
+        keyed = mix(start + np.arange(len(found), dtype=np.uint64) * _PLACE)
+        later: dict[int, list[int]] = {}
+        for place, (chunk, at) in enumerate(zip(found, self._gaps(keyed).tolist(), strict=True)):
+            if len(chunk) >= 64:
+                out.append(self._long(chunk, at, keyed[place]))
+                continue
+            node = known.get(chunk)
+            if node is None:
+                node = known[chunk] = self._cut(chunk, ())
+            if at < node[1]:
+                skipped, turn = (), 0
+                while at < node[1]:
+                    skipped += (at,)
+                    child = node[2].get(at)
+                    if child is None:
+                        child = node[2][at] = self._cut(chunk, skipped)
+                    node = child
+                    turn += 1
+                    if turn not in later:
+                        later[turn] = self._gaps(keyed + np.uint64(turn * int(_ROUND) % 2**64)).tolist()
+                    at += 1 + later[turn][place]
+            out.append(node[0])
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
@@ -145,11 +183,12 @@ def codec(model: str, dropout: float, seed: int) -> Codec:
     return Codec(model, dropout, seed)
 
 
-def encode_pieces(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 17, variants: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, seed: int = 17, variants: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, ids, n_pieces, decoded, a row per document; ``decoded`` is made from ``ids`` alone.
 
+    Every document is cut by itself, or by its id modulo ``variants`` if that is given.
     Null or empty text: no pieces, decoded as empty. A null id comes back as null
-    (its variant is that of the id it stands for). Repeated rows are encoded alike.
+    (documents without one are cut as if they shared one). Repeated rows are encoded alike.
     An empty table gives an empty table; other columns are not read. ``model`` is
     a path that every executor has.
     """
@@ -157,7 +196,7 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, dropout: float = 0.1, see
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model, dropout, seed)
         for batch in batches:
-            encoded = [own.encode(t, i % variants) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            encoded = [own.encode(t, i if variants is None else i % variants) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
             offsets = np.cumsum([0, *(len(e) // 4 for e in encoded)]).astype(np.int32)
             flat = np.frombuffer(b"".join(encoded), "<i4")
             decoded = pa.array([own.decode(np.frombuffer(e, "<i4").tolist()) for e in encoded], pa.string())

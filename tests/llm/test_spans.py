@@ -149,6 +149,18 @@ def test_pieces(table, corpus, odd):
     assert encode_pieces(table([])).count() == 0
 
 
+def test_pieces_by_occurrence(table):
+    """By default a word is cut anew in every document and at every place."""
+    texts = [(k, " wonderful\n" * 40) for k in range(30)] + [(100, " " + "wonderful" * 20), (102, " " + "wonderful" * 20)]
+    found = encode_pieces(table(texts)).collect()
+    assert {r.doc_id: r.decoded for r in found} == dict(texts)
+    newline = next(r for r in found if r.doc_id == 0).ids[-1]
+    cuts = {r.doc_id: [tuple(c.split()) for c in " ".join(map(str, r.ids)).split(f" {newline}") if c] for r in found}
+    assert all(len(set(cuts[k])) > 2 for k in range(30))
+    assert len({tuple(cuts[k]) for k in range(30)}) == 30
+    assert cuts[100] != cuts[102]
+
+
 def test_pieces_without_dropout(table):
     """Without dropout the merges are those of the tokenizer itself."""
     import sentencepiece
