@@ -187,6 +187,13 @@ def source_merge_full_outer(x: Frames) -> DataFrame:
     return sequences.merge_sources(_last(obs, "origin = 'local'"), _last(obs, "origin = 'network' AND event_id % 4 = 1"))
 
 
+@query(f", a AS ({_LAST.format("origin = 'local'")}), b AS ({_LAST.format("origin = 'network'")}) SELECT coalesce(a.icao_hex, b.icao_hex) AS icao_hex, CASE WHEN a.icao_hex IS NULL THEN 'network' WHEN b.icao_hex IS NULL THEN 'local' ELSE 'overlap' END AS membership, CASE WHEN a.lat IS NOT NULL AND a.lon IS NOT NULL THEN a.lat ELSE b.lat END AS lat, CASE WHEN a.lat IS NOT NULL AND a.lon IS NOT NULL THEN a.lon ELSE b.lon END AS lon, coalesce(a.altitude_ft, b.altitude_ft) AS altitude_ft FROM a FULL JOIN b ON a.icao_hex = b.icao_hex", OBS)
+def source_merge_all(x: Frames) -> DataFrame:
+    """``source_merge_full_outer`` over all observations; that one takes a quarter of the network's."""
+    obs = x.observations()
+    return sequences.merge_sources(_last(obs, "origin = 'local'"), _last(obs, "origin = 'network'"))
+
+
 @query("SELECT lanes, count(*) AS aircraft, CAST(max(bit_count(lanes)) AS BIGINT) AS n_lanes FROM (SELECT icao_hex, bit_or(1::BIGINT << CAST(event_id % 3 AS INT)) AS lanes FROM obs GROUP BY 1) GROUP BY 1", OBS)
 def lane_value_bitmask(x: Frames) -> DataFrame:
     return sequences.lane_value(x.observations())
