@@ -2,7 +2,8 @@
 
 Each stage takes what the one before kept, written as Parquet and read again, and
 returns the columns of ``documents``; the last returns the encoded documents.
-Ids are taken to be unique, but for rows that are repeated as a whole.
+A document is a row: null ids and ids with several texts are told apart within a stage;
+only rows of equal id and text are one document.
 """
 
 from __future__ import annotations
@@ -19,37 +20,55 @@ from skytally.llm.quality import score_quality
 from skytally.session import ship_package
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows of these ids; a null id is an id like any other."""
-    gone = dropped.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+def _by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``doc_id`` that is never null and of one text, in the order of the ids, nulls last; the id itself is ``_doc_id``."""
+    n, distinct = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == distinct:
+        return docs.withColumn("_doc_id", F.col("doc_id"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = docs.select("doc_id", digest.alias("_digest")).distinct().orderBy(F.asc_nulls_last("doc_id"), "_digest")
+    keys = materialise(rows.select(F.col("doc_id").alias("_doc_id"), "_digest", F.monotonically_increasing_id().alias("_row")), "row-ids")
+    # The digest leads the join, so that null ids do not meet in one task.
+    found = docs.withColumn("_own", digest).join(keys, (F.col("_own") == F.col("_digest")) & docs["doc_id"].eqNullSafe(F.col("_doc_id")))
+    return materialise(found.withColumn("doc_id", F.col("_row")).drop("_own", "_digest", "_row"), "rows")
+
+
+def _with_ids(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("_doc_id")).select(*docs.columns)
+
+
+def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    return rows.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     ship_package(spark)
-    scores = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.where("predicted = 0"))
+    rows, labels = _by_row(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    own = rows.select("doc_id", "_doc_id").distinct().join(labels.withColumnRenamed("doc_id", "_doc_id"), "_doc_id").drop("_doc_id")
+    return _with_ids(_without(rows, score_quality(rows, own).where("predicted = 0")), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document, or the same one, already has go; every document stays."""
     ship_package(spark)
-    lines = dedup_lines(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).distinct()
-    joined = docs.join(lines, docs["doc_id"].eqNullSafe(lines["_id"])).withColumns({"text": F.col("_text"), "n_chars": F.length("_text").cast("long")})
-    return joined.select(*docs.columns)
+    rows = _by_row(docs)
+    lines = dedup_lines(rows).select("doc_id", F.col("text").alias("_text")).distinct()
+    joined = rows.join(lines, "doc_id").withColumns({"text": F.col("_text"), "n_chars": F.length("_text").cast("long")})
+    return _with_ids(joined, docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the least id."""
     ship_package(spark)
-    return _without(docs, near_duplicates(docs).where("NOT kept")).dropDuplicates(["doc_id"])
+    rows = _by_row(docs)
+    return _with_ids(_without(rows, near_duplicates(rows).where("NOT kept")).dropDuplicates(["doc_id"]), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item go."""
     ship_package(spark)
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _with_ids(decontaminate(_by_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

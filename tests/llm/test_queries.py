@@ -5,6 +5,7 @@ from __future__ import annotations
 import brute
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skytally.llm import queries
@@ -97,3 +98,29 @@ def test_stage_pieces(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, FOLDER).count() == stages[-1][1].count()
+
+
+def test_stages_tell_rows_apart(spark, table, tmp_path):
+    """Null ids, and an id with two texts, are documents of their own in every stage."""
+    item = [f"item{k}" for k in range(20)]
+    own = lambda tag: " ".join(f"{tag}{k}" for k in range(30))
+    rows = [(None, own("a")), (None, own("b")), (None, own("c") + "\n" + own("d")), (4, own("d")), (4, own("e")), (5, own("f")), (6, own("f") + " end"), (None, own("g") + " " + " ".join(item)), (None, own("f") + " too")]
+    docs = table(rows).withColumn("source", F.substring("text", 1, 1))
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def got(frame):
+        assert frame.columns == docs.columns
+        return sorted(((r.doc_id, r.text, r.source) for r in frame.collect()), key=str)
+
+    given = [(i, t, t[0]) for i, t in rows]
+    lines = got(corpus_pipeline.line_dedup(spark, docs, str(tmp_path)))
+    assert lines == sorted([(i, own("c") if t[0] == "c" else "" if t.endswith((" end", " too")) else t, t[0]) for i, t in rows], key=str)
+    near = got(corpus_pipeline.minhash_dedup(spark, docs, str(tmp_path)))
+    assert near == sorted([x for x in given if not x[1].endswith((" end", " too"))], key=str)
+    clean = got(corpus_pipeline.decontamination(spark, docs, str(tmp_path)))
+    assert clean == sorted([x for x in given if x[2] != "g"], key=str)
+    spark.read.parquet(f"{FOLDER}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    plain = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    mixed = plain.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    kept = {r.text for r in corpus_pipeline.quality_classifier(spark, mixed, str(tmp_path)).where("doc_id IS NULL").collect()}
+    assert 0 < len(kept) < mixed.where("doc_id IS NULL").select("text").distinct().count()
