@@ -19,9 +19,9 @@
   distance or is in one group already.
 
 Two documents at the similarity bound differ in each slot with probability a
-quarter. Both bounds on the distance lie 4.2 standard deviations above that, so
-about one such pair in 40,000 is missed by the signatures; pairs above the
-similarity bound are missed far less often.
+quarter. P(Bin(64, 1/4) > 30) = 4.4e-5, and with the bound of 93 of all 256 slots
+6.4e-5, so about one such pair in 15,500 is missed by the signatures; pairs above
+the similarity bound are missed far less often.
 """
 
 from __future__ import annotations
