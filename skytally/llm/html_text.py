@@ -23,7 +23,15 @@ _SKIP = frozenset("nav header footer aside form menu dialog head figure fieldset
 _BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _SELF_CLOSING = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 _INLINE_CLOSED = frozenset("b i u em strong a span small font code sub sup mark q cite".split())
-_NOISE = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-list|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notice|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])")
+_NOISE = re.compile(r"ads?|advert\w*|banner|breadcrumbs?|comments?|comment-list|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notice|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget")
+#: A name that only mentions noise, as a part joined by - or _.
+_MENTION = re.compile(rf"(?:^|[_-])(?:{_NOISE.pattern})(?:$|[_-])")
+#: Elements that hold a page or its article: no class or id makes them noise.
+_HOLDERS = frozenset("html body main article".split())
+#: How noisy an element's names are.
+_PLAIN, _MENTIONED, _NAMED = range(3)
+#: A noisy element with more than this share of the page's text is only marked down.
+MOST = 0.5
 _NOISE_ROLE = frozenset("banner navigation complementary contentinfo search dialog alert menu form".split())
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -31,23 +39,28 @@ _WHITE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "skip", "points", "length", "links")
+    __slots__ = ("tag", "parent", "children", "skip", "noisy", "points", "length", "links")
 
-    def __init__(self, tag: str, parent: _Node | None, skip: bool = False) -> None:
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: _Node | None, skip: bool = False, noisy: int = 0) -> None:
+        self.tag, self.parent, self.skip, self.noisy = tag, parent, skip, noisy
         self.children: list[_Node | str] = []
         self.points = 0.0
         self.length = self.links = 0
 
 
-def _noise(tag: str, attributes: str) -> bool:
+def _noise(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element is left out for what it is, and whether a word of its class or id names or mentions noise."""
     if tag in _SKIP:
-        return True
+        return True, _PLAIN
+    noisy = _PLAIN
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _NOISE_ROLE) or (name in ("class", "id") and _NOISE.search(value)):
-            return True
-    return False
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _NOISE_ROLE):
+            return True, _PLAIN
+        if name in ("class", "id") and tag not in _HOLDERS:
+            for t in value.split():
+                noisy = max(noisy, _NAMED if _NOISE.fullmatch(t) else _MENTIONED if _MENTION.search(t) else _PLAIN)
+    return False, noisy
 
 
 def parse(html: str) -> _Node:
@@ -90,13 +103,28 @@ def parse(html: str) -> _Node:
         if name in _VOID:
             node.children.append(" " if name in ("br", "wbr", "hr", "img") else "")
             continue
-        child = _Node(name, node, _noise(name, tag[3] or ""))
+        child = _Node(name, node, *_noise(name, tag[3] or ""))
         node.children.append(child)
         if not (tag[3] or "").endswith("/"):
             node = child
     return root
 
 
+def _settle(root: _Node) -> None:
+    """Leave noisy elements out, but for those that hold most of the page's text."""
+    order = [root]
+    for node in order:
+        order.extend(c for c in node.children if isinstance(c, _Node) and not c.skip)
+    noisy = [n for n in order if n.noisy == _NAMED]
+    if not noisy:
+        return
+    length: dict[_Node, int] = {}
+    for node in reversed(order):
+        length[node] = sum(len(c.strip()) if isinstance(c, str) else length.get(c, 0) for c in node.children)
+    for node in noisy:
+        node.skip = length[node] <= MOST * length[root]
+
+
 def _measure(root: _Node) -> list[_Node]:
     """Text and link lengths of all nodes, and the points of containers; the nodes that got points."""
     scored: list[_Node] = []
@@ -118,7 +146,7 @@ def _measure(root: _Node) -> list[_Node]:
                     scored.append(target)
                 target.points += gain * share
     for node in scored:
-        node.points *= 1 - (node.links / node.length if node.length else 0)
+        node.points *= (1 - (node.links / node.length if node.length else 0)) * (0.5 if node.noisy else 1)
     return scored
 
 
@@ -150,6 +178,7 @@ def _blocks(node: _Node, out: list[str]) -> None:
 def main_text(html: str) -> str:
     """The article's text, blocks joined by an empty line; empty if the page has none."""
     root = parse(html)
+    _settle(root)
     scored = _measure(root)
     articles = [n for n in scored if n.tag in ("article", "main")]
     best = max(articles or scored, key=lambda n: n.points, default=root)

@@ -125,6 +125,17 @@ def test_main_text():
     assert main_text("<article><p>" + "long, text. " * 50_000 + "</article>") == ("long, text. " * 50_000).strip()
 
 
+def test_main_text_of_wrappers():
+    """Class words that only mention a menu or sidebar, or stand on what holds the page, remove nothing."""
+    text = "One paragraph, with commas, and enough words to be the article of the page."
+    for opened, closed in (
+        ("<body class='single-post no-sidebar'>", "</body>"), ("<body class='menu'><div class='layout-with-header'>", "</div></body>"), ("<main id=header>", "</main>"),
+        ("<article class='post comments-open related'>", "</article>"), ("<div class='has-sidebar'>", "</div>"), ("<div class='widget'>", "</div>"), ("<div class='comments'><div class='share'>", "</div></div>"),
+    ):
+        page = f"<html>{opened}<div><p>{text}</p><p>{text}</p><div class='box sidebar'>Aside, not the article.</div></div>{closed}</html>"
+        assert main_text(page) == f"{text}\n\n{text}", opened
+
+
 def test_pages(spark):
     rows = [(1, "u", _PAGE), (None, None, None), (2, "v", ""), (2, "v", "")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
