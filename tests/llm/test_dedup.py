@@ -45,13 +45,32 @@ def test_substring_odd(table, odd):
     assert substring_dedup(table([]), 13).count() == 0
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 2000])
-def test_lines(table, corpus, block_bytes):
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in dedup_lines(table(corpus), block_bytes=block_bytes).collect()}
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 2000, "nearest": 1}, {"hot": 30, "nearest": 1}], ids=["plain", "many blocks", "tokens in cells"])
+def test_lines(table, corpus, options):
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in dedup_lines(table(corpus), **options).collect()}
     assert got == brute.lines(corpus)
     assert sum(x[1] for x in got.values()) > 20
 
 
+def test_lines_of_near_copies(table):
+    """A long chain of edited lines, most of them like several earlier ones, some like none of the nearest."""
+    words, rows = [f"w{k}" for k in range(40)], []
+    for k in range(300):
+        words = [*words]
+        words[(7 * k) % 40] = f"v{k % 11}x{(7 * k) % 40}"
+        rows.append((k, " ".join(words) + ("\nown line of document number " + str(k) if k % 3 else "")))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in dedup_lines(table(rows), nearest=1).collect()}
+    assert got == brute.lines(rows)
+
+
+def test_lines_of_one_id(table):
+    """Rows of one id are judged by their own texts; what an earlier document has goes from each."""
+    one, two = "a line that is long enough to be kept here", "another one that nobody else has in this place"
+    rows = [(1, one), (2, f"{one}\n{two}"), (2, f"{two}\n{two}"), (None, f"{two}\nx"), (None, f"y\n{two} too")]
+    got = sorted((str(r.doc_id), r.n_removed, r.text) for r in dedup_lines(table(rows)).collect())
+    assert got == sorted([("1", 0, one), ("2", 2, ""), ("2", 1, two), ("None", 1, "x"), ("None", 1, "y")])
+
+
 def test_lines_odd(table, odd):
     rows = dedup_lines(table(odd)).collect()
     assert len(rows) == len(odd)
