@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import xxhash
+
+from skytally.llm.tokens import mix
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -97,3 +102,28 @@ def personal(text):
         if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
             out.append(("phone", *m.span()))
     return out
+
+
+def pieces(codec, text, document):
+    """Ids of a text by one agenda for each chunk, as plain loops over all adjacent pairs; only the keyed hash is the operator's."""
+    start = np.uint64(xxhash.xxh3_64_intdigest(document.to_bytes(8, "little", signed=True), codec.seed))
+    out = []
+    for place, chunk in enumerate(re.findall(" *[^ \n]+| +|\n", text)):
+        keyed = mix(np.array([(int(start) + place * 0x9E3779B97F4A7C15) % 2**64], np.uint64))
+        symbols = [int(codec.symbol_of[ord(c)]) if codec.symbol_of[ord(c)] >= 0 else c for c in chunk]
+        skipped, turn = set(), 0
+        ends = list(range(len(symbols) + 1))
+        while True:
+            known = [(-float(codec.score[m]), i, m) for i in range(len(symbols) - 1) if (m := codec.pairs.get((symbols[i], symbols[i + 1]))) is not None and tuple(ends[i : i + 3]) not in skipped]
+            if not known:
+                break
+            _, i, m = min(known)
+            if codec.skips(keyed, np.array([turn]))[0]:
+                skipped.add(tuple(ends[i : i + 3]))
+            else:
+                symbols[i : i + 2] = [m]
+                del ends[i + 1]
+            turn += 1
+        for s in symbols:
+            out += [int(codec.byte_id[b]) for b in s.encode()] if isinstance(s, str) else [s]
+    return out
