@@ -1,61 +1,78 @@
 """Main text of web pages by scoring the element tree.
 
-Each block of running text passes points, for its length and its commas, to its
-parent and half of them to its grandparent; a container's points are discounted
-by the share of its text that is link text. The best container is the article;
-those of its siblings that score well, or read like paragraphs, are kept with it.
-A page is parsed and scored by itself, in one pass over its tags.
+1. A page is read in one pass over its tags. What an element is (menu, footer,
+   form, script) leaves it out; a header stays inside an article.
+2. Each block of running text passes points, for its length and its commas, to
+   its container and half of them to the one above; a container's points are
+   discounted by the share of its text that is link text. Class and id words that
+   name noise lower the points of what they stand on, an article has more.
+3. The container with most points, or the article around it, is the main text, with
+   those of its siblings that score well or read like paragraphs.
+4. Then elements whose class or id names noise are left out, but never one that
+   holds the best container.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Element names by role.
+# Element names by role, and words of class and id that name noise.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math object select button".split())
-_SKIP = frozenset("nav header footer aside form menu dialog head figure fieldset".split())
-_BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_RAW = frozenset("script style noscript template textarea title iframe svg object select".split())
+_SKIP = frozenset("nav footer aside form menu dialog head fieldset search".split())
+_BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _SELF_CLOSING = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
 _INLINE_CLOSED = frozenset("b i u em strong a span small font code sub sup mark q cite".split())
 _NOISE = re.compile(r"ads?|advert\w*|banner|breadcrumbs?|comments?|comment-list|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notice|pagination|popup|promo\w*|related|replies|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget")
+_NOISE_ROLE = frozenset("banner navigation complementary contentinfo search dialog alert menu form".split())
+#: Text that passes its points on to what is around it.
+_PARAGRAPH = frozenset("p pre td h1 h2 h3 h4 h5 h6 li blockquote figcaption dd dt".split())
+#: What cannot be the main text by itself, and siblings that read like paragraphs.
+_PART = frozenset("p li td th tr tbody thead h1 h2 h3 h4 h5 h6 blockquote ul ol dl dd dt table figure figcaption pre".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl table figure header hgroup".split())
 #: A name that only mentions noise, as a part joined by - or _.
 _MENTION = re.compile(rf"(?:^|[_-])(?:{_NOISE.pattern})(?:$|[_-])")
 #: Elements that hold a page or its article: no class or id makes them noise.
 _HOLDERS = frozenset("html body main article".split())
-#: How noisy an element's names are.
 _PLAIN, _MENTIONED, _NAMED = range(3)
-#: A noisy element with more than this share of the page's text is only marked down.
-MOST = 0.5
-_NOISE_ROLE = frozenset("banner navigation complementary contentinfo search dialog alert menu form".split())
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: Shares of the points that are left by a mention, and within a named element; what an article's are multiplied by.
+MENTIONED, NAMED, ARTICLE = 0.5, 0.2, 1.5
+#: Points of a block that is long enough, at most for its length, and the share of the best one's that keeps a sibling.
+LEAST_TEXT, MOST_LENGTH, SIBLING = 25, 3, 0.2
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_UNQUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]*+))?+")
 _WHITE = re.compile(r"\s+")
 
 
-class _Node:
+class Node:
     __slots__ = ("tag", "parent", "children", "skip", "noisy", "points", "length", "links")
 
-    def __init__(self, tag: str, parent: _Node | None, skip: bool = False, noisy: int = 0) -> None:
+    def __init__(self, tag: str, parent: Node | None, skip: bool = False, noisy: int = _PLAIN) -> None:
         self.tag, self.parent, self.skip, self.noisy = tag, parent, skip, noisy
-        self.children: list[_Node | str] = []
+        self.children: list[Node | str] = []
         self.points = 0.0
         self.length = self.links = 0
 
+    def elements(self) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node) and not c.skip]
 
+
+@lru_cache(maxsize=4096)
 def _noise(tag: str, attributes: str) -> tuple[bool, int]:
     """Whether an element is left out for what it is, and whether a word of its class or id names or mentions noise."""
     if tag in _SKIP:
         return True, _PLAIN
     noisy = _PLAIN
-    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+    for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _NOISE_ROLE):
+        if name == "hidden" or (name == "role" and value in _NOISE_ROLE and tag not in _HOLDERS):
             return True, _PLAIN
         if name in ("class", "id") and tag not in _HOLDERS:
             for t in value.split():
@@ -63,35 +80,70 @@ def _noise(tag: str, attributes: str) -> tuple[bool, int]:
     return False, noisy
 
 
-def parse(html: str) -> _Node:
-    """The element tree; raw-text elements are left out, open ones are closed as browsers do."""
-    root = _Node("html", None)
-    node, at, end = root, 0, len(html)
-    while at < end:
-        tag = _TAG.search(html, at)
+def _tags(html: str) -> Iterator[tuple[str, str, str, int, int]]:
+    """Tags as (slash, name, attributes, begin, end), comments and declarations without a name.
+
+    A ``<`` that begins no tag is text. Where a quotation mark is never closed,
+    quotes count for nothing from there on, so every character is passed at most twice.
+    """
+    pattern, at = _TAG, 0
+    while (begin := html.find("<", at)) >= 0:
+        follows = html[begin + 1 : begin + 2]
+        if follows in ("!", "?"):
+            close = html.find("-->", begin + 4) + 2 if html.startswith("<!--", begin) else html.find(">", begin)
+            at = close + 1 if close > begin else len(html)
+            yield "", "", "", begin, at
+            continue
+        if not (follows.isascii() and follows.isalpha()) and not (follows == "/" and html[begin + 2 : begin + 3].isalpha()):
+            at = begin + 1
+            continue
+        tag = pattern.match(html, begin)
+        if tag is None and pattern is _TAG:
+            pattern = _UNQUOTED
+            tag = pattern.match(html, begin)
         if tag is None:
-            node.children.append(html[at:])
-            break
-        if tag.start() > at:
-            node.children.append(html[at : tag.start()])
-        at = tag.end()
-        if tag[2] is None:
+            if html.find(">", begin) < 0:
+                return
+            at = begin + 1
             continue
+        at = tag.end()
         name = tag[2].lower()
-        if tag[1]:
-            found = node
+        if name in _RAW and not tag[1]:
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>", re.I).search(html, at)
+            at = close.end() if close else len(html)
+            yield "", "", "", begin, at
+        else:
+            yield tag[1], name, tag[3], begin, at
+
+
+def parse(html: str) -> Node:
+    """The element tree; raw-text elements are left out, open ones are closed as browsers do."""
+    root = node = Node("html", None)
+    open_: dict[str, int] = {}
+    articles = at = 0
+
+    def leave(to: Node) -> Node:
+        nonlocal articles
+        up = node
+        while up is not to:
+            open_[up.tag] -= 1
+            articles -= up.tag in ("article", "main")
+            up = up.parent
+        return to
+
+    for slash, name, attributes, begin, end in _tags(html):
+        if begin > at:
+            node.children.append(html[at:begin])
+        at = end
+        if not name:
+            continue
+        if slash:
+            found = node if open_.get(name) else root
             while found is not root and found.tag != name:
                 # A formatting element's end tag reaches no further than the block around it.
-                if name in _INLINE_CLOSED and found.tag in _BLOCK:
-                    found = root
-                    break
-                found = found.parent
+                found = root if name in _INLINE_CLOSED and found.tag in _BLOCK else found.parent
             if found is not root:
-                node = found.parent
-            continue
-        if name in _RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = close.end() if close else end
+                node = leave(found.parent)
             continue
         if name in _BLOCK:
             # A block ends formatting that was left open in a paragraph, and the paragraph.
@@ -99,74 +151,101 @@ def parse(html: str) -> _Node:
             while up is not root and up.tag in _INLINE_CLOSED:
                 up = up.parent
             if name in _SELF_CLOSING.get(up.tag, ()):
-                node = up.parent
+                node = leave(up.parent)
         if name in _VOID:
             node.children.append(" " if name in ("br", "wbr", "hr", "img") else "")
             continue
-        child = _Node(name, node, *_noise(name, tag[3] or ""))
+        child = Node(name, node, *_noise(name, attributes.strip()))
+        child.skip |= name == "header" and not articles
         node.children.append(child)
-        if not (tag[3] or "").endswith("/"):
+        if not attributes.endswith("/"):
             node = child
+            open_[name] = open_.get(name, 0) + 1
+            articles += name in ("article", "main")
+    if at < len(html):
+        node.children.append(html[at:])
     return root
 
 
-def _settle(root: _Node) -> None:
-    """Leave noisy elements out, but for those that hold most of the page's text."""
+def _in_order(root: Node) -> list[Node]:
     order = [root]
     for node in order:
-        order.extend(c for c in node.children if isinstance(c, _Node) and not c.skip)
-    noisy = [n for n in order if n.noisy == _NAMED]
-    if not noisy:
-        return
-    length: dict[_Node, int] = {}
-    for node in reversed(order):
-        length[node] = sum(len(c.strip()) if isinstance(c, str) else length.get(c, 0) for c in node.children)
-    for node in noisy:
-        node.skip = length[node] <= MOST * length[root]
+        order.extend(node.elements())
+    return order
 
 
-def _measure(root: _Node) -> list[_Node]:
-    """Text and link lengths of all nodes, and the points of containers; the nodes that got points."""
-    scored: list[_Node] = []
-    order: list[_Node] = [root]
-    for node in order:
-        order.extend(c for c in node.children if isinstance(c, _Node) and not c.skip)
+def score(root: Node) -> list[Node]:
+    """Set text and link lengths of all nodes, and the points of containers; returns those that have points."""
+    order = _in_order(root)
+    paragraphs: list[tuple[Node, float]] = []
     for node in reversed(order):
         own = "".join(c for c in node.children if isinstance(c, str)).strip()
-        inner = [c for c in node.children if isinstance(c, _Node) and not c.skip]
+        inner = node.elements()
         node.length = len(own) + sum(c.length for c in inner)
         node.links = node.length if node.tag == "a" else sum(c.links for c in inner)
         direct = len(own) + sum(c.length for c in inner if c.tag not in _BLOCK)
-        if direct < 25 or node.tag not in _BLOCK or not node.parent:
-            continue
-        gain = 1 + own.count(",") + min(direct // 100, 3)
-        for target, share in ((node if node.tag not in ("p", "pre", "td", "h1", "h2", "h3", "li", "blockquote") else node.parent, 1.0), (node.parent.parent if node.parent.parent else None, 0.5)):
-            if target is not None:
-                if not target.points:
-                    scored.append(target)
-                target.points += gain * share
-    for node in scored:
-        node.points *= (1 - (node.links / node.length if node.length else 0)) * (0.5 if node.noisy else 1)
-    return scored
-
-
-def _blocks(node: _Node, out: list[str]) -> None:
+        if direct >= LEAST_TEXT and node.tag in _BLOCK and node.parent:
+            paragraphs.append((node, 1 + own.count(",") + min(direct // 100, MOST_LENGTH)))
+    scored: dict[Node, None] = {}
+    for node, gain in paragraphs:
+        target = node.parent if node.tag in _PARAGRAPH else node
+        for container, share in ((target, 1.0), (target.parent, 0.5)):
+            if container is not None:
+                container.points += gain * share
+                scored[container] = None
+    within: dict[Node, bool] = {}
+    for node in order:
+        within[node] = node.noisy == _NAMED or bool(node.parent and within[node.parent])
+        if node.points:
+            node.points *= 1 - (node.links / node.length if node.length else 0)
+            node.points *= NAMED if within[node] else MENTIONED if node.noisy else ARTICLE if node.tag in ("article", "main") else 1.0
+    return list(scored)
+
+
+def chosen(root: Node) -> list[Node]:
+    """The best container and those of its siblings that are kept, in page order; noise around and in them is marked."""
+    best = max(score(root), key=lambda n: n.points, default=root)
+    points = best.points
+    while best.parent is not None and best.tag in _PART:
+        best = best.parent
+    up = best
+    while up is not None and up.tag != "article":
+        up = up.parent
+    best = up or best
+    holders, up = set(), best
+    while up is not None:
+        holders.add(up)
+        up = up.parent
+    for node in _in_order(root):
+        node.skip |= node.noisy == _NAMED and node not in holders
+    if best.parent is None or best.tag in ("main", "body"):
+        return [best]
+    least = SIBLING * max(points, best.points)
+    kept = []
+    for x in best.parent.elements():
+        density = x.links / x.length if x.length else 0.0
+        if x is best or (x.points and x.points >= least) or (x.tag in _PROSE and density < 0.25) or (x.tag == best.tag == "article" and density < 0.5):
+            kept.append(x)
+    return kept
+
+
+def _blocks(node: Node, out: list[str]) -> None:
     """Texts of the blocks below a node in page order: entities decoded, white space as one space."""
     pending: list[str] = []
 
     def flush() -> None:
-        text = _WHITE.sub(" ", unescape("".join(pending))).strip()
+        text = _WHITE.sub(" ", "".join(pending)).strip()
         pending.clear()
         if text:
             out.append(text)
 
-    stack: list[_Node | str | None] = [node]
+    stack: list[Node | str | None] = [node]
     while stack:
         x = stack.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
-            pending.append(x)
+            pending.append(unescape(x) if "&" in x else x)
         elif not x.skip:
             if x.tag in _BLOCK:
                 flush()
@@ -177,23 +256,9 @@ def _blocks(node: _Node, out: list[str]) -> None:
 
 def main_text(html: str) -> str:
     """The article's text, blocks joined by an empty line; empty if the page has none."""
-    root = parse(html)
-    _settle(root)
-    scored = _measure(root)
-    articles = [n for n in scored if n.tag in ("article", "main")]
-    best = max(articles or scored, key=lambda n: n.points, default=root)
-    while best.parent is not None and best.tag in ("p", "li", "td", "tr", "tbody", "h1", "h2", "h3", "blockquote", "ul", "ol"):
-        best = best.parent
     out: list[str] = []
-    if best.parent is None or best.tag in ("article", "main", "body"):
-        _blocks(best, out)
-        return "\n\n".join(out)
-    least = max(10.0, best.points * 0.2)
-    for x in best.parent.children:
-        if isinstance(x, _Node) and not x.skip:
-            density = x.links / x.length if x.length else 0
-            if x is best or x.points >= least or (x.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") and density < 0.25):
-                _blocks(x, out)
+    for node in chosen(parse(html)):
+        _blocks(node, out)
     return "\n\n".join(out)
 
 

@@ -127,3 +127,35 @@ def pieces(codec, text, document):
         for s in symbols:
             out += [int(codec.byte_id[b]) for b in s.encode()] if isinstance(s, str) else [s]
     return out
+
+
+def points(root):
+    """Points of every element of a parsed page, each looked at by itself from its whole subtree."""
+    from skytally.llm import html_text as h
+
+    def everything(node):
+        return [node, *(x for c in node.elements() for x in everything(c))]
+
+    def text(node, wanted=lambda n: True):
+        return len("".join(c for c in node.children if isinstance(c, str)).strip()) + sum(text(c) for c in node.elements() if wanted(c))
+
+    def link_text(node):
+        return text(node) if node.tag == "a" else sum(link_text(c) for c in node.elements())
+
+    out = dict.fromkeys(everything(root), 0.0)
+    for node in out:
+        running = text(node, lambda c: c.tag not in h._BLOCK)
+        if node.tag in h._BLOCK and node is not root and running >= h.LEAST_TEXT:
+            gain = 1 + "".join(c for c in node.children if isinstance(c, str)).count(",") + min(running // 100, h.MOST_LENGTH)
+            container = node.parent if node.tag in h._PARAGRAPH else node
+            out[container] += gain
+            if container.parent is not None:
+                out[container.parent] += gain / 2
+    for node in out:
+        above, named = node, False
+        while above is not None:
+            named |= above.noisy == h._NAMED
+            above = above.parent
+        share = link_text(node) / text(node) if text(node) else 0
+        out[node] *= (1 - share) * (h.NAMED if named else h.MENTIONED if node.noisy else h.ARTICLE if node.tag in ("article", "main") else 1)
+    return out

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 
 import brute
 import numpy as np
+import pytest
 
 from skytally.llm.decontamination import align, decontaminate, find_leaks
-from skytally.llm.html_text import extract_text, main_text
+from skytally.llm.html_text import extract_text, main_text, parse, score
 from skytally.llm.pieces import MODEL, Codec, encode_pieces
 from skytally.llm.pii import find_pii, pii_report
 
@@ -136,9 +138,59 @@ def test_main_text_of_wrappers():
         assert main_text(page) == f"{text}\n\n{text}", opened
 
 
+_P = "An ordinary paragraph, with commas, and enough words to be counted as article text."
+_Q = "Another ordinary paragraph, also with commas, and with enough words to be counted."
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        (f'<div class="content" style="overflow:hidden"><p>{_P}<p>{_Q}</div>', (_P, _Q)),
+        (f'<body class="home has-sidebar"><p>{_P}<p>{_Q}', (_P, _Q)),
+        (f'<div data-id="share"><p>{_P}<p>{_Q}</div>', (_P, _Q)),
+        (f'<div><p title="a hidden gem">{_P}</p><p hidden>Not shown.</p><p>{_Q}</p></div>', (_P, _Q)),
+        (f"<article><p>{_P}<figure><img><figcaption>caption</figcaption></figure><p>{_Q}</article>", (_P, "caption", _Q)),
+        (f"<article><p>{_P}<p>Value <math>x+1</math> and <button>press</button> {_Q}</article>", (_P, f"Value x+1 and press {_Q}")),
+        (f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>{_P}<p>{_Q}</article>", ("Title", _P, _Q)),
+        (f"<main><article><p>{_P}<p>{_Q}</article><article><p>{_Q}</article></main>", (_P, _Q, _Q)),
+        (f'<div><div class="post"><p>{_P}<p>{_Q}<p>{_P}<p>{_Q}</div><div class="box"><article><p>Short teaser, no more than a line.</p></article></div></div>', (_P, _Q, _P, _Q)),
+        (f"<article><p>{_P}<p>{_Q}</article><div class='comments'><p>{'A reader says, at length, a lot. ' * 20}</p></div>", (_P, _Q)),
+        (f"<p>{_P}<p>1 < 2 & 3 > 2, <a href='x>y' title=\"it's\">{_Q}</a>", (_P, f"1 < 2 & 3 > 2, {_Q}")),
+        (f'<p>{_P}</p><p title="never closed>{_Q}</p>', (_P, _Q)),
+    ],
+)
+def test_main_text_of_ordinary_pages(page, texts):
+    assert main_text(page) == "\n\n".join(texts)
+
+
+def test_main_text_in_linear_time():
+    for page in ("<a " * 350_000, '<a "x" ' * 150_000, "<div>" * 100_000 + "</x></p>" * 50_000, "<b><p>" * 100_000, "< " * 500_000, '<a "' * 200_000 + ">"):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 20
+
+
+def test_points():
+    """Points as a plain recursive definition gives them, on random trees."""
+    rng = random.Random(8)
+
+    def random_page(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return " ".join(rng.choices(["word,", "longer-word", "a", "text,", "more"], k=rng.randint(1, 60)))
+        return "".join(f"<{t}{rng.choice(['', '', ' class=widget', ' id=my-comments', ' class=plain'])}>{random_page(depth - 1)}</{t}>" for t in rng.choices(["div", "p", "section", "a", "article", "h2", "b", "nav", "ul", "main"], k=rng.randint(1, 4)))
+
+    for _ in range(150):
+        page = random_page(5)
+        root = parse(page)
+        score(root)
+        expected = brute.points(root)
+        for node, points in expected.items():
+            assert abs(node.points - points) < 1e-9, page
+
+
 def test_pages(spark):
     rows = [(1, "u", _PAGE), (None, None, None), (2, "v", ""), (2, "v", "")]
-    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(*r, "x", 7, 1.0) for r in rows], "page_id long, url string, html string, text string, n_chars int, points double")
     got = extract_text(pages).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", len(main_text(_PAGE))), ("2", 0), ("2", 0), ("None", 0)]
     assert extract_text(pages.limit(0)).count() == 0
