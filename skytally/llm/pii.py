@@ -8,27 +8,28 @@ texts are therefore rewritten first, one code point for one, so that a separator
 that can only stand inside a match becomes a stand-in character; what is left
 needs runs of single characters only, and the spans are the same.
 
-The bootstrapping is a graph between patterns (the two words, or parts of words,
-before an identifier) and instances (the identifiers):
+The bootstrapping is a graph between patterns and instances (identifiers):
 
-* base entities are the seeds, with score 1; other identifier-like tokens, which
-  hold digits, start at 0;
+* a pattern is what is joined to the identifier on its left, that with one word
+  or two words before, or that with the word after; digits in it are one shape;
+* base entities, and tokens whose form alone gives them away (``SECRET_FORMS``),
+  are the seeds, with score 1; other identifier-like tokens, which hold digits,
+  start at 0;
 * a pattern's score is the mean score of its distinct instances, if it has
   ``support`` of them whose score is a half or more; an instance's is the
   noisy-or of its patterns' scores;
-* after ``rounds`` the tokens that follow a pattern of ``confidence`` or more and
-  lie outside the base spans are added, as kind ``other``.
+* after ``rounds`` the tokens that lie outside the base spans and have a secret's
+  form, or stand in a pattern of ``confidence`` or more, are added as kind ``other``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, outer_id
+from .common import discard, id_and_text, materialise, outer_id
 
 KINDS = ("email", "ip", "card", "phone")
 _SALTS = 16
@@ -45,6 +46,10 @@ _PATTERNS = {
     "card": (r"(?<=[0-9])[\x20-](?=[0-9])", rf"[0-9][0-9{_MARK}]++"),
     "phone": (None, r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+# Public forms of keys and tokens.
+SECRET_FORMS = (
+    "AKIA[0-9A-Z]{16}", "(?=[0-9]*[a-f])[0-9a-f]{16,128}", "gh[pousr]_[A-Za-z0-9]{36}", "xox[abp]-[A-Za-z0-9-]{10,}", "sk-[A-Za-z0-9-]{20,}",
+)
 #: A character that every match of the kind has.
 _NEEDS = {"email": "@", "phone": "+"}
 
@@ -119,53 +124,104 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(F.instr(text, _NEEDS[kind]) > 0, spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,before:string>>"))
 
 
-def _context(before: Column) -> Column:
-    """The pattern: the last two words before, and what is joined to the token; from the last 80 characters."""
-    parts = F.split(F.lower(F.right(before, F.lit(80))), r"\s+")
-    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(3)), " ")
+def _patterns(before: Column, after: Column) -> Column:
+    """The patterns around an identifier, from the text before and after it; null where there are too few words."""
+    shaped = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"\S*@\S*", "@"), "[0-9]+", "0")
+    word = lambda parts, k: F.try_element_at(parts, F.lit(k))
+
+    def around(parts: Column) -> Column:
+        joined, one, two = word(parts, -1), F.nullif(word(parts, -2), F.lit("")), F.nullif(word(parts, -3), F.lit(""))
+        follows = F.nullif(word(F.split(F.regexp_replace(shaped(after), r"^\s+", ""), r"\s+"), 1), F.lit(""))
+        return F.array(F.concat(F.lit("joined "), F.nullif(joined, F.lit(""))), F.concat(F.lit("one "), one, F.lit(" "), joined), F.concat(F.lit("two "), two, F.lit(" "), one, F.lit(" "), joined), F.concat(F.lit("after "), joined, F.lit(" _ "), follows))
+
+    return F.filter(_let(F.split(shaped(before), r"\s+"), around), lambda p: p.isNotNull())
+
+
+def _with_context(spans: Column, tail: Column, reach: int) -> Column:
+    """Spans (start, end, value, patterns) from those of ``_found``; ``tail`` is the text behind the last one."""
+
+    def run(spans: Column) -> Column:
+        n = F.size(spans)
+        nothing = F.array(F.lit(None).cast("struct<start:int,end:int,value:string,before:string>"))
+        earlier = F.concat(nothing, F.slice(spans, F.lit(1), F.greatest(n - 1, F.lit(0))))
+        after = F.concat(F.transform(F.slice(spans, F.lit(2), n), lambda s: F.left(s["before"], F.lit(reach))), F.array(F.left(tail, F.lit(reach))))
+        both = F.zip_with(spans, earlier, lambda s, e: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.right(F.concat(F.coalesce(F.right(e["before"], F.lit(reach)), F.lit("")), F.coalesce(e["value"], F.lit("")), s["before"]), F.lit(reach)).alias("before")))
+        return F.zip_with(both, after, lambda s, a: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _patterns(s["before"], a).alias("patterns")))
+
+    return F.when(F.size(spans) > 0, _let(spans, run)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,patterns:array<string>>>"))
 
 
 def _written(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
 
 
+def identifiers(found: DataFrame) -> DataFrame:
+    """Columns row, start, end, value, patterns, seed: base entities (seed 1, token false) and the tokens outside them."""
+    base = F.concat(*(F.transform(kind, lambda s, k=kind: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit(f"{k} "), s["value"]).alias("value"), s["patterns"].alias("patterns"), F.lit(False).alias("token"))) for kind in KINDS))
+    tokens = F.transform("tokens", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["patterns"].alias("patterns"), F.lit(True).alias("token")))
+    rows = found.select("row", F.explode(F.concat(base, tokens)).alias("o")).select("row", "o.*")
+    # A token overlaps a base span if one that begins before it ends in it or later, or one begins inside it.
+    ahead, behind = Window.partitionBy("row").orderBy("start", "token"), Window.partitionBy("row").orderBy(F.desc("start"), F.desc("token"))
+    until_here = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = F.max(F.when(~F.col("token"), F.col("end"))).over(until_here(ahead))
+    begins = F.min(F.when(~F.col("token"), F.col("start"))).over(until_here(behind))
+    rows = rows.withColumns({"ends": ends, "begins": begins})
+    rows = rows.where(~F.col("token") | ((F.coalesce("ends", F.lit(0)) <= F.col("start")) & (F.coalesce("begins", F.col("end")) >= F.col("end"))))
+    known = ~F.col("token") | F.col("value").rlike("^(?:" + "|".join(SECRET_FORMS) + ")$")
+    return rows.select("row", "start", "end", "value", "patterns", "token", F.when(known, 1.0).otherwise(0.0).alias("seed"))
+
+
+def pattern_scores(edges: DataFrame, rounds: int, support: int) -> DataFrame:
+    """Columns pattern, score after the last round, from distinct edges (pattern, value, seed)."""
+    # One pattern may have a large share of the instances, and one instance of the patterns: both joins are salted.
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(_SALTS)).cast("int")
+    scored, patterns = edges, None
+    for k in range(rounds):
+        patterns = scored.groupBy("pattern").agg(F.avg("seed").alias("score"), F.count_if(F.col("seed") >= 0.5).alias("known")).where(F.col("known") >= support).select("pattern", "score")
+        if k == rounds - 1:
+            break
+        reached = edges.withColumn("salt", salt("value")).join(spread(patterns), ["pattern", "salt"], "left")
+        instances = reached.groupBy("value").agg(F.max("seed").alias("own"), F.sum(F.log1p(-F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.999999)))).alias("missed"))
+        instances = instances.select("value", F.greatest("own", 1 - F.exp("missed")).alias("seed")).where("seed > 0")
+        scored = edges.select("pattern", "value", salt("pattern").alias("salt")).join(spread(instances), ["value", "salt"], "left").select("pattern", "value", F.coalesce("seed", F.lit(0.0)).alias("seed"))
+    return patterns
+
+
 def _discovered(found: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
-    """Columns doc_id, other: the spans that confident patterns add."""
-    seeds = F.concat(*(F.transform(kind, lambda s, k=kind: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit(f"{k} "), s["value"]).alias("value"), _context(s["before"]).alias("pattern"), F.lit(1.0).alias("seed"))) for kind in KINDS))
-    others = F.transform("tokens", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _context(s["before"]).alias("pattern"), F.lit(0.0).alias("seed")))
-    rows = found.select("doc_id", F.explode(F.concat(seeds, others)).alias("o")).select("doc_id", "o.*")
-    rows = materialise(rows, "identifiers")
-    edges = rows.where("pattern <> ''").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    score = edges
-    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    """Columns row, other: the spans that secrets' forms and confident patterns add."""
+    rows = materialise(identifiers(found), "identifiers")
+    by_pattern = rows.select("row", "start", "end", "value", "token", "seed", F.explode_outer("patterns").alias("pattern"))
+    edges = materialise(by_pattern.where("pattern IS NOT NULL").groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
+    good = materialise(pattern_scores(edges, rounds, support).where(F.col("score") >= confidence).select("pattern"), "patterns")
+    discard(edges)
     salt = F.pmod(F.xxhash64("value"), F.lit(_SALTS)).cast("int")
-    patterns = None
-    for _ in range(rounds):
-        patterns = score.groupBy("pattern").agg(F.avg("seed").alias("score"), F.count_if(F.col("seed") >= 0.5).alias("known")).where(F.col("known") >= support).select("pattern", "score")
-        reached = edges.withColumn("salt", salt).join(salted(patterns), ["pattern", "salt"], "left")
-        instances = reached.groupBy("value").agg(F.max("seed").alias("own"), F.sum(F.log1p(-F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.999999)))).alias("missed"))
-        score = edges.select("pattern", "value").join(instances.select("value", F.greatest("own", 1 - F.exp("missed")).alias("seed")), "value")
-    good = materialise(patterns.where(F.col("score") >= confidence).select("pattern"), "patterns")
-    hits = rows.where("seed = 0").withColumn("salt", salt).join(salted(good), ["pattern", "salt"], "left_semi")
-    return hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("other"))
+    spread = good.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    hits = by_pattern.where("token AND seed = 0").withColumn("salt", salt).join(spread, ["pattern", "salt"], "left_semi")
+    hits = hits.select("row", "start", "end").unionByName(rows.where("token AND seed = 1").select("row", "start", "end"))
+    return hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("other"))
 
 
-def find_pii(docs: DataFrame, rounds: int = 2, support: int = 5, confidence: float = 0.6, min_token: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, rounds: int = 2, support: int = 5, confidence: float = 0.6, min_token: int = 6, reach: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, email, ip, card, phone and other: arrays of (start, end), a row per document.
 
     Null or empty text: no spans. Where kinds overlap each has its span; added
-    ones overlap no base span and have ``min_token`` characters or more. A null id
-    comes back as null. Rows that repeat an id get the base spans of their own
-    text and share the added ones of the id. An empty table gives an empty table;
-    other columns are not read.
+    ones overlap no base span and have ``min_token`` characters or more. Patterns
+    are taken from ``reach`` characters on either side, two matches back at most. A
+    null id comes back as null. Every row, also of a null or repeated id, gets the
+    spans of its own text. An empty table gives an empty table; other columns are
+    not read.
     """
     text = F.col("text")
-    base = id_and_text(docs, id_col, text_col).select("doc_id", *(base_spans(text, k).alias(k) for k in KINDS), _found(text, _TOKEN).alias("tokens"))
-    apart = lambda t: reduce(lambda a, b: a & b, (~F.exists(k, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])) for k in KINDS))
-    found = materialise(base.withColumn("tokens", F.filter("tokens", lambda t: (t["end"] - t["start"] >= min_token) & apart(t))), "spans")
+    # Written once with the spans, so that it is the same wherever the table is read.
+    row = F.monotonically_increasing_id().alias("row")
+    tokens = _with_context(_found(text, _TOKEN), F.element_at(F.split(text, _TOKEN, -1), -1), reach)
+    spans = (_with_context(base_spans(text, k), F.lit(""), reach).alias(k) for k in KINDS)
+    found = id_and_text(docs, id_col, text_col).select("doc_id", *spans, F.filter(tokens, lambda t: t["end"] - t["start"] >= min_token).alias("tokens"), row)
+    found = materialise(found, "spans")
     added = _discovered(found, rounds, support, confidence)
     bare = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    out = found.select("doc_id", *(bare(k).alias(k) for k in KINDS)).join(added, "doc_id", "left")
+    out = found.select("row", "doc_id", *(bare(k).alias(k) for k in KINDS)).join(added, "row", "left")
     return out.select(outer_id(), *KINDS, F.coalesce("other", F.array().cast("array<struct<start:int,end:int>>")).alias("other"))
 
 
@@ -175,4 +231,5 @@ def pii_report(spans: DataFrame) -> DataFrame:
     return spans.select(
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, _written("other", F.col("other"))), ",").alias("spans"), F.size("other").cast("long").alias("n_other"),
+        sum((F.size(k) for k in ("other", *KINDS)), F.lit(0)).cast("long").alias("n_spans"),
     )

@@ -159,3 +159,18 @@ def points(root):
         share = link_text(node) / text(node) if text(node) else 0
         out[node] *= (1 - share) * (h.NAMED if named else h.MENTIONED if node.noisy else h.ARTICLE if node.tag in ("article", "main") else 1)
     return out
+
+
+def pattern_scores(edges, seed, rounds, support):
+    """Scores of patterns over (pattern, value) edges after some rounds."""
+    score = dict(seed)
+    for _ in range(rounds):
+        of = {p: [score[v] for q, v in edges if q == p] for p, _ in edges}
+        patterns = {p: sum(x) / len(x) for p, x in of.items() if sum(s >= 0.5 for s in x) >= support}
+        for v in seed:
+            missed = 1.0
+            for p, w in edges:
+                if w == v:
+                    missed *= 1 - min(patterns.get(p, 0.0), 0.999999)
+            score[v] = max(seed[v], 1 - missed)
+    return patterns

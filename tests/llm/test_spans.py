@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import time
 
@@ -12,7 +13,7 @@ import pytest
 from skytally.llm.decontamination import align, decontaminate, find_leaks
 from skytally.llm.html_text import extract_text, main_text, parse, score
 from skytally.llm.pieces import MODEL, Codec, encode_pieces
-from skytally.llm.pii import find_pii, pii_report
+from skytally.llm.pii import find_pii, pattern_scores, pii_report
 
 CASES = [
     "mail a.b+c@x-y.example.org, then .@a.b and a@b. and x@y.z.w..v", "@a.b a@@b.c é@b.c _@-.-", "1.2.3.4 256.1.1.1 1.2.3.4.5 001.002.003.255 1.2.3 9999.1.1.1.1",
@@ -25,12 +26,19 @@ def test_base_spans(table):
     rng = random.Random(3)
     parts = [*CASES, *("".join(rng.choices("aZ09.@+- ()%_é1\n", k=rng.randint(0, 60))) for _ in range(1500))]
     rows = list(enumerate(parts))
-    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) for r in pii_report(find_pii(table(rows))).collect()}
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans, r.base_sha256, r.n_spans, r.n_other) for r in pii_report(find_pii(table(rows))).collect()}
     for i, text in rows:
         spans = brute.personal(text)
         counts = tuple(sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone"))
         assert got[i][:4] == counts, text
-        assert got[i][4].split(",other")[0].removeprefix("other") == ",".join(f"{k}:{a}:{b}" for k, a, b in spans) or got[i][4].startswith("other"), text
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        parts = [x for x in got[i][4].split(",") if x]
+        assert ",".join(x for x in parts if not x.startswith("other:")) == joined, text
+        assert got[i][5] == hashlib.sha256(joined.encode()).hexdigest()
+        assert len(parts) == got[i][6] == len(spans) + got[i][7]
+        for x in parts[len(spans) :]:
+            _, begin, end = x.split(":")
+            assert int(end) - int(begin) >= 6 and not any(a < int(end) and int(begin) < b for _, a, b in spans), text
 
 
 def test_discovery(table):
@@ -40,6 +48,51 @@ def test_discovery(table):
     assert other[101] == ["user177x"] and other[200] == [] and other[3] == []
 
 
+def test_unseen_identifiers(table):
+    """Of identifiers in no known form, those in contexts that known ones have are found, nearly all; others are left alone."""
+    rng = random.Random(6)
+    prose = lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(8))
+    unseen = lambda: "".join(rng.choices("ABCXYZ", k=4)) + str(rng.randrange(10**5, 10**6))
+    contexts = [("password=", ""), ('token = "', '"'), ("my user id: ", ""), ("reach me at ", " any day")]
+    known = lambda: "".join(rng.choices("0123456789abcdef", k=30)) + "a1" if rng.random() < 0.7 else f"u{rng.randrange(10**6)}@mail.example.org"
+    rows, wanted = [], set()
+    for k in range(400):
+        left, right = rng.choice(contexts)
+        hidden = rng.random() < 0.3
+        value = unseen() if hidden else known()
+        rows.append((k, f"{prose()} {left}{value}{right} {prose()}"))
+        if hidden:
+            wanted.add((k, value))
+    rows += [(1000 + k, f"{prose()} part number {unseen()} of {prose()}") for k in range(60)]
+    texts = dict(rows)
+    other = {(r.doc_id, texts[r.doc_id][s.start : s.end]) for r in find_pii(table(rows)).collect() for s in r.other}
+    assert len(wanted & other) >= 0.95 * len(wanted)
+    assert not [x for x in other if x[0] >= 1000]
+
+
+def test_pattern_scores(spark):
+    """Scores as plain loops over the graph give them."""
+    rng = random.Random(2)
+    edges = sorted({(f"p{rng.randrange(12)}", f"v{rng.randrange(60)}") for _ in range(260)})
+    seed = {v: float(rng.random() < 0.5) for _, v in edges}
+    for rounds in (1, 2, 3):
+        got = {r.pattern: r.score for r in pattern_scores(spark.createDataFrame([(p, v, seed[v]) for p, v in edges], "pattern string, value string, seed double"), rounds, 4).collect()}
+        expected = brute.pattern_scores(edges, seed, rounds, 4)
+        assert got.keys() == expected.keys() and all(abs(got[p] - expected[p]) < 1e-9 for p in got)
+
+
+def test_pii_rows_apart(table):
+    """Rows of one id, null ids too, have the spans of their own text."""
+    key = "0123456789abcdef0123"
+    texts = [f"here password={key} it is, and a@b.cz", "short", f"{key} first", "", "plain words only"]
+    for i in (None, 7):
+        rows = pii_report(find_pii(table([(i, t) for t in texts]))).collect()
+        at = texts[0].index(key)
+        mail = texts[0].index("a@b.cz")
+        assert sorted(r.spans for r in rows) == sorted([f"email:{mail}:{mail + 6},other:{at}:{at + 20}", "", "other:0:20", "", ""])
+        assert all(r.doc_id == i for r in rows)
+
+
 def test_pii_odd(table, odd):
     rows = pii_report(find_pii(table(odd))).collect()
     assert len(rows) == len(odd) and all(r.n_email == r.n_card == 0 and r.spans == "" for r in rows if r.doc_id in (1, 2, 3, 4, 7))
