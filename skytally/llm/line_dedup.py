@@ -46,6 +46,8 @@ from .tokens import as_bytes, byte_table, chunks, mix, words
 BUCKET_BITS, SLICES, SLOTS = 20, 64, 1 << 25
 #: Words of a token's slot from which its lines are dealt over cells, and lines that are packed at once.
 HOT, FLUSH = 1 << 20, 1 << 18
+#: Buckets that a task takes, one after the other.
+TASK_BUCKETS = 4
 #: Candidates that are compared at once.
 AT_ONCE = 1 << 21
 _TABLE = byte_table(lower=True, seed=11)
@@ -399,8 +401,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, t: float, name: str) -> DataFra
 
 
 def _round(docs: DataFrame, join: _Join, name: str) -> DataFrame:
-    packed = docs.mapInArrow(join.lines, "bucket long, lines binary, tokens binary").groupBy("bucket").applyInArrow(lambda key, table: join.classes(key, table), _PACKED)
-    return materialise(packed.groupBy("bucket").applyInArrow(lambda key, table: join.candidates(key, table), _FOUND), name)
+    # The number of partitions follows the input, so a task's share does not grow with it.
+    tasks = -(-join.buckets // TASK_BUCKETS)
+    packed = docs.mapInArrow(join.lines, "bucket long, lines binary, tokens binary").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda key, table: join.classes(key, table), _PACKED)
+    return materialise(packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda key, table: join.candidates(key, table), _FOUND), name)
 
 
 def _later(found: DataFrame, *more: str) -> DataFrame:
@@ -473,7 +477,9 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.85, block_bytes: int = 8
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "text": pa.array(out, pa.binary()).cast(pa.string())})
 
     columns = "doc_id long, n_lines long, n_removed long, text string"
-    block = lambda *c: F.pmod(F.xxhash64(*c), F.lit(blocks)).alias("block")
-    texts = docs.mapInArrow(changed, "doc_id long, digest long, text string").groupBy(block("doc_id", "digest"))
-    out = docs.mapInArrow(unchanged, columns).unionAll(texts.cogroup(gone.groupBy(block("doc", "text"))).applyInArrow(apply, columns))
+    block = lambda *c: F.pmod(F.xxhash64(*c), F.lit(blocks))
+    tasks = -(-blocks // TASK_BUCKETS)
+    texts = docs.mapInArrow(changed, "doc_id long, digest long, text string").withColumn("block", block("doc_id", "digest")).repartition(tasks, "block")
+    lost = gone.withColumn("block", block("doc", "text"))
+    out = docs.mapInArrow(unchanged, columns).unionAll(texts.groupBy("block").cogroup(lost.groupBy("block")).applyInArrow(apply, columns))
     return out.select(outer_id(), "n_lines", "n_removed", "text")

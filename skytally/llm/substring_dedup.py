@@ -3,20 +3,20 @@
 A Count-min prefilter and an exact second pass, both sharded by hash range so
 that neither a sketch nor a window list ever has to fit in one place:
 
-1. Documents are cut into blocks of consecutive ids. Each block is one partition
-   of the sketch: the non-zero counters of its windows, as sorted lists in
-   ``depth`` rows, split by counter range. (A counter says in how many blocks it
+1. Documents are dealt over blocks of about equal size, by hash. Each block is one
+   partition of the sketch: the non-zero counters of its windows, as sorted lists
+   in ``depth`` rows, split by counter range. (A counter says in how many blocks it
    was hit; it saturates at two.)
 2. Each counter range is merged over all blocks. Every block gets back one bit
    for each counter it sent: whether another block hit it too. Counters that two
    windows share only raise the estimate, so no repeated window is lost.
 3. Windows whose estimate (the least of their counters) is two or more are
-   grouped exactly, by 128-bit digest. Every block gets back one bit for each:
-   whether an earlier block has it.
-4. Windows repeated inside one block are found there. As blocks follow the order
-   of ids, the two together say whether a smaller doc_id has the window.
+   grouped exactly, by 128-bit digest, with the least doc_id of each block. Every
+   block gets back the least of all where that is less than its own.
+4. Windows repeated inside one block are found there, by the same digest.
 
-The texts are shuffled once, by block; all passes read that exchange.
+The texts are shuffled once, by block; all passes read that exchange. The number
+of partitions follows the input, so a task's share does not grow with it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, outer_id
@@ -34,6 +34,8 @@ from .tokens import as_bytes, byte_table, chunks, mix, window_starts, windows, w
 SEGMENT = "block long, kind int, shard long, payload binary"
 _SEGMENT = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int64()), ("payload", pa.binary())])
 _EXACT = 100
+#: Blocks that a task takes, one after the other.
+TASK_BLOCKS = 4
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -67,13 +69,13 @@ def decode(payload: bytes) -> np.ndarray:
 class _Block:
     """Windows of one block's documents, which are in the order of their ids."""
 
-    def __init__(self, table: pa.Table, size: int, exact: bool) -> None:
+    def __init__(self, table: pa.Table, size: int) -> None:
         order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
         table = table.take(pa.array(order))
         self.ids = table.column("doc_id").to_numpy()
         self.texts = as_bytes(table.column("text"))
         self.size = size
-        tables = [byte_table(seed=1)] + ([byte_table(seed=2)] if exact else [])
+        tables = [byte_table(seed=1), byte_table(seed=2)]
         found: list[list[np.ndarray]] = [[] for _ in tables]
         first, where, text = [], [], []
         base = 0
@@ -89,8 +91,20 @@ class _Block:
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.first = np.append(join(first, np.int64), base)
         self.where, self.text = join(where, np.int64), join(text, np.int64)
-        self.unique, self.at, self.inverse = np.unique(join(found[0], np.uint64), return_index=True, return_inverse=True)
-        self.second = join(found[1], np.uint64)[self.at] if exact else None
+        one, two = (join(parts, np.uint64) for parts in found)
+        #: The distinct windows, in the order of their first halves, the place of the first of each, and which each place has.
+        self.unique, self.at, self.inverse = np.unique(one, return_index=True, return_inverse=True)
+        if (two[self.at][self.inverse] != two).any():
+            order = np.lexsort((two, one))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
+            self.inverse = np.zeros(len(order), np.int64)
+            self.inverse[order] = np.cumsum(new) - 1
+            self.at = order[new]
+            self.unique = one[self.at]
+        self.second = two[self.at]
+        #: The least id in this block that has each window.
+        self.least = self.ids[self.text[self.at]] if len(self.at) else np.zeros(0, np.int64)
 
     def counters(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct counters of a sketch row that this block hits, and which of them each window has."""
@@ -130,16 +144,17 @@ def received(table: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
     return out
 
 
-def block_of(ids: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below the id, by a search in two levels."""
-    if not bounds:
-        return F.lit(0).cast("long")
-    step = max(1, int(len(bounds) ** 0.5))
-    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    lists = F.array(*(F.array(*map(F.lit, p)) for p in parts))
-    below = lambda values: F.size(F.filter(values, lambda x: x <= ids))
-    group = below(F.array(*(F.lit(p[0]) for p in parts)))
-    return F.when(group == 0, F.lit(0).cast("long")).otherwise(((group - 1) * step + below(F.element_at(lists, F.greatest(group, F.lit(1))))).cast("long"))
+def answered(parts: list[tuple[int, bytes]], own: np.ndarray) -> np.ndarray:
+    """The least ids that came back shard by shard: where a bit is set the one sent with it, otherwise the block's own."""
+    out, at = own.copy(), 0
+    for _, p in sorted(parts):
+        n = int.from_bytes(p[:4], "little")
+        set_ = np.flatnonzero(np.unpackbits(np.frombuffer(p, np.uint8, (n + 7) // 8, 4), count=n))
+        out[at + set_] = np.frombuffer(p, np.int64, len(set_), 4 + (n + 7) // 8)
+        at += n
+    if at != len(own):
+        raise ValueError(f"{at} answers came back for {len(own)} windows")
+    return out
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, depth: int = 2, spread: float = 2.0, block_bytes: int = 8 << 20, shard_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,17 +174,15 @@ def substring_dedup(docs: DataFrame, window: int = 13, depth: int = 2, spread: f
     docs = id_and_text(docs, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     blocks = max(1, -(-(total["b"] or 0) // block_bytes))
-    bounds: list[int] = []
-    if blocks > 1:
-        found = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0]
-        bounds = sorted({b + 1 for b in found})
     counters = spread * max(1, (total["b"] or 0) / 6)
     bits = min(60, max(shard_bits, int(np.ceil(np.log2(counters)))))
     exact_bits = min(40, max(0, int(np.ceil(np.log2(max(1, counters / spread / (1 << 20)))))))
-    by_block = docs.withColumn("block", block_of(F.col("doc_id"), bounds)).groupBy("block")
+    # The text too is in the hash: rows of one id, or of none, do not meet in one block.
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    by_block = dealt.repartition(-(-blocks // TASK_BLOCKS), "block").groupBy("block")
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
-        block, rows = _Block(table, window, False), []
+        block, rows = _Block(table, window), []
         for row in range(depth):
             values, _ = block.counters(row, bits)
             shards = (values >> np.uint64(shard_bits)).astype(np.int64)
@@ -189,37 +202,35 @@ def substring_dedup(docs: DataFrame, window: int = 13, depth: int = 2, spread: f
         return segments([(b, kind, shard, bits_of(hits[x] > 1)) for b, x in zip(table.column("block").to_pylist(), lists, strict=True)])
 
     def candidates(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        block, rows = _Block(left, window, True), []
+        block, rows = _Block(left, window), []
         repeated = block.estimated(received(right), depth, bits)
-        one, two = block.unique[repeated], block.second[repeated]
+        one, two, least = block.unique[repeated], block.second[repeated], block.least[repeated]
         shards = (one >> np.uint64(64 - exact_bits) if exact_bits else np.zeros(len(one), np.uint64)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(shards)) + 1
-        for a, b, at in zip(np.split(one, cuts), np.split(two, cuts), np.r_[0, cuts], strict=True):
+        for a, b, c, at in zip(np.split(one, cuts), np.split(two, cuts), np.split(least, cuts), np.r_[0, cuts], strict=True):
             if len(a):
-                rows.append((key[0].as_py(), _EXACT, int(shards[at]), a.tobytes() + b.tobytes()))
+                rows.append((key[0].as_py(), _EXACT, int(shards[at]), a.tobytes() + b.tobytes() + c.tobytes()))
         return segments(rows)
 
     def group(key: tuple, table: pa.Table) -> pa.Table:
         blocks_, payloads = table.column("block").to_pylist(), table.column("payload").to_pylist()
-        pairs = [np.frombuffer(p, np.uint64).reshape(2, -1) for p in payloads]
-        both = np.concatenate(pairs, axis=1)
-        owner = np.repeat(np.array(blocks_), [p.shape[1] for p in pairs])
-        order = np.lexsort((owner, both[1], both[0]))
+        parts = [np.frombuffer(p, np.uint64).reshape(3, -1) for p in payloads]
+        one, two, ids = np.concatenate(parts, axis=1)
+        ids = ids.view(np.int64)
+        order = np.lexsort((ids, two, one))
         new = np.ones(len(order), bool)
-        new[1:] = (np.diff(both[0][order]) != 0) | (np.diff(both[1][order]) != 0)
-        earliest = owner[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        earlier = np.zeros(len(order), bool)
-        earlier[order] = owner[order] > earliest
-        cuts = np.cumsum([p.shape[1] for p in pairs])[:-1]
-        return segments([(b, _EXACT, key[0].as_py(), bits_of(x)) for b, x in zip(blocks_, np.split(earlier, cuts), strict=True)])
+        new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
+        least = np.zeros(len(order), np.int64)
+        least[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        cuts = np.cumsum([p.shape[1] for p in parts])[:-1]
+        return segments([(b, _EXACT, key[0].as_py(), bits_of(x < own) + x[x < own].tobytes()) for b, x, own in zip(blocks_, np.split(least, cuts), np.split(ids, cuts), strict=True)])
 
     def apply(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        block, sent = _Block(left, window, False), received(right)
+        block, sent = _Block(left, window), received(right)
         repeated = block.estimated(sent, depth, bits)
-        earlier = np.zeros(len(block.unique), bool)
-        earlier[repeated] = joined(sent.get(_EXACT, []), int(repeated.sum()))
-        first_id = block.ids[block.text[block.at]]
-        hit = earlier[block.inverse] | (block.ids[block.text] > first_id[block.inverse])
+        least = block.least.copy()
+        least[repeated] = answered(sent.get(_EXACT, []), least[repeated])
+        hit = block.ids[block.text] > least[block.inverse]
         change = np.zeros(int(block.first[-1]) + window + 1, np.int32)
         np.add.at(change, block.where[hit], 1)
         np.add.at(change, block.where[hit] + window, -1)
@@ -232,9 +243,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, depth: int = 2, spread: f
             kept.append(b" ".join(text.split() if left_over == b - a else compress(text.split(), mask.tolist())))
         return pa.table({"doc_id": pa.array(block.ids), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "text": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    sketches = by_block.applyInArrow(sketch, SEGMENT)
-    seen = sketches.groupBy("kind", "shard").applyInArrow(merge, SEGMENT)
+    shards = depth << (bits - shard_bits)
+    seen = by_block.applyInArrow(sketch, SEGMENT).repartition(shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(merge, SEGMENT)
     wanted = by_block.cogroup(seen.groupBy("block")).applyInArrow(candidates, SEGMENT)
-    earlier = wanted.groupBy("shard").applyInArrow(group, SEGMENT)
+    earlier = wanted.repartition(1 << exact_bits, "shard").groupBy("shard").applyInArrow(group, SEGMENT)
     out = by_block.cogroup(seen.unionByName(earlier).groupBy("block")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, text string")
     return out.select(outer_id(), "n_words", "n_removed", "text")

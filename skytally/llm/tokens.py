@@ -10,11 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 
 _WHITE = (9, 10, 11, 12, 13, 32)
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 CHUNK = 1 << 20
+#: Words of more bytes get another hash: such a polynomial has collisions among long words of a certain build.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,6 +90,9 @@ def words(texts: list[bytes], *tables: np.ndarray, heads: tuple[int, ...] = ())
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(table[raw] * up[:n], out=sums[1:])
         hashes.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        for at in np.flatnonzero(ends - starts > LONG):
+            word = buffer[starts[at] : ends[at]]
+            hashes[-1][at] = xxhash.xxh3_64_intdigest(word.lower() if table[65] == table[97] else word, int(table[48]))
     for k in heads:
         cut = np.minimum(ends, starts + k)
         hashes.append(mix((sums[cut] - sums[starts]) * down[starts] ^ np.uint64(k << 56)))
