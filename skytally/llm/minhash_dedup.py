@@ -15,8 +15,9 @@
   every member with the least one of its bucket; every member outside a bucket's
   largest group with the nearest one of another group; at last all members of a
   bucket that are still in different groups, each two in the first bucket they
-  share, and in tiles if a bucket is large. A pair that is left out either is beyond the signature
-  distance or is in one group already.
+  share. A large bucket is cut into tiles: members of its largest group go to one
+  task, others to all, as two of the largest group never need comparing. A pair that
+  is left out either is beyond the signature distance or is in one group already.
 
 Two documents at the similarity bound differ in each slot with probability a
 quarter. P(Bin(64, 1/4) > 30) = 4.4e-5, and with the bound of 93 of all 256 slots
@@ -42,8 +43,8 @@ SLOTS, DISTANCE, CHUNKS = 64, 30, 16
 EXTRA, WHOLE_DISTANCE = 192, 93
 #: Salts for the members that are compared with one representative.
 SALTS = 64
-#: Members of a bucket that one task compares with one another, or with as many others.
-TILE = 4096
+#: Members of a bucket that are compared with as many others at a time, and pairs at once.
+TILE, AT_ONCE = 1024, 1 << 17
 
 
 def _shingle_sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
@@ -116,12 +117,13 @@ class _Signatures:
         self.indexed = np.ascontiguousarray(raw[:, : 2 * slots]).view("<u2")
         self.extra = np.ascontiguousarray(raw[:, 2 * slots :])
 
-    def near(self, i: int, others: np.ndarray, distance: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
-        """Those of the others within both distances of row i, and how far they are."""
-        own = (self.indexed[others] != self.indexed[i]).sum(axis=1)
-        others, own = others[own <= distance], own[own <= distance]
-        far = own + (self.extra[others] != self.extra[i]).sum(axis=1)
-        return others[far <= whole], far[far <= whole]
+    def near(self, i: np.ndarray, j: np.ndarray, distance: int, whole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the pairs of rows (i, j) that are within both distances, and how far apart they are."""
+        own = (self.indexed[i] != self.indexed[j]).sum(axis=1)
+        ok = own <= distance
+        i, j, own = i[ok], j[ok], own[ok]
+        far = own + (self.extra[i] != self.extra[j]).sum(axis=1)
+        return i[far <= whole], j[far <= whole], far[far <= whole]
 
 
 def near_pairs(pairs: DataFrame, reps: DataFrame, slots: int, distance: int, whole: int) -> DataFrame:
@@ -140,29 +142,67 @@ def near_pairs(pairs: DataFrame, reps: DataFrame, slots: int, distance: int, who
     return both.mapInArrow(run, "a long, b long")
 
 
-def _between_groups(table: pa.Table, slots: int, distance: int, whole: int, masks: list[list[int]] | None) -> Iterator[tuple[int, np.ndarray]]:
-    """For members of a bucket (or of two tiles of one): those of other groups within the distances.
-
-    Without ``masks``, the nearest for each member outside the largest group; with
-    them, all for which the bucket's key is the first that the two share.
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a sorted partition in tables that cut no (key, p, q) in two."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        names = [table.column(c).to_numpy() for c in ("key", "p", "q")]
+        last = int(np.flatnonzero(np.any([x != x[-1] for x in names], axis=0))[-1:].sum() + 1) if any((x != x[-1]).any() for x in names) else 0
+        before = held[-1] if held else None
+        if before is not None and last == 0 and all(before.column(c)[-1] == table.column(c)[-1] for c in ("key", "p", "q")):
+            held.append(table)
+            continue
+        done = [*held, table.slice(0, last)]
+        held = [table.slice(last)]
+        done = pa.concat_tables(done)
+        if done.num_rows:
+            yield done
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _between_groups(table: pa.Table, slots: int, distance: int, whole: int, masks: list[list[int]] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of one tile pair (key, p, q) that are in different groups and within the distances.
+
+    Without ``masks``, for each i outside its bucket's largest group the nearest j
+    only; with them, all for which the bucket's key is the first that the two share.
     """
     signs = _Signatures(table.column("signature"), slots)
-    tile, (_, group) = table.column("tile").to_numpy(), np.unique(table.column("group").to_numpy(), return_inverse=True)
-    main = group == np.bincount(group).argmax()
-    mask, apart = table.column("mask")[0].as_py(), table.column("p")[0].as_py() != table.column("q")[0].as_py()
-    for i in np.flatnonzero(~main):
-        # Of two members outside the largest group, the former finds the pair.
-        others = np.flatnonzero((group != group[i]) & (main | (np.arange(len(main)) > i)) & (~apart | (tile != tile[i])))
-        others, far = signs.near(i, others, distance, whole)
-        if masks is None:
-            others = others[far.argsort(kind="stable")[:1]]
-        else:
-            same = signs.indexed[others] == signs.indexed[i]
-            for earlier in masks[:mask]:
-                fresh = ~same[:, earlier].all(axis=1)
-                others, same = others[fresh], same[fresh]
-        if len(others):
-            yield i, others
+    key, p, q, tile, group, mask, main = (table.column(c).to_numpy() for c in ("key", "p", "q", "tile", "group", "mask", "main"))
+    new = np.ones(len(key), bool)
+    new[1:] = (np.diff(key) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)
+    ends = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
+    counts = ends - np.arange(len(key)) - 1
+    sums, low, found = np.cumsum(counts), 0, [np.zeros((3, 0), np.int64)]
+    # Which slots each mask keeps, as bits.
+    bits = np.array([sum(1 << s for s in m) for m in masks], np.uint64) if masks is not None else None
+    while low < len(key):
+        high = max(low + 1, int(np.searchsorted(sums, (sums[low - 1] if low else 0) + AT_ONCE, "right")))
+        i = np.repeat(np.arange(low, high), counts[low:high])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts[low:high]) - counts[low:high], counts[low:high])
+        low = high
+        ok = (group[i] != group[j]) & ((p[i] == q[i]) | (tile[i] != tile[j]))
+        i, j, far = signs.near(i[ok], j[ok], distance, whole)
+        if bits is not None and len(i):
+            same = np.zeros((len(i), 64), bool)
+            same[:, :slots] = signs.indexed[i] == signs.indexed[j]
+            same = np.packbits(same, axis=1, bitorder="little").view("<u8").ravel()
+            fresh = np.ones(len(i), bool)
+            for m, own in enumerate(bits):
+                fresh &= (mask[i] <= m) | (same & own != own)
+            i, j, far = i[fresh], j[fresh], far[fresh]
+        found.append(np.stack([np.where(main[i], j, i), np.where(main[i], i, j), far]))
+    i, j, far = np.concatenate(found, axis=1)
+    if masks is None:
+        order = np.lexsort((j, far, i))
+        i, j = i[order], j[order]
+        first = np.ones(len(i), bool)
+        first[1:] = np.diff(i) != 0
+        i, j = i[first], j[first]
+    return i, j
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -232,31 +272,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, slots:
 
 
 def open_buckets(members: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one group, with signature and group.
+    """Members of the buckets that hold more than one group, with signature and group, by tile pair (p, q).
 
-    A bucket of more than TILE members is cut into tiles; every two of them (p, q),
-    or one with itself, are looked at by themselves.
+    Members of the largest group have tiles of their own, which only meet those of
+    the others; the others' tiles meet each other as well.
     """
     labelled = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("group", "rep"))
-    mixed = labelled.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n")).where("low <> high")
-    tiles = mixed.select("key", F.ceil(F.col("n") / TILE).alias("tiles"))
-    rows = labelled.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    rows = rows.select("key", "mask", "rep", "group", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
-    return rows.join(reps.select("rep", "signature"), "rep").select("key", "p", "q", "mask", "tile", "rep", "group", "signature")
+    counts = labelled.groupBy("key", "group").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("n", (-F.col("group")).alias("group"))).alias("top"), F.sum("n").alias("all"), F.count("*").alias("groups")).where("groups > 1")
+    tiles = mixed.select("key", (-F.col("top.group")).alias("largest"), F.ceil(F.col("top.n") / TILE).alias("m"), F.ceil((F.col("all") - F.col("top.n")) / TILE).alias("u"))
+    rows = labelled.join(tiles, "key").withColumn("main", F.col("group") == F.col("largest"))
+    tile = F.when(F.col("main"), F.pmod(F.xxhash64("rep"), "m")).otherwise(F.col("m") + F.pmod(F.xxhash64("rep"), "u"))
+    other = F.explode(F.sequence(F.when(F.col("main"), F.col("m")).otherwise(F.lit(0).cast("long")), F.col("m") + F.col("u") - 1))
+    rows = rows.withColumn("tile", tile).withColumn("other", other)
+    rows = rows.select("key", "mask", "rep", "group", "main", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
+    return rows.join(reps.select("rep", "signature"), "rep").select("key", "p", "q", "mask", "tile", "rep", "group", "main", "signature")
+
 
+_OPEN = "key long, p long, q long, mask int, tile long, rep long, group long, main boolean, signature binary"
 
-_OPEN = "key long, p long, q long, mask int, tile long, rep long, group long, signature binary"
+
+def _by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
 
 def nearest_pairs(members: DataFrame, reps: DataFrame, groups: DataFrame, within: tuple[int, int, int]) -> DataFrame:
     """Pairs (a, b): in each open bucket, the nearest of another group for every member outside the largest one."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        rep = table.column("rep").to_numpy()
-        found = np.array([(rep[i], rep[others[0]]) for i, others in _between_groups(table, *within, None)], np.int64).reshape(-1, 2)
-        return pa.table({"a": found.min(axis=1), "b": found.max(axis=1)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            rep = table.column("rep").to_numpy()
+            i, j = _between_groups(table, *within, None)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["a", "b"])
 
-    return open_buckets(members, reps, groups).groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
+    return _by_tile(open_buckets(members, reps, groups)).mapInArrow(run, "a long, b long").distinct()
 
 
 def remaining_links(members: DataFrame, reps: DataFrame, groups: DataFrame, texts: DataFrame, within: tuple[int, int, int], masks: list[list[int]], shingle: int, percent: int) -> DataFrame:
@@ -266,26 +315,26 @@ def remaining_links(members: DataFrame, reps: DataFrame, groups: DataFrame, text
     members have one, then these get their texts and are compared where they meet.
     """
 
-    def needed(key: tuple, table: pa.Table) -> pa.Table:
-        use = np.zeros(table.num_rows, bool)
-        for i, others in _between_groups(table, *within, masks):
-            use[i] = True
-            use[others] = True
-        return table.filter(pa.array(use))
-
-    def linked(key: tuple, table: pa.Table) -> pa.Table:
-        rep, sets, found = table.column("rep").to_numpy(), list(_shingle_sets(as_bytes(table.column("text")), shingle)), []
-        for i, others in _between_groups(table, *within, masks):
-            for k in others:
-                common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-                if 100 * common >= percent * (len(sets[i]) + len(sets[k]) - common):
-                    found.append((rep[i], rep[k]))
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
-
-    rows = open_buckets(members, reps, groups).groupBy("key", "p", "q").applyInArrow(needed, _OPEN)
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            use = np.zeros(table.num_rows, bool)
+            for side in _between_groups(table, *within, masks):
+                use[side] = True
+            yield from table.filter(pa.array(use)).to_batches()
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            rep, sets, found = table.column("rep").to_numpy(), list(_shingle_sets(as_bytes(table.column("text")), shingle)), []
+            for i, j in zip(*(x.tolist() for x in _between_groups(table, *within, masks)), strict=True):
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    found.append((rep[i], rep[j]))
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+
+    rows = _by_tile(open_buckets(members, reps, groups)).mapInArrow(needed, _OPEN)
     with_text = rows.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    return with_text.groupBy("key", "p", "q").applyInArrow(linked, "a long, b long").distinct()
+    return _by_tile(with_text).mapInArrow(linked, "a long, b long").distinct()
 
 
 def with_class(sets: DataFrame, merged: DataFrame) -> DataFrame:

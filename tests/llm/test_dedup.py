@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from skytally.llm import minhash_dedup
+from skytally.llm import substring_dedup as substring_dedup_module
 from skytally.llm.exact_dedup import exact_dedup
 from skytally.llm.line_dedup import dedup_lines
 from skytally.llm.minhash_dedup import near_duplicates
@@ -85,6 +91,37 @@ def test_near(table, corpus):
     assert 10 < len({c for _, c in got.values()}) < len(corpus) - 10
 
 
+def test_near_in_tiles(table, monkeypatch):
+    """Large buckets with several groups, cut into tiles of a few members."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(500)}" for _ in range(80)]
+    rows = []
+    for k in range(120):
+        copy = list(base)
+        for _ in range(k % 9):
+            copy[rng.randrange(80)] = f"x{rng.randrange(500)}"
+        rows.append((k, " ".join(copy)))
+    monkeypatch.setattr(minhash_dedup, "TILE", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(table(rows)).collect()}
+    assert got == brute.near_groups(rows)
+
+
+def test_windows_of_equal_halves(monkeypatch):
+    """Windows whose first halves collide are told apart by the second."""
+    texts = pa.table({"doc_id": [1, 2, 3], "text": ["a b c d e f", "b c d x y z", "a b c d e f"]})
+    plain = substring_dedup_module._Block(texts, 3)
+    turn, own = [0], substring_dedup_module.windows
+
+    def crowded(h, size):
+        turn[0] += 1
+        return own(h, size) % np.uint64(2) if turn[0] % 2 else own(h, size)
+
+    monkeypatch.setattr(substring_dedup_module, "windows", crowded)
+    block = substring_dedup_module._Block(texts, 3)
+    pairs = lambda b: {(i, j) for i in range(len(b.inverse)) for j in range(i) if b.inverse[i] == b.inverse[j]}
+    assert pairs(block) == pairs(plain) and sorted(block.least) == sorted(plain.least)
+
+
 def test_near_odd(table, odd):
     rows = near_duplicates(table(odd)).collect()
     assert len(rows) == len(odd)
