@@ -1,9 +1,11 @@
 """Toxicity by multiple-instance learning: documents are bags of sentences.
 
 A sentence's score is a logistic function of the words and word beginnings in it
-(of four to six bytes, as an insult has many endings), a document's the noisy-or of its sentences' scores: 1 minus the product of their complements. Only
-documents have labels; fitting the noisy-or to them teaches the sentences, which
-then say where the offence is.
+(of four to six bytes, as an insult has many endings), a document's the noisy-or of
+its sentences' scores: 1 minus the product of their complements. As many harmless
+sentences would add up, the log-odds of each are lowered by ``LENGTH`` times the
+logarithm of their number. Only documents have labels; fitting the noisy-or to them
+teaches the sentences, which then say where the offence is.
 
 Words and beginnings that tell the labels apart are chosen by document counts. Fitting is by
 rounds of parameter mixing: each partition of the training rows starts from the
@@ -29,7 +31,10 @@ _ENDS = (10, 33, 46, 63)
 _SPLIT = [b for b in range(128) if not chr(b).isalnum()]
 _BIAS = -7.0
 _HEADS = (4, 5, 6)
-PART_ROWS = 1000
+#: Training rows of a part, at least.
+PART_ROWS = 2000
+#: How much a sentence's log-odds fall with the logarithm of the number of sentences.
+LENGTH = 0.5
 
 
 def _sentences(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
@@ -49,9 +54,14 @@ def _sentences(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield begin, end, buckets, np.tile(np.cumsum(new) - 1, len(hashes)), text[new], starts[new], buffer
 
 
+def _lowered(text: np.ndarray, n: int) -> np.ndarray:
+    """What each sentence's log-odds are lowered by, from the text that each belongs to."""
+    return LENGTH * np.log(np.maximum(np.bincount(text, minlength=n), 1))[text]
+
+
 def _step(weights: np.ndarray, word: np.ndarray, sentence: np.ndarray, text: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Gradient and loss of the noisy-or likelihood; weights end with the bias."""
-    z = weights[-1] + np.bincount(sentence, weights[word], len(text))
+    z = weights[-1] - _lowered(text, len(y)) + np.bincount(sentence, weights[word], len(text))
     p = 1 / (1 + np.exp(-z))
     clear = np.bincount(text, -np.logaddexp(0, z), len(y))
     bag = np.clip(-np.expm1(clear), 1e-9, 1 - 1e-9)
@@ -134,8 +144,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out(folds, left))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
     # Averaging the weights of many small parts leaves them too careful: a part has PART_ROWS rows or more.
-    parts = max(1, min(12, sample.count() // PART_ROWS))
-    train = materialise(docs.join(F.broadcast(sample), "doc_id").select("text", "y").repartition(parts, F.xxhash64("text", "y")), "toxicity-train")
+    parts = max(1, sample.count() // PART_ROWS)
+    # The id is in the hash, so that copies of one text do not meet in one part.
+    train = materialise(docs.join(F.broadcast(sample), "doc_id").repartition(parts, F.xxhash64("doc_id", "text", "y")).select("text", "y"), "toxicity-train")
     vocabulary, weights = fit(train, n_words, rounds, steps)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +156,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
             texts = as_bytes(batch.column("text"))
             scores, found = np.zeros(len(texts)), [[] for _ in texts]
             for begin, end, word, sentence, text, starts, buffer in _sentences(texts):
-                z = weights[-1] + np.bincount(sentence, table[word], len(text))
+                z = weights[-1] - _lowered(text - begin, end - begin) + np.bincount(sentence, table[word], len(text))
                 scores[begin:end] = -np.expm1(np.bincount(text - begin, -np.logaddexp(0, z), end - begin))
                 for s in np.flatnonzero(z >= 0):
                     stop = min((x for x in (buffer.find(bytes([e]), starts[s]) for e in _ENDS) if x >= 0), default=len(buffer))

@@ -67,3 +67,17 @@ def test_isotonic():
         # The least-squares increasing fit by its max-min formula.
         fit = [max(min(ones[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, 12)) for a in range(i + 1)) for i in range(12)]
         assert np.allclose(sorted(set(np.round(fit, 9))), np.round(levels, 9))
+
+
+def test_length_alone_is_not_toxic(spark):
+    """Harmless documents joined to very long ones stay below the threshold; one bad document among many is still found."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    labelled = docs.join(labels, "doc_id").orderBy("doc_id")
+    clean = [r.text for r in labelled.where("toxic = 0").collect() if r.text]
+    score = {r.doc_id: r.score for r in score_toxicity(docs, labels).collect()}
+    worst = max((r for r in labelled.where("toxic = 1").collect()), key=lambda r: score[r.doc_id])
+    made = [(10**9 + n, "\n".join((clean * 5)[:n])) for n in (1, 20, 60, 348, 1200)] + [(2 * 10**9, "\n".join([*clean[:40], worst.text]))]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    got = {r.doc_id: r for r in score_toxicity(both, labels).where("doc_id >= 1000000000").collect()}
+    assert all(got[10**9 + n].predicted == 0 and not got[10**9 + n].sentences for n in (1, 20, 60, 348, 1200))
+    assert got[2 * 10**9].predicted == 1 and got[2 * 10**9].sentences
