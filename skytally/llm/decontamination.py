@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import sha256
 from itertools import groupby
 
 import numpy as np
@@ -170,7 +171,7 @@ class _Items:
 
 
 def _leaks_of_block(docs: DataFrame, rows: list[tuple[int, str]], size: int, least: float) -> DataFrame:
-    kind = "doc_id long, item_id long, score double, first_word long, end_word long, passage string"
+    kind = "doc_id long, item_id long, score double, first_word long, end_word long, passage string, digest string"
     items: list[tuple[int, np.ndarray]] = []
     for item_id, text in rows:
         _, (h,), *_ = words([(text or "").encode()], _TABLE)
@@ -217,8 +218,8 @@ def _leaks_of_block(docs: DataFrame, rows: list[tuple[int, str]], size: int, lea
                         best = max(best, (score / (MATCH * len(sequence)), low + x, low + y), key=lambda t: t[0])
                     if best[0] >= least and best[2] > best[1]:
                         passage = buffer[starts[best[1]] : ends[best[2] - 1]].decode("utf-8", "replace")
-                        found.append((ids[begin + text], item_id, best[0], best[1] - a, best[2] - a, passage))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 6, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word", "passage"])
+                        found.append((ids[begin + text], item_id, best[0], best[1] - a, best[2] - a, passage, sha256(texts[begin + text]).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 7, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word", "passage", "digest"])
 
     return docs.mapInArrow(scan, kind)
 
@@ -237,6 +238,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 4, least: floa
     with a null id are left out. Repeated documents and items are reported one by
     one. An empty table on either side gives an empty table; other columns are not read.
     """
+    return _leaks(docs, benchmark, size, least, id_col, text_col).select(outer_id(), "item_id", "score", "first_word", "end_word", "passage")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, size: int = 4, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``find_leaks`` with the stand-in for a null id, and the digest of the text that holds the copy."""
     docs = id_and_text(docs, id_col, text_col)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL")
     size_of = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -245,10 +251,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 4, least: floa
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         parts.append(_leaks_of_block(docs, [tuple(r) for r in rows], size, least))
-    return reduce(DataFrame.unionByName, parts).select(outer_id(), "item_id", "score", "first_word", "end_word", "passage")
+    return reduce(DataFrame.unionByName, parts)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that hold a copy of an item; a row whose id is null goes if any such row does."""
-    leaks = find_leaks(docs, benchmark, **options).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_leak")).distinct()
-    return docs.join(leaks, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == leaks["_leak"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows whose text holds a copy of an item; other rows of the same id, null ids too, stay."""
+    leaks = _leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_leak"), F.col("digest").alias("_digest")).distinct()
+    own = F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    return docs.join(leaks, (own[0] == leaks["_leak"]) & (own[1] == leaks["_digest"]), "left_anti")

@@ -163,6 +163,8 @@ def test_leaks_odd(spark, table, odd):
     assert sorted(got, key=str) == [(4, 2), (4, 2), (None, 1)]
     assert decontaminate(table(odd), items.limit(0)).count() == len(odd)
     assert find_leaks(table([]), items).count() == 0
+    kept = decontaminate(table([*odd, (4, "another text of that id"), (None, "and one more without an id")]), items)
+    assert sorted(str(r.doc_id) for r in kept.collect() if r.doc_id in (None, 4)) == ["4", "None", "None"]
 
 
 _PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
