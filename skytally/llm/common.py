@@ -16,8 +16,10 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a local one only where the session names none."""
+    """Folder that driver and executors share; one of this machine only where the session names none and runs on it alone."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (base or "file:///tmp/checkpoints/skytally").rstrip("/")
 
 
@@ -38,9 +40,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialise`` wrote and nothing reads any more."""
+    """Delete the files of tables that ``materialise`` wrote and nothing reads any more."""
     spark = df.sparkSession
+    own = shared_dir(spark).rsplit(":", 1)[-1].lstrip("/")
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if own not in folder:
+            raise ValueError(f"{folder} is not an intermediate table")
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, outer_id
+from .common import discard, id_and_text, materialise, outer_id
 from .components import connected_components
 from .tokens import as_bytes, byte_table, chunks, mix, window_starts, windows, words
 
@@ -264,9 +264,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, slots:
     within = (slots, distance, whole_distance)
     pairs = materialise(nearest_pairs(members, reps, groups, within), "pairs")
     links = links.unionByName(materialise(confirm(pairs, docs, shingle, percent), "links"))
+    discard(groups)
     groups = connected_components(links)
     links = links.unionByName(materialise(remaining_links(members, reps, groups, docs, within, masks, shingle, percent), "links"))
+    discard(groups)
     groups = connected_components(links)
+    for spent in (members, pairs, links):
+        discard(spent)
     merged = reps.select("set_key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("group", "rep").alias("component_id"))
     return with_class(sets.select("doc_id", "n_shingles", "set_key"), merged)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_and_text, materialise, outer_id
+from .common import NULL_ID, discard, id_and_text, materialise, outer_id
 from .tokens import as_bytes
 
 _GROUPS = {
@@ -176,6 +176,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
     # The pieces of the normal equations are as many as these partitions: few, as the rows are.
     known = materialise(vectors.join(rows, "doc_id").select("x", "y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
     model = fit(known.coalesce(64))
+    discard(known)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

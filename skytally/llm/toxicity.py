@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, outer_id
+from .common import discard, id_and_text, materialise, outer_id
 from .quality import held_out
 from .tokens import as_bytes, byte_table, chunks, words
 
@@ -148,6 +148,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
     # The id is in the hash, so that copies of one text do not meet in one part.
     train = materialise(docs.join(F.broadcast(sample), "doc_id").repartition(parts, F.xxhash64("doc_id", "text", "y")).select("text", "y"), "toxicity-train")
     vocabulary, weights = fit(train, n_words, rounds, steps)
+    discard(train)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << BUCKET_BITS)
