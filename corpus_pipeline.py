@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.llm.common import materialise
+from skytally.llm.common import discard, materialise
 from skytally.llm.decontamination import decontaminate
 from skytally.llm.line_dedup import dedup_lines
 from skytally.llm.minhash_dedup import near_duplicates
@@ -90,7 +90,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if k:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
