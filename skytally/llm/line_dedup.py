@@ -47,7 +47,7 @@ BUCKET_BITS, SLICES, SLOTS = 20, 64, 1 << 25
 #: Words of a token's slot from which its lines are dealt over cells, and lines that are packed at once.
 HOT, FLUSH = 1 << 20, 1 << 18
 #: Buckets that a task takes, one after the other.
-TASK_BUCKETS = 4
+TASK_BUCKETS = 2
 #: Candidates that are compared at once.
 AT_ONCE = 1 << 21
 _TABLE = byte_table(lower=True, seed=11)

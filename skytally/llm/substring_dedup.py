@@ -34,8 +34,6 @@ from .tokens import as_bytes, byte_table, chunks, mix, window_starts, windows, w
 SEGMENT = "block long, kind int, shard long, payload binary"
 _SEGMENT = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int64()), ("payload", pa.binary())])
 _EXACT = 100
-#: Blocks that a task takes, one after the other.
-TASK_BLOCKS = 4
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -179,7 +177,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, depth: int = 2, spread: f
     exact_bits = min(40, max(0, int(np.ceil(np.log2(max(1, counters / spread / (1 << 20)))))))
     # The text too is in the hash: rows of one id, or of none, do not meet in one block.
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    by_block = dealt.repartition(-(-blocks // TASK_BLOCKS), "block").groupBy("block")
+    by_block = dealt.repartition(blocks, "block").groupBy("block")
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
         block, rows = _Block(table, window), []
