@@ -6,14 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as feeds understand it, wider than a blank.
+_BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+
+
+def trimmed(raw: Column) -> Column:
+    return F.regexp_replace(raw, f"^{_BLANK}|{_BLANK}$", "")
+
+
 def clean_number(raw: Column) -> Column:
-    """A finite double or null."""
-    number = F.when(F.trim(raw).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.trim(raw).try_cast("double"))
+    """A finite double or null; hexadecimal whole numbers count as numbers."""
+    text = trimmed(raw)
+    number = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    number = F.when(text.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substring(text, 3, 15), 16, 10).try_cast("double")).otherwise(number)
     return F.when(F.abs(number) < float("inf"), number)
 
 
 def clean_text(raw: Column) -> Column:
-    return F.nullif(F.regexp_replace(raw, r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(trimmed(raw), F.lit(""))
 
 
 def identifier(raw: Column) -> Column:
@@ -22,16 +32,29 @@ def identifier(raw: Column) -> Column:
 
 
 def source_kind(kind: Column, mlat: Column, tisb: Column) -> Column:
-    low = F.lower(F.coalesce(kind, F.lit("")))
-    return F.when(mlat | low.contains("mlat"), "MLAT").when(tisb | low.contains("tisb"), "TIS-B").when(low.contains("adsb"), "ADS-B").when(low.contains("mode_s"), "Mode-S").otherwise("UNKNOWN")
+    """What kind of message a position is from: the feed's word for it first, then its flags."""
+    low = F.coalesce(F.lower(trimmed(kind)), F.lit(""))
+    named = F.when((low == "mlat") | low.startswith("mlat_"), "MLAT").when(low.startswith("tisb"), "TIS-B").when(low.isin("mode_s", "mode-s"), "Mode-S").when(low.startswith("adsb") | low.startswith("adsr"), "ADS-B")
+    return F.coalesce(named, F.when(mlat, "MLAT").when(tisb, "TIS-B"), F.lit("UNKNOWN"))
+
+
+def emergency_state(raw: Column) -> Column:
+    """Lower-cased; none, unknown and numbers other than the three emergency codes are no emergency."""
+    low = F.lower(clean_text(raw))
+    return F.when(~low.isin("none", "unknown") & (~low.rlike("^[0-9]+$") | low.isin("7500", "7600", "7700")), low)
+
+
+def on_ground(flag: Column, altitude: Column) -> Column:
+    low = F.coalesce(F.lower(trimmed(flag)), F.lit(""))
+    return F.when(low.isin("true", "ground"), True).when(low.isin("false", "air"), False).otherwise(F.coalesce(F.lower(altitude) == "ground", F.lit(False)))
 
 
 def visibility_miles(raw: Column) -> Column:
     """Statute miles from texts like 10, 1/2, 1 1/2SM, P6SM, M1/4SM."""
-    body = F.regexp_replace(F.upper(F.trim(raw)), "^[PM]|SM$", "")
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.upper(trimmed(raw)), r"\s*SM$", ""), r"^[PM]\s*", ""), r"\s*[+]$", "")
     part = lambda pattern, k: F.regexp_extract(body, pattern, k).try_cast("double")
-    mixed, fraction = r"^([0-9]+) ([0-9]+)/([0-9]+)$", r"^([0-9]+)/([0-9]+)$"
-    return F.when(body.rlike(mixed), part(mixed, 1) + part(mixed, 2) / F.nullif(part(mixed, 3), F.lit(0.0))).when(body.rlike(fraction), part(fraction, 1) / F.nullif(part(fraction, 2), F.lit(0.0))).otherwise(clean_number(body))
+    mixed, fraction = r"^([0-9]+)\s+([0-9]+)/([0-9]+)$", r"^([0-9]+)/([0-9]+)$"
+    return F.when(body.rlike(mixed), part(mixed, 1) + part(mixed, 2) / F.nullif(part(mixed, 3), F.lit(0.0))).when(body.rlike(fraction), part(fraction, 1) / F.nullif(part(fraction, 2), F.lit(0.0))).when(clean_number(body) >= 0, clean_number(body))
 
 
 def altitude_feet(raw: Column) -> Column:
@@ -50,3 +73,30 @@ def wildcard(pattern: str) -> str:
 
 def search_term(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(raw, r"[\\%_]", ""), r"\s+", " "))
+
+
+def is_wildcard(pattern: str) -> bool:
+    """Whether a pattern holds text and no other metacharacter than *."""
+    return bool(pattern.strip()) and not set(pattern) & set("?[]{}()+|.^$\\")
+
+
+def dms_degrees(raw: Column) -> Column:
+    """Decimal degrees of ddmmssN, dddmmss.sE or the same in parts; null if it is not one or out of range."""
+    body = F.regexp_replace(F.upper(trimmed(raw)), ",", ".")
+    joined, parts = r"^([0-9]{2,3})([0-9]{2})([0-9]{2}(?:\.[0-9]+)?)([NSEW])$", r"^([0-9]{2,3})\s+([0-9]{2})\s+([0-9]{2}(?:\.[0-9]+)?)\s*([NSEW])$"
+    part = lambda k: F.when(body.rlike(joined), F.regexp_extract(body, joined, k)).when(body.rlike(parts), F.regexp_extract(body, parts, k))
+    degrees, minutes, seconds, side = part(1).try_cast("double"), part(2).try_cast("double"), part(3).try_cast("double"), part(4)
+    most = F.when(side.isin("N", "S"), 90).otherwise(180)
+    ok = (minutes < 60) & (seconds < 60) & ((degrees < most) | ((degrees == most) & (minutes == 0) & (seconds == 0)))
+    return F.when(ok, (degrees + minutes / 60 + seconds / 3600) * F.when(side.isin("S", "W"), -1).otherwise(1))
+
+
+def airspace_designator(raw: Column) -> Column:
+    """LKTRAn or LKTSAn from the ways these areas are written; null for others."""
+    text = F.upper(trimmed(raw))
+    compact = F.regexp_replace(text, "[^A-Z0-9]", "")
+    found = None
+    for source, pattern in ((compact, "^(?:LK)?(TRA|TSA)([0-9]+[A-Z]?)$"), (text, r"(?:^|[^A-Z0-9])LK(TRA|TSA)[\s_-]*([0-9]+[A-Z]?)(?=$|[^A-Z0-9])"), (text, r"(?:^|[^A-Z0-9])(TRA|TSA)[\s_-]*([0-9]+[A-Z]?)(?=$|[^A-Z0-9])")):
+        name = F.when(F.regexp_extract(source, pattern, 1) != "", F.concat(F.lit("LK"), F.regexp_extract(source, pattern, 1), F.regexp_extract(source, pattern, 2)))
+        found = name if found is None else F.coalesce(found, name)
+    return found

@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.buckets import azimuth
 from ..operators import receiver, sequences, traffic
 from ..sources.testdata import FLIGHTS, OBSERVATIONS, ZONE, Frames, local_day
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, frames: tuple[str, ...] = ()):
-    """Register a function of ``Frames`` under its name, with its SQL behind the frames' common tables."""
-
-    def register(f: Callable[[Frames], DataFrame]) -> Callable[[Frames], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, folder: f(Frames(spark, folder))
-        if sql is not None:
-            ORACLES[f.__name__] = ("WITH " + ", ".join(x.strip() for x in frames) + "\n" if frames else "") + sql.strip()
-        return f
-
-    return register
-
+from .base import ORACLES, QUERIES, query
 
 OBS, FLT = (OBSERVATIONS,), (FLIGHTS,)
 _AZ = "least(35, CAST(floor(bearing / 10) AS BIGINT))"
@@ -309,3 +292,9 @@ def trail_downsample(x: Frames) -> DataFrame:
 @query(f"SELECT {_AZ} AS azimuth, origin, count(*) AS positions FROM obs GROUP BY 1, 2", OBS)
 def source_stats(x: Frames) -> DataFrame:
     return x.observations().groupBy(azimuth(F.col("bearing")).alias("azimuth"), "origin").agg(F.count("*").alias("positions"))
+
+
+# The other families register themselves as well.
+from . import chains, reports  # noqa: E402, F401
+
+__all__ = ["ORACLES", "QUERIES"]

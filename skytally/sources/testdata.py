@@ -35,6 +35,21 @@ class Frames:
         at = (F.col("lat"), F.col("lon"), F.lit(RECEIVER[0]), F.lit(RECEIVER[1]))
         return base.withColumns({"distance_km": F.round(haversine_km(*at), 6), "bearing": F.round(bearing(at[2], at[3], at[0], at[1]), 6), "day": local_day(F.col("observed_at"))})
 
+    def made(self, sql: str, **frames: DataFrame) -> DataFrame:
+        """A frame that is arranged by SQL which DuckDB reads the same way, over other frames."""
+        for name in frames:
+            sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
+        return self.spark.sql(sql, **frames)
+
+    def raw(self) -> DataFrame:
+        return self.made(RAW, obs=self.observations())
+
+    def calls(self) -> DataFrame:
+        return self.made(CALLS, obs=self.observations())
+
+    def signals(self) -> DataFrame:
+        return self.made(SIGNALS, obs=self.observations())
+
     def aircraft(self) -> DataFrame:
         n = self.table("nation")
         c = self.table("customer")
@@ -96,3 +111,27 @@ air AS (
   SELECT 'L' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS icao, 'I' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS iata, n_name AS name,
     48e0 + n_nationkey * 37 % 40 / 10e0 AS lat, 13e0 + n_nationkey * 53 % 50 / 10e0 AS lon FROM nation
 )"""
+
+#: Feed records as they come: padded, mixed and missing text.
+RAW = """
+SELECT event_id, observed_at, origin, ground_speed, wind_from AS track, lon,
+  CASE event_id % 7 WHEN 0 THEN '~' || lower(icao_hex) WHEN 1 THEN ' ' || lower(icao_hex) || ' ' WHEN 2 THEN 'zz' || icao_hex ELSE lower(icao_hex) END AS hex,
+  CASE event_id % 5 WHEN 0 THEN 'adsb_icao' WHEN 1 THEN ' MLAT' WHEN 2 THEN 'tisb_other' WHEN 3 THEN 'mode_s' END AS kind, event_id % 11 = 0 AS mlat, event_id % 13 = 0 AS tisb,
+  CASE event_id % 6 WHEN 0 THEN 'Ground' WHEN 1 THEN '  ' || altitude_ft || ' ' WHEN 2 THEN 'Infinity' WHEN 3 THEN '' ELSE '' || altitude_ft END AS alt_baro,
+  CASE event_id % 4 WHEN 0 THEN '0x1F40' WHEN 1 THEN '' || (altitude_ft + 150) || '.5' WHEN 2 THEN '1e4x' END AS alt_geom,
+  CASE event_id % 9 WHEN 0 THEN '7700' WHEN 1 THEN '3' WHEN 2 THEN ' none ' WHEN 3 THEN 'Lifeguard' WHEN 4 THEN '7600 ' END AS emergency,
+  CASE event_id % 8 WHEN 0 THEN 'true' WHEN 1 THEN ' AIR' WHEN 2 THEN 'Ground' END AS ground, CASE event_id % 3 WHEN 0 THEN ' CS' || event_id % 50 || '  ' WHEN 1 THEN '   ' END AS flight,
+  CASE WHEN event_id % 10 = 0 THEN lat + 100 ELSE lat END AS lat, (event_id % 40) / 2e0 - 1 AS seen, CASE WHEN event_id % 3 > 0 THEN (event_id % 60) * 1e0 END AS seen_pos,
+  CASE WHEN event_id % 4 > 0 THEN '' || (1000 + event_id % 6777) END AS squawk
+FROM obs"""
+#: Observations with a call sign that is missing at times and changes in between.
+CALLS = """
+SELECT event_id, icao_hex, observed_at, CASE WHEN event_id % 4 > 0 THEN 'CS' || (altitude_ft / 100) % 2 END AS callsign, CASE WHEN event_id % 5 > 0 THEN altitude_ft END AS altitude_ft,
+  CASE WHEN event_id % 6 > 0 THEN distance_km END AS distance_km, CASE WHEN event_id % 7 > 2 THEN 'T' || event_id % 9 END AS aircraft_type
+FROM obs""".replace("(altitude_ft / 100) % 2", "event_id % 2")
+#: Observations with integrity categories, some of them missing.
+SIGNALS = """
+SELECT event_id, icao_hex, observed_at, lat, lon, altitude_ft, upper(origin) AS source, CASE WHEN event_id % 8 > 0 THEN nic END AS nic, CASE WHEN event_id % 9 > 0 THEN nac_p END AS nac_p,
+  CASE WHEN event_id % 3 > 0 THEN (event_id * 7) % 5 END AS nac_v, CASE WHEN event_id % 4 > 0 THEN (event_id * 5) % 4 END AS sil, CASE WHEN event_id % 5 > 1 THEN (event_id * 3) % 4 END AS sda,
+  CASE WHEN event_id % 6 > 2 THEN (event_id * 11) % 4 END AS gva, event_id % 17 = 0 AS on_ground, CASE WHEN event_id % 19 > 0 THEN event_id % 60 END AS seen_pos, event_id % 100 AS telemetry_age
+FROM obs"""
