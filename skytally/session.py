@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -26,3 +27,14 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(path, os.path.relpath(path, root.parent))
     context.addPyFile(str(target))
     context._skytally_shipped = True
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that all executors share, and read again."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{(base or 'file:///tmp/checkpoints/skytally').rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
