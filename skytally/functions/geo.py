@@ -64,3 +64,96 @@ def in_ring(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Column
             hit = ((F.lit(y1) > lat) != (F.lit(y2) > lat)) & (lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)
             crossings = crossings + hit.cast("int")
     return crossings % 2 == 1
+
+
+def segment_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, lat: Column, lon: Column) -> Column:
+    """Distance of a point from a great-circle segment, its ends included; null for a coordinate out of bounds."""
+    whole, near = haversine_km(lat1, lon1, lat2, lon2), haversine_km(lat1, lon1, lat, lon)
+    apart = F.radians(bearing(lat1, lon1, lat, lon)) - F.radians(bearing(lat1, lon1, lat2, lon2))
+    angle = near / EARTH_KM
+    along = F.atan2(F.sin(angle) * F.cos(apart), F.cos(angle)) * EARTH_KM
+    across = F.abs(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(angle) * F.sin(apart))))) * EARTH_KM
+    valid = lat1.between(-90, 90) & lat2.between(-90, 90) & lat.between(-90, 90) & lon1.between(-180, 180) & lon2.between(-180, 180) & lon.between(-180, 180)
+    return F.when(valid, F.when((whole == 0) | (along <= 0), near).when(along >= whole, haversine_km(lat2, lon2, lat, lon)).otherwise(across))
+
+
+def along_across_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """How far along the great circle from the first point to the second, and how far to the right of it."""
+    angle = haversine_km(lat1, lon1, lat, lon) / EARTH_KM
+    apart = F.radians(bearing(lat1, lon1, lat, lon)) - F.radians(bearing(lat1, lon1, lat2, lon2))
+    return F.atan2(F.sin(angle) * F.cos(apart), F.cos(angle)) * EARTH_KM, F.asin(F.sin(angle) * F.sin(apart)) * EARTH_KM
+
+
+def circle(lat: Column, lon: Column, km: Column, points: int = 72) -> Column:
+    """A closed ring of (lat, lon) at a distance."""
+
+    def at(k: Column) -> Column:
+        to_lat, to_lon = destination(lat, lon, k * (360.0 / points), F.lit(km))
+        return F.struct(to_lat.alias("lat"), to_lon.alias("lon"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(points)), at)
+
+
+def ring_box(ring: Column) -> tuple[Column, Column, Column, Column]:
+    """Least and greatest latitude, least and greatest longitude."""
+    lats, lons = F.transform(ring, lambda p: p["lat"]), F.transform(ring, lambda p: p["lon"])
+    return F.array_min(lats), F.array_max(lats), F.array_min(lons), F.array_max(lons)
+
+
+def ring_side(lat: Column, lon: Column, ring: Column, near: float = 1e-9) -> Column:
+    """inside, boundary or outside of a ring of (lat, lon), closed or not; null for a null point or under three corners.
+
+    Longitudes of the ring are taken on the point's side of the date line.
+    """
+    own = F.transform(ring, lambda p: F.struct(p["lat"].alias("y"), (lon + turn(lon, p["lon"])).alias("x")))
+    edges = F.zip_with(own, F.concat(F.slice(own, 2, F.size(own)), F.slice(own, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def on(e: Column) -> Column:
+        ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
+        cross = (lon - ax) * (by - ay) - (lat - ay) * (bx - ax)
+        return (F.abs(cross) <= near) & ((lon - ax) * (lon - bx) + (lat - ay) * (lat - by) <= near)
+
+    def crosses(e: Column) -> Column:
+        ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
+        return ((ay > lat) != (by > lat)) & (lon < (bx - ax) * (lat - ay) / (by - ay) + ax)
+
+    found = F.when(F.exists(edges, on), "boundary").when(F.size(F.filter(edges, crosses)) % 2 == 1, "inside").otherwise("outside")
+    return F.when(lat.isNotNull() & lon.isNotNull() & (F.size(ring) >= 3), found)
+
+
+def polygon_side(lat: Column, lon: Column, rings: Column) -> Column:
+    """The same for an outer ring with holes: within a hole is outside, on its edge is boundary."""
+    outer = ring_side(lat, lon, F.element_at(rings, 1))
+    holes = F.transform(F.slice(rings, 2, F.size(rings)), lambda r: ring_side(lat, lon, r))
+    return F.when(outer != "inside", outer).when(F.array_contains(holes, "boundary"), "boundary").when(F.array_contains(holes, "inside"), "outside").otherwise(outer)
+
+
+def great_circle_points(lat1: Column, lon1: Column, lat2: Column, lon2: Column, step_km: float = 222.0, most: int = 64) -> Column:
+    """Points (lat, lon) from one end to the other, evenly apart, with longitudes that do not jump."""
+    d = haversine_km(lat1, lon1, lat2, lon2)
+    n = F.least(F.lit(most - 1), F.greatest(F.lit(1), F.ceil(d / step_km))).cast("int")
+    course = bearing(lat1, lon1, lat2, lon2)
+
+    def at(k: Column) -> Column:
+        lat, lon = destination(lat1, lon1, course, d * k / n)
+        return F.struct(lat.alias("lat"), (lon1 + turn(lon1, lon)).alias("lon"))
+
+    return F.transform(F.sequence(F.lit(0), n), at)
+
+
+def flight_category(ceiling_ft: Column, visibility_m: Column, less: Column) -> Column:
+    """VFR, MVFR, IFR or LIFR, by the worse of ceiling and visibility; null without both."""
+    miles = visibility_m / 1609.344
+    ceiling = F.when(ceiling_ft.isNull(), 0).when(ceiling_ft < 500, 3).when(ceiling_ft < 1000, 2).when(ceiling_ft <= 3000, 1).otherwise(0)
+    sight = F.when(miles.isNull(), 0).when((less & (miles <= 1)) | (miles < 1), 3).when(miles < 3, 2).when(miles <= 5, 1).otherwise(0)
+    return F.when(ceiling_ft.isNotNull() | miles.isNotNull(), F.element_at(F.array(*map(F.lit, ("VFR", "MVFR", "IFR", "LIFR"))), F.greatest(ceiling, sight) + 1))
+
+
+def cell_cover(low_lat: Column, high_lat: Column, low_lon: Column, high_lon: Column, degrees: float = 1.0) -> Column:
+    """All grid cells (lat, lon) that a box touches, for a join by cell."""
+    steps = lambda a, b: F.sequence(F.floor(a / degrees), F.floor(b / degrees))
+    return F.flatten(F.transform(steps(low_lat, high_lat), lambda la: F.transform(steps(low_lon, high_lon), lambda lo: F.struct(la.alias("la"), lo.alias("lo")))))
+
+
+def cell(lat: Column, lon: Column, degrees: float = 1.0) -> Column:
+    return F.struct(F.floor(lat / degrees).alias("la"), F.floor(lon / degrees).alias("lo"))

@@ -50,6 +50,18 @@ class Frames:
     def signals(self) -> DataFrame:
         return self.made(SIGNALS, obs=self.observations())
 
+    def sectors(self) -> DataFrame:
+        """Airspaces with a ring of (lat, lon), altitude limits and a time of validity."""
+        s = self.made(SECTORS, nation=self.table("nation"))
+        corner = lambda y, x: F.struct((F.col("lat0") + y * F.col("b")).alias("lat"), (F.col("lon0") + x * F.col("a")).alias("lon"))
+        return s.withColumn("ring", F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1)))
+
+    def segments(self) -> DataFrame:
+        return self.made(SEGMENTS, ap=self.airports())
+
+    def lines(self) -> DataFrame:
+        return self.made(LINES, obs=self.observations())
+
     def aircraft(self) -> DataFrame:
         n = self.table("nation")
         c = self.table("customer")
@@ -135,3 +147,16 @@ SELECT event_id, icao_hex, observed_at, lat, lon, altitude_ft, upper(origin) AS
   CASE WHEN event_id % 3 > 0 THEN (event_id * 7) % 5 END AS nac_v, CASE WHEN event_id % 4 > 0 THEN (event_id * 5) % 4 END AS sil, CASE WHEN event_id % 5 > 1 THEN (event_id * 3) % 4 END AS sda,
   CASE WHEN event_id % 6 > 2 THEN (event_id * 11) % 4 END AS gva, event_id % 17 = 0 AS on_ground, CASE WHEN event_id % 19 > 0 THEN event_id % 60 END AS seen_pos, event_id % 100 AS telemetry_age
 FROM obs"""
+
+#: Airspaces as diamonds around a centre.
+SECTORS = """
+SELECT n_nationkey AS sector_id, 49e0 + (n_nationkey * 37 % 20) / 10e0 AS lat0, 14e0 + (n_nationkey * 53 % 40) / 10e0 AS lon0, 0.1e0 + (n_nationkey % 4) / 10e0 AS b, 0.2e0 + (n_nationkey % 3) / 10e0 AS a,
+  n_nationkey % 5 * 5000 AS lower_ft, n_nationkey % 5 * 5000 + 12000 AS upper_ft, CASE n_nationkey % 3 WHEN 0 THEN TIMESTAMP '2024-01-10 00:00:00' END AS valid_from, CASE n_nationkey % 4 WHEN 0 THEN TIMESTAMP '2024-01-20 00:00:00' END AS valid_to
+FROM nation"""
+#: Route segments between airports.
+SEGMENTS = "SELECT a.icao || '-' || b.icao AS segment, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM (SELECT *, lead(icao) OVER (ORDER BY icao) AS next FROM ap) a JOIN (SELECT * FROM ap) b ON a.next = b.icao"
+#: Text lines of a message feed, some malformed.
+LINES = """
+SELECT event_id, observed_at, CASE event_id % 13 WHEN 0 THEN 'MSG,9' WHEN 1 THEN 'SEL,3' ELSE 'MSG,' || (1 + event_id % 8) END || ',1,1,' || CASE event_id % 11 WHEN 0 THEN 'XYZ' ELSE lower(substring(icao_hex, 3, 4)) END || ',1,,,,,' || CASE event_id % 3 WHEN 0 THEN ' CS' || event_id % 50 || ' ' ELSE '' END || ','
+  || CASE event_id % 4 WHEN 0 THEN '' ELSE '' || altitude_ft END || ',' || CASE event_id % 5 WHEN 0 THEN '' ELSE '' || (event_id % 600) END || ',,' || CASE event_id % 6 WHEN 0 THEN ',' WHEN 1 THEN '91.5,15' ELSE '' || (49 + event_id % 2) || '.25,' || (14 + event_id % 3) || '.5' END || ',,' || CASE event_id % 9 WHEN 0 THEN '7700' ELSE '' END || CASE event_id % 17 WHEN 0 THEN ',0' ELSE ',0,0,0,' || CASE event_id % 7 WHEN 0 THEN '-1' ELSE '0' END END AS line
+FROM obs"""
