@@ -295,6 +295,6 @@ def source_stats(x: Frames) -> DataFrame:
 
 
 # The other families register themselves as well.
-from . import chains, matching, records, reports  # noqa: E402, F401
+from . import chains, feeds, matching, records, reports  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES"]

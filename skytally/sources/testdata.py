@@ -37,6 +37,7 @@ class Frames:
 
     def made(self, sql: str, **frames: DataFrame) -> DataFrame:
         """A frame that is arranged by SQL which DuckDB reads the same way, over other frames."""
+        sql = sql.replace("{", "{{").replace("}", "}}")
         for name in frames:
             sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
         return self.spark.sql(sql, **frames)
