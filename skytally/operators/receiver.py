@@ -24,13 +24,18 @@ def daily_stats(obs: DataFrame) -> DataFrame:
 def trend(obs: DataFrame, first: str, last: str) -> DataFrame:
     """Every day of a range, null where nothing was seen."""
     spine = obs.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("day"))
-    return spine.join(daily_stats(obs), "day", "left")
+    at = F.col("observed_at")
+    near = obs.where((at >= F.date_sub(F.lit(first).cast("date"), 1).cast("timestamp")) & (at < F.date_add(F.lit(last).cast("date"), 2).cast("timestamp")))
+    return spine.join(daily_stats(near), "day", "left")
 
 
 def period_comparison(obs: DataFrame, first: str, last: str) -> DataFrame:
     """The range against as many days right before it."""
     first_day, last_day = F.lit(first).cast("date"), F.lit(last).cast("date")
     day = F.to_date("day")
+    # A column of times beside the local day lets the scan skip: a day more on either side covers every zone.
+    at = F.col("observed_at")
+    obs = obs.where((at >= F.date_sub(first_day, F.datediff(last_day, first_day) + 2).cast("timestamp")) & (at < F.date_add(last_day, 2).cast("timestamp")))
     period = F.when(day.between(first_day, last_day), "current").when(day.between(F.date_sub(first_day, F.datediff(last_day, first_day) + 1), F.date_sub(first_day, 1)), "previous")
     return obs.withColumn("period", period).where("period IS NOT NULL").groupBy("period").agg(F.countDistinct("icao_hex").alias("unique_aircraft"), F.count("*").alias("positions"), F.max("distance_km").alias("max_distance_km"))
 
@@ -73,9 +78,52 @@ def capture_counters(obs: DataFrame) -> DataFrame:
     return keyed.groupBy("bucket").agg(F.count("*").alias("available"), F.sum("captured").alias("captured"))
 
 
+def at_ranks(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], width: float) -> DataFrame:
+    """Values at given places of each key's sorted values: ranks are columns of the number of values, ``n``, from 0.
+
+    First the bucket of ``width`` that holds a place is found from counts, then only
+    that bucket is sorted, so no task gets all values of a key.
+    """
+    at = F.floor(F.col(value) / width)
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"), at.alias("_bucket"))
+    counts = known.groupBy(*keys, "_bucket").agg(F.count("*").alias("_in"))
+    by = Window.partitionBy(*keys)
+    sums = counts.withColumns({"n": F.sum("_in").over(by), "_upto": F.sum("_in").over(by.orderBy("_bucket"))})
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items())))
+    holding = sums.select(*keys, "_bucket", "_in", "_upto", wanted.alias("w")).where((F.col("w.rank") < F.col("_upto")) & (F.col("w.rank") >= F.col("_upto") - F.col("_in")))
+    holding = holding.select(*keys, "_bucket", "w.name", (F.col("w.rank") - F.col("_upto") + F.col("_in")).alias("_place"))
+    inside = known.join(holding.select(*keys, "_bucket").distinct(), [*keys, "_bucket"], "left_semi")
+    ranked = inside.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_value")) - 1)
+    found = ranked.join(holding, [*keys, "_bucket", "_place"])
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.col("_value"))).alias(name) for name in ranks))
+
+
 def receiver_quality(obs: DataFrame) -> DataFrame:
     """Median and 90th percentile by the index floor((n - 1) * f) of the sorted distances, per day."""
-    ordered = Window.partitionBy("day").orderBy("distance_km", "event_id")
-    ranked = obs.withColumns({"i": F.row_number().over(ordered) - 1, "n": F.count("*").over(Window.partitionBy("day"))})
-    pick = lambda f: F.max(F.when(F.col("i") == F.floor((F.col("n") - 1) * f), F.col("distance_km")))
-    return ranked.groupBy("day").agg(pick(0.5).alias("median_km"), pick(0.9).alias("p90_km"), F.round(F.max("distance_km") / KM_PER_NM, 1).alias("max_nm"))
+    n = F.col("n")
+    picked = at_ranks(obs, ["day"], "distance_km", {"median_km": F.floor((n - 1) * 0.5), "p90_km": F.floor((n - 1) * 0.9)}, 1.0)
+    return picked.join(obs.groupBy("day").agg(F.round(F.max("distance_km") / KM_PER_NM, 1).alias("max_nm")), "day")
+
+
+def position_quality(reports: DataFrame, keys: list[str], fresh_s: float = 60.0) -> DataFrame:
+    """Fresh and stale positions by their age, its median and 90th percentile by index, reach, and the state these give."""
+    n = F.col("n")
+    ages = reports.withColumn("age", F.greatest(F.col("seen_pos"), F.lit(0)).cast("double"))
+    picked = at_ranks(ages, keys, "age", {"median_age": F.floor((n - 1) * 0.5), "p90_age": F.floor((n - 1) * 0.9)}, 1.0)
+    per = ages.groupBy(*keys).agg(F.count_if(F.col("age") <= fresh_s).alias("fresh"), F.count_if(F.col("age") > fresh_s).alias("stale"), F.round(F.max("distance_km") / KM_PER_NM, 1).alias("max_nm"))
+    return per.join(picked, keys, "left").withColumn("state", F.when(F.col("stale") > F.col("fresh"), "DEGRADED").otherwise("GOOD"))
+
+
+def coverage_buckets(obs: DataFrame) -> DataFrame:
+    """Counts by 10 degrees, 25 km and 5,000 ft."""
+    return obs.groupBy((F.floor(F.pmod(F.col("bearing") + 360, F.lit(360.0)) / 10) * 10).alias("azimuth"), (F.floor(F.col("distance_km") / 25) * 25).alias("km"), (F.floor(F.col("altitude_ft") / 5000) * 5000).alias("feet")).agg(F.count("*").alias("positions"))
+
+
+def day_aircraft(obs: DataFrame, field: str) -> DataFrame:
+    """Each aircraft of a day with what was last known of it."""
+    return obs.groupBy("day", "icao_hex").agg(F.max_by(field, F.when(F.col(field).isNotNull(), F.struct("observed_at", "event_id"))).alias(field), F.count("*").alias("positions"))
+
+
+def best_sectors(obs: DataFrame, most: int = 5) -> DataFrame:
+    """The sectors of the greatest reach, in order."""
+    return azimuth_coverage(obs).where("max_distance_km > 0").orderBy(F.desc("max_distance_km"), "azimuth").limit(most)

@@ -165,7 +165,7 @@ def insert_new(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def retained(rows: DataFrame, at: str, now: str, days: int = 30) -> DataFrame:
     """Rows of the last days; the bound is a constant, so whole files are skipped by it."""
-    return rows.where(F.col(at) >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+    return rows.where(F.col(at) >= F.lit(now).cast(rows.schema[at].dataType) - F.expr(f"INTERVAL {days} DAYS"))
 
 
 def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -103,8 +103,10 @@ def local_bounds(spark, days_before: int, now: str, zone: str) -> tuple[str, str
 
 def in_range(rows: DataFrame, at: str, name: str, now: str, zone: str) -> DataFrame:
     """Rows of today, yesterday, 7d or 30d in local days; the bounds are constants, so a scan can skip by them."""
+    # Bounds of the column's own type reach the scan.
+    bound = lambda text: F.lit(text).cast(rows.schema[at].dataType)
     if name == "yesterday":
         (first, _), (last, _) = local_bounds(rows.sparkSession, 1, now, zone), local_bounds(rows.sparkSession, 0, now, zone)
-        return rows.where((F.col(at) >= F.lit(first).cast("timestamp")) & (F.col(at) < F.lit(last).cast("timestamp")))
+        return rows.where((F.col(at) >= bound(first)) & (F.col(at) < bound(last)))
     first, last = local_bounds(rows.sparkSession, {"today": 0, "7d": 6, "30d": 29}[name], now, zone)
-    return rows.where((F.col(at) >= F.lit(first).cast("timestamp")) & (F.col(at) <= F.lit(last).cast("timestamp")))
+    return rows.where((F.col(at) >= bound(first)) & (F.col(at) <= bound(last)))

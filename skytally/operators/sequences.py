@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import grid_cell, integrity_altitude, profile_bin
 from ..functions.geo import wind_components
+from .receiver import at_ranks
 
 
 def gap_sessions(obs: DataFrame, minutes: int = 10) -> DataFrame:
@@ -17,11 +18,11 @@ def gap_sessions(obs: DataFrame, minutes: int = 10) -> DataFrame:
     return marked.groupBy("icao_hex", "session").agg(F.count("*").alias("positions"), F.unix_micros(F.min("observed_at")).alias("start_us"), F.unix_micros(F.max("observed_at")).alias("end_us"), F.nullif(F.max("altitude_ft"), F.lit(0)).alias("max_altitude"), F.min("distance_km").alias("min_distance_km"))
 
 
-def latest_before(reports: DataFrame, at: str, max_age_hours: int = 2) -> DataFrame:
+def latest_before(reports: DataFrame, at: str, max_age_hours: int = 2, key: str = "icao_hex") -> DataFrame:
     """The last report of each station at an instant, if it is not too old."""
     instant = F.lit(at).cast("timestamp")
-    fresh = reports.where((F.col("observed_at") <= instant) & (F.unix_micros("observed_at") >= F.unix_micros(instant) - max_age_hours * 3_600_000_000))
-    return fresh.groupBy("icao_hex").agg(F.max_by(F.col("event_id"), F.struct("observed_at", "event_id")).alias("event_id"))
+    fresh = reports.where((F.col("observed_at") <= instant) & (F.col("observed_at") >= instant - F.expr(f"INTERVAL {max_age_hours} HOURS")))
+    return fresh.groupBy(key).agg(F.max_by(F.col("event_id"), F.struct("observed_at", "event_id")).alias("event_id"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, carried: list[str]) -> DataFrame:
@@ -33,10 +34,10 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, carried: lis
 
 
 def snapshot_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Changed and removed keys between two snapshots."""
-    digest = lambda df: df.select(key, F.xxhash64(*sorted(c for c in df.columns if c != key)).alias("h"))
-    both = digest(before).withColumnRenamed("h", "old").join(digest(after).withColumnRenamed("h", "new"), key, "full")
-    change = F.when(F.col("new").isNull(), "removed").when(F.col("old").isNull(), "added").when(F.col("old") != F.col("new"), "changed")
+    """Keys that were added, changed or removed between two snapshots; nulls count as values."""
+    packed = lambda df, name: df.select(key, F.struct(*sorted(c for c in df.columns if c != key)).alias(name))
+    both = packed(before, "old").join(packed(after, "new"), key, "full")
+    change = F.when(F.col("new").isNull(), "removed").when(F.col("old").isNull(), "added").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return both.withColumn("change", change).where("change IS NOT NULL").select(key, "change")
 
 
@@ -50,9 +51,9 @@ def merge_sources(local: DataFrame, network: DataFrame) -> DataFrame:
     return both.select(F.coalesce("a.icao_hex", "b.icao_hex").alias("icao_hex"), origin.alias("membership"), place("lat"), place("lon"), F.coalesce("a.altitude_ft", "b.altitude_ft").alias("altitude_ft"))
 
 
-def lane_value(obs: DataFrame) -> DataFrame:
-    """Aircraft by the set of lanes that saw them."""
-    lanes = obs.groupBy("icao_hex").agg(F.bit_or(F.expr("shiftleft(1L, cast(event_id % 3 AS int))")).alias("lanes"))
+def lane_value(obs: DataFrame, lane: str = "lane", key: str = "icao_hex") -> DataFrame:
+    """Aircraft by the set of lanes (numbers from 0) that saw them."""
+    lanes = obs.groupBy(key).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(lane).cast("int"))).alias("lanes"))
     return lanes.groupBy("lanes").agg(F.count("*").alias("aircraft"), F.max(F.bit_count("lanes").cast("long")).alias("n_lanes"))
 
 
@@ -70,8 +71,9 @@ def integrity_baseline(obs: DataFrame, low: int = 6) -> DataFrame:
     return cells.groupBy("lat_cell", "lon_cell", "band").agg(F.count("*").alias("samples"), F.countDistinct("icao_hex").alias("aircraft"), F.countDistinct(F.floor(F.unix_seconds("observed_at") / 900)).alias("buckets"), F.median("nic").alias("median_nic"), F.round(F.count_if(F.col("nic") < low) / F.count("*"), 6).alias("low_share"))
 
 
-def delivery_health(orders: DataFrame) -> DataFrame:
-    return orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("deliveries"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+def delivery_health(items: DataFrame, status: str, at: str, key: str) -> DataFrame:
+    """Per status: how many, and the key of the newest."""
+    return items.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("deliveries"), F.max_by(key, F.struct(at, key)).alias("latest"))
 
 
 def retry_schedule(attempts: int = 12) -> list[int]:
@@ -85,15 +87,16 @@ def import_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFra
     return both.select(key, F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "obsolete").when(F.col("was").eqNullSafe(F.col("now")), "unchanged").otherwise("updated").alias("change"))
 
 
-def latency_window(events: DataFrame) -> DataFrame:
+def latency_window(events: DataFrame, kind: str = "event_type", value: str = "value") -> DataFrame:
     """Nearest-rank percentiles of a measurement for each kind of event."""
-    disc = lambda p, name: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(name)
-    return events.groupBy("event_type").agg(F.count("*").alias("probes"), disc(0.5, "p50"), disc(0.95, "p95"), disc(0.99, "p99"), F.max("value").alias("worst"))
+    rank = lambda p: F.ceil(F.col("n") * p) - 1
+    picked = at_ranks(events, [kind], value, {"p50": rank(0.5), "p95": rank(0.95), "p99": rank(0.99)}, 1.0)
+    return events.groupBy(kind).agg(F.count("*").alias("probes"), F.max(value).alias("worst")).join(picked, kind)
 
 
-def incident_flags(events: DataFrame, limit: float) -> DataFrame:
+def incident_flags(events: DataFrame, limit: float, key: str = "user_id", at: str = "ts") -> DataFrame:
     """Degraded: three of the last five probes beyond the limit; critical: the last three."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    order = Window.partitionBy(key).orderBy(at, "event_id")
     breach = (F.col("value") > limit).cast("long")
     flagged = events.withColumns({"five": F.sum(breach).over(order.rowsBetween(-4, 0)), "three": F.sum(breach).over(order.rowsBetween(-2, 0))})
     return flagged.select("event_id", F.when(F.col("three") == 3, "critical").when(F.col("five") >= 3, "degraded").otherwise("ok").alias("state"))

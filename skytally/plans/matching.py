@@ -187,7 +187,7 @@ q AS (SELECT *, asin(sin(p) * cos(d) + cos(p) * sin(d) * cos(c)) AS y FROM m),
 z AS (SELECT *, CASE WHEN k = 0 THEN lat ELSE degrees(y) END AS y2, CASE WHEN k = 0 THEN lon ELSE lon + degrees(atan2(sin(c) * sin(d) * cos(p), cos(d) - sin(p) * sin(y))) END AS x2 FROM q)
 SELECT event_id, sector_id, min(k) AS minute, CASE WHEN min(k) = 0 THEN 'current' ELSE 'projected' END AS relation FROM z WHERE abs(y2 - lat0) / b + abs(x2 - lon0) / a <= 1 + 1e-9 GROUP BY 1, 2""", (OBSERVATIONS,))
 def hazard_context(x: Frames) -> DataFrame:
-    o = x.observations().where((F.col("observed_at") >= F.lit("2024-01-15").cast("timestamp")) & (F.col("observed_at") < F.lit("2024-01-18").cast("timestamp")))
+    o = x.observations("2024-01-15", "2024-01-18")
     return matching.hazards(o.withColumn("track", F.col("wind_from")), x.sectors())
 
 

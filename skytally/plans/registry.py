@@ -67,12 +67,12 @@ def daily_receiver_stats(x: Frames) -> DataFrame:
 
 @query(f"SELECT strftime(d, '%Y-%m-%d') AS day, unique_aircraft, max_distance_km, max_concurrent FROM generate_series(DATE '2023-12-28', DATE '2024-02-05', INTERVAL 1 DAY) s(d) LEFT JOIN ({_DAILY}) t ON t.day = strftime(d, '%Y-%m-%d')", OBS)
 def daily_trend_spine(x: Frames) -> DataFrame:
-    return receiver.trend(x.observations(), "2023-12-28", "2024-02-05")
+    return receiver.trend(x.observations("2023-12-27", "2024-02-07"), "2023-12-28", "2024-02-05")
 
 
 @query("SELECT CASE WHEN day BETWEEN '2024-01-15' AND '2024-01-21' THEN 'current' ELSE 'previous' END AS period, count(DISTINCT icao_hex) AS unique_aircraft, count(*) AS positions, max(distance_km) AS max_distance_km FROM obs WHERE day BETWEEN '2024-01-08' AND '2024-01-21' GROUP BY 1", OBS)
 def period_comparison(x: Frames) -> DataFrame:
-    return receiver.period_comparison(x.observations(), "2024-01-15", "2024-01-21")
+    return receiver.period_comparison(x.observations("2024-01-07", "2024-01-23"), "2024-01-15", "2024-01-21")
 
 
 @query(f"SELECT CAST(i AS BIGINT) AS azimuth, coalesce(m, 0e0) AS max_distance_km FROM range(36) r(i) LEFT JOIN (SELECT {_AZ} AS a, max(distance_km) AS m FROM obs WHERE distance_km BETWEEN 0 AND 1000 GROUP BY 1) ON a = i", OBS)
@@ -140,7 +140,7 @@ def flight_sessions_gap(x: Frames) -> DataFrame:
 
 @query("SELECT icao_hex, event_id FROM obs WHERE observed_at <= TIMESTAMP '2024-01-15 12:00:00' AND observed_at >= TIMESTAMP '2024-01-15 10:00:00' QUALIFY row_number() OVER (PARTITION BY icao_hex ORDER BY observed_at DESC, event_id DESC) = 1", OBS)
 def asof_latest_per_station(x: Frames) -> DataFrame:
-    return sequences.latest_before(x.observations(), "2024-01-15 12:00:00")
+    return sequences.latest_before(x.observations("2024-01-15 10:00:00", "2024-01-15 12:00:01"), "2024-01-15 12:00:00")
 
 
 @query("SELECT l.event_id, r.event_id AS asof_event_id FROM (SELECT * FROM obs WHERE origin = 'local') l ASOF LEFT JOIN (SELECT icao_hex, observed_at, max(event_id) AS event_id FROM obs WHERE origin = 'network' GROUP BY 1, 2) r ON l.icao_hex = r.icao_hex AND l.observed_at >= r.observed_at", OBS)
@@ -160,7 +160,7 @@ def _last(obs: DataFrame, condition: str) -> DataFrame:
 
 @query(f", a AS ({_LAST.format("day <= '2024-01-10'")}), b AS ({_LAST.format("day <= '2024-01-11' AND day >= '2024-01-05'")}) SELECT coalesce(a.icao_hex, b.icao_hex) AS icao_hex, CASE WHEN b.icao_hex IS NULL THEN 'removed' WHEN a.icao_hex IS NULL THEN 'added' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.icao_hex = b.icao_hex WHERE a.icao_hex IS NULL OR b.icao_hex IS NULL OR (a.altitude_ft, a.lat, a.lon) IS DISTINCT FROM (b.altitude_ft, b.lat, b.lon)", OBS)
 def snapshot_delta(x: Frames) -> DataFrame:
-    obs = x.observations()
+    obs = x.observations(until="2024-01-13")
     return sequences.snapshot_delta(_last(obs, "day <= '2024-01-10'"), _last(obs, "day <= '2024-01-11' AND day >= '2024-01-05'"), "icao_hex")
 
 
@@ -179,7 +179,7 @@ def source_merge_all(x: Frames) -> DataFrame:
 
 @query("SELECT lanes, count(*) AS aircraft, CAST(max(bit_count(lanes)) AS BIGINT) AS n_lanes FROM (SELECT icao_hex, bit_or(1::BIGINT << CAST(event_id % 3 AS INT)) AS lanes FROM obs GROUP BY 1) GROUP BY 1", OBS)
 def lane_value_bitmask(x: Frames) -> DataFrame:
-    return sequences.lane_value(x.observations())
+    return sequences.lane_value(x.observations().withColumn("lane", F.col("event_id") % 3))
 
 
 @query("SELECT bin, count(*) AS aircraft, CAST(sum(n) AS BIGINT) AS samples, round(avg(u), 6) AS east, round(avg(v), 6) AS north FROM (SELECT CAST(floor(altitude_ft / 2000) * 2000 AS BIGINT) AS bin, icao_hex, avg(-ground_speed * sin(radians(wind_from))) AS u, avg(-ground_speed * cos(radians(wind_from))) AS v, count(*) AS n FROM obs GROUP BY 1, 2) GROUP BY 1", OBS)
@@ -262,7 +262,7 @@ def point_in_sector(x: Frames) -> DataFrame:
 
 @query("SELECT o_orderstatus AS status, count(*) AS deliveries, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY 1")
 def delivery_health(x: Frames) -> DataFrame:
-    return sequences.delivery_health(x.table("orders"))
+    return sequences.delivery_health(x.table("orders"), "o_orderstatus", "o_orderdate", "o_orderkey")
 
 
 @query("SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'obsolete' WHEN a.c_mktsegment IS NOT DISTINCT FROM b.v THEN 'unchanged' ELSE 'updated' END AS change FROM (SELECT * FROM customer WHERE c_custkey % 7 <> 0) a FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'NEW' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 11 <> 0) b ON a.c_custkey = b.c_custkey")
@@ -294,6 +294,51 @@ def source_stats(x: Frames) -> DataFrame:
     return x.observations().groupBy(azimuth(F.col("bearing")).alias("azimuth"), "origin").agg(F.count("*").alias("positions"))
 
 
+@query("SELECT day, count(*) FILTER (greatest(event_id % 150 - 5, 0) <= 60) AS fresh, count(*) FILTER (greatest(event_id % 150 - 5, 0) > 60) AS stale, round(max(distance_km) / 1.852e0, 1) AS max_nm, CAST(list_extract(list_sort(list(greatest(event_id % 150 - 5, 0))), CAST(floor((count(*) - 1) * 0.5e0) AS INT) + 1) AS DOUBLE) AS median_age, CAST(list_extract(list_sort(list(greatest(event_id % 150 - 5, 0))), CAST(floor((count(*) - 1) * 0.9e0) AS INT) + 1) AS DOUBLE) AS p90_age, CASE WHEN count(*) FILTER (greatest(event_id % 150 - 5, 0) > 60) > count(*) FILTER (greatest(event_id % 150 - 5, 0) <= 60) THEN 'DEGRADED' ELSE 'GOOD' END AS state FROM obs GROUP BY day", OBS)
+def position_quality(x: Frames) -> DataFrame:
+    return receiver.position_quality(x.observations().withColumn("seen_pos", F.col("event_id") % 150 - 5), ["day"])
+
+
+@query("SELECT CAST(floor(bearing / 10) * 10 AS BIGINT) AS azimuth, CAST(floor(distance_km / 25) * 25 AS BIGINT) AS km, CAST(floor(altitude_ft / 5000) * 5000 AS BIGINT) AS feet, count(*) AS positions FROM obs GROUP BY 1, 2, 3", OBS)
+def coverage_buckets(x: Frames) -> DataFrame:
+    return receiver.coverage_buckets(x.observations())
+
+
+@query("SELECT day, icao_hex, last(t ORDER BY observed_at, event_id) FILTER (t IS NOT NULL) AS aircraft_type, count(*) AS positions FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN 'T' || event_id % 9 END AS t FROM obs) GROUP BY 1, 2", OBS)
+def day_aircraft(x: Frames) -> DataFrame:
+    return receiver.day_aircraft(x.observations().withColumn("aircraft_type", F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("T"), F.col("event_id") % 9))), "aircraft_type")
+
+
+@query(f"SELECT {_AZ} AS azimuth, max(distance_km) AS max_distance_km FROM obs WHERE distance_km BETWEEN 0 AND 1000 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", OBS)
+def best_sectors(x: Frames) -> DataFrame:
+    return receiver.best_sectors(x.observations())
+
+
+@query("SELECT o_orderkey AS occurrence_id, c_name AS rule, coalesce(n, 0) AS deliveries, coalesce(sent, 0) AS sent, statuses FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS sent, array_to_string(list_sort(list(DISTINCT l_linestatus)), ',') AS statuses FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def alert_occurrences(x: Frames) -> DataFrame:
+    """Occurrences with the name of their rule and their deliveries."""
+    per = x.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("deliveries"), F.count_if(F.col("l_linestatus") == "F").alias("sent"), F.array_join(F.array_sort(F.collect_set("l_linestatus")), ",").alias("statuses"))
+    named = x.table("orders").join(x.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("rule")), "o_custkey", "left")
+    return named.join(per, "o_orderkey", "left").select(F.col("o_orderkey").alias("occurrence_id"), "rule", F.coalesce("deliveries", F.lit(0)).alias("deliveries"), F.coalesce("sent", F.lit(0)).alias("sent"), "statuses")
+
+
+@query("SELECT icao, coalesce(runways, 0) AS runways, names, coalesce(frequencies, 0) AS frequencies FROM ap LEFT JOIN (SELECT 'L' || lpad(CAST(s_nationkey AS VARCHAR), 3, '0') AS icao, count(*) AS runways, array_to_string(list_sort(list(s_name)), ',') AS names FROM supplier GROUP BY 1) USING (icao) LEFT JOIN (SELECT 'L' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS icao, count(*) AS frequencies FROM customer GROUP BY 1) USING (icao)", FLT)
+def airport_children(x: Frames) -> DataFrame:
+    """Airports with what belongs to them, side by side."""
+    code = lambda c: F.concat(F.lit("L"), F.lpad(F.col(c).cast("string"), 3, "0")).alias("icao")
+    runways = x.table("supplier").groupBy(code("s_nationkey")).agg(F.count("*").alias("runways"), F.array_join(F.array_sort(F.collect_list("s_name")), ",").alias("names"))
+    frequencies = x.table("customer").groupBy(code("c_nationkey")).agg(F.count("*").alias("frequencies"))
+    return x.airports().join(runways, "icao", "left").join(frequencies, "icao", "left").select("icao", F.coalesce("runways", F.lit(0)).alias("runways"), "names", F.coalesce("frequencies", F.lit(0)).alias("frequencies"))
+
+
+@query("SELECT origin AS sector, callsign, count(DISTINCT aircraft_id) AS aircraft, array_to_string(list_slice(list_sort(list(DISTINCT destination)), 1, 5), ',') AS labels, round(least(1, 0.4e0 + 0.1e0 * count(DISTINCT aircraft_id)), 6) AS confidence FROM (SELECT DISTINCT aircraft_id, origin, callsign, destination FROM fl) GROUP BY 1, 2", FLT)
+def frequency_summary(x: Frames) -> DataFrame:
+    """Each sector and call sign: aircraft, the first five labels, a confidence that grows with the aircraft."""
+    once = x.flights().select("aircraft_id", "origin", "callsign", "destination").distinct()
+    n = F.countDistinct("aircraft_id")
+    return once.groupBy(F.col("origin").alias("sector"), "callsign").agg(n.alias("aircraft"), F.array_join(F.slice(F.array_sort(F.collect_set("destination")), 1, 5), ",").alias("labels"), F.round(F.least(F.lit(1.0), 0.4 + 0.1 * n), 6).alias("confidence"))
+
+
 # The other families register themselves as well.
 from . import chains, feeds, matching, records, reports  # noqa: E402, F401
 

@@ -21,9 +21,14 @@ class Frames:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def observations(self) -> DataFrame:
-        """One row per received position."""
+    def observations(self, since: str | None = None, until: str | None = None) -> DataFrame:
+        """One row per received position, from ``since`` to before ``until`` (UTC): bounds that the scan skips by."""
         e = self.table("events")
+        bound = lambda text: F.lit(text).cast(e.schema["ts"].dataType)
+        if since is not None:
+            e = e.where(F.col("ts") >= bound(since))
+        if until is not None:
+            e = e.where(F.col("ts") < bound(until))
         k = F.col("event_id")
         base = e.select(
             k, F.lpad(F.hex("user_id"), 6, "0").alias("icao_hex"), F.col("ts").cast("timestamp").alias("observed_at"),
