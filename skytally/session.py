@@ -29,12 +29,17 @@ def ship_package(spark: SparkSession) -> None:
     context._skytally_shipped = True
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that all executors share, and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; one of this machine only where Spark runs on it alone."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"{(base or 'file:///tmp/checkpoints/skytally').rstrip('/')}/step-{uuid.uuid4().hex}"
+    return (base or "file:///tmp/checkpoints/skytally").rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that all executors share, and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
