@@ -48,7 +48,7 @@ def merge_feeds(local: DataFrame, network: DataFrame, now_us: Column, local_ms:
     side = lambda df, s: df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns))
     both = side(local, "l").join(side(network, "n"), F.col("l_icao_hex") == F.col("n_icao_hex"), "full").withColumn("now_us", now_us)
     age = lambda s: F.greatest(F.greatest(F.col("now_us") - F.col(f"{s}_last_seen_us"), F.lit(0)) / 1000, F.coalesce(F.col(f"{s}_seen"), F.lit(0.0)) * 1000)
-    position_age = F.greatest(F.col("n_seen_pos") * 1000, F.greatest(F.col("now_us") - F.col("n_position_us"), F.lit(0)) / 1000)
+    position_age = F.when(F.col("n_seen_pos").isNotNull(), F.greatest(F.col("n_seen_pos") * 1000, F.greatest(F.col("now_us") - F.col("n_position_us"), F.lit(0)) / 1000))
     has_local = usable(F.col("l_lat"), F.col("l_lon"))
     has_network = usable(F.col("n_lat"), F.col("n_lon")) & F.coalesce(position_age <= network_ms, F.lit(False))
     at = F.when(has_local, "local").when(has_network, "network")
