@@ -223,3 +223,11 @@ def sampled_step(last, row, seconds: float = 20.0) -> bool:
     return (row.observed_at - last.observed_at).total_seconds() >= seconds
 
 
+
+
+def monitoring(status: DataFrame) -> DataFrame:
+    """State and advised action of receivers (offline, rate, position_age, aircraft)."""
+    quiet, old = (F.col("rate") < 1) | (F.col("aircraft") == 0), F.col("position_age") > 60
+    state = F.when(F.col("offline"), "OFFLINE").when(quiet | old, "DEGRADED").otherwise("HEALTHY")
+    action = F.when(F.col("offline"), "CHECK_READSB").when(quiet, "CHECK_ANTENNA_OR_RF").when(old, "OBSERVE").otherwise("NONE")
+    return status.withColumns({"state": state, "action": action})

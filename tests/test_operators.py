@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from skytally.functions import geo, text
+from skytally.functions import codes, geo, text
 from skytally.operators import records, receiver, reports, sequences
 
 START = datetime(2024, 1, 1, 12)
@@ -113,3 +113,26 @@ def test_apply_delta(spark):
 def test_csv_lines(spark):
     rows = spark.createDataFrame([(1, 'a "b", c', None), (2, None, 1.5), (3, "x\ny", 0.0)], "k long, t string, v double")
     assert [r.line for r in records.csv_lines(rows, ["k", "t", "v"]).collect()] == ['1,"a ""b"", c",', "2,,1.5", '3,"x\ny",0.0']
+
+
+def test_crc24(spark):
+    def plain(message):
+        bits, rest = int(message, 16) >> 24, 0
+        n = (len(message) - 6) * 4
+        for k in range(n):
+            rest ^= ((bits >> (n - 1 - k)) & 1) << 23
+            rest = ((rest << 1) ^ 0xFFF409 if rest & 0x800000 else rest << 1) & 0xFFFFFF
+        return rest ^ int(message[-6:], 16)
+
+    messages = ["8D4840D6202CC371C32CE0576098", "8D40621D58C382D690C8AC2863A7", "5D4840D6F1B2A3", "00000000000000", "8D4840D6202CC371C32CE0576099"]
+    rows = spark.createDataFrame([(m,) for m in messages], "m string").select("m", codes.crc24(F.col("m")).alias("c")).collect()
+    assert {r.m: r.c for r in rows} == {m: plain(m) for m in messages}
+    assert [r.c for r in rows][:2] == [0, 0]
+
+
+def test_callsign_bits(spark):
+    letters = "_ABCDEFGHIJKLMNOPQRSTUVWXYZ_____ _______________0123456789______"
+    field = 0
+    for c in "CSA42 _ ":
+        field = field << 6 | letters.index(c)
+    assert value(spark, codes.packed_callsign(F.lit(field).cast("long"))) == "CSA42"
