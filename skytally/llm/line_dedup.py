@@ -49,7 +49,7 @@ HOT, FLUSH = 1 << 20, 1 << 18
 #: Buckets that a task takes, one after the other.
 TASK_BUCKETS = 2
 #: Candidates that are compared at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 18
 _TABLE = byte_table(lower=True, seed=11)
 _LINE = np.dtype([("key", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("parity", "<u8"), ("line", "<u4"), ("n", "<u4"), ("tokens", "<u4")])
 _ENTRY = np.dtype([("token", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("parity", "<u8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("role", "u1")])
@@ -167,10 +167,6 @@ def _places(records: np.ndarray) -> np.ndarray:
     return out
 
 
-def _before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a["doc"] < b["doc"]) | ((a["doc"] == b["doc"]) & (a["line"] < b["line"]))
-
-
 def _by_class(lines: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lines sorted by class, then place; which are the first of their class; the tokens of these alone, in this order."""
     begin = np.cumsum(lines["tokens"]) - lines["tokens"]
@@ -317,7 +313,7 @@ class _Join:
         """The entries of pairs, earlier and later ones, and those of later lines that have more than these."""
         t, top = self.t, (1 << 24) - 1
         e = e[np.lexsort((e["n"], e["token"]))]
-        n, pos, parity, role = e["n"].astype(np.int64), e["pos"].astype(np.int64), e["parity"], e["role"]
+        n, pos, parity, role, doc, line = e["n"].astype(np.int64), e["pos"].astype(np.int64), e["parity"].copy(), e["role"].copy(), e["doc"].copy(), e["line"].astype(np.int64)
         both = e["token"] << np.uint64(24)
         # Each entry in the short prefix of its line with those after it, of the same length or longer, in the length filter.
         last = np.searchsorted(both | np.minimum(n, top).astype(np.uint64), both | np.minimum(np.floor(n / t + 1e-9), top).astype(np.uint64), "right")
@@ -338,9 +334,9 @@ class _Join:
             apart = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int64)
             ok = apart <= (1 - t) / (1 + t) * total + 1e-9
             i, j, apart = i[ok], j[ok], apart[ok]
-            ahead, behind = _before(e[i], e[j]), _before(e[j], e[i])
+            ahead = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
             a, b = np.where(ahead, i, j), np.where(ahead, j, i)
-            ok = (ahead | behind) & (role[a] & _EARLIER > 0) & (role[b] & _LATER > 0)
+            ok = ((doc[i] != doc[j]) | (line[i] != line[j])) & (role[a] & _EARLIER > 0) & (role[b] & _LATER > 0)
             found.append(np.stack([b[ok], a[ok], apart[ok]]))
             held += int(ok.sum())
             if held > 2 * AT_ONCE:
@@ -355,8 +351,8 @@ class _Join:
             return found
         b, a, apart = found
         # Of equally near ones a hash decides, the same in every token's list, so that no line is everybody's candidate.
-        one, other = e[a], e[b]
-        tie = mix(mix(one["doc"].astype(np.uint64) ^ one["text"].astype(np.uint64) + one["line"]) ^ mix(other["doc"].astype(np.uint64) + other["text"].astype(np.uint64) ^ other["line"]))
+        place = mix(e["doc"].astype(np.uint64) ^ e["text"].astype(np.uint64) + e["line"])
+        tie = mix(place[a] ^ mix(place[b]))
         order = np.lexsort((tie, apart, b))
         b = b[order]
         new = np.ones(len(b), bool)

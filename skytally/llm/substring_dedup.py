@@ -88,15 +88,18 @@ class _Block:
             base += int(offsets[-1])
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.first = np.append(join(first, np.int64), base)
-        self.where, self.text = join(where, np.int64), join(text, np.int64)
+        self.where, self.text = join(where, np.int64).astype(np.int32), join(text, np.int64).astype(np.int32)
+        del where, text
         one, two = (join(parts, np.uint64) for parts in found)
+        found.clear()
         #: The distinct windows, in the order of their first halves, the place of the first of each, and which each place has.
         self.unique, self.at, self.inverse = np.unique(one, return_index=True, return_inverse=True)
+        self.inverse = self.inverse.astype(np.int32)
         if (two[self.at][self.inverse] != two).any():
             order = np.lexsort((two, one))
             new = np.ones(len(order), bool)
             new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
-            self.inverse = np.zeros(len(order), np.int64)
+            self.inverse = np.zeros(len(order), np.int32)
             self.inverse[order] = np.cumsum(new) - 1
             self.at = order[new]
             self.unique = one[self.at]
@@ -155,7 +158,7 @@ def answered(parts: list[tuple[int, bytes]], own: np.ndarray) -> np.ndarray:
     return out
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, depth: int = 2, spread: float = 2.0, block_bytes: int = 8 << 20, shard_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, depth: int = 2, spread: float = 2.0, block_bytes: int = 6 << 20, shard_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, n_words, n_removed and text (kept words, joined by one space), a row per document.
 
     A word is a run of characters other than ASCII white space. It goes when a
