@@ -231,3 +231,9 @@ def monitoring(status: DataFrame) -> DataFrame:
     state = F.when(F.col("offline"), "OFFLINE").when(quiet | old, "DEGRADED").otherwise("HEALTHY")
     action = F.when(F.col("offline"), "CHECK_READSB").when(quiet, "CHECK_ANTENNA_OR_RF").when(old, "OBSERVE").otherwise("NONE")
     return status.withColumns({"state": state, "action": action})
+
+
+def changed_step(last, row, degrees: float = 0.1, heartbeat_s: float = 120.0) -> bool:
+    """Whether an integrity observation says something new: another source, band or state, a move, or time enough."""
+    moved = abs(row.lat - last.lat) >= degrees or abs(row.lon - last.lon) >= degrees
+    return moved or (row.source, row.band, row.state) != (last.source, last.band, last.state) or (row.observed_at - last.observed_at).total_seconds() >= heartbeat_s

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.geo import haversine_km
 
 
 def usable(lat: Column, lon: Column) -> Column:
@@ -110,3 +111,34 @@ def in_range(rows: DataFrame, at: str, name: str, now: str, zone: str) -> DataFr
         return rows.where((F.col(at) >= bound(first)) & (F.col(at) < bound(last)))
     first, last = local_bounds(rows.sparkSession, {"today": 0, "7d": 6, "30d": 29}[name], now, zone)
     return rows.where((F.col(at) >= bound(first)) & (F.col(at) <= bound(last)))
+
+
+def merge_lanes(records: DataFrame, lane: str = "lane") -> DataFrame:
+    """One row per aircraft from the newest record of each network lane.
+
+    The newest message wins, a later lane of equal ones; names that it lacks come from
+    the next newest. A position is one whole: of the usable ones the last observed.
+    """
+    order = F.struct("last_seen_us", lane)
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    place = F.max_by(F.struct("lat", "lon", "altitude_ft", "ground_speed", "track", "source"), F.when(usable(F.col("lat"), F.col("lon")), F.struct(F.coalesce("position_us", F.lit(-1)).alias("p"), "last_seen_us", lane))).alias("p")
+    per = records.groupBy("icao_hex").agg(known("callsign"), known("squawk"), F.max("last_seen_us").alias("last_seen_us"), F.array_join(F.array_sort(F.collect_set(F.col(lane).cast("string"))), ",").alias("lanes"), place)
+    return per.select("icao_hex", "callsign", "squawk", "last_seen_us", "lanes", "p.lat", "p.lon", "p.altitude_ft", "p.ground_speed", "p.source")
+
+
+def merge_receiver(frames: DataFrame, summary: DataFrame, most_km: float = 25.0, fresh_s: float = 30.0, most_ft: float = 12_000) -> DataFrame:
+    """One receiver's decoded frames and its own summary, by aircraft: of each field the fresher.
+
+    An altitude that is more than ``most_ft`` from the summary's gives way to it, and so
+    does a position more than ``most_km`` away while the summary's is fresh.
+    """
+    a, b = (df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns)) for df, s in ((frames, "f"), (summary, "s")))
+    both = a.join(b, F.col("f_icao_hex") == F.col("s_icao_hex"), "full")
+    newer = F.col("f_last_seen_us") >= F.col("s_last_seen_us")
+    pick = lambda c: F.when(F.col(f"f_{c}").isNull(), F.col(f"s_{c}")).when(F.col(f"s_{c}").isNull() | newer, F.col(f"f_{c}")).otherwise(F.col(f"s_{c}"))
+    altitude = F.when(F.abs(F.col("f_altitude_ft") - F.col("s_altitude_ft")) > most_ft, F.col("s_altitude_ft")).otherwise(pick("altitude_ft"))
+    mine, theirs = usable(F.col("f_lat"), F.col("f_lon")), usable(F.col("s_lat"), F.col("s_lon"))
+    apart = haversine_km(F.col("f_lat"), F.col("f_lon"), F.col("s_lat"), F.col("s_lon"))
+    summary_first = ~mine | (theirs & F.coalesce(F.col("s_seen_pos") <= fresh_s, F.lit(False)) & (apart > most_km))
+    place = lambda c: F.when(summary_first, F.when(theirs, F.col(f"s_{c}"))).otherwise(F.col(f"f_{c}")).alias(c)
+    return both.select(F.coalesce("f_icao_hex", "s_icao_hex").alias("icao_hex"), *(pick(c).alias(c) for c in ("callsign", "squawk", "ground_speed")), altitude.alias("altitude_ft"), place("lat"), place("lon"))

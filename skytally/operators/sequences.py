@@ -111,3 +111,16 @@ def downsample(obs: DataFrame, key: str, most: int) -> DataFrame:
     at = lambda x: F.floor(x * (F.col("n") - 1) / (most - 1) + 0.5)
     taken = (F.col("n") <= most) | (at(j) == F.col("i")) | (at(j + 1) == F.col("i"))
     return ranked.where(taken).select(key, "event_id", F.col("i").cast("long").alias("i"))
+
+
+def incidents(events: DataFrame, limit: float, key: str = "user_id", at: str = "ts") -> DataFrame:
+    """Runs of probes that are beyond the limit or degraded: when they opened, last were seen and were resolved, their worst state."""
+    order = Window.partitionBy(key).orderBy(at, "event_id")
+    breach = (F.col("value") > limit).cast("long")
+    rows = events.withColumns({"five": F.sum(breach).over(order.rowsBetween(-4, 0)), "three": F.sum(breach).over(order.rowsBetween(-2, 0)), "bad": breach == 1})
+    rows = rows.withColumn("rank", F.when(F.col("three") == 3, 3).when(F.col("five") >= 3, 2).when(F.col("bad"), 1).otherwise(0))
+    rows = rows.withColumn("starts", ((F.col("rank") > 0) & (F.coalesce(F.lag("rank").over(order), F.lit(0)) == 0)).cast("long"))
+    rows = rows.withColumns({"incident": F.sum("starts").over(order), "following": F.lead("event_id").over(order)}).where("rank > 0")
+    severity = F.element_at(F.array(*map(F.lit, ("warning", "degraded", "critical"))), F.max("rank"))
+    last = F.struct(at, "event_id")
+    return rows.groupBy(key, "incident").agg(F.count("*").alias("occurrences"), F.min_by("event_id", last).alias("first_id"), F.max_by("event_id", last).alias("last_id"), F.max_by("following", last).alias("resolved_id"), severity.alias("severity"))

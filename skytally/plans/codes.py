@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, geo
-from ..operators import records
+from ..operators import integrity, records, reports, sequences
+from ..session import ship_package
 from ..sources.testdata import FLIGHTS, OBSERVATIONS, Frames
 from .base import query
+from .chains import STATES
 from .matching import _hav
-from .reports import _cases, _samples
+from .reports import NORM, _cases, _samples
 
 OBS = (OBSERVATIONS,)
 _RUNWAYS: dict[str, object] = {"RWY 6": "06", "24l": "24L", "runway 36 C": "36C", "37": None, "0": None, "24X": None, " 9 ": "09", "": None}
@@ -143,3 +145,50 @@ def receiver_monitoring(x: Frames) -> DataFrame:
     n = F.count("*")
     per = x.table("events").groupBy("user_id").agg((n % 7 == 0).alias("offline"), (n % 5 / 2.0).alias("rate"), (n % 90).alias("position_age"), (n % 11).alias("aircraft"))
     return records.monitoring(per).select("user_id", "state", "action")
+
+
+_RUNS = "QUALIFY row_number() OVER (PARTITION BY icao_hex, lane ORDER BY last_seen_us DESC, event_id DESC) = 1"
+
+
+@query(f"""
+, r AS (SELECT *, event_id % 3 AS lane FROM norm {_RUNS})
+SELECT icao_hex, last(callsign ORDER BY last_seen_us, lane) FILTER (callsign IS NOT NULL) AS callsign, last(squawk ORDER BY last_seen_us, lane) FILTER (squawk IS NOT NULL) AS squawk, max(last_seen_us) AS last_seen_us, array_to_string(list_sort(list(DISTINCT CAST(lane AS VARCHAR))), ',') AS lanes,
+  {', '.join(f"last({c} ORDER BY coalesce(position_us, -1), last_seen_us, lane) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS {c}" for c in ('lat', 'lon', 'altitude_ft', 'ground_speed', 'source'))} FROM r GROUP BY 1""", NORM)
+def lane_merge(x: Frames) -> DataFrame:
+    n = reports.normalised(x.raw()).withColumn("lane", F.col("event_id") % 3)
+    rank = F.row_number().over(Window.partitionBy("icao_hex", "lane").orderBy(F.desc("last_seen_us"), F.desc("event_id")))
+    return reports.merge_lanes(n.withColumn("rank", rank).where("rank = 1"))
+
+
+@query(f"""
+, r AS (SELECT *, event_id % 2 AS lane FROM norm {_RUNS}),
+j AS (SELECT f, s, coalesce(f.last_seen_us >= s.last_seen_us, true) AS newer FROM (SELECT * FROM r WHERE lane = 0) f FULL JOIN (SELECT * FROM r WHERE lane = 1) s ON f.icao_hex = s.icao_hex),
+k AS (SELECT *, f.lat IS NULL OR (s.lat IS NOT NULL AND coalesce(s.seen_pos <= 30, false) AND {_hav('f.lat', 'f.lon', 's.lat', 's.lon')} > 25) AS sf FROM j)
+SELECT coalesce(f.icao_hex, s.icao_hex) AS icao_hex, {', '.join(f"CASE WHEN f.{c} IS NULL THEN s.{c} WHEN s.{c} IS NULL OR newer THEN f.{c} ELSE s.{c} END AS {c}" for c in ('callsign', 'squawk', 'ground_speed'))},
+  CASE WHEN abs(f.altitude_ft - s.altitude_ft) > 12000 OR f.altitude_ft IS NULL THEN s.altitude_ft WHEN s.altitude_ft IS NULL OR newer THEN f.altitude_ft ELSE s.altitude_ft END AS altitude_ft, CASE WHEN sf THEN CASE WHEN s.lat IS NOT NULL THEN s.lat END ELSE f.lat END AS lat, CASE WHEN sf THEN CASE WHEN s.lat IS NOT NULL THEN s.lon END ELSE f.lon END AS lon FROM k""", NORM)
+def receiver_merge(x: Frames) -> DataFrame:
+    n = reports.normalised(x.raw())
+    frames, summary = (reports.newest(n.where(F.col("event_id") % 2 == k)) for k in (0, 1))
+    return reports.merge_receiver(frames, summary)
+
+
+@query("""
+WITH b AS (SELECT *, CAST(value > 60 AS INT) AS b FROM events), r AS (SELECT *, CASE WHEN sum(b) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 THEN 3 WHEN sum(b) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 3 THEN 2 ELSE b END AS rank FROM b WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, CASE WHEN rank > 0 AND coalesce(lag(rank) OVER w, 0) = 0 THEN 1 ELSE 0 END AS st, lead(event_id) OVER w AS nx FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS incident FROM s)
+SELECT user_id, CAST(incident AS BIGINT) AS incident, count(*) AS occurrences, arg_min(event_id, (ts, event_id)) AS first_id, arg_max(event_id, (ts, event_id)) AS last_id, last(nx ORDER BY ts, event_id) AS resolved_id, list_extract(['warning', 'degraded', 'critical'], max(rank)) AS severity FROM i WHERE rank > 0 GROUP BY 1, 2""")
+def runtime_incidents(x: Frames) -> DataFrame:
+    return sequences.incidents(x.table("events"), 60.0)
+
+
+@query(f"""
+, k AS (SELECT *, row_number() OVER (PARTITION BY icao_hex, band ORDER BY observed_at, event_id) AS i FROM cell WHERE observed_at < TIMESTAMP '2024-01-06 00:00:00'),
+w AS (SELECT icao_hex, band, i, event_id, observed_at AS t0, lat AS y0, lon AS x0, source AS s0, state AS z0, true AS kept FROM k WHERE i = 1
+  UNION ALL SELECT k.icao_hex, k.band, k.i, k.event_id, CASE WHEN g THEN k.observed_at ELSE t0 END, CASE WHEN g THEN k.lat ELSE y0 END, CASE WHEN g THEN k.lon ELSE x0 END, CASE WHEN g THEN k.source ELSE s0 END, CASE WHEN g THEN k.state ELSE z0 END, g
+  FROM (SELECT k.*, w.t0, w.y0, w.x0, w.s0, w.z0, abs(k.lat - y0) >= 1.2 OR abs(k.lon - x0) >= 1.2 OR k.source <> s0 OR k.state <> z0 OR epoch(k.observed_at) - epoch(t0) >= 86400 AS g FROM w JOIN k ON k.icao_hex = w.icao_hex AND k.band = w.band AND k.i = w.i + 1) k)
+SELECT event_id FROM w WHERE kept""", (OBSERVATIONS.replace("obs0 AS", "RECURSIVE obs0 AS", 1), STATES))
+def integrity_heartbeats(x: Frames) -> DataFrame:
+    """With a day and 1.2 degrees, as the test reports are far apart."""
+    ship_package(x.spark)
+    cells = integrity.celled(x.signals()).where(F.col("observed_at") < F.lit("2024-01-06").cast("timestamp"))
+    rows = cells.select("event_id", "icao_hex", "band", "observed_at", "lat", "lon", "source", "state")
+    return records.keep_greedily(rows, ["icao_hex", "band"], "observed_at", lambda last, row: records.changed_step(last, row, 1.2, 86_400)).select("event_id")
