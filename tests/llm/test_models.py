@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skytally.llm.quality import isotonic, score_quality
+from skytally.llm import quality, toxicity
 from skytally.llm.toxicity import score_toxicity
 
 FOLDER = "/root/testdata/sf0.01"
@@ -81,3 +82,50 @@ def test_length_alone_is_not_toxic(spark):
     got = {r.doc_id: r for r in score_toxicity(both, labels).where("doc_id >= 1000000000").collect()}
     assert all(got[10**9 + n].predicted == 0 and not got[10**9 + n].sentences for n in (1, 20, 60, 348, 1200))
     assert got[2 * 10**9].predicted == 1 and got[2 * 10**9].sentences
+
+
+def test_ridge_weights(spark):
+    """The partition-summed equations give the weights that one solve over all rows gives."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, len(quality.FEATURES))).astype(np.float32)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=300) > 0).astype(float)
+    rows = spark.createDataFrame([(row.tolist(), float(t), k % quality.FOLDS) for k, (row, t) in enumerate(zip(x, y, strict=True))], "x array<float>, y double, fold int").repartition(5)
+    model = quality.fit(rows, n_features=24)
+    z = model.features(x.astype(float))
+    direct = [np.linalg.solve(z.T @ z + p * np.eye(25), z.T @ y) for p in quality.PENALTIES]
+    assert min(np.abs(model.weights - w).max() for w in direct) < 1e-6
+
+
+def test_noisy_or_gradient():
+    """The gradient that bags of sentences give is that of their likelihood, by small differences and plain loops."""
+    rng = np.random.default_rng(4)
+    text = np.sort(rng.integers(0, 6, 20))
+    sentence = rng.integers(0, 20, 60)
+    word, y, weights = rng.integers(0, 8, 60), rng.integers(0, 2, 6).astype(float), rng.normal(size=9)
+
+    def loss(w):
+        total = 0.0
+        for d in range(6):
+            mine = np.flatnonzero(text == d)
+            clear = 1.0
+            for s in mine:
+                z = w[-1] - toxicity.LENGTH * np.log(len(mine)) + sum(w[k] for k in word[sentence == s])
+                clear *= 1 - 1 / (1 + np.exp(-z))
+            total -= np.log(np.clip(1 - clear, 1e-9, 1 - 1e-9)) if y[d] > 0 else np.log(clear)
+        return total
+
+    gradient, value = toxicity._step(weights, word, sentence, text, y)
+    assert abs(value - loss(weights)) < 1e-8
+    for k in range(9):
+        moved = np.zeros(9)
+        moved[k] = 1e-5
+        assert abs((loss(weights + moved) - loss(weights - moved)) / 2e-5 - gradient[k]) < 1e-5
+
+
+def test_labels_with_clashing_columns(spark):
+    """Columns of the label table that the operators use themselves change nothing."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    more = labels.withColumns({"text": F.lit("x"), "y": F.lit(5), "fold": F.lit("f"), "score": F.lit(None), "x": F.array(F.lit(1.0))})
+    for score in (score_quality, score_toxicity):
+        plain, other = ({r.doc_id: r.predicted for r in score(docs, t).collect()} for t in (labels, more))
+        assert plain == other
