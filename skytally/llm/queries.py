@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .centroids import cluster_vectors
 from .common import documents
 from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
@@ -18,6 +19,7 @@ from .pieces import encode_pieces
 from .pii import find_pii, pii_report
 from .quality import score_quality
 from .substring_dedup import substring_dedup
+from .token_files import read_tokens, token_folder, write_tokens
 from .toxicity import score_toxicity
 
 
@@ -71,6 +73,18 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(documents(spark, sf_dir)).select("doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    folder = token_folder(spark)
+    write_tokens(documents(spark, sf_dir), folder)
+    return read_tokens(spark, folder, ids=False)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), clusters=16, rounds=3, dims=64, scale=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -82,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_piece_encoding": op10_piece_encoding,
+    "op12_token_files": op12_token_files,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
@@ -127,5 +143,43 @@ links AS (
 )
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(label) AS component_id, d.doc_id = min(label) AS kept
 FROM documents d JOIN reach r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+""",
+    "op13_centroid_clustering": """
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), vectors AS MATERIALIZED (SELECT r, vec_id, unnest(range(1, 65)) AS j, unnest(v) AS x FROM kept),
+c0 AS MATERIALIZED (SELECT k, unnest(range(1, 65)) AS j, unnest(v) AS c FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS k, v FROM kept) WHERE k < 16),
+a0 AS MATERIALIZED (
+  SELECT r, k, d FROM (SELECT r, k, sum((x - c) * (x - c)) AS d FROM vectors JOIN c0 USING (j) GROUP BY r, k)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1
+),
+c1 AS MATERIALIZED (
+  SELECT k, j, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c
+  FROM c0 LEFT JOIN (SELECT k, j, sum(x) AS s, count(*) AS n FROM vectors JOIN a0 USING (r) GROUP BY k, j) USING (k, j)
+),
+a1 AS MATERIALIZED (
+  SELECT r, k, d FROM (SELECT r, k, sum((x - c) * (x - c)) AS d FROM vectors JOIN c1 USING (j) GROUP BY r, k)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1
+),
+c2 AS MATERIALIZED (
+  SELECT k, j, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c
+  FROM c1 LEFT JOIN (SELECT k, j, sum(x) AS s, count(*) AS n FROM vectors JOIN a1 USING (r) GROUP BY k, j) USING (k, j)
+),
+a2 AS MATERIALIZED (
+  SELECT r, k, d FROM (SELECT r, k, sum((x - c) * (x - c)) AS d FROM vectors JOIN c2 USING (j) GROUP BY r, k)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1
+),
+c3 AS MATERIALIZED (
+  SELECT k, j, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c
+  FROM c2 LEFT JOIN (SELECT k, j, sum(x) AS s, count(*) AS n FROM vectors JOIN a2 USING (r) GROUP BY k, j) USING (k, j)
+),
+a3 AS MATERIALIZED (
+  SELECT r, k, d FROM (SELECT r, k, sum((x - c) * (x - c)) AS d FROM vectors JOIN c3 USING (j) GROUP BY r, k)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1
+)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN kept USING (r) JOIN (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c3 GROUP BY k) USING (k)
 """,
 }
