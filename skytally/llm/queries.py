@@ -18,6 +18,7 @@ from .minhash_dedup import near_duplicates
 from .pieces import encode_pieces
 from .pii import find_pii, pii_report
 from .quality import score_quality
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .token_files import read_tokens, token_folder, write_tokens
 from .toxicity import score_toxicity
@@ -73,6 +74,11 @@ def op10_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(documents(spark, sf_dir)).select("doc_id", "n_pieces", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return spelling_variants(documents(spark, sf_dir), least=7, every=31, least_n=2, times=10)
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     folder = token_folder(spark)
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_piece_encoding": op10_piece_encoding,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_token_files": op12_token_files,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
