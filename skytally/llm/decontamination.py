@@ -4,17 +4,25 @@ The benchmark is a stated set of queries against all documents. It is taken in
 blocks of bounded size (one, unless it is large); for each block:
 
 1. one pass counts how often the documents have each of its words;
-2. an alignment that scores ``least`` of an item's own score matches at least
-   ``k = ceil(least * m)`` of the item's m words, so it matches one of any
+2. an alignment that scores a share s of an item's own score matches at least
+   ``k = ceil(s * m)`` of the item's m words, so it matches one of any
    ``m - k + 1``: the rarest ones (those that no document has first, as they cost
    nothing) are its seeds. What is common in the corpus seeds nothing while an
    item has enough else, and no alignment is lost, whatever was edited;
-3. such an alignment spans ``3 * m - 2 * least * m`` words of the document at most.
+3. such an alignment spans ``3 * m - 2 * s * m`` words of the document at most.
    A second pass cuts texts into overlapping stretches that hold any such span,
    finds the seeds, leaves out stretches that have fewer than k of the item's
    words, and aligns the others with the item, word by word. The score is that of
    the best local alignment as a share of the item's own: edits cost, but do not
    hide a copy.
+
+Which share is enough is one function of the length for all items, ``enough``: half
+of the item's own score, but never less than ``size`` matching words (an item of no
+more words as a whole), as a few common words in a row are no copy.
+
+Items of like length are sought together, so that a long one widens nobody else's
+stretches; what is held of an item is in proportion to its words. A block's items are
+broadcast: they come from ``BLOCK_BYTES`` of text, or from one longer item.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, id_and_text, outer_id
-from .tokens import as_bytes, byte_table, chunks, windows, words
+from .tokens import as_bytes, byte_table, chunks, words
 
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 BLOCK_BYTES = 16 << 20
@@ -66,8 +74,8 @@ def best_scores(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarr
     """The score of the best local alignment of each passage with the item beside it, many at once."""
     out = np.zeros(len(items), np.float32)
     order = np.lexsort(([len(p) for p in passages], [len(i) for i in items]))
-    for at in range(0, len(order), 128):
-        part = order[at : at + 128]
+    cells = np.cumsum(np.array([len(passages[k]) + 64 for k in order], np.int64)) >> 17
+    for part in np.split(order, np.flatnonzero(np.diff(cells)) + 1) if len(order) else []:
         # What pads a short one matches nothing, so it raises no score.
         width, height = max(len(passages[k]) for k in part), max(len(items[k]) for k in part)
         a, b = np.full((len(part), width), -1), np.full((len(part), height), -2)
@@ -97,25 +105,37 @@ def _spread(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _ragged(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Indices begin, begin + 1, ... of each of some runs, one run after another."""
+    return np.repeat(begin, length) + _spread(length)
+
+
+def enough(m: np.ndarray, least: float, size: int) -> np.ndarray:
+    """The share of its own score at which an alignment with an item of ``m`` words is a copy."""
+    return np.maximum(least, np.minimum(1.0, size / m))
+
+
 class _Items:
-    """The items of a block: their words as numbers, what a copy needs at least, and the seeds."""
+    """Items of like length: their words as numbers, what a copy needs at least, and the seeds.
+
+    ``which`` are their places among all items of the block.
+    """
 
-    def __init__(self, items: list[np.ndarray], known: np.ndarray, uses: np.ndarray, least: float) -> None:
-        self.known, self.words = known, [np.searchsorted(known, h) for h in items]
-        m = np.array([len(h) for h in items])
+    def __init__(self, which: np.ndarray, items: list[np.ndarray], known: np.ndarray, uses: np.ndarray, share: np.ndarray) -> None:
+        self.which, self.known, self.words, self.share = which, known, [np.searchsorted(known, h) for h in items], share
+        self.length = m = np.array([len(h) for h in items])
         #: Matches of an alignment that scores enough, and the words of a text that it spans.
-        self.matches = np.maximum(1, np.ceil(least * m - 1e-9).astype(np.int64))
-        self.span = np.maximum(1, np.floor(3 * m - 2 * least * m + 1e-9).astype(np.int64))
+        self.matches = np.maximum(1, np.ceil(share * m - 1e-9).astype(np.int64))
+        self.span = np.maximum(1, np.floor(3 * m - 2 * share * m + 1e-9).astype(np.int64))
         self.step = max(64, int(self.span.max()))
-        self.padded = np.full((len(items), int(m.max())), len(known))
-        seeds: list[np.ndarray] = []
-        for i, w in enumerate(self.words):
-            self.padded[i, : len(w)] = w
-            seeds.append(np.unique(w[np.lexsort((w, uses[w]))[: max(0, len(w) - self.matches[i] + 1)]]))
+        self.flat, self.at = np.concatenate(self.words), np.cumsum(m) - m
+        seeds = [np.unique(w[np.lexsort((w, uses[w]))[: max(0, len(w) - k + 1)]]) for w, k in zip(self.words, self.matches, strict=True)]
         word = np.concatenate(seeds)
         order = np.argsort(word, kind="stable")
         self.item_of_seed = np.repeat(np.arange(len(items)), [len(w) for w in seeds])[order]
         self.begin = np.searchsorted(word[order], np.arange(len(known) + 2))
+        self.in_some = np.zeros(len(known) + 1, bool)
+        self.in_some[self.flat] = True
 
     def stretches(self, number: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """Text, item, first and end word of the stretches of a chunk that can hold a copy, by text and item."""
@@ -124,36 +144,44 @@ class _Items:
         base = np.cumsum(n_stretches) - n_stretches
         text = np.repeat(np.arange(len(n_words)), n_words)
         block = (np.arange(len(number)) - first[:-1][text]) // step
-        # Each word lies in the stretch that begins with its block, and in the one before.
-        at = np.flatnonzero(number < nothing)
-        here, before = block[at] < n_stretches[text[at]], block[at] > 0
-        place = np.concatenate([(base[text[at]] + block[at])[here], (base[text[at]] + block[at] - 1)[before]])
-        word = np.concatenate([number[at][here], number[at][before]])
-        held = np.unique(place * (nothing + 1) + word)
-        place, word = np.divmod(held, nothing + 1)
+
+        def placed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Stretches and words of some places: each lies in the stretch that begins with its block, and in the one before."""
+            here, before = block[at] < n_stretches[text[at]], block[at] > 0
+            place = np.concatenate([(base[text[at]] + block[at])[here], (base[text[at]] + block[at] - 1)[before]])
+            return place, np.concatenate([number[at][here], number[at][before]])
+
+        seeding = self.begin[number + 1] > self.begin[number]
+        place, word = np.divmod(np.unique(_pair(*placed(np.flatnonzero(seeding)), nothing + 1)), nothing + 1)
         counts = self.begin[word + 1] - self.begin[word]
-        found = np.repeat(place, counts) * len(self.words) + self.item_of_seed[np.repeat(self.begin[word], counts) + _spread(counts)]
+        found = np.repeat(place, counts) * len(self.words) + self.item_of_seed[_ragged(self.begin[word], counts)]
         place_of, item_of = np.divmod(np.unique(found), len(self.words))
+        if not len(place_of):
+            return
+        # The words that the stretches with a seed have of any of these items.
+        total = int(n_stretches.sum())
+        asked = np.zeros(total + 1, bool)
+        asked[place_of] = True
+        at = base[text] + block
+        at = np.flatnonzero(self.in_some[number] & (asked[np.minimum(at, total)] | asked[np.maximum(at - 1, 0)]))
+        place, word = np.divmod(np.unique(_pair(*placed(at), nothing + 1)), nothing + 1)
         # Different words share a column only in a large vocabulary, which keeps stretches but loses none.
         columns = min(nothing, 1 << 14)
         group = max(1, (1 << 24) // (columns + 1))
-        total = int(n_stretches.sum())
         owner = np.repeat(np.arange(len(n_words)), n_stretches)
-        width = self.padded.shape[1]
-        rows = max(1, (1 << 21) // width)
         good = np.zeros(len(place_of), bool)
         for low in range(0, total, group):
             a, b = np.searchsorted(place, (low, low + group))
             c, d = np.searchsorted(place_of, (low, low + group))
             if c == d:
                 continue
-            has = np.zeros((min(group, total - low), columns + 1), bool)
+            has = np.zeros((min(group, total - low), columns), bool)
             has[place[a:b] - low, word[a:b] % columns] = True
-            for k in range(c, d, rows):
-                part = slice(k, min(k + rows, d))
-                w = self.padded[item_of[part]]
-                column = np.where(w < nothing, w % columns, columns)
-                good[part] = has[place_of[part, None] - low, column].sum(axis=1) >= self.matches[item_of[part]]
+            piece = np.cumsum(self.length[item_of[c:d]]) >> 21
+            for k in np.split(np.arange(c, d), np.flatnonzero(np.diff(piece)) + 1):
+                lengths = self.length[item_of[k]]
+                hit = has[np.repeat(place_of[k] - low, lengths), self.flat[_ragged(self.at[item_of[k]], lengths)] % columns]
+                good[k] = np.add.reduceat(hit, np.cumsum(lengths) - lengths, dtype=np.int64) >= self.matches[item_of[k]]
         place_of, item_of = place_of[good], item_of[good]
         order = np.lexsort((place_of, item_of, owner[place_of]))
         mine = np.zeros(nothing + 1, bool)
@@ -165,9 +193,35 @@ class _Items:
             sums = np.concatenate([[0], np.cumsum(mine[number[low:high]])])
             mine[self.words[item]] = False
             span = min(int(self.span[item]), high - low)
-            enough = np.flatnonzero(sums[span:] - sums[:-span] >= self.matches[item])
-            if len(enough):
-                yield t, item, low + int(enough[0]), low + int(enough[-1]) + span
+            found = np.flatnonzero(sums[span:] - sums[:-span] >= self.matches[item])
+            if len(found):
+                yield t, item, low + int(found[0]), low + int(found[-1]) + span
+
+
+def _pair(place: np.ndarray, word: np.ndarray, width: int) -> np.ndarray:
+    return place * width + word
+
+
+def _classes(items: list[np.ndarray], known: np.ndarray, uses: np.ndarray, least: float, size: int) -> list[_Items]:
+    """The items in classes of length, each up to four times the one before."""
+    m = np.array([len(h) for h in items])
+    of = np.ceil(np.log2(np.maximum(m, 64) / 64) / 2).astype(int)
+    return [_Items(k, [items[i] for i in k.tolist()], known, uses, enough(m[k], least, size)) for c in np.unique(of) for k in [np.flatnonzero(of == c)]]
+
+
+def _aligned(classes: list[_Items], number: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+    """Text, item, share of the item's score, first and end word of the best alignment of each pair that scores enough."""
+    for items in classes:
+        near = list(items.stretches(number, first))
+        scores = best_scores([number[low:high] for *_, low, high in near], [items.words[item] for _, item, *_ in near])
+        good = [x for x, score in zip(near, scores.tolist(), strict=True) if score >= MATCH * items.length[x[1]] * items.share[x[1]] - 1e-6]
+        for (text, item), places in groupby(good, key=lambda x: x[:2]):
+            best = (0.0, 0, 0)
+            for *_, low, high in places:
+                score, x, y = align(number[low:high], items.words[item])
+                best = max(best, (score, low + x, low + y), key=lambda t: t[0])
+            if best[2] > best[1]:
+                yield text, int(items.which[item]), best[0] / (MATCH * len(items.words[item])), best[1], best[2]
 
 
 def _leaks_of_block(docs: DataFrame, rows: list[tuple[int, str]], size: int, least: float) -> DataFrame:
@@ -194,31 +248,19 @@ def _leaks_of_block(docs: DataFrame, rows: list[tuple[int, str]], size: int, lea
     uses = np.zeros(len(known), np.int64)
     for word, n in docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n")).collect():
         uses[word] = n
-    sought = _Items([h for _, h in items], known, uses, least)
-    #: Of items so short that common phrases would score enough: the runs of words of which a text must hold one.
-    runs = {i: (r := min(size, len(h)), windows(h, r)) for i, (_, h) in enumerate(items) if len(h) < 2 * size}
+    sought = docs.sparkSession.sparkContext.broadcast((known, [i for i, _ in items], _classes([h for _, h in items], known, uses, least, size)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, item_ids, classes = sought.value
         for batch in batches:
             ids, texts, found = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), []
             for begin, end in chunks(texts):
                 first, (h,), starts, ends, buffer = words(texts[begin:end], _TABLE)
                 number = _numbers(known, h)
-                near_items = list(sought.stretches(number, first))
-                scores = best_scores([number[low:high] for *_, low, high in near_items], [sought.words[item] for _, item, *_ in near_items])
-                enough = [x for x, score in zip(near_items, scores.tolist(), strict=True) if score / (MATCH * len(sought.words[x[1]])) >= least]
-                for (text, item), near in groupby(enough, key=lambda x: x[:2]):
-                    item_id, sequence = items[item]
-                    a, b = int(first[text]), int(first[text + 1])
-                    if item in runs and not np.isin(windows(h[a:b], runs[item][0]), runs[item][1]).any():
-                        continue
-                    best = (0.0, 0, 0)
-                    for *_, low, high in near:
-                        score, x, y = align(h[low:high], sequence)
-                        best = max(best, (score / (MATCH * len(sequence)), low + x, low + y), key=lambda t: t[0])
-                    if best[0] >= least and best[2] > best[1]:
-                        passage = buffer[starts[best[1]] : ends[best[2] - 1]].decode("utf-8", "replace")
-                        found.append((ids[begin + text], item_id, best[0], best[1] - a, best[2] - a, passage, sha256(texts[begin + text]).hexdigest()))
+                for text, item, score, low, high in _aligned(classes, number, first):
+                    a = int(first[text])
+                    passage = buffer[starts[low] : ends[high - 1]].decode("utf-8", "replace")
+                    found.append((ids[begin + text], item_ids[item], score, low - a, high - a, passage, sha256(texts[begin + text]).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 7, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word", "passage", "digest"])
 
     return docs.mapInArrow(scan, kind)

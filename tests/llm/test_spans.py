@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import time
 
 import brute
 import numpy as np
 import pytest
 
-from skytally.llm.decontamination import align, decontaminate, find_leaks
+from skytally.llm.decontamination import _Items, align, decontaminate, find_leaks
 from skytally.llm.html_text import extract_text, main_text, parse, score
 from skytally.llm.pieces import MODEL, Codec, encode_pieces
 from skytally.llm.pii import find_pii, pattern_scores, pii_report
@@ -83,16 +84,41 @@ def test_pattern_scores(spark):
 
 def test_pii_rows_apart(table):
     """Rows of one id, null ids too, have the spans of their own text."""
-    key = "0123456789abcdef0123"
-    texts = [f"here password={key} it is, and a@b.cz", "short", f"{key} first", "", "plain words only"]
+    keys = [hashlib.md5(str(k).encode()).hexdigest() for k in range(6)]
+    others = [f"here password={k} it is" for k in keys[1:]]
+    texts = [f"here password={keys[0]} it is, and a@b.cz", "short", f"{keys[1]} first", "", "plain words only", *others]
     for i in (None, 7):
         rows = pii_report(find_pii(table([(i, t) for t in texts]))).collect()
-        at = texts[0].index(key)
         mail = texts[0].index("a@b.cz")
-        assert sorted(r.spans for r in rows) == sorted([f"email:{mail}:{mail + 6},other:{at}:{at + 20}", "", "other:0:20", "", ""])
+        assert sorted(r.spans for r in rows) == sorted([f"email:{mail}:{mail + 6},other:14:46", "", "", "", "", *["other:14:46"] * 5])
         assert all(r.doc_id == i for r in rows)
 
 
+def test_pii_forms_alone_add_nothing(table):
+    """Digests and trace ids in prose are no personal data; in a context that seeds made known, tokens of any form are."""
+    rng = random.Random(3)
+    digest = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    prose = lambda: " ".join(rng.choice("amber birch cedar delta ember".split()) for _ in range(rng.randint(2, 6)))
+    rows = [(k, f"{prose()} commit {digest(40)} {prose()} md5 {digest(32)} {prose()} trace {digest(16)} {prose()}") for k in range(40)]
+    rows += [(100 + k, f'{prose()} secret = "{digest(40)}" {prose()}') for k in range(20)]
+    rows += [(200 + k, f'{prose()} secret = "{rng.choice("xyz")}{rng.randrange(10**7, 10**8)}" {prose()}') for k in range(5)]
+    texts = dict(rows)
+    other = {(r.doc_id, texts[r.doc_id][s.start : s.end]) for r in find_pii(table(rows)).collect() for s in r.other}
+    assert {d for d, _ in other} == {k for k, _ in rows if k >= 100}
+    assert all(f'secret = "{v}"' in texts[d] for d, v in other)
+    assert not [s for r in find_pii(table(rows[:40])).collect() for s in r.other]
+
+
+def test_pii_of_the_tables(spark):
+    """Every planted secret of the given documents is found, through a pattern, and no other hexadecimal literal."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    planted = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    bare = {(i, m.start(), m.end()) for i, t in texts.items() for m in re.finditer(r"(?<![\w\"-])(?=[0-9]*[a-f])[0-9a-f]{16,128}(?![\w-])", t)}
+    added = {(r.doc_id, s.start, s.end) for r in find_pii(docs).collect() for s in r.other}
+    assert len(planted) > 100 and len(planted & added) >= 0.98 * len(planted) and not bare & added
+
+
 def test_pii_odd(table, odd):
     rows = pii_report(find_pii(table(odd))).collect()
     assert len(rows) == len(odd) and all(r.n_email == r.n_card == 0 and r.spans == "" for r in rows if r.doc_id in (1, 2, 3, 4, 7))
@@ -157,6 +183,45 @@ def test_leaks_edited(spark, table):
     assert {(r.doc_id, r.item_id): round(r.score, 9) for r in found} == {k: round(v, 9) for k, v in wanted.items()}
 
 
+def test_leaks_of_short_items(spark, table):
+    """Items of 1 to 12 words, common words among them, copies with edits: by plain alignment of every pair."""
+    rng = random.Random(7)
+    word = lambda: "abcdefghijklmnopqrstuvwxyz"[int(26 * rng.random() ** 2)] * 2
+    items = [[word() for _ in range(1 + k % 12)] for k in range(36)]
+    docs = []
+    for k in range(160):
+        copy = list(rng.choice(items))
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            at = rng.randrange(len(copy) + 1)
+            copy[at : at + rng.randint(0, 1)] = rng.choice([[], ["new"]])
+        docs.append([word() for _ in range(rng.randint(0, 8))] + copy + [word() for _ in range(rng.randint(0, 8))])
+    docs.append("say alpha bravo charlie new delta echo foxtrot now".split())
+    items.append("alpha bravo charlie delta echo foxtrot".split())
+    wanted = {}
+    for i, w in enumerate(docs):
+        for k, item in enumerate(items):
+            share = brute.alignment(w, item) / (2 * len(item))
+            if share >= max(0.5, min(1.0, 4 / len(item))) - 1e-9:
+                wanted[i, k] = round(share, 9)
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = find_leaks(table([(i, " ".join(w)) for i, w in enumerate(docs)]), benchmark).collect()
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in found} == wanted and (160, 36) in wanted and len(wanted) > 300
+
+
+def test_leaks_with_one_long_item(spark, table):
+    """One item of very many words among short ones widens nothing for those, and is found where it is copied."""
+    rng = random.Random(8)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items = [prose(12) for _ in range(400)] + [prose(20_000)]
+    docs = [prose(60) + items[k] + prose(60) for k in range(0, 400, 40)] + [prose(300) for _ in range(20)]
+    docs.append(items[400][:9000] + ["new"] + items[400][9001:15_000])
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    found = find_leaks(table([(i, " ".join(w)) for i, w in enumerate(docs)]), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, 40 * k) for k in range(10)} | {(30, 400)}
+    sizes = [_Items(np.arange(len(part)), [np.arange(n) for n in part], np.arange(20_000, dtype=np.uint64), np.zeros(20_000, np.int64), np.full(len(part), 0.5)) for part in ([12] * 400, [12] * 400 + [20_000])]
+    assert sizes[1].flat.nbytes - sizes[0].flat.nbytes == 20_000 * 8
+
+
 def test_leaks_odd(spark, table, odd):
     items = spark.createDataFrame([(1, "lost words of a row without an id"), (2, "same row")], "item_id long, text string")
     got = [(r.doc_id, r.item_id) for r in find_leaks(table(odd), items).collect()]
