@@ -151,13 +151,24 @@ def points(root):
             out[container] += gain
             if container.parent is not None:
                 out[container.parent] += gain / 2
+    def gain_of(node):
+        running = text(node, lambda c: c.tag not in h._BLOCK)
+        own = 0.0
+        if node.tag in h._BLOCK and node is not root and running >= h.LEAST_TEXT:
+            own = (1 + "".join(c for c in node.children if isinstance(c, str)).count(",") + min(running // 100, h.MOST_LENGTH)) * (1 - link_text(node) / text(node))
+        return own + sum(gain_of(c) for c in node.elements())
+
+    total, length = gain_of(root), text(root)
+    held = {n: gain_of(n) / total if total else text(n) / length if length else 0 for n in out}
+    density = {n: link_text(n) / text(n) if text(n) else 0 for n in out}
+    weak = {n: n.noisy == h._WEAKLY and not (density[n] < h.LINKED and gain_of(n) >= 2) for n in out}
+    noise = {n: (held[n] <= h.MOST and (n.noisy >= h._NAMED or weak[n])) or (n.noisy == h._READERS_OWN and total - gain_of(n) >= 2) for n in out}
     for node in out:
         above, named = node, False
         while above is not None:
-            named |= above.noisy == h._NAMED
+            named |= noise[above]
             above = above.parent
-        share = link_text(node) / text(node) if text(node) else 0
-        out[node] *= (1 - share) * (h.NAMED if named else h.MENTIONED if node.noisy else h.ARTICLE if node.tag in ("article", "main") else 1)
+        out[node] *= (1 - density[node]) * (h.NAMED if named else h.MENTIONED if node.noisy and held[node] <= h.MOST else h.ARTICLE if node.tag in ("article", "main") else 1)
     return out
 
 

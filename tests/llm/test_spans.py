@@ -277,6 +277,17 @@ _Q = "Another ordinary paragraph, also with commas, and with enough words to be
         (f"<article><p>{_P}<p>{_Q}</article><div class='comments'><p>{'A reader says, at length, a lot. ' * 20}</p></div>", (_P, _Q)),
         (f"<p>{_P}<p>1 < 2 & 3 > 2, <a href='x>y' title=\"it's\">{_Q}</a>", (_P, f"1 < 2 & 3 > 2, {_Q}")),
         (f'<p>{_P}</p><p title="never closed>{_Q}</p>', (_P, _Q)),
+        (f'<body><form id="aspnetForm"><div><p>{_P}<p>{_Q}</div></form></body>', (_P, _Q)),
+        (f'<article><p>{_P}<svg class="i"/><p>{_Q}</article>', (_P, _Q)),
+        (f"<body><div id=w><div><div><p>{_P}<p>{_P}</div></div><div><div><p>{_Q}<p>{_Q}</div></div></div></body>", (_P, _P, _Q, _Q)),
+        (f'<div class="notice"><p>{_P}<p>{_Q}</div>', (_P, _Q)),
+        *((f'<article><p>{_P}<div class="{c}"><p>Buy, now, all of it, and more of this, today.</div><p>{_Q}<p>{_P}</article>', (_P, _Q, _P)) for c in ("cookie-banner", "ad-slot", "newsletter-signup", "user-comments", "cookieBanner", "adslot")),
+        (f'<article><p>{_P}<p>{_Q}<div class="related-posts"><a href=x>Another post of ours</a> <a href=y>And one more post</a></div></article>', (_P, _Q)),
+        (f'<article><p>{_P}<section class="related-work"><p>{_Q}<p>{_P}</section><p>{_Q}<p>{_P}</article>', (_P, _Q, _P, _Q, _P)),
+        *((f'<body><p>{_P}<p>{_Q}<p>{_P}<p>{_Q}<div class="{c}"><p>A reader says, this is long, very long, and has commas.</div></body>', (_P, _Q, _P, _Q)) for c in ("commentlist", "cookie-banner", "comment-thread")),
+        (f"<table><tr><td><a href=/>Home</a></td><td><p>{_P}<p>{_Q}</td></tr></table>", (_P, _Q)),
+        (f"<div><p>{_P}<ul><li><a href=x>One</a><li><a href=y>Two</a></ul><p>{_Q}</div>", (_P, "One", "Two", _Q)),
+        (f"<article><p>{_P}<form><label>Mail</label><input></form><p>{_Q}</article>", (_P, _Q)),
     ],
 )
 def test_main_text_of_ordinary_pages(page, texts):
@@ -297,7 +308,7 @@ def test_points():
     def random_page(depth):
         if depth == 0 or rng.random() < 0.2:
             return " ".join(rng.choices(["word,", "longer-word", "a", "text,", "more"], k=rng.randint(1, 60)))
-        return "".join(f"<{t}{rng.choice(['', '', ' class=widget', ' id=my-comments', ' class=plain'])}>{random_page(depth - 1)}</{t}>" for t in rng.choices(["div", "p", "section", "a", "article", "h2", "b", "nav", "ul", "main"], k=rng.randint(1, 4)))
+        return "".join(f"<{t}{rng.choice(['', '', ' class=widget', ' id=my-comments', ' class=plain', ' class=share-box', ' class=a-related-b'])}>{random_page(depth - 1)}</{t}>" for t in rng.choices(["div", "p", "section", "a", "article", "h2", "b", "nav", "ul", "main"], k=rng.randint(1, 4)))
 
     for _ in range(150):
         page = random_page(5)
