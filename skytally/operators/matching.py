@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .scans import carried, last_known, next_known
 
 
 def valid_at(at: Column, first: Column, last: Column) -> Column:
@@ -78,9 +79,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, at: str, most_s
     """Each left row with the nearest right one of its key, before or after it; the earlier of equals; none beyond ``most_s``."""
     sides = left.select(key, at, "event_id", F.lit(1).alias("_side")).unionByName(right.select(key, at, "event_id", F.lit(0).alias("_side")))
     mark = F.when(F.col("_side") == 0, F.struct(F.unix_micros(at).alias("us"), "event_id"))
-    before = F.max(mark).over(Window.partitionBy(key).orderBy(at).rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(mark).over(Window.partitionBy(key).orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, 0))
-    both = sides.withColumns({"b": before, "a": after, "us": F.unix_micros(at)}).where("_side = 1")
+    # Right rows of the same time come first, so they are before.
+    found = carried(sides.withColumn("_tie", F.struct("_side", "event_id")), [key], at, "_tie", b=last_known(mark), a=next_known(mark))
+    both = found.withColumn("us", F.unix_micros(at)).where("_side = 1")
     back, forth = F.col("us") - F.col("b.us"), F.col("a.us") - F.col("us")
     take = F.when(F.col("a").isNull() | (back <= forth), F.col("b")).otherwise(F.col("a"))
     gap = F.abs(F.col("us") - F.col("t.us"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.buckets import azimuth, coverage_altitude, coverage_range, receiver_altitude
+from .scans import carried, previous
 
 KM_PER_NM = 1.852
 
@@ -65,10 +66,9 @@ def fastest(obs: DataFrame) -> DataFrame:
 
 def message_totals(obs: DataFrame) -> DataFrame:
     """A monotonic counter that may reset, to daily totals."""
-    order = Window.partitionBy("icao_hex").orderBy("observed_at", "event_id")
-    last = F.lag("raw_messages").over(order)
+    last = F.col("last.raw_messages")
     step = F.when(last.isNull(), 0).when(F.col("raw_messages") < last, F.col("raw_messages")).otherwise(F.col("raw_messages") - last)
-    return obs.withColumn("step", step).groupBy("day").agg(F.sum("step").cast("long").alias("messages"))
+    return carried(obs, ["icao_hex"], "observed_at", "event_id", last=previous(F.struct("raw_messages"))).withColumn("step", step).groupBy("day").agg(F.sum("step").cast("long").alias("messages"))
 
 
 def capture_counters(obs: DataFrame) -> DataFrame:

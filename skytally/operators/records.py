@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from .scans import carried, previous
 
 
 def with_aircraft(flights: DataFrame, aircraft: DataFrame) -> DataFrame:
@@ -59,8 +57,8 @@ def matched_rules(aircraft: DataFrame, rules: list[tuple[int, str, str, float |
 
 def weather_quality(samples: DataFrame) -> DataFrame:
     """REJECTED with the first reason, HIGH without an earlier sample, GOOD otherwise."""
-    order = Window.partitionBy("icao_hex").orderBy("observed_at", "event_id")
-    before = lambda c: F.lag(c).over(order)
+    samples = carried(samples, ["icao_hex"], "observed_at", "event_id", last=previous(F.struct("event_id", "observed_at", "temperature_c", "wind_from", "wind_kt")))
+    before = lambda c: F.col(f"last.{c}")
     elapsed = F.unix_millis("observed_at") - F.unix_millis(before("observed_at"))
     soon = (elapsed > 0) & (elapsed <= 15_000)
     off = lambda c, a, b: F.coalesce(~F.col(c).between(a, b), F.lit(False))
@@ -72,9 +70,11 @@ def weather_quality(samples: DataFrame) -> DataFrame:
 
 def stable_altitude(obs: DataFrame, minutes: int = 30, spread_ft: int = 150) -> DataFrame:
     """Aircraft whose altitude in the last minutes hardly changed: the last altitude and the number of samples."""
-    last = Window.partitionBy("icao_hex")
     us = F.unix_micros("observed_at")
-    recent = obs.where("altitude_ft IS NOT NULL").groupBy("icao_hex", "observed_at").agg(F.max_by("altitude_ft", "event_id").alias("altitude_ft")).withColumn("end", F.max(us).over(last)).where(us >= F.col("end") - minutes * 60_000_000)
+    known = obs.where("altitude_ft IS NOT NULL")
+    # The latest times first: only what is recent is grouped then.
+    recent = known.join(known.groupBy("icao_hex").agg(F.max(us).alias("end")), "icao_hex").where(us >= F.col("end") - minutes * 60_000_000)
+    recent = recent.groupBy("icao_hex", "observed_at").agg(F.max_by("altitude_ft", "event_id").alias("altitude_ft"))
     per = recent.groupBy("icao_hex").agg(F.count("*").alias("samples"), F.max_by("altitude_ft", "observed_at").alias("altitude_ft"), (F.max(us) - F.min(us)).alias("length"), (F.max("altitude_ft") - F.min("altitude_ft")).alias("spread"))
     return per.where((F.col("samples") >= 3) & (F.col("length") >= 120_000_000) & (F.col("spread") <= spread_ft)).select("icao_hex", "altitude_ft", "samples")
 
@@ -189,51 +189,9 @@ def public_view(obs: DataFrame, mode: str, lat: float, lon: float) -> DataFrame:
     return obs.select(*keep, F.round(geo.haversine_km(*at, F.col("lat"), F.col("lon")), 5).alias("distance_km"), F.round(geo.bearing(*at, F.col("lat"), F.col("lon")), 5).alias("bearing"))
 
 
-def keep_greedily(rows: DataFrame, keys: list[str], at: str, keep: Callable[[pd.Series, pd.Series], bool]) -> DataFrame:
-    """Rows of each group in order of time, each kept if ``keep(last kept one, row)`` says so.
-
-    What is kept depends on what was kept before, so a group is one task's work:
-    the keys have to bound it, as an aircraft and a day do.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([at, "event_id"], ignore_index=True)
-        taken, last = [], None
-        for i, row in enumerate(group.itertuples(index=False)):
-            if last is None or keep(last, row):
-                taken.append(i)
-                last = row
-        return group.iloc[taken]
-
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
-
-
-def plausible_step(last, row, km_per_s: float = 0.45) -> bool:
-    """Whether a position can follow another: later, and not faster than any aircraft flies."""
-    from math import asin, cos, radians, sin, sqrt
-
-    seconds = (row.observed_at - last.observed_at).total_seconds()
-    if seconds <= 0:
-        return False
-    a = sin(radians(row.lat - last.lat) / 2) ** 2 + cos(radians(last.lat)) * cos(radians(row.lat)) * sin(radians(row.lon - last.lon) / 2) ** 2
-    return 2 * geo.EARTH_KM * asin(min(1.0, sqrt(a))) / seconds <= km_per_s
-
-
-def sampled_step(last, row, seconds: float = 20.0) -> bool:
-    return (row.observed_at - last.observed_at).total_seconds() >= seconds
-
-
-
-
 def monitoring(status: DataFrame) -> DataFrame:
     """State and advised action of receivers (offline, rate, position_age, aircraft)."""
     quiet, old = (F.col("rate") < 1) | (F.col("aircraft") == 0), F.col("position_age") > 60
     state = F.when(F.col("offline"), "OFFLINE").when(quiet | old, "DEGRADED").otherwise("HEALTHY")
     action = F.when(F.col("offline"), "CHECK_READSB").when(quiet, "CHECK_ANTENNA_OR_RF").when(old, "OBSERVE").otherwise("NONE")
     return status.withColumns({"state": state, "action": action})
-
-
-def changed_step(last, row, degrees: float = 0.1, heartbeat_s: float = 120.0) -> bool:
-    """Whether an integrity observation says something new: another source, band or state, a move, or time enough."""
-    moved = abs(row.lat - last.lat) >= degrees or abs(row.lon - last.lon) >= degrees
-    return moved or (row.source, row.band, row.state) != (last.source, last.band, last.state) or (row.observed_at - last.observed_at).total_seconds() >= heartbeat_s

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.geo import haversine_km
+from .folds import by_chain
 
 
 def usable(lat: Column, lon: Column) -> Column:
@@ -79,17 +80,19 @@ def sessions(calls: DataFrame, minutes: int = 10) -> DataFrame:
     if another call sign ended it, when that was; the last one is open. Its greatest
     altitude counts 0 as unknown once there are two rows.
     """
-    order = Window.partitionBy("icao_hex").orderBy("observed_at", "event_id")
-    at = F.unix_micros("observed_at")
-    rows = calls.withColumns({"at": at, "gap": F.coalesce((at - F.lag(at).over(order) > minutes * 60_000_000), F.lit(False))})
-    rows = rows.withColumn("run", F.sum(F.col("gap").cast("int")).over(order))
-    inside = Window.partitionBy("icao_hex", "run").orderBy("observed_at", "event_id")
-    known = F.last("callsign", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("renamed", F.coalesce(F.col("callsign") != known, F.lit(False)))
-    rows = rows.withColumn("session", F.sum((F.col("gap") | F.col("renamed")).cast("long")).over(order))
+
+    def step(known: Column, row: Column) -> tuple[Column, Column]:
+        renamed = F.coalesce(row["callsign"] != known["callsign"], F.lit(False))
+        part = F.coalesce(known["part"], F.lit(0)) + renamed.cast("int")
+        return F.struct(F.coalesce(row["callsign"], known["callsign"]).alias("callsign"), part.alias("part")), F.struct(renamed.alias("renamed"), part.alias("part"))
+
+    # A gap of the very length ends nothing.
+    rows = by_chain(calls.withColumn("at", F.unix_micros("observed_at")), ["icao_hex"], "observed_at", "event_id", minutes * 60 + 1e-6, "struct<callsign:string,part:int>", "struct<renamed:boolean,part:int>", step)
+    rows = rows.withColumns({"renamed": F.col("decision.renamed"), "part": F.col("decision.part")})
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("at", "event_id"))).alias(c)
     highest = F.when(F.count("*") == 1, F.max("altitude_ft")).otherwise(F.nullif(F.max(F.coalesce("altitude_ft", F.lit(0))), F.lit(0)))
-    flights = rows.groupBy("icao_hex", "session").agg(first("callsign"), first("aircraft_type"), F.count("*").alias("positions"), F.min("at").alias("start_us"), F.max("at").alias("last_us"), highest.alias("max_altitude"), F.min("distance_km").alias("min_distance_km"), F.max_by("renamed", F.struct(-F.col("at"), -F.col("event_id"))).alias("renamed"))
+    flights = rows.groupBy("icao_hex", "chain", "part").agg(first("callsign"), first("aircraft_type"), F.count("*").alias("positions"), F.min("at").alias("start_us"), F.max("at").alias("last_us"), highest.alias("max_altitude"), F.min("distance_km").alias("min_distance_km"), F.max_by("renamed", F.struct(-F.col("at"), -F.col("event_id"))).alias("renamed"))
+    flights = flights.withColumn("session", (F.row_number().over(Window.partitionBy("icao_hex").orderBy("chain", "part")) - 1).cast("long"))
     after = Window.partitionBy("icao_hex").orderBy("session")
     end = F.when(F.lead("renamed").over(after), F.lead("start_us").over(after)).when(F.lead("session").over(after).isNotNull(), F.col("last_us"))
     return flights.select("icao_hex", "session", "callsign", "aircraft_type", "positions", "start_us", F.coalesce(F.when(F.lead("renamed").over(after), end), F.col("last_us")).alias("last_seen_us"), end.alias("end_us"), "max_altitude", "min_distance_km")

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.buckets import grid_cell, integrity_altitude, profile_bin
 from ..functions.geo import wind_components
 from .receiver import at_ranks
+from .scans import carried, last_known, running_sum
 
 
 def gap_sessions(obs: DataFrame, minutes: int = 10) -> DataFrame:
     """Flights: a new one after a gap of more than ``minutes``; an altitude of 0 counts as unknown."""
-    order = Window.partitionBy("icao_hex").orderBy("observed_at", "event_id")
-    gap = F.unix_micros("observed_at") - F.unix_micros(F.lag("observed_at").over(order))
-    marked = obs.withColumn("session", F.sum((F.coalesce(gap, F.lit(0)) > minutes * 60_000_000).cast("long")).over(order))
-    return marked.groupBy("icao_hex", "session").agg(F.count("*").alias("positions"), F.unix_micros(F.min("observed_at")).alias("start_us"), F.unix_micros(F.max("observed_at")).alias("end_us"), F.nullif(F.max("altitude_ft"), F.lit(0)).alias("max_altitude"), F.min("distance_km").alias("min_distance_km"))
+    # A gap of the very length ends nothing.
+    window = F.session_window("observed_at", f"{minutes * 60_000_000 + 1} microseconds")
+    flights = obs.groupBy("icao_hex", window.alias("w")).agg(F.count("*").alias("positions"), F.unix_micros(F.min("observed_at")).alias("start_us"), F.unix_micros(F.max("observed_at")).alias("end_us"), F.nullif(F.max("altitude_ft"), F.lit(0)).alias("max_altitude"), F.min("distance_km").alias("min_distance_km"))
+    session = (F.row_number().over(Window.partitionBy("icao_hex").orderBy("start_us")) - 1).cast("long")
+    return flights.select("icao_hex", session.alias("session"), "positions", "start_us", "end_us", "max_altitude", "min_distance_km")
 
 
 def latest_before(reports: DataFrame, at: str, max_age_hours: int = 2, key: str = "icao_hex") -> DataFrame:
@@ -25,12 +27,11 @@ def latest_before(reports: DataFrame, at: str, max_age_hours: int = 2, key: str
     return fresh.groupBy(key).agg(F.max_by(F.col("event_id"), F.struct("observed_at", "event_id")).alias("event_id"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, carried: list[str]) -> DataFrame:
-    """Each left row with the last right row of its key at or before it: one union and one window, no pairs."""
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, taken: list[str]) -> DataFrame:
+    """Each left row with the last right row of its key at or before it: one union, and windows of a key and day; no pairs."""
     sides = left.withColumn("_side", F.lit(1)).unionByName(right.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    packed = F.last(F.when(F.col("_side") == 0, F.struct(*carried)), ignorenulls=True).over(order)
-    return sides.withColumn("_last", packed).where("_side = 1").select(*[c for c in left.columns], *(F.col(f"_last.{c}").alias(f"asof_{c}") for c in carried))
+    found = carried(sides, [key], at, "_side", _last=last_known(F.when(F.col("_side") == 0, F.struct(*taken))))
+    return found.where("_side = 1").select(*[c for c in left.columns], *(F.col(f"_last.{c}").alias(f"asof_{c}") for c in taken))
 
 
 def snapshot_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -104,8 +105,7 @@ def incident_flags(events: DataFrame, limit: float, key: str = "user_id", at: st
 
 def downsample(obs: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows of each key: both ends and evenly spaced ones between, by position."""
-    order = Window.partitionBy(key).orderBy("observed_at", "event_id")
-    ranked = obs.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy(key))})
+    ranked = carried(obs, [key], "observed_at", "event_id", _nth=running_sum(F.lit(1))).withColumn("i", F.col("_nth") - 1).join(obs.groupBy(key).agg(F.count("*").alias("n")), key)
     # Row i is taken if some j in 0..most-1 has floor(j * (n - 1) / (most - 1) + 0.5) = i.
     j = F.floor((F.col("i") - 0.5) * (most - 1) / (F.col("n") - 1))
     at = lambda x: F.floor(x * (F.col("n") - 1) / (most - 1) + 0.5)

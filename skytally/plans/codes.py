@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, geo
 from ..operators import integrity, records, reports, sequences
-from ..session import ship_package
 from ..sources.testdata import FLIGHTS, OBSERVATIONS, Frames
 from .base import query
 from .chains import STATES
@@ -85,22 +84,6 @@ def lasting_values(x: Frames) -> DataFrame:
     return x.aircraft().select("aircraft_id", codes.lasting_text(own, F.col("registration"), upper=True).alias("registration"))
 
 
-_STEP = "lag({}) OVER (PARTITION BY icao_hex ORDER BY observed_at, event_id)"
-
-
-@query(f"""
-, p AS (SELECT *, {_STEP.format('lat')} AS y0, {_STEP.format('lon')} AS x0, {_STEP.format('observed_at')} AS t0 FROM obs)
-SELECT event_id, NOT coalesce(observed_at > t0 AND {_hav('y0', 'x0', 'lat', 'lon')} > greatest(25, 900 * 1.852e0 * (epoch_us(observed_at) - epoch_us(t0)) / 3.6e9 * 1.5), false) AS credible FROM p""", OBS)
-def live_plausibility(x: Frames) -> DataFrame:
-    """Whether a position is within what its aircraft can fly from the one before."""
-    order = Window.partitionBy("icao_hex").orderBy("observed_at", "event_id")
-    us, before = F.unix_micros("observed_at"), lambda c: F.lag(c).over(order)
-    km = geo.haversine_km(before("lat"), before("lon"), F.col("lat"), F.col("lon"))
-    hours = (us - F.lag(us).over(order)) / 3.6e9
-    far = (hours > 0) & (km > F.greatest(F.lit(25.0), 900 * 1.852 * hours * 1.5))
-    return x.observations().select("event_id", (~F.coalesce(far, F.lit(False))).alias("credible"))
-
-
 @query("""
 , l AS (SELECT icao_hex, count(*) AS n, min(observed_at) AS f, max(CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END) AS alarm, arg_max(distance_km, (observed_at, event_id)) AS km FROM obs GROUP BY 1)
 SELECT icao_hex, CASE WHEN f >= TIMESTAMP '2024-01-01 03:00:00' THEN 10 ELSE 0 END + alarm * 9 + CASE WHEN n <= 60 THEN 1 ELSE 0 END AS score, n AS positions FROM l WHERE f >= TIMESTAMP '2024-01-01 03:00:00' OR alarm = 1 OR n <= 60 ORDER BY score DESC, n DESC, icao_hex LIMIT 8""", OBS)
@@ -178,17 +161,3 @@ s AS (SELECT *, CASE WHEN rank > 0 AND coalesce(lag(rank) OVER w, 0) = 0 THEN 1
 SELECT user_id, CAST(incident AS BIGINT) AS incident, count(*) AS occurrences, arg_min(event_id, (ts, event_id)) AS first_id, arg_max(event_id, (ts, event_id)) AS last_id, last(nx ORDER BY ts, event_id) AS resolved_id, list_extract(['warning', 'degraded', 'critical'], max(rank)) AS severity FROM i WHERE rank > 0 GROUP BY 1, 2""")
 def runtime_incidents(x: Frames) -> DataFrame:
     return sequences.incidents(x.table("events"), 60.0)
-
-
-@query(f"""
-, k AS (SELECT *, row_number() OVER (PARTITION BY icao_hex, band ORDER BY observed_at, event_id) AS i FROM cell WHERE observed_at < TIMESTAMP '2024-01-06 00:00:00'),
-w AS (SELECT icao_hex, band, i, event_id, observed_at AS t0, lat AS y0, lon AS x0, source AS s0, state AS z0, true AS kept FROM k WHERE i = 1
-  UNION ALL SELECT k.icao_hex, k.band, k.i, k.event_id, CASE WHEN g THEN k.observed_at ELSE t0 END, CASE WHEN g THEN k.lat ELSE y0 END, CASE WHEN g THEN k.lon ELSE x0 END, CASE WHEN g THEN k.source ELSE s0 END, CASE WHEN g THEN k.state ELSE z0 END, g
-  FROM (SELECT k.*, w.t0, w.y0, w.x0, w.s0, w.z0, abs(k.lat - y0) >= 1.2 OR abs(k.lon - x0) >= 1.2 OR k.source <> s0 OR k.state <> z0 OR epoch(k.observed_at) - epoch(t0) >= 86400 AS g FROM w JOIN k ON k.icao_hex = w.icao_hex AND k.band = w.band AND k.i = w.i + 1) k)
-SELECT event_id FROM w WHERE kept""", (OBSERVATIONS.replace("obs0 AS", "RECURSIVE obs0 AS", 1), STATES))
-def integrity_heartbeats(x: Frames) -> DataFrame:
-    """With a day and 1.2 degrees, as the test reports are far apart."""
-    ship_package(x.spark)
-    cells = integrity.celled(x.signals()).where(F.col("observed_at") < F.lit("2024-01-06").cast("timestamp"))
-    rows = cells.select("event_id", "icao_hex", "band", "observed_at", "lat", "lon", "source", "state")
-    return records.keep_greedily(rows, ["icao_hex", "band"], "observed_at", lambda last, row: records.changed_step(last, row, 1.2, 86_400)).select("event_id")

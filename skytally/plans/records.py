@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import records, reports
-from ..session import ship_package
 from ..sources.testdata import FLIGHTS, OBSERVATIONS, RECEIVER, Frames
 from .base import query
 from .matching import _brg, _hav, _turn
@@ -186,33 +185,3 @@ def csv_export(x: Frames) -> DataFrame:
 def public_projection(x: Frames) -> DataFrame:
     part = lambda mode: records.public_view(x.observations(), mode, RECEIVER[0] + 0.03, 15.43).withColumn("mode", F.lit(mode))
     return part("approximate").unionByName(part("hidden"))
-
-
-_DAYS = OBSERVATIONS.replace("obs0 AS", "RECURSIVE obs0 AS", 1)
-
-
-def _walk(keep: str) -> str:
-    return f"""
-, k AS (SELECT *, row_number() OVER (PARTITION BY icao_hex, day ORDER BY observed_at, event_id) AS i FROM obs),
-w AS (SELECT icao_hex, day, i, event_id, observed_at AS t0, lat AS y0, lon AS x0, true AS kept FROM k WHERE i = 1
-  UNION ALL SELECT k.icao_hex, k.day, k.i, k.event_id, CASE WHEN {keep} THEN k.observed_at ELSE t0 END, CASE WHEN {keep} THEN k.lat ELSE y0 END, CASE WHEN {keep} THEN k.lon ELSE x0 END, {keep} FROM w JOIN k ON k.icao_hex = w.icao_hex AND k.day = w.day AND k.i = w.i + 1)
-SELECT event_id FROM w WHERE kept"""
-
-
-_SECONDS = "(epoch(k.observed_at) - epoch(t0))"
-
-
-@query(_walk(f"({_SECONDS} > 0 AND {_hav('y0', 'x0', 'k.lat', 'k.lon')} / nullif({_SECONDS}, 0) <= 0.02)"), (_DAYS,))
-def plausible_trail(x: Frames) -> DataFrame:
-    """At 20 metres a second, as the test reports are far apart."""
-    ship_package(x.spark)
-    rows = x.observations().select("event_id", "icao_hex", "day", "observed_at", "lat", "lon")
-    return records.keep_greedily(rows, ["icao_hex", "day"], "observed_at", lambda last, row: records.plausible_step(last, row, 0.02)).select("event_id")
-
-
-@query(_walk(f"({_SECONDS} >= 7200)"), (_DAYS,))
-def history_sampling(x: Frames) -> DataFrame:
-    """One report in two hours at most, as the test reports are far apart."""
-    ship_package(x.spark)
-    rows = x.observations().select("event_id", "icao_hex", "day", "observed_at", "lat", "lon")
-    return records.keep_greedily(rows, ["icao_hex", "day"], "observed_at", lambda last, row: records.sampled_step(last, row, 7200.0)).select("event_id")

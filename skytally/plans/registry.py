@@ -340,6 +340,6 @@ def frequency_summary(x: Frames) -> DataFrame:
 
 
 # The other families register themselves as well.
-from . import chains, codes, feeds, matching, records, reports, streams  # noqa: E402, F401
+from . import chains, codes, feeds, folds, matching, records, reports, streams  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES"]

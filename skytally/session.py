@@ -37,6 +37,30 @@ def shared_folder(spark: SparkSession) -> str:
     return (base or "file:///tmp/checkpoints/skytally").rstrip("/")
 
 
+class Steps:
+    """Writes one table after another and deletes each when the next is written, so that later jobs do not make the earlier ones again."""
+
+    def __init__(self) -> None:
+        self._last: DataFrame | None = None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        written = cut_lineage(df)
+        if self._last is not None:
+            discard(self._last)
+        self._last = written
+        return written
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/step-" not in folder:
+            raise ValueError(f"{folder} is not an intermediate table")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that all executors share, and read again."""
     spark = df.sparkSession
