@@ -41,3 +41,8 @@ def profile_bin(ft: Column, size: int = 2000) -> Column:
 
 def grid_cell(lat: Column, lon: Column, degrees: float = 0.2) -> tuple[Column, Column]:
     return F.floor(lat / degrees).cast("long"), F.floor(lon / degrees).cast("long")
+
+
+def weather_band(ft: Column) -> Column:
+    """Bands of weather reports by flight level."""
+    return F.when(ft < 10_000, "below_FL100").when(ft < 20_000, "FL100_FL200").when(ft < 30_000, "FL200_FL300").when(ft < 40_000, "FL300_FL400").otherwise("above_FL400")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.buckets import grid_cell, integrity_altitude
 from ..session import cut_lineage
+from .reports import usable
 
 # At or below these a category counts as low.
 LOW = {"nic": 5, "nac_p": 6, "nac_v": 2, "sil": 1, "sda": 1, "gva": 2}
@@ -22,12 +23,13 @@ def state() -> Column:
     return F.when(low_fields() == 0, "NORMAL").when(severe, "SEVERE").when(low_fields() >= 2, "DEGRADED").otherwise("REDUCED")
 
 
-def rejection(age_s: Column, telemetry_s: Column, most_position: int = 45, most_integrity: int = 90, most_skew: int = 90) -> Column:
-    """The first reason against an observation, null if there is none."""
+def rejection(age_s: Column, telemetry_s: Column, most_position: int = 45, most_integrity: int = 90, most_skew: int = 90, refused: Column | None = None) -> Column:
+    """The first reason against an observation, null if there is none; ``refused`` says that one was refused all the same."""
     populated = F.coalesce(*(F.col(c).cast("double") for c in LOW)).isNotNull()
     return (
-        F.when(F.col("lat").isNull() | F.col("lon").isNull(), "no_position").when(F.coalesce(age_s > most_position, F.lit(True)), "stale_position").when(~F.col("source").isin("LOCAL", "NETWORK"), "unsupported_source")
-        .when(F.col("on_ground"), "on_ground").when(~populated, "no_integrity_fields").when(telemetry_s > most_integrity, "stale_integrity").when(F.abs(telemetry_s - age_s) > most_skew, "position_integrity_skew")
+        F.when(~usable(F.col("lat"), F.col("lon")), "no_position").when(F.coalesce(age_s > most_position, F.lit(True)), "stale_position").when(~F.col("source").isin("LOCAL", "NETWORK"), "unsupported_source")
+        .when(F.col("on_ground"), "on_ground").when(~populated, "no_integrity_fields").when(F.coalesce(telemetry_s > most_integrity, F.lit(True)), "stale_integrity").when(F.abs(telemetry_s - age_s) > most_skew, "position_integrity_skew")
+        .when(F.lit(False) if refused is None else refused, "invalid_telemetry")
     )
 
 

@@ -158,9 +158,11 @@ def upsert_changed(stored: DataFrame, new: DataFrame, key: str, fields: list[str
     return both.select(key, *(F.coalesce(f, f"_{f}").alias(f) for f in fields), changed.alias("written"))
 
 
-def insert_new(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The rows of ``new`` that an insert adds: the first of each key that is not stored."""
-    return new.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+def insert_new(stored: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The rows of ``new`` that an insert adds: the first by ``order`` of each key that is not stored."""
+    others = [c for c in new.columns if c not in (key, *order)]
+    first = new.groupBy(key).agg(F.min(F.struct(*order, *others)).alias("_r"))
+    return first.join(stored.select(key), key, "left_anti").select(key, "_r.*").select(*new.columns)
 
 
 def retained(rows: DataFrame, at: str, now: str, days: int = 30) -> DataFrame:

@@ -95,7 +95,7 @@ def interesting_aircraft(x: Frames) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.desc("positions"), "icao_hex").limit(8).select("icao_hex", "score", "positions")
 
 
-@query("SELECT kind, id, tier, field FROM (SELECT 'flight' AS kind, CAST(flight_id AS VARCHAR) AS id, CASE WHEN lower(callsign) = 'cs1' THEN 0 WHEN lower(callsign) LIKE 'cs1%' THEN 1 END AS tier, 0 AS field FROM fl WHERE flight_id <= 3000 UNION ALL SELECT 'airport', icao, CASE WHEN lower(icao) = 'cs1' THEN 0 WHEN lower(name) LIKE '%cs1%' THEN 2 END, 1 FROM ap UNION ALL SELECT 'aircraft', icao_hex, CASE WHEN lower(operator) LIKE '%cs1%' THEN 2 END, 2 FROM air) WHERE tier IS NOT NULL ORDER BY tier, kind, field, id LIMIT 20", (FLIGHTS,))
+@query("SELECT kind, id, tier, field FROM (SELECT 'flight' AS kind, CAST(flight_id AS VARCHAR) AS id, CASE WHEN lower(callsign) = 'cs1' THEN 0 WHEN lower(callsign) LIKE 'cs1%' THEN 1 END AS tier, 0 AS field FROM fl UNION ALL SELECT 'airport', icao, CASE WHEN lower(icao) = 'cs1' THEN 0 WHEN lower(name) LIKE '%cs1%' THEN 2 END, 1 FROM ap UNION ALL SELECT 'aircraft', icao_hex, CASE WHEN lower(operator) LIKE '%cs1%' THEN 2 END, 2 FROM air) WHERE tier IS NOT NULL ORDER BY tier, kind, field, id LIMIT 20", (FLIGHTS,))
 def search_all(x: Frames) -> DataFrame:
     """One term over flights, airports and aircraft: exact before beginnings before parts."""
     q = "cs1"
@@ -105,7 +105,7 @@ def search_all(x: Frames) -> DataFrame:
         tier = F.when(low == q, 0).when(low.startswith(q), 1).when(low.contains(q), 2)
         return df.select(F.lit(kind).alias("kind"), F.col(ident).cast("string").alias("id"), tier.alias("tier"), F.lit(at).alias("field")).where("tier IS NOT NULL")
 
-    flights = part(x.flights().where("flight_id <= 3000"), "flight", "flight_id", "callsign", 0)
+    flights = part(x.flights(), "flight", "flight_id", "callsign", 0)
     hits = flights.unionByName(part(x.airports(), "airport", "icao", "name", 1)).unionByName(part(x.aircraft(), "aircraft", "icao_hex", "operator", 2))
     return hits.orderBy("tier", "kind", "field", "id").limit(20)
 

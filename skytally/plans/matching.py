@@ -154,14 +154,18 @@ def airport_movements(x: Frames) -> DataFrame:
     return matching.movements(o, x.airports().select("icao", F.col("lat").alias("plat"), F.col("lon").alias("plon")))
 
 
+#: Local targets, of which all but a third have an address that no network report has.
+_TARGETS = "SELECT event_id, lat, lon, CASE WHEN event_id % 9 = 0 THEN icao_hex ELSE 'F' || substring(icao_hex, 2) END AS icao_hex FROM obs WHERE origin = 'local'"
+
+
 @query(f"""
-, a AS (SELECT icao_hex, lat, lon FROM obs WHERE origin = 'network' AND altitude_ft >= 15000 QUALIFY row_number() OVER (PARTITION BY icao_hex ORDER BY observed_at DESC, event_id DESC) = 1)
-SELECT event_id, icao_hex FROM obs WHERE origin = 'local' AND altitude_ft < 12000 AND icao_hex NOT IN (SELECT icao_hex FROM a WHERE lat < 50) AND NOT EXISTS (SELECT 1 FROM a WHERE lat < 50 AND {_hav('obs.lat', 'obs.lon', 'a.lat', 'a.lon')} <= 0.3)""", (OBSERVATIONS,))
+, a AS (SELECT icao_hex, lat, lon FROM obs WHERE origin = 'network' QUALIFY row_number() OVER (PARTITION BY icao_hex ORDER BY observed_at DESC, event_id DESC) = 1)
+SELECT event_id, icao_hex FROM ({_TARGETS}) t WHERE icao_hex NOT IN (SELECT icao_hex FROM a) AND NOT EXISTS (SELECT 1 FROM a WHERE {_hav('t.lat', 't.lon', 'a.lat', 'a.lon')} <= 0.3)""", (OBSERVATIONS,))
 def target_duplicates(x: Frames) -> DataFrame:
-    """Low local targets against the last high network report of aircraft in the south."""
+    """All local targets against the last network report of every aircraft."""
     o = x.observations()
-    last = o.where("origin = 'network' AND altitude_ft >= 15000").groupBy("icao_hex").agg(F.max(F.struct("observed_at", "event_id", "lat", "lon")).alias("r")).select("icao_hex", "r.lat", "r.lon")
-    return matching.without_duplicates(o.where("origin = 'local' AND altitude_ft < 12000"), last.where("lat < 50")).select("event_id", "icao_hex")
+    last = o.where("origin = 'network'").groupBy("icao_hex").agg(F.max(F.struct("observed_at", "event_id", "lat", "lon")).alias("r")).select("icao_hex", "r.lat", "r.lon")
+    return matching.without_duplicates(x.made(_TARGETS, obs=o), last).select("event_id", "icao_hex")
 
 
 @query("""
@@ -182,13 +186,12 @@ def interval_contains(x: Frames) -> DataFrame:
 
 
 @query(f"""
-, {SEC}, m AS (SELECT event_id, altitude_ft, sector_id, lat0, lon0, a, b, lower_ft, upper_ft, k, radians(lat) AS p, lat, lon, ground_speed * k / 60 / 3440.065e0 AS d, radians(wind_from) AS c FROM obs, sectors, range(16) r(k) WHERE (k = 0 OR ground_speed >= 30) AND altitude_ft BETWEEN lower_ft AND upper_ft AND observed_at >= TIMESTAMP '2024-01-15 00:00:00' AND observed_at < TIMESTAMP '2024-01-18 00:00:00'),
+, {SEC}, m AS (SELECT event_id, altitude_ft, sector_id, lat0, lon0, a, b, lower_ft, upper_ft, k, radians(lat) AS p, lat, lon, ground_speed * k / 60 / 3440.065e0 AS d, radians(wind_from) AS c FROM obs, sectors, range(16) r(k) WHERE (k = 0 OR ground_speed >= 30) AND altitude_ft BETWEEN lower_ft AND upper_ft),
 q AS (SELECT *, asin(sin(p) * cos(d) + cos(p) * sin(d) * cos(c)) AS y FROM m),
 z AS (SELECT *, CASE WHEN k = 0 THEN lat ELSE degrees(y) END AS y2, CASE WHEN k = 0 THEN lon ELSE lon + degrees(atan2(sin(c) * sin(d) * cos(p), cos(d) - sin(p) * sin(y))) END AS x2 FROM q)
 SELECT event_id, sector_id, min(k) AS minute, CASE WHEN min(k) = 0 THEN 'current' ELSE 'projected' END AS relation FROM z WHERE abs(y2 - lat0) / b + abs(x2 - lon0) / a <= 1 + 1e-9 GROUP BY 1, 2""", (OBSERVATIONS,))
 def hazard_context(x: Frames) -> DataFrame:
-    o = x.observations("2024-01-15", "2024-01-18")
-    return matching.hazards(o.withColumn("track", F.col("wind_from")), x.sectors())
+    return matching.hazards(x.observations().withColumn("track", F.col("wind_from")), x.sectors())
 
 
 _REVISIONS = "rev AS (SELECT aircraft_id, start_time, flight_id, destination FROM (SELECT *, row_number() OVER (PARTITION BY aircraft_id ORDER BY start_time, flight_id) AS nth, row_number() OVER (PARTITION BY aircraft_id ORDER BY start_time DESC, flight_id DESC) AS back FROM (SELECT *, lag(destination) OVER (PARTITION BY aircraft_id ORDER BY start_time, flight_id) AS was FROM fl) WHERE was IS DISTINCT FROM destination) WHERE nth = 1 OR back < 8)"

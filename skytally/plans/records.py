@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.buckets import weather_band
 from ..operators import records, reports
 from ..sources.testdata import FLIGHTS, OBSERVATIONS, RECEIVER, Frames
 from .base import query
@@ -67,14 +68,14 @@ def weather_qc(x: Frames) -> DataFrame:
 
 
 @query(f"""
-, w AS ({_WEATHER}), h AS (SELECT *, epoch(TIMESTAMP '2024-01-20 00:00:00') - epoch(observed_at) AS age, CASE WHEN altitude_ft < 10000 THEN 'low' WHEN altitude_ft < 25000 THEN 'mid' ELSE 'high' END AS band FROM w)
+, w AS ({_WEATHER}), h AS (SELECT *, epoch(TIMESTAMP '2024-01-20 00:00:00') - epoch(observed_at) AS age, CASE WHEN altitude_ft < 10000 THEN 'below_FL100' WHEN altitude_ft < 20000 THEN 'FL100_FL200' WHEN altitude_ft < 30000 THEN 'FL200_FL300' WHEN altitude_ft < 40000 THEN 'FL300_FL400' ELSE 'above_FL400' END AS band FROM w)
 SELECT win, band, count(*) AS samples, count(temperature_c) AS with_temperature, count(wind_kt) AS with_wind, count(DISTINCT icao_hex) AS aircraft FROM h, (VALUES ('1h', 3600), ('24h', 86400), ('7d', 604800)) v(win, s) WHERE age >= 0 AND age < s GROUP BY 1, 2""", OBS)
 def weather_quality(x: Frames) -> DataFrame:
     at = F.lit("2024-01-20").cast("timestamp")
     w = _weather(x).where((F.col("observed_at") <= at) & (F.col("observed_at") > at - F.expr("INTERVAL 7 DAYS")))
     age = F.unix_micros(at) - F.unix_micros("observed_at")
     windows = F.array_compact(F.array(*(F.when(age < s * 1_000_000, F.lit(n)) for n, s in (("1h", 3600), ("24h", 86_400), ("7d", 604_800)))))
-    band = F.when(F.col("altitude_ft") < 10_000, "low").when(F.col("altitude_ft") < 25_000, "mid").otherwise("high")
+    band = weather_band(F.col("altitude_ft"))
     return w.select("*", F.explode(windows).alias("win")).groupBy("win", band.alias("band")).agg(F.count("*").alias("samples"), F.count("temperature_c").alias("with_temperature"), F.count("wind_kt").alias("with_wind"), F.countDistinct("icao_hex").alias("aircraft"))
 
 
@@ -133,11 +134,11 @@ def runtime_metrics(x: Frames) -> DataFrame:
     return e.groupBy("user_id").agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, F.round(F.corr("value", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6), 6)).alias("r"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
 
 
-_SNAP = "SELECT icao_hex, event_id FROM obs WHERE day = '{}' AND altitude_ft < 12000 QUALIFY row_number() OVER (PARTITION BY icao_hex ORDER BY observed_at DESC, event_id DESC) = 1"
+_SNAP = "SELECT icao_hex, event_id FROM obs WHERE day = '{}' QUALIFY row_number() OVER (PARTITION BY icao_hex ORDER BY observed_at DESC, event_id DESC) = 1"
 
 
 def _snap(x: Frames, day: str) -> DataFrame:
-    return x.observations().where((F.col("day") == day) & (F.col("altitude_ft") < 12_000)).groupBy("icao_hex").agg(F.max_by("event_id", F.struct("observed_at", "event_id")).alias("event_id"))
+    return x.observations().where(F.col("day") == day).groupBy("icao_hex").agg(F.max_by("event_id", F.struct("observed_at", "event_id")).alias("event_id"))
 
 
 @query(f", a AS ({_SNAP.format('2024-01-10')}), b AS ({_SNAP.format('2024-01-11')}) SELECT * FROM b UNION ALL SELECT * FROM a WHERE icao_hex NOT IN (SELECT icao_hex FROM b) AND icao_hex NOT LIKE '%1'", OBS)
@@ -157,17 +158,19 @@ def dataset_merge(x: Frames) -> DataFrame:
     return records.last_of([_snap(x, f"2024-01-{d}") for d in (10, 11, 12)], "icao_hex", ["event_id"])
 
 
-@query("SELECT coalesce(a.c_custkey, b.k) AS c_custkey, coalesce(b.seg, a.c_mktsegment) AS c_mktsegment, a.c_custkey IS NULL OR (b.seg IS NOT NULL AND b.seg <> a.c_mktsegment) AS written FROM (SELECT * FROM customer WHERE c_nationkey < 15) a FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_nationkey > 12 THEN 'NEW' END AS seg FROM customer WHERE c_nationkey > 5) b ON k = c_custkey")
+@query("SELECT coalesce(a.c_custkey, b.k) AS c_custkey, coalesce(b.seg, a.c_mktsegment) AS c_mktsegment, a.c_custkey IS NULL OR (b.seg IS NOT NULL AND b.seg <> a.c_mktsegment) AS written FROM customer a FULL JOIN (SELECT CASE WHEN c_nationkey <= 5 THEN c_custkey + 10000000 ELSE c_custkey END AS k, CASE WHEN c_nationkey > 12 THEN 'NEW' END AS seg FROM customer) b ON k = c_custkey")
 def upsert_changed(x: Frames) -> DataFrame:
+    """All customers as stored; all as delivered, some under new keys, some with another segment, the rest without one."""
     c = x.table("customer")
-    new = c.where("c_nationkey > 5").select("c_custkey", F.when(F.col("c_nationkey") > 12, "NEW").alias("c_mktsegment"))
-    return records.upsert_changed(c.where("c_nationkey < 15"), new, "c_custkey", ["c_mktsegment"])
+    key = F.when(F.col("c_nationkey") <= 5, F.col("c_custkey") + 10_000_000).otherwise(F.col("c_custkey"))
+    new = c.select(key.alias("c_custkey"), F.when(F.col("c_nationkey") > 12, "NEW").alias("c_mktsegment"))
+    return records.upsert_changed(c, new, "c_custkey", ["c_mktsegment"])
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-01 04:00:00')")
+@query("SELECT user_id, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-01 04:00:00') GROUP BY 1")
 def insert_ignore(x: Frames) -> DataFrame:
-    e = x.table("events").select("user_id", "ts")
-    return records.insert_new(e.where(F.col("ts") < F.lit("2024-01-01 04:00:00").cast("timestamp")), e, "user_id").select("user_id")
+    e = x.table("events").select("user_id", "ts", "event_id")
+    return records.insert_new(e.where(F.col("ts") < F.lit("2024-01-01 04:00:00").cast("timestamp")), e, "user_id", ["ts", "event_id"])
 
 
 @query("SELECT count(*) AS kept, min(event_id) AS first_id FROM events WHERE ts >= TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 7 DAY")

@@ -164,15 +164,15 @@ def snapshot_delta(x: Frames) -> DataFrame:
     return sequences.snapshot_delta(_last(obs, "day <= '2024-01-10'"), _last(obs, "day <= '2024-01-11' AND day >= '2024-01-05'"), "icao_hex")
 
 
-@query(f", a AS ({_LAST.format("origin = 'local'")}), b AS ({_LAST.format("origin = 'network' AND user_even")}) SELECT coalesce(a.icao_hex, b.icao_hex) AS icao_hex, CASE WHEN a.icao_hex IS NULL THEN 'network' WHEN b.icao_hex IS NULL THEN 'local' ELSE 'overlap' END AS membership, coalesce(a.lat, b.lat) AS lat, coalesce(a.lon, b.lon) AS lon, coalesce(a.altitude_ft, b.altitude_ft) AS altitude_ft FROM a FULL JOIN b ON a.icao_hex = b.icao_hex".replace("user_even", "event_id % 4 = 1"), OBS)
+@query(f", a AS ({_LAST.format("origin = 'local'")}), b AS ({_LAST.format("origin = 'network'")}) SELECT coalesce(a.icao_hex, b.icao_hex) AS icao_hex, CASE WHEN a.icao_hex IS NULL THEN 'network' WHEN b.icao_hex IS NULL THEN 'local' ELSE 'overlap' END AS membership, coalesce(a.lat, b.lat) AS lat, coalesce(a.lon, b.lon) AS lon, coalesce(a.altitude_ft, b.altitude_ft) AS altitude_ft FROM a FULL JOIN b ON a.icao_hex = b.icao_hex", OBS)
 def source_merge_full_outer(x: Frames) -> DataFrame:
     obs = x.observations()
-    return sequences.merge_sources(_last(obs, "origin = 'local'"), _last(obs, "origin = 'network' AND event_id % 4 = 1"))
+    return sequences.merge_sources(_last(obs, "origin = 'local'"), _last(obs, "origin = 'network'"))
 
 
 @query(f", a AS ({_LAST.format("origin = 'local'")}), b AS ({_LAST.format("origin = 'network'")}) SELECT coalesce(a.icao_hex, b.icao_hex) AS icao_hex, CASE WHEN a.icao_hex IS NULL THEN 'network' WHEN b.icao_hex IS NULL THEN 'local' ELSE 'overlap' END AS membership, CASE WHEN a.lat IS NOT NULL AND a.lon IS NOT NULL THEN a.lat ELSE b.lat END AS lat, CASE WHEN a.lat IS NOT NULL AND a.lon IS NOT NULL THEN a.lon ELSE b.lon END AS lon, coalesce(a.altitude_ft, b.altitude_ft) AS altitude_ft FROM a FULL JOIN b ON a.icao_hex = b.icao_hex", OBS)
 def source_merge_all(x: Frames) -> DataFrame:
-    """``source_merge_full_outer`` over all observations; that one takes a quarter of the network's."""
+    """As ``source_merge_full_outer``, with the place checked as a whole."""
     obs = x.observations()
     return sequences.merge_sources(_last(obs, "origin = 'local'"), _last(obs, "origin = 'network'"))
 
@@ -265,11 +265,13 @@ def delivery_health(x: Frames) -> DataFrame:
     return sequences.delivery_health(x.table("orders"), "o_orderstatus", "o_orderdate", "o_orderkey")
 
 
-@query("SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'obsolete' WHEN a.c_mktsegment IS NOT DISTINCT FROM b.v THEN 'unchanged' ELSE 'updated' END AS change FROM (SELECT * FROM customer WHERE c_custkey % 7 <> 0) a FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'NEW' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 11 <> 0) b ON a.c_custkey = b.c_custkey")
+@query("SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN 'added' WHEN b.c_custkey IS NULL THEN 'obsolete' WHEN a.c_mktsegment IS NOT DISTINCT FROM b.v THEN 'unchanged' ELSE 'updated' END AS change FROM customer a FULL JOIN (SELECT CASE WHEN c_nationkey = 11 THEN c_custkey + 10000000 ELSE c_custkey END AS c_custkey, CASE WHEN c_nationkey % 5 = 0 THEN 'NEW' ELSE c_mktsegment END AS v FROM customer) b ON a.c_custkey = b.c_custkey")
 def import_diff(x: Frames) -> DataFrame:
+    """Two versions of all customers: some have another segment in the second, those of one nation another key."""
     c = x.table("customer")
-    new = c.where("c_custkey % 11 <> 0").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 5 == 0, "NEW").otherwise(F.col("c_mktsegment")))
-    return sequences.import_diff(c.where("c_custkey % 7 <> 0"), new, "c_custkey", "c_mktsegment")
+    key = F.when(F.col("c_nationkey") == 11, F.col("c_custkey") + 10_000_000).otherwise(F.col("c_custkey"))
+    new = c.select(key.alias("c_custkey"), F.when(F.col("c_nationkey") % 5 == 0, "NEW").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    return sequences.import_diff(c, new, "c_custkey", "c_mktsegment")
 
 
 @query("SELECT event_type, count(*) AS probes, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS worst FROM events GROUP BY 1")
@@ -340,6 +342,6 @@ def frequency_summary(x: Frames) -> DataFrame:
 
 
 # The other families register themselves as well.
-from . import chains, codes, feeds, folds, matching, records, reports, streams  # noqa: E402, F401
+from . import chains, codes, feeds, folds, matching, records, reports, streams, summaries  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -25,9 +25,11 @@ def hourly_counts(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return hours.agg(F.count("*").alias("available"), F.sum("captured").alias("captured")).select(F.col("w.start").alias("hour"), "bucket", "available", "captured")
 
 
-def gap_flights(stream: DataFrame, gap: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Flights of each aircraft, closed when nothing came for ``gap``."""
-    runs = stream.withWatermark("observed_at", delay).groupBy("icao_hex", F.session_window("observed_at", gap).alias("w"))
+def gap_flights(stream: DataFrame, gap_s: int = 600, delay: str = "10 minutes") -> DataFrame:
+    """Flights of each aircraft, closed when nothing came for more than ``gap_s``."""
+    # A gap of the very length ends nothing.
+    window = F.session_window("observed_at", f"{gap_s * 1_000_000 + 1} microseconds")
+    runs = stream.withWatermark("observed_at", delay).groupBy("icao_hex", window.alias("w"))
     return runs.agg(F.count("*").alias("positions"), F.min("observed_at").alias("start_time"), F.max("observed_at").alias("end_time"), F.nullif(F.max("altitude_ft"), F.lit(0)).alias("max_altitude")).drop("w")
 
 
