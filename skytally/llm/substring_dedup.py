@@ -15,8 +15,12 @@ that neither a sketch nor a window list ever has to fit in one place:
    block gets back the least of all where that is less than its own.
 4. Windows repeated inside one block are found there, by the same digest.
 
-The texts are shuffled once, by block; all passes read that exchange. The number
-of partitions follows the input, so a task's share does not grow with it.
+The texts are shuffled once, by block; all passes read that exchange. A partition
+takes many blocks, or many ranges, one after the other: how many partitions there are
+follows the bytes, so a task's share does not grow with the input, nor does the number
+of shuffle blocks with the number of messages. There are ``2 ** RANGES`` ranges a row, so
+each block sends a bounded number of messages, up to ``WIDEST`` counters a range (an
+input of some terabytes); beyond that raise ``block_bytes`` with the executors' memory.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from .tokens import as_bytes, byte_table, chunks, mix, window_starts, windows, w
 SEGMENT = "block long, kind int, shard long, payload binary"
 _SEGMENT = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int64()), ("payload", pa.binary())])
 _EXACT = 100
+#: Bytes of text a partition; ranges of a sketch row, and the bits of the widest one.
+PART_BYTES, RANGES, WIDEST = 64 << 20, 12, 26
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -158,7 +164,7 @@ def answered(parts: list[tuple[int, bytes]], own: np.ndarray) -> np.ndarray:
     return out
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, depth: int = 2, spread: float = 2.0, block_bytes: int = 6 << 20, shard_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, depth: int = 2, spread: float = 2.0, block_bytes: int = 6 << 20, shard_bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, n_words, n_removed and text (kept words, joined by one space), a row per document.
 
     A word is a run of characters other than ASCII white space. It goes when a
@@ -176,11 +182,13 @@ def substring_dedup(docs: DataFrame, window: int = 13, depth: int = 2, spread: f
     total = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     blocks = max(1, -(-(total["b"] or 0) // block_bytes))
     counters = spread * max(1, (total["b"] or 0) / 6)
-    bits = min(60, max(shard_bits, int(np.ceil(np.log2(counters)))))
+    bits = min(60, max(shard_bits or 22, int(np.ceil(np.log2(counters)))))
+    shard_bits = shard_bits or min(WIDEST, max(22, bits - RANGES))
     exact_bits = min(40, max(0, int(np.ceil(np.log2(max(1, counters / spread / (1 << 20)))))))
     # The text too is in the hash: rows of one id, or of none, do not meet in one block.
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    by_block = dealt.repartition(blocks, "block").groupBy("block")
+    parts = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-(total["b"] or 0) // PART_BYTES))
+    by_block = dealt.repartition(min(blocks, parts), "block").groupBy("block")
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
         block, rows = _Block(table, window), []
@@ -245,8 +253,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, depth: int = 2, spread: f
         return pa.table({"doc_id": pa.array(block.ids), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "text": pa.array(kept, pa.binary()).cast(pa.string())})
 
     shards = depth << (bits - shard_bits)
-    seen = by_block.applyInArrow(sketch, SEGMENT).repartition(shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(merge, SEGMENT)
+    seen = by_block.applyInArrow(sketch, SEGMENT).repartition(min(shards, parts), "kind", "shard").groupBy("kind", "shard").applyInArrow(merge, SEGMENT)
     wanted = by_block.cogroup(seen.groupBy("block")).applyInArrow(candidates, SEGMENT)
-    earlier = wanted.repartition(1 << exact_bits, "shard").groupBy("shard").applyInArrow(group, SEGMENT)
+    earlier = wanted.repartition(min(1 << exact_bits, parts), "shard").groupBy("shard").applyInArrow(group, SEGMENT)
     out = by_block.cogroup(seen.unionByName(earlier).groupBy("block")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, text string")
     return out.select(outer_id(), "n_words", "n_removed", "text")
