@@ -42,6 +42,7 @@ from .tokens import as_bytes, byte_table, chunks, words
 
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 BLOCK_BYTES = 16 << 20
+_SPREAD = 0x9E3779B1
 _SPLIT = [b for b in range(128) if not chr(b).isalnum()]
 _TABLE = byte_table(lower=True, seed=5, separators=_SPLIT)
 
@@ -78,19 +79,27 @@ def best_scores(passages: list[np.ndarray], items: list[np.ndarray]) -> np.ndarr
     for part in np.split(order, np.flatnonzero(np.diff(cells)) + 1) if len(order) else []:
         # What pads a short one matches nothing, so it raises no score.
         width, height = max(len(passages[k]) for k in part), max(len(items[k]) for k in part)
-        a, b = np.full((len(part), width), -1), np.full((len(part), height), -2)
-        for row, k in enumerate(part):
-            a[row, : len(passages[k])], b[row, : len(items[k])] = passages[k], items[k]
-        ramp = (-GAP * np.arange(width)).astype(np.float32)
-        score, best = np.zeros((len(part), width + 1), np.float32), np.zeros((len(part), width), np.float32)
+        # A column a pair, so that each step works on whole rows; scores are whole numbers.
+        kind = np.int16 if 2 * height + width < 30_000 else np.int32
+        a, b = np.full((width, len(part)), -1, np.int32), np.full((height, len(part)), -2, np.int32)
+        for column, k in enumerate(part):
+            a[: len(passages[k]), column], b[: len(items[k]), column] = passages[k], items[k]
+        ramp = (-GAP * np.arange(width)).astype(kind)[:, None]
+        match, miss, gap = kind(MATCH), kind(MISMATCH), kind(GAP)
+        score, best = np.zeros((width + 1, len(part)), kind), np.zeros((width, len(part)), kind)
         for q in range(height):
-            fresh = score[:, :-1] + np.where(a == b[:, q, None], np.float32(MATCH), np.float32(MISMATCH))
-            np.maximum(fresh, score[:, 1:] + np.float32(GAP), out=fresh)
+            fresh = score[:-1] + np.where(a == b[q], match, miss)
+            np.maximum(fresh, score[1:] + gap, out=fresh)
             np.maximum(fresh, 0, out=fresh)
             np.maximum(best, fresh, out=best)
             fresh += ramp
-            score[:, 1:] = np.maximum.accumulate(fresh, axis=1) - ramp
-        out[part] = best.max(axis=1)
+            # The largest so far, by doubled steps.
+            reach = 1
+            while reach < width:
+                fresh[reach:] = np.maximum(fresh[reach:], fresh[:-reach])
+                reach *= 2
+            np.subtract(fresh, ramp, out=score[1:])
+        out[part] = best.max(axis=0)
     return out
 
 
@@ -134,6 +143,8 @@ class _Items:
         order = np.argsort(word, kind="stable")
         self.item_of_seed = np.repeat(np.arange(len(items)), [len(w) for w in seeds])[order]
         self.begin = np.searchsorted(word[order], np.arange(len(known) + 2))
+        self.table = np.zeros(1 << max(16, (64 * len(self.flat)).bit_length()), bool)
+        self.table[(np.repeat(np.arange(len(items)), m) * _SPREAD + self.flat) & (len(self.table) - 1)] = True
         self.in_some = np.zeros(len(known) + 1, bool)
         self.in_some[self.flat] = True
 
@@ -184,18 +195,27 @@ class _Items:
                 good[k] = np.add.reduceat(hit, np.cumsum(lengths) - lengths, dtype=np.int64) >= self.matches[item_of[k]]
         place_of, item_of = place_of[good], item_of[good]
         order = np.lexsort((place_of, item_of, owner[place_of]))
-        mine = np.zeros(nothing + 1, bool)
-        for place, item in zip(place_of[order].tolist(), item_of[order].tolist(), strict=True):
-            t = int(owner[place])
-            low = int(first[t]) + (place - int(base[t])) * step
-            high = min(low + 2 * step, int(first[t + 1]))
-            mine[self.words[item]] = True
-            sums = np.concatenate([[0], np.cumsum(mine[number[low:high]])])
-            mine[self.words[item]] = False
-            span = min(int(self.span[item]), high - low)
-            found = np.flatnonzero(sums[span:] - sums[:-span] >= self.matches[item])
-            if len(found):
-                yield t, item, low + int(found[0]), low + int(found[-1]) + span
+        place_of, item_of = place_of[order], item_of[order]
+        text_of = owner[place_of]
+        begin = first[text_of] + (place_of - base[text_of]) * step
+        length = np.minimum(begin + 2 * step, first[text_of + 1]) - begin
+        span = np.minimum(self.span[item_of], length)
+        piece = np.cumsum(length) >> 20
+        for k in np.split(np.arange(len(order)), np.flatnonzero(np.diff(piece)) + 1):
+            # A window of the span that has words enough of the item, repeated ones as well.
+            which = np.repeat(np.arange(len(k)), length[k])
+            offset = _spread(length[k])
+            hits = np.concatenate([[0], np.cumsum(self.may_hold(item_of[k][which], number[begin[k][which] + offset]))])
+            starts = np.flatnonzero(offset <= (length[k] - span[k])[which])
+            good = starts[hits[starts + span[k][which[starts]]] - hits[starts] >= self.matches[item_of[k]][which[starts]]]
+            found, at = np.unique(which[good], return_index=True)
+            last = np.append(at[1:], len(good))[: len(at)] - 1
+            for c, a, b in zip(k[found].tolist(), offset[good[at]].tolist(), offset[good[last]].tolist(), strict=True):
+                yield int(text_of[c]), int(item_of[c]), int(begin[c]) + a, int(begin[c]) + b + int(span[c])
+
+    def may_hold(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Whether an item has a word; of other words very few are taken for its own, which the alignment then tells."""
+        return self.table[(item * _SPREAD + word) & (len(self.table) - 1)]
 
 
 def _pair(place: np.ndarray, word: np.ndarray, width: int) -> np.ndarray:
