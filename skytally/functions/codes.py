@@ -28,18 +28,30 @@ def airport_code(raw: Column, letters: int) -> Column:
 
 def runway(raw: Column) -> Column:
     """Two digits from 01 to 36 and a side, without a word before."""
-    body = F.regexp_replace(F.regexp_replace(F.upper(trimmed(raw)), r"^(RWY|RUNWAY)\s*", ""), r"\s+", "")
-    number = F.regexp_extract(body, "^([0-9]{1,3})([LCR])?$", 1).try_cast("int")
-    return F.when(number.between(1, 36), F.concat(F.lpad(number.cast("string"), 2, "0"), F.regexp_extract(body, "^([0-9]{1,3})([LCR])?$", 2)))
+    text = F.regexp_replace(F.upper(trimmed(raw)), r"\s", "")
+    text = F.when(text.startswith("RUNWAY"), F.substring(text, 7, 9)).when(text.startswith("RWY"), F.substring(text, 4, 9)).otherwise(text)
+    side = F.regexp_extract(text, "[LCR]$", 0)
+    digits = F.left(text, F.length(text) - F.length(side))
+    number = F.when((F.length(digits) <= 3) & (F.translate(digits, "0123456789", "") == ""), digits.try_cast("int"))
+    return F.when(number.between(1, 36), F.concat(F.lpad(number.cast("string"), 2, "0"), side))
+
+
+# How far out airports of each type are shown, without and with scheduled service; words that name a heliport.
+TIERS = {
+    "large_airport": ("significant", "significant"), "medium_airport": ("significant", "significant"), "international_airport": ("significant", "significant"), "small_airport": ("small", "significant"),
+    "seaplane_base": ("small", "small"), "balloonport": ("small", "small"), "closed": ("small", "small"), "heliport": ("heliport", "heliport"), "helipad": ("heliport", "heliport"), "heli_surface": ("heliport", "heliport"),
+}
+HELIPORT_WORDS = ("heliport", "helipad", "helisurface", "vrtulník", "vrtulnik")
 
 
 def airport_tier(kind: Column, scheduled: Column, name: Column, iata: Column) -> Column:
-    """significant, small or heliport, by type first, then service, name and code."""
-    low, served = F.lower(F.trim(kind)), F.coalesce(scheduled, F.lit(False))
-    return (
-        F.when(low.isin("heliport", "helipad", "heli_surface"), "heliport").when(low.isin("large_airport", "medium_airport", "international_airport"), "significant").when(low == "small_airport", F.when(served, "significant").otherwise("small"))
-        .when(low.isin("seaplane_base", "balloonport", "closed"), "small").when(served, "significant").when(F.lower(name).rlike(r"\b(heliport|helipad|helisurface|vrtulník|vrtulnik)\b"), "heliport").when(iata.isNotNull() & (iata != ""), "significant").otherwise("small")
-    )
+    """significant, small or heliport: by the table of types; without a known type a service or a code makes it significant, a word in the name a heliport."""
+    served = F.coalesce(scheduled, F.lit(False)).cast("int")
+    table = F.create_map(*(x for k, tiers in TIERS.items() for x in (F.lit(k), F.array(*map(F.lit, tiers)))))
+    by_type = F.get(F.try_element_at(table, F.lower(F.trim(kind))), served)
+    words = F.split(F.lower(name), r"[^\p{L}\p{N}_]+")
+    by_name = F.when(F.arrays_overlap(words, F.array(*map(F.lit, HELIPORT_WORDS))), "heliport")
+    return F.coalesce(by_type, F.when(served == 1, "significant"), by_name, F.when(F.length(iata) > 0, "significant"), F.lit("small"))
 
 
 def type_family(kind: Column, category: Column) -> Column:

@@ -81,22 +81,40 @@ def is_wildcard(pattern: str) -> bool:
 
 
 def dms_degrees(raw: Column) -> Column:
-    """Decimal degrees of ddmmssN, dddmmss.sE or the same in parts; null if it is not one or out of range."""
-    body = F.regexp_replace(F.upper(trimmed(raw)), ",", ".")
-    joined, parts = r"^([0-9]{2,3})([0-9]{2})([0-9]{2}(?:\.[0-9]+)?)([NSEW])$", r"^([0-9]{2,3})\s+([0-9]{2})\s+([0-9]{2}(?:\.[0-9]+)?)\s*([NSEW])$"
-    part = lambda k: F.when(body.rlike(joined), F.regexp_extract(body, joined, k)).when(body.rlike(parts), F.regexp_extract(body, parts, k))
-    degrees, minutes, seconds, side = part(1).try_cast("double"), part(2).try_cast("double"), part(3).try_cast("double"), part(4)
-    most = F.when(side.isin("N", "S"), 90).otherwise(180)
-    ok = (minutes < 60) & (seconds < 60) & ((degrees < most) | ((degrees == most) & (minutes == 0) & (seconds == 0)))
-    return F.when(ok, (degrees + minutes / 60 + seconds / 3600) * F.when(side.isin("S", "W"), -1).otherwise(1))
+    """Decimal degrees of ddmmssN, dddmmss.sE or the same in three parts; null if it is not one or out of range.
+
+    Counted from the end, since minutes and whole seconds have two digits each.
+    """
+    shown = F.replace(F.upper(trimmed(raw)), F.lit(","), F.lit("."))
+    side, parts = F.right(shown, F.lit(1)), F.split(F.rtrim(F.left(shown, F.greatest(F.length(shown) - 1, F.lit(0)))), r"\s+")
+    digits = F.array_join(parts, "")
+    whole = F.substring_index(digits, ".", 1)
+    n = F.length(whole)
+    degrees = F.left(whole, n - 4).try_cast("double")
+    minutes, seconds = F.substring(whole, n - 3, F.lit(2)).try_cast("double"), F.substring(digits, n - 1, F.length(digits)).try_cast("double")
+    widths = F.transform(parts, lambda p: F.length(F.substring_index(p, ".", 1)))
+    shaped = digits.rlike(r"^\d+(\.\d+)?$") & n.between(6, 7) & ((F.size(parts) == 1) | ((F.size(parts) == 3) & (F.slice(widths, 2, 2) == F.array(F.lit(2), F.lit(2)))))
+    angle = degrees + minutes / 60 + seconds / 3600
+    bound = F.element_at(F.create_map(F.lit("N"), F.lit(90), F.lit("S"), F.lit(90), F.lit("E"), F.lit(180), F.lit("W"), F.lit(180)), side)
+    return F.when(shaped & (minutes < 60) & (seconds < 60) & (angle <= bound), F.when(side.isin("N", "E"), angle).otherwise(-angle))
+
+
+def _area(words: Column, kinds: tuple[str, ...]) -> Column:
+    """The first kind that a number follows among words, as LK, its last three letters and the number."""
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda kind, number: F.struct(kind.alias("kind"), number.alias("number")))
+    fits = F.filter(pairs, lambda p: p["kind"].isin(*kinds) & F.coalesce(p["number"].rlike("^[0-9]+[A-Z]?$"), F.lit(False)))
+    return F.when(F.size(fits) > 0, F.concat(F.lit("LK"), F.right(fits[0]["kind"], F.lit(3)), fits[0]["number"]))
 
 
 def airspace_designator(raw: Column) -> Column:
-    """LKTRAn or LKTSAn from the ways these areas are written; null for others."""
-    text = F.upper(trimmed(raw))
-    compact = F.regexp_replace(text, "[^A-Z0-9]", "")
-    found = None
-    for source, pattern in ((compact, "^(?:LK)?(TRA|TSA)([0-9]+[A-Z]?)$"), (text, r"(?:^|[^A-Z0-9])LK(TRA|TSA)[\s_-]*([0-9]+[A-Z]?)(?=$|[^A-Z0-9])"), (text, r"(?:^|[^A-Z0-9])(TRA|TSA)[\s_-]*([0-9]+[A-Z]?)(?=$|[^A-Z0-9])")):
-        name = F.when(F.regexp_extract(source, pattern, 1) != "", F.concat(F.lit("LK"), F.regexp_extract(source, pattern, 1), F.regexp_extract(source, pattern, 2)))
-        found = name if found is None else F.coalesce(found, name)
-    return found
+    """LKTRAn or LKTSAn from the ways these areas are written; null for others.
+
+    A text is a row of words: kinds and numbers stand apart, whether blanks, underscores
+    and hyphens are between them or nothing; any other character is a word of its own.
+    The text as one designator comes first, then one with the country, then one without.
+    """
+    words = lambda t: F.split(F.trim(F.regexp_replace(t, "(?<![A-Z0-9])((?:LK)?T[RS]A)(?=[0-9])", "$1 ")), " +")
+    spaced = F.regexp_replace(F.regexp_replace(F.upper(trimmed(raw)), "[^A-Z0-9 \t\r\n_-]+", " | "), "[^A-Z0-9|]+", " ")
+    alone = words(F.regexp_replace(spaced, "[ |]", ""))
+    own, bare = ("LKTRA", "LKTSA"), ("TRA", "TSA")
+    return F.coalesce(F.when(F.size(alone) == 2, _area(alone, (*own, *bare))), _area(words(spaced), own), _area(words(spaced), bare))

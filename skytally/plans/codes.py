@@ -11,33 +11,45 @@ from ..sources.testdata import FLIGHTS, OBSERVATIONS, Frames
 from .base import query
 from .chains import STATES
 from .matching import _hav
-from .reports import NORM, _cases, _samples
+from .reports import NORM, texts
 
 OBS = (OBSERVATIONS,)
-_RUNWAYS: dict[str, object] = {"RWY 6": "06", "24l": "24L", "runway 36 C": "36C", "37": None, "0": None, "24X": None, " 9 ": "09", "": None}
-_ICAO: dict[str, object] = {"lkpr": "LKPR", " EDDF ": "EDDF", "LKP": None, "LK1R": None, "": None}
-_SURFACE: dict[str, object] = {"asp": "Asphalt", "GRSV": "Grass", "snow": "snow", "CONC": "Concrete"}
-_TYPES: dict[str, object] = {"B738": "b737", "a20n": "a320", "B744": "b747", "E190": "regional", "AT76": "turboprop", "C172": "general-aviation", "GLF5": "business-jet", "ZZZZ": "airplane", "": "airplane"}
+_SIDE = "CASE event_id % 4 WHEN 0 THEN 'L' WHEN 1 THEN 'c' WHEN 2 THEN '' ELSE 'X' END"
+_RUNWAYS = f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'RWY ' WHEN 1 THEN ' runway' ELSE '' END || event_id * 7 % 41 || CASE event_id % 5 WHEN 0 THEN ' ' ELSE '' END || {_SIDE} AS raw FROM obs"
 
 
-@query(_cases(_RUNWAYS, "runway", "VARCHAR"))
+@query(f", t AS ({_RUNWAYS}) SELECT event_id, raw, CASE WHEN event_id * 7 % 41 BETWEEN 1 AND 36 AND event_id % 4 < 3 THEN lpad('' || event_id * 7 % 41, 2, '0') || upper({_SIDE}) END AS runway FROM t", OBS)
 def runway_texts(x: Frames) -> DataFrame:
-    return _samples(x, list(_RUNWAYS)).withColumn("runway", codes.runway(F.col("raw")))
+    return texts(x, _RUNWAYS).withColumn("runway", codes.runway(F.col("raw")))
 
 
-@query(_cases(_ICAO, "icao", "VARCHAR"))
+_LETTERS = "chr(CAST(97 + event_id % 26 AS INT)) || chr(CAST(65 + event_id * 7 % 26 AS INT)) || chr(CAST(65 + event_id * 11 % 26 AS INT))"
+_CODES = f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' L' || {_LETTERS} WHEN 1 THEN {_LETTERS} || ' ' WHEN 2 THEN 'LK' || {_LETTERS} ELSE {_LETTERS} || event_id % 10 END AS raw FROM obs"
+
+
+@query(f", t AS ({_CODES}) SELECT event_id, raw, CASE WHEN event_id % 4 = 0 THEN 'L' || upper({_LETTERS}) END AS icao, CASE WHEN event_id % 4 = 1 THEN upper({_LETTERS}) END AS iata FROM t", OBS)
 def airport_codes(x: Frames) -> DataFrame:
-    return _samples(x, list(_ICAO)).withColumn("icao", codes.airport_code(F.col("raw"), 4))
+    return texts(x, _CODES).withColumns({"icao": codes.airport_code(F.col("raw"), 4), "iata": codes.airport_code(F.col("raw"), 3)})
+
 
+_COVERS = "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'asp' WHEN 1 THEN 'GRSV' WHEN 2 THEN 'Conc' WHEN 3 THEN 'gre' WHEN 4 THEN 'turf' ELSE 'snow ' || event_id END AS raw FROM obs"
 
-@query(_cases(_SURFACE, "surface", "VARCHAR"))
+
+@query(f", t AS ({_COVERS}) SELECT event_id, raw, CASE event_id % 6 WHEN 0 THEN 'Asphalt' WHEN 1 THEN 'Grass' WHEN 2 THEN 'Concrete' WHEN 3 THEN 'Gravel' WHEN 4 THEN 'Turf' ELSE raw END AS surface FROM t", OBS)
 def surface_labels(x: Frames) -> DataFrame:
-    return _samples(x, list(_SURFACE)).withColumn("surface", codes.surface_label(F.col("raw")))
+    return texts(x, _COVERS).withColumn("surface", codes.surface_label(F.col("raw")))
+
+
+_TYPES = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'B73' || event_id * 7 % 10 WHEN 1 THEN 'b77' || event_id * 7 % 10 WHEN 2 THEN 'E1' || event_id * 7 % 10 || '0' WHEN 3 THEN 'C' || event_id * 7 % 100 ELSE 'A3' || event_id * 7 % 100 END AS raw, CASE event_id % 11 WHEN 0 THEN 'A7' WHEN 1 THEN 'b1' WHEN 2 THEN 'C2' ELSE 'A3' END AS category FROM obs"
+_N10, _N100 = "(event_id * 7 % 10)", "(event_id * 7 % 100)"
 
 
-@query(_cases(_TYPES, "family", "VARCHAR"))
+@query(f""", t AS ({_TYPES}) SELECT event_id, raw, CASE event_id % 11 WHEN 0 THEN 'helicopter' WHEN 1 THEN 'glider' WHEN 2 THEN 'ground' ELSE CASE event_id % 5
+  WHEN 0 THEN CASE WHEN {_N10} IN (7, 8, 9) THEN 'b737' ELSE 'airplane' END WHEN 1 THEN CASE WHEN {_N10} IN (2, 3, 8, 9) THEN 'b777' ELSE 'airplane' END WHEN 2 THEN CASE WHEN {_N10} >= 3 THEN 'regional' ELSE 'airplane' END
+  WHEN 3 THEN CASE WHEN {_N100} BETWEEN 50 AND 59 OR {_N100} BETWEEN 70 AND 79 OR {_N100} = 68 THEN 'business-jet' WHEN left('' || {_N100}, 1) <= '4' THEN 'general-aviation' ELSE 'airplane' END
+  ELSE CASE WHEN {_N100} BETWEEN 18 AND 21 THEN 'a320' WHEN {_N100} IN (32, 33, 37, 38, 39) THEN 'a330' WHEN {_N100} = 59 THEN 'a350' WHEN {_N100} = 88 THEN 'a380' ELSE 'airplane' END END END AS family FROM t""", OBS)
 def type_families(x: Frames) -> DataFrame:
-    return _samples(x, list(_TYPES)).withColumn("family", codes.type_family(F.col("raw"), F.lit("A3")))
+    return texts(x, _TYPES).select("event_id", "raw", codes.type_family(F.col("raw"), F.col("category")).alias("family"))
 
 
 @query("SELECT n_name, CASE n_nationkey % 5 WHEN 0 THEN 'heliport' WHEN 1 THEN 'significant' WHEN 2 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'significant' ELSE 'small' END WHEN 3 THEN 'small' ELSE CASE WHEN n_nationkey % 2 = 0 THEN 'significant' WHEN n_nationkey % 3 = 0 THEN 'significant' ELSE 'small' END END AS tier FROM nation")

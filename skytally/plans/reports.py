@@ -83,42 +83,46 @@ def local_ranges(x: Frames) -> DataFrame:
     return reduce(DataFrame.unionByName, (part(name, now) for name, (now, _) in _RANGES.items()))
 
 
-def _samples(x: Frames, texts: list[str]) -> DataFrame:
-    """Each event with one of the texts."""
-    return x.table("events").select("event_id", F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % len(texts) + 1).cast("int")).alias("raw"))
+def texts(x: Frames, sql: str) -> DataFrame:
+    """Rows (event_id, raw) whose text is put together from the observations' numbers."""
+    return x.made(sql, obs=x.observations())
 
 
-def _cases(expected: dict[str, object], column: str, kind: str) -> str:
-    """SQL that gives each event the stated result of its text."""
-    value = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v) if isinstance(v, bool) else f"{v}e0" if isinstance(v, float) else str(v)
-    quoted = ", ".join("'" + t.replace("'", "''") + "'" for t in expected)
-    return f"SELECT event_id, raw, CAST(list_extract([{', '.join(value(v) for v in expected.values())}], CAST(event_id % {len(expected)} + 1 AS INT)) AS {kind}) AS {column} FROM (SELECT event_id, list_extract([{quoted}], CAST(event_id % {len(expected)} + 1 AS INT)) AS raw FROM events)"
+_MILES = "SELECT event_id, CASE event_id % 6 WHEN 0 THEN '' || event_id % 12 WHEN 1 THEN ' ' || (1 + event_id % 3) || '/' || (2 + event_id % 7) || 'SM' WHEN 2 THEN (event_id % 9) || ' 1/' || (2 + event_id % 5) || ' sm' WHEN 3 THEN 'P' || event_id % 8 || 'SM' WHEN 4 THEN 'M1/' || event_id % 4 || 'SM' ELSE 'fog ' || event_id END AS raw FROM obs"
 
 
-_MILES: dict[str, object] = {"10SM": 10.0, "1 1/2SM": 1.5, "P6SM": 6.0, "M1/4SM": 0.25, " 3/4 sm": 0.75, "6+": 6.0, "1/0": None, "abc": None, "": None, "-2": None, "7": 7.0}
-_DMS: dict[str, object] = {"500530N": 50 + 5 / 60 + 30 / 3600, "0143000.5E": 14 + 30 / 60 + 0.5 / 3600, "49 30 00 S": -49.5, "180 00 00W": -180.0, "180 00 01W": None, "496000N": None, "50,05": None, "12 30 30,5e": 12 + 30 / 60 + 30.5 / 3600}
-_AREAS: dict[str, object] = {"LKTRA36": "LKTRA36", "TSA 4A": "LKTSA4A", "TRA 36 HOLICE": "LKTRA36", "LZTRA01": None, "area LK TSA-12b": "LKTSA12B", "x LKTSA-12b": "LKTSA12B", "Praha": None, " lktra_7 ": "LKTRA7"}
-_LEVELS: dict[str, object] = {"SFC": 0, "FL95": 9500, "fl 245": 24500, "5000 FT": 5000, "3500ft amsl": 3500, "UNL": None, "": None, "GND": 0}
+@query(f", t AS ({_MILES}) SELECT event_id, raw, CAST(round(CASE event_id % 6 WHEN 0 THEN event_id % 12 WHEN 1 THEN (1 + event_id % 3) / (2 + event_id % 7) WHEN 2 THEN event_id % 9 + 1 / (2 + event_id % 5) WHEN 3 THEN event_id % 8 WHEN 4 THEN 1 / nullif(event_id % 4, 0) END, 9) AS DOUBLE) AS miles FROM t", (OBSERVATIONS,))
+def visibility_texts(x: Frames) -> DataFrame:
+    return texts(x, _MILES).withColumn("miles", F.round(text.visibility_miles(F.col("raw")), 9))
 
 
-@query(_cases(_MILES, "miles", "DOUBLE"))
-def visibility_texts(x: Frames) -> DataFrame:
-    return _samples(x, list(_MILES)).withColumn("miles", text.visibility_miles(F.col("raw")))
+_DEG, _MIN, _SEC = "(event_id * 7 % 92)", "(event_id * 11 % 62)", "(event_id * 13 % 60)"
+_DMS = f"""
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN lpad('' || {_DEG}, 2, '0') || lpad('' || {_MIN}, 2, '0') || lpad('' || {_SEC}, 2, '0') || '.5' WHEN 1 THEN lpad('' || {_DEG}, 3, '0') || lpad('' || {_MIN}, 2, '0') || lpad('' || {_SEC}, 2, '0')
+  ELSE ' ' || lpad('' || {_DEG}, 3, '0') || ' ' || lpad('' || {_MIN}, 2, '0') || '  ' || lpad('' || {_SEC}, 2, '0') || ',25 ' END || CASE event_id % 4 WHEN 0 THEN 'N' WHEN 1 THEN 's' WHEN 2 THEN 'E' ELSE 'W' END AS raw FROM obs"""
+_SECONDS = f"({_SEC} + CASE event_id % 3 WHEN 0 THEN 0.5e0 WHEN 1 THEN 0 ELSE 0.25e0 END)"
 
 
-@query(_cases(_DMS, "degrees", "DOUBLE"))
+@query(f", t AS ({_DMS}), v AS (SELECT event_id, raw, {_DEG} + {_MIN} / 60e0 + {_SECONDS} / 3600e0 AS a FROM t) SELECT event_id, raw, round(CASE WHEN {_MIN} < 60 AND (event_id % 4 > 1 OR a <= 90) THEN CASE WHEN event_id % 4 IN (1, 3) THEN -a ELSE a END END, 9) AS degrees FROM v", (OBSERVATIONS,))
 def coordinate_texts(x: Frames) -> DataFrame:
-    return _samples(x, list(_DMS)).withColumn("degrees", text.dms_degrees(F.col("raw")))
+    return texts(x, _DMS).withColumn("degrees", F.round(text.dms_degrees(F.col("raw")), 9))
+
 
+_AREA = "CASE event_id % 2 WHEN 0 THEN 'TRA' ELSE 'TSA' END"
+_AREAS = f"SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'LK' || {_AREA} || event_id % 90 WHEN 1 THEN 'lk-' || lower({_AREA}) || ' ' || event_id % 90 || 'a' WHEN 2 THEN {_AREA} || ' ' || event_id % 90 || ' NAME' WHEN 3 THEN 'LZ' || {_AREA} || event_id % 90 WHEN 4 THEN {_AREA} || event_id % 80 || ' or LK' || {_AREA} || '_' || event_id % 90 WHEN 5 THEN {_AREA} || ' NAME ' || event_id ELSE {_AREA} || '/' || event_id % 90 || ' XYZ' END AS raw FROM obs"
 
-@query(_cases(_AREAS, "designator", "VARCHAR"))
+
+@query(f", t AS ({_AREAS}) SELECT event_id, raw, CASE WHEN event_id % 7 IN (0, 1, 2, 4) THEN 'LK' || {_AREA} || event_id % 90 || CASE WHEN event_id % 7 = 1 THEN 'A' ELSE '' END END AS designator FROM t", (OBSERVATIONS,))
 def airspace_designators(x: Frames) -> DataFrame:
-    return _samples(x, list(_AREAS)).withColumn("designator", text.airspace_designator(F.col("raw")))
+    return texts(x, _AREAS).withColumn("designator", text.airspace_designator(F.col("raw")))
+
+
+_LEVELS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'FL' || event_id % 700 WHEN 1 THEN 'fl ' || event_id % 90 WHEN 2 THEN event_id || ' ft AMSL' WHEN 3 THEN CASE event_id % 2 WHEN 0 THEN 'SFC' ELSE ' gnd ' END ELSE 'level ' || event_id END AS raw FROM obs"
 
 
-@query(_cases(_LEVELS, "feet", "INTEGER"))
+@query(f", t AS ({_LEVELS}) SELECT event_id, raw, CAST(CASE event_id % 5 WHEN 0 THEN event_id % 700 * 100 WHEN 1 THEN event_id % 90 * 100 WHEN 2 THEN event_id WHEN 3 THEN 0 END AS INTEGER) AS feet FROM t", (OBSERVATIONS,))
 def altitude_texts(x: Frames) -> DataFrame:
-    return _samples(x, list(_LEVELS)).withColumn("feet", text.altitude_feet(F.col("raw")))
+    return texts(x, _LEVELS).withColumn("feet", text.altitude_feet(F.col("raw")))
 
 
 @query("SELECT event_id, trim(regexp_replace(regexp_replace('  a%b_ ' || event_type || '  x\\', '[\\\\%_]', '', 'g'), '\\s+', ' ', 'g')) AS term, event_type LIKE 'v%w' AS hit FROM events")

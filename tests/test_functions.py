@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from skytally.functions import buckets, geo, text
+from skytally.functions import buckets, codes, geo, text
 from skytally.operators.sequences import retry_schedule
 
 
@@ -50,3 +50,33 @@ def test_distance(spark):
 def test_retries():
     assert retry_schedule(12)[:4] == [1, 2, 4, 8]
     assert retry_schedule(12)[-1] == 900
+
+
+@pytest.mark.parametrize(
+    ("raw", "degrees"),
+    [("495454.10N", 49 + 54 / 60 + 54.10 / 3600), ("0150731.76E", 15 + 7 / 60 + 31.76 / 3600), ("012 43 29,00 E", 12 + 43 / 60 + 29 / 3600), (" 500000s ", -50.0), ("900000N", 90.0), ("900001N", None), ("1800000W", -180.0), ("496000N", None), ("12 4 329E", None), ("49545N", None), ("495454", None), ("", None), ("N", None), ("0124329.E", None)],
+)
+def test_dms(spark, raw, degrees):
+    assert value(spark, text.dms_degrees(F.lit(raw))) == degrees
+
+
+@pytest.mark.parametrize(
+    ("raw", "area"),
+    [("LKTRA36", "LKTRA36"), ("lk-tra 36a", "LKTRA36A"), ("TSA 4A", "LKTSA4A"), ("TRA 36 HOLICE", "LKTRA36"), ("LZTRA01", None), ("LZTRA01 and LKTSA_7", "LKTSA7"), ("TRA 5 and LKTRA6", "LKTRA6"), ("TRA HOLICE", None), ("TRA36AB", None), ("T.R.A. 12", "LKTRA12"), ("TRA/36 XYZ", None), ("TRA/36 X", "LKTRA36X"), ("", None), (None, None)],
+)
+def test_airspace_designator(spark, raw, area):
+    assert value(spark, text.airspace_designator(F.lit(raw).cast("string"))) == area
+
+
+@pytest.mark.parametrize(("raw", "name"), [("RWY 6", "06"), ("24l", "24L"), ("runway 36 C", "36C"), ("37", None), ("0", None), ("24X", None), (" 9 ", "09"), ("", None), ("006R", "06R"), ("0006", None), ("L", None)])
+def test_runway(spark, raw, name):
+    assert value(spark, codes.runway(F.lit(raw))) == name
+
+
+@pytest.mark.parametrize(
+    ("kind", "served", "name", "iata", "tier"),
+    [("Heliport ", True, "x", "ABC", "heliport"), ("large_airport", None, "x", None, "significant"), ("small_airport", False, "x", "ABC", "small"), ("small_airport", True, "x", None, "significant"), ("closed", True, "x", "ABC", "small"), (None, True, "Big heliport", None, "significant"), (None, None, "City Helipad (north)", "ABC", "heliport"), ("other", False, "Heliportside", "ABC", "significant"), (None, None, None, "", "small")],
+)
+def test_airport_tier(spark, kind, served, name, iata, tier):
+    lit = lambda v, t="string": F.lit(v).cast(t)
+    assert value(spark, codes.airport_tier(lit(kind), lit(served, "boolean"), lit(name), lit(iata))) == tier
