@@ -13,15 +13,17 @@ The bootstrapping is a graph between patterns and instances (identifiers):
 * a pattern is what is joined to the identifier on its left, that with one word
   or two words before, or that with the word after; digits in it are one shape;
 * base entities, tokens that begin like a published kind of key (``SECRET_FORMS``)
-  and hexadecimal literals of a digest's length in quotes are the seeds, with score
-  1; other identifier-like tokens, which hold digits, start at 0. A seed is a first
+  and hexadecimal literals of a digest's length that a quote or an equals sign leads
+  are the seeds, with score 1; such literals elsewhere, which may be anything, start
+  at a half, other identifier-like tokens, which hold digits, at 0. A seed is a first
   guess and nothing more: it is not added for what it is;
 * a pattern's score is the mean score of its distinct instances, if it has
   ``support`` of them whose score is a half or more; an instance's is the
   noisy-or of its patterns' scores;
 * after ``rounds`` the tokens that lie outside the base spans and stand in a pattern
   of ``confidence`` or more are added as kind ``other``, whatever their form. A
-  pattern without a letter (a bare quote, say) names nothing and adds nothing.
+  pattern without a letter (a bare quote, say) names nothing and adds nothing, nor
+  does one without ``support`` seeds of score 1: digests alone make none.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ _PATTERNS = {
 SECRET_FORMS = (
     "AKIA[0-9A-Z]{16}", "gh[pousr]_[A-Za-z0-9]{36}", "xox[abp]-[A-Za-z0-9-]{10,}", "sk-[A-Za-z0-9-]{20,}",
 )
-#: Lengths of digests in hexadecimal; such a literal is a seed only if a quote or an equals sign is joined to it on the left.
+#: Lengths of digests in hexadecimal; such a literal is a seed of score 1 only if a quote or an equals sign is joined to it on the left.
 _LITERAL, _LED = "^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$", "joined .*[\"'=]$"
 #: A pattern with a letter besides its kind's name.
 _NAMES = r"^[a-z]+ .*\p{L}"
@@ -173,9 +175,9 @@ def identifiers(found: DataFrame) -> DataFrame:
     begins = F.min(F.when(~F.col("token"), F.col("start"))).over(until_here(behind))
     rows = rows.withColumns({"ends": ends, "begins": begins})
     rows = rows.where(~F.col("token") | ((F.coalesce("ends", F.lit(0)) <= F.col("start")) & (F.coalesce("begins", F.col("end")) >= F.col("end"))))
-    literal = F.col("value").rlike(_LITERAL) & F.exists("patterns", lambda p: p.rlike(_LED))
-    known = ~F.col("token") | F.col("value").rlike("^(?:" + "|".join(SECRET_FORMS) + ")$") | literal
-    return rows.select("row", "start", "end", "value", "patterns", "token", F.when(known, 1.0).otherwise(0.0).alias("seed"))
+    literal = F.col("value").rlike(_LITERAL)
+    known = ~F.col("token") | F.col("value").rlike("^(?:" + "|".join(SECRET_FORMS) + ")$") | (literal & F.exists("patterns", lambda p: p.rlike(_LED)))
+    return rows.select("row", "start", "end", "value", "patterns", "token", F.when(known, 1.0).when(literal, 0.5).otherwise(0.0).alias("seed"))
 
 
 def pattern_scores(edges: DataFrame, rounds: int, support: int) -> DataFrame:
@@ -200,7 +202,9 @@ def _discovered(found: DataFrame, rounds: int, support: int, confidence: float)
     rows = materialise(identifiers(found), "identifiers")
     by_pattern = rows.select("row", "start", "end", "value", "token", "seed", F.explode_outer("patterns").alias("pattern"))
     edges = materialise(by_pattern.where("pattern IS NOT NULL").groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
-    good = materialise(pattern_scores(edges, rounds, support).where((F.col("score") >= confidence) & F.col("pattern").rlike(_NAMES)).select("pattern"), "patterns")
+    certain = edges.groupBy("pattern").agg(F.count_if(F.col("seed") >= 1).alias("certain")).where(F.col("certain") >= support)
+    good = pattern_scores(edges, rounds, support).where((F.col("score") >= confidence) & F.col("pattern").rlike(_NAMES)).join(certain, "pattern")
+    good = materialise(good.select("pattern"), "patterns")
     discard(edges)
     salt = F.pmod(F.xxhash64("value"), F.lit(_SALTS)).cast("int")
     spread = good.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
