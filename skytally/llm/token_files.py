@@ -26,10 +26,9 @@ own; an empty table gives an empty folder, and no rows.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -51,10 +50,11 @@ GROUP = 1024
 BROADCAST = 1_000_000
 
 
-#: A run of letters ends a token before any ASCII character that is none; those of Latin-1 are enough here.
-_HEAD = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]++(?=[\x00-\x7F]|\Z)")
+#: A part is a word of letters and the rest from an ASCII character on that is none, between which tokens end; those of Latin-1 are enough here.
+_LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}"
+_CUT = rf"(?s)^(?P<word>[{_LETTERS}]+)(?P<rest>(?:[\x{{00}}-@\[-`{{-\x{{7F}}].*)?)$"
 #: Words that are encoded in one text, and parts that a task keeps.
-JOINED, KEPT = 1000, 1 << 19
+JOINED, KEPT = 300, 1 << 20
 
 
 class _Encoder:
@@ -73,36 +73,78 @@ class _Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        #: Ids of pieces, one after another, and how many each has; row 0 is empty.
+        self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        #: The pieces met, words and others, and their rows; the parts met, and the rows of each one's two pieces.
+        self.words, self.others = (_Met(), _Met())
+        self.known = pa.array([], pa.large_string())
+        self.heads, self.tails = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.opens, self.closes = np.zeros(0, bool), np.zeros(0, bool)
-        self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.codec.encode_batch(texts, add_special_tokens=False)]
-
-    def _words(self, heads: list[str]) -> list[list[int]]:
-        """Ids of a space and each word of letters; many words are encoded in one text and told apart by the tokens' words."""
-        out: list[list[int]] = []
-        for e in self.codec.encode_batch([" " + " ".join(heads[k : k + JOINED]) for k in range(0, len(heads), JOINED)], add_special_tokens=False):
-            ids, ends = e.ids, np.cumsum(np.bincount(e.word_ids)).tolist()
-            out += [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        return out
-
-    def parts(self, known: list[str]) -> np.ndarray:
-        """Places of the parts in the tables, which hold the ids of a space and the part."""
-        new = [u for u in known if u not in self.index]
-        if new:
-            cut = [m.end() if (m := _HEAD.match(u)) else 0 for u in new]
-            heads = iter(self._words([u[:k] for u, k in zip(new, cut, strict=True) if k]))
-            tails = sorted({u[k:] if k else " " + u for u, k in zip(new, cut, strict=True)} - {""})
-            after = dict(zip(tails, self.ids(tails), strict=True)) | {"": []}
-            ids = [next(heads) + after[u[k:]] if k else after[" " + u] for u, k in zip(new, cut, strict=True)]
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.opens = np.append(self.opens, [not u or u[0].isspace() for u in new])
-            self.closes = np.append(self.closes, [not u or u[-1].isspace() for u in new])
-            self.lengths = np.append(self.lengths, np.fromiter(map(len, ids), np.int64, len(ids)))
-            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32))
-        return np.fromiter(map(self.index.__getitem__, known), np.int64, len(known))
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after another, and how many each has."""
+        ids, lengths = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+        # What the library returns is many times the ids; few texts at once keep it small.
+        for k in range(0, len(texts), JOINED):
+            found = [e.ids for e in self.codec.encode_batch(texts[k : k + JOINED], add_special_tokens=False)]
+            lengths[k : k + JOINED] = list(map(len, found))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        return np.concatenate(ids), lengths
+
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of a space and each word of letters; many are encoded in one text and told apart by the tokens' words."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), JOINED):
+            e = self.codec.encode(" " + " ".join(words[k : k + JOINED]), add_special_tokens=False)
+            ids.append(np.array(e.ids, np.uint32))
+            lengths.append(np.bincount(e.word_ids))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _rows(self, met: _Met, pieces: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The rows of pieces, with those not met before encoded first."""
+        coded = pieces.dictionary_encode()
+        at = pc.index_in(coded.dictionary, met.known)
+        new = at.is_null()
+        unmet = coded.dictionary.filter(new)
+        at = at.fill_null(0).to_numpy()
+        if len(unmet):
+            ids, lengths = encode(unmet.to_pylist())
+            at = at.copy()
+            at[new.to_numpy(zero_copy_only=False)] = np.arange(len(met.known), len(met.known) + len(unmet))
+            met.known = pa.concat_arrays([met.known, unmet])
+            met.rows = np.append(met.rows, np.arange(len(self.lengths), len(self.lengths) + len(unmet), dtype=np.int32))
+            self.flat, self.lengths = np.append(self.flat, ids), np.append(self.lengths, lengths)
+        return met.rows[at][coded.indices.to_numpy()]
+
+    def parts(self, found: pa.Array) -> np.ndarray:
+        """Places of distinct parts in the tables."""
+        at = pc.index_in(found, self.known)
+        new = at.is_null()
+        unmet = found.filter(new)
+        at = at.fill_null(0).to_numpy()
+        if len(unmet):
+            at = at.copy()
+            at[new.to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + len(unmet))
+            cut = pc.extract_regex(unmet, _CUT)
+            plain = cut.is_null().to_numpy(zero_copy_only=False)
+            heads, tails = np.zeros(len(unmet), np.int32), np.zeros(len(unmet), np.int32)
+            whole = unmet.filter(pa.array(plain))
+            heads[plain] = self._rows(self.others, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), whole, pa.scalar(" ", pa.large_string())), self.ids)
+            split = cut.filter(pa.array(~plain))
+            heads[~plain] = self._rows(self.words, split.field("word"), self._spaced)
+            tails[~plain] = self._rows(self.others, split.field("rest"), self.ids)
+            self.heads, self.tails = np.append(self.heads, heads), np.append(self.tails, tails)
+            white = lambda at, end: pc.or_(pc.utf8_is_space(pc.utf8_slice_codeunits(unmet, at, end)), pc.equal(pc.binary_length(unmet), 0)).to_numpy(zero_copy_only=False)
+            self.opens, self.closes = np.append(self.opens, white(0, 1)), np.append(self.closes, white(-1, None))
+            self.known = pa.concat_arrays([self.known, unmet])
+        return at
+
+
+class _Met:
+    """Pieces that have been encoded, and their rows."""
+
+    def __init__(self) -> None:
+        self.known, self.rows = pa.array([], pa.large_string()), np.zeros(0, np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -123,14 +165,15 @@ def encode(texts: pa.Array, tokenizer: str = TOKENIZER, end_id: int | None = 2)
     texts = texts.cast(pa.large_string())
     after = [] if end_id is None else [end_id]
     if not encoder.cuts:
-        ids = [i + after for i in encoder.ids(texts.to_pylist())]
-        return np.fromiter(chain.from_iterable(ids), np.uint32), np.cumsum(np.fromiter(map(len, ids), np.int64, n))
-    if len(encoder.index) > KEPT:
+        flat, lengths = encoder.ids(texts.to_pylist())
+        ends = np.cumsum(lengths)
+        return np.insert(flat, np.repeat(ends, len(after)), after * n), ends + len(after) * np.arange(1, n + 1)
+    if len(encoder.known) > KEPT:
         encoder.forget()
     lists = pc.split_pattern(texts, " ")
     bounds, coded = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
-    known = coded.dictionary.to_pylist()
-    part = encoder.parts(known)[coded.indices.to_numpy()]
+    names = coded.indices.to_numpy()
+    part = encoder.parts(coded.dictionary)[names]
     # A piece begins with each text, and with each part if neither side of its space is white.
     begins = np.ones(len(part), bool)
     begins[1:] = ~encoder.opens[part[1:]] & ~encoder.closes[part[:-1]]
@@ -140,15 +183,15 @@ def encode(texts: pa.Array, tokenizer: str = TOKENIZER, end_id: int | None = 2)
     at = np.flatnonzero(begins)
     ends = np.append(at[1:], len(part))
     plain = (ends - at == 1) & ~first[at]
-    names = coded.indices.to_numpy()
-    others = [("" if lead else " ") + " ".join([known[k] for k in names[a:b].tolist()]) for a, b, lead in zip(at[~plain].tolist(), ends[~plain].tolist(), first[at[~plain]].tolist(), strict=True)]
-    own = [*encoder.ids(others), after]
-    order = np.empty(len(at), np.int64)
-    order[plain] = part[at[plain]]
-    order[~plain] = len(encoder.lengths) + np.arange(len(others))
-    per_text = np.searchsorted(at, bounds[1:])
-    lengths = np.append(encoder.lengths, np.fromiter(map(len, own), np.int64, len(own)))
-    flat = np.append(encoder.flat, np.fromiter(chain.from_iterable(own), np.uint32))
+    others = [("" if lead else " ") + " ".join(coded.dictionary.take(pa.array(names[a:b])).to_pylist()) for a, b, lead in zip(at[~plain].tolist(), ends[~plain].tolist(), first[at[~plain]].tolist(), strict=True)]
+    own, own_lengths = encoder.ids(others)
+    # Two rows a piece: head and tail, or its own and an empty one; the end id follows each text.
+    order = np.zeros(2 * len(at), np.int64)
+    order[0::2][plain], order[1::2][plain] = encoder.heads[part[at[plain]]], encoder.tails[part[at[plain]]]
+    order[0::2][~plain] = len(encoder.lengths) + np.arange(len(others))
+    per_text = 2 * np.searchsorted(at, bounds[1:])
+    lengths = np.concatenate([encoder.lengths, own_lengths, [len(after)]])
+    flat = np.concatenate([encoder.flat, own, np.array(after, np.uint32)])
     out, taken = _ragged(flat, lengths, np.insert(order, per_text, len(lengths) - 1))
     return out, np.cumsum(taken)[per_text + np.arange(n)]
 

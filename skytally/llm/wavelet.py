@@ -28,13 +28,13 @@ class WaveletMatrix:
         planes, zeros, ranks = [], [], []
         left = values
         for level in range(width - 1, -1, -1):
-            bits = (left >> level) & 1 == 1
+            bits = left & left.dtype.type(1 << level) != 0
             plane = np.packbits(bits)
             planes.append(plane.tobytes())
             zeros.append(int(len(bits) - np.count_nonzero(bits)))
             per_span = np.add.reduceat(_BITS[plane], np.arange(0, len(plane), SPAN // 8), dtype=np.int64) if len(plane) else np.zeros(0, np.int64)
             ranks.append(np.concatenate([[0], np.cumsum(per_span)]).astype(np.uint32).tobytes())
-            left = np.concatenate([left[~bits], left[bits]])
+            left = np.concatenate([np.compress(~bits, left), np.compress(bits, left)])
         return WaveletMatrix(len(values), planes, zeros, ranks)
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -64,14 +64,15 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """Every value, in order: the sequence is put together again from the lowest plane up."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
             bits = np.unpackbits(self.planes[level], count=self.n).astype(bool)
-            merged = np.empty(self.n, np.uint32)
-            merged[~bits] = out[: self.zeros[level]]
-            merged[bits] = out[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            merged = np.empty(self.n, kind)
+            merged[np.flatnonzero(~bits)] = out[: self.zeros[level]]
+            merged[np.flatnonzero(bits)] = out[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             out = merged
-        return out
+        return out.astype(np.uint32)
 
     def _range(self, value: int, end: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where ``value`` begins below the last level, and its end for the first ``end`` positions."""
