@@ -59,7 +59,9 @@ def weather_quality(samples: DataFrame) -> DataFrame:
     """REJECTED with the first reason, HIGH without an earlier sample, GOOD otherwise."""
     samples = carried(samples, ["icao_hex"], "observed_at", "event_id", last=previous(F.struct("event_id", "observed_at", "temperature_c", "wind_from", "wind_kt")))
     before = lambda c: F.col(f"last.{c}")
-    elapsed = F.unix_millis("observed_at") - F.unix_millis(before("observed_at"))
+    # Times to the nearest millisecond.
+    millis = lambda c: F.round(F.unix_micros(c), -3) / 1000
+    elapsed = millis("observed_at") - millis(before("observed_at"))
     soon = (elapsed > 0) & (elapsed <= 15_000)
     off = lambda c, a, b: F.coalesce(~F.col(c).between(a, b), F.lit(False))
     spike = (F.abs(geo.turn(F.col("wind_from"), before("wind_from"))) > 150) & (F.abs(F.col("wind_kt") - before("wind_kt")) > 200)

@@ -110,6 +110,14 @@ def test_apply_delta(spark):
         records.apply_delta(state, changed, changed.select("k"), "k", 5, 5)
 
 
+def test_weather_jumps_by_the_nearest_millisecond(spark):
+    """15.0004 s is a jump, 15.0005 s is none, half a millisecond comes after nothing."""
+    rows = [(k, hexa, START + timedelta(microseconds=us), 100, t, 10, 0.0) for k, (hexa, us, t) in enumerate([("A", 600, -60), ("A", 15_001_400, 0), ("B", 400, -60), ("B", 15_000_900, 0), ("C", 0, -60), ("C", 499, 0), ("D", 0, -60), ("D", 500, 0)])]
+    samples = spark.createDataFrame(rows, "event_id long, icao_hex string, observed_at timestamp, altitude_ft long, temperature_c long, wind_kt long, wind_from double")
+    got = {r.event_id: r.quality for r in records.weather_quality(samples).collect()}
+    assert [got[k] for k in range(8)] == ["HIGH", "REJECTED", "HIGH", "GOOD", "HIGH", "GOOD", "HIGH", "REJECTED"]
+
+
 def test_csv_lines(spark):
     rows = spark.createDataFrame([(1, 'a "b", c', None), (2, None, 1.5), (3, "x\ny", 0.0)], "k long, t string, v double")
     assert [r.line for r in records.csv_lines(rows, ["k", "t", "v"]).collect()] == ['1,"a ""b"", c",', "2,,1.5", '3,"x\ny",0.0']
