@@ -46,3 +46,8 @@ def test_source_merge_all(spark, tmp_path):
     got = {r.icao_hex: (r.membership, r.altitude_ft, round(r.lat, 3)) for r in registry.QUERIES["source_merge_all"](spark, str(tmp_path)).collect()}
     place = lambda k: (k * 37 % 420 * 100, round(49 + k * 7919 % 2000 / 1000, 3))
     assert got == {"000001": ("overlap", *place(6)), "000002": ("network", *place(8)), "000003": ("local", *place(9)), "000004": ("network", *place(14))}
+
+
+def test_stream_counts_every_event(spark, duck):
+    counted = sum(r.available for r in registry.QUERIES["stream_hourly_counts"](spark, FOLDER).collect())
+    assert counted == duck.sql("SELECT count(*) FROM events").fetchone()[0]
