@@ -43,11 +43,17 @@ def nearest_segments(obs: DataFrame, segments: DataFrame, reach: float = 0.3) ->
 
 
 def nearest_points(obs: DataFrame, points: DataFrame, reach: float = 5.0) -> DataFrame:
-    """The named point (icao, plat, plon) nearest to each observation within ``reach`` degrees."""
+    """The named point (icao, plat, plon) nearest to each observation within ``reach`` degrees.
+
+    A cell's points are one array, so that an observation is one row throughout.
+    """
     covered = points.withColumn("cell", F.explode(geo.cell_cover(F.col("plat") - reach, F.col("plat") + reach, F.col("plon") - reach, F.col("plon") + reach)))
-    both = obs.withColumn("cell", geo.cell(F.col("lat"), F.col("lon"))).join(covered, "cell").where((F.abs(F.col("lat") - F.col("plat")) <= reach) & (F.abs(F.col("lon") - F.col("plon")) <= reach))
-    km = F.round(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")), 6)
-    return both.groupBy("event_id").agg(F.min(F.struct(km.alias("km"), "icao")).alias("b")).select("event_id", "b.icao", "b.km")
+    around = covered.groupBy("cell").agg(F.collect_list(F.struct("icao", "plat", "plon")).alias("around"))
+    lat, lon = F.col("lat"), F.col("lon")
+    near = F.filter("around", lambda p: (F.abs(lat - p["plat"]) <= reach) & (F.abs(lon - p["plon"]) <= reach))
+    best = F.array_min(F.transform(near, lambda p: F.struct(F.round(geo.haversine_km(lat, lon, p["plat"], p["plon"]), 6).alias("km"), p["icao"].alias("icao"))))
+    both = obs.select("event_id", "lat", "lon", geo.cell(lat, lon).alias("cell")).join(around, "cell").select("event_id", best.alias("b"))
+    return both.groupBy("event_id").agg(F.min("b").alias("b")).where("b IS NOT NULL").select("event_id", "b.icao", "b.km")
 
 
 def movements(obs: DataFrame, points: DataFrame, radius_km: float = 30.0) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skytally.functions import codes, geo, text
-from skytally.operators import records, receiver, reports, sequences
+from skytally.operators import matching, records, receiver, reports, sequences
 
 START = datetime(2024, 1, 1, 12)
 
@@ -118,6 +118,15 @@ def test_weather_jumps_by_the_nearest_millisecond(spark):
     assert [got[k] for k in range(8)] == ["HIGH", "REJECTED", "HIGH", "GOOD", "HIGH", "GOOD", "HIGH", "REJECTED"]
 
 
+def test_nearest_points_keep_one_row_an_observation(spark):
+    points = spark.createDataFrame([("B", 50.0, 15.0), ("A", 50.0, 15.0), ("C", 53.0, 15.0), ("D", 20.0, 15.0)], "icao string, plat double, plon double")
+    obs = spark.createDataFrame([(1, 50.1, 15.0), (2, 52.9, 15.1), (3, 14.0, 15.0), (4, 15.0, 10.0), (5, 57.9, 15.0)], "event_id long, lat double, lon double")
+    found = matching.nearest_points(obs, points)
+    # Of equally near ones the least name; 5 degrees away is within reach.
+    assert {r.event_id: r.icao for r in found.collect()} == {1: "A", 2: "C", 4: "D", 5: "C"}
+    assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_csv_lines(spark):
     rows = spark.createDataFrame([(1, 'a "b", c', None), (2, None, 1.5), (3, "x\ny", 0.0)], "k long, t string, v double")
     assert [r.line for r in records.csv_lines(rows, ["k", "t", "v"]).collect()] == ['1,"a ""b"", c",', "2,,1.5", '3,"x\ny",0.0']
