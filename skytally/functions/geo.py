@@ -105,8 +105,9 @@ def ring_side(lat: Column, lon: Column, ring: Column, near: float = 1e-9) -> Col
 
     Longitudes of the ring are taken on the point's side of the date line.
     """
-    own = F.transform(ring, lambda p: F.struct(p["lat"].alias("y"), (lon + turn(lon, p["lon"])).alias("x")))
-    edges = F.zip_with(own, F.concat(F.slice(own, 2, F.size(own)), F.slice(own, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    corners = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    own = lambda p: F.struct(p["lat"].alias("y"), (lon + turn(lon, p["lon"])).alias("x"))
+    edges = F.transform(corners, lambda e: F.struct(own(e["a"]).alias("a"), own(e["b"]).alias("b")))
 
     def on(e: Column) -> Column:
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
@@ -117,7 +118,9 @@ def ring_side(lat: Column, lon: Column, ring: Column, near: float = 1e-9) -> Col
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
         return ((ay > lat) != (by > lat)) & (lon < (bx - ax) * (lat - ay) / (by - ay) + ax)
 
-    found = F.when(F.exists(edges, on), "boundary").when(F.size(F.filter(edges, crosses)) % 2 == 1, "inside").otherwise("outside")
+    # All edges at one go: -1 once on one, otherwise whether the crossings are odd.
+    state = F.aggregate(edges, F.lit(0), lambda s, e: F.when((s < 0) | on(e), F.lit(-1)).when(crosses(e), 1 - s).otherwise(s))
+    found = F.element_at(F.array(F.lit("boundary"), F.lit("outside"), F.lit("inside")), state + 2)
     return F.when(lat.isNotNull() & lon.isNotNull() & (F.size(ring) >= 3), found)
 
 
@@ -155,5 +158,12 @@ def cell_cover(low_lat: Column, high_lat: Column, low_lon: Column, high_lon: Col
     return F.flatten(F.transform(steps(low_lat, high_lat), lambda la: F.transform(steps(low_lon, high_lon), lambda lo: F.struct(la.alias("la"), lo.alias("lo")))))
 
 
+def ring_reach(ring: Column, margin: float = 1e-4) -> tuple[Column, Column, Column, Column]:
+    """The box of a ring, wide enough for points on its boundary; all longitudes if it crosses the date line."""
+    south, north, west, east = ring_box(ring)
+    wide = east - west > 180
+    return south - margin, north + margin, F.when(wide, -180.0).otherwise(west - margin), F.when(wide, 180.0).otherwise(east + margin)
+
+
 def cell(lat: Column, lon: Column, degrees: float = 1.0) -> Column:
     return F.struct(F.floor(lat / degrees).alias("la"), F.floor(lon / degrees).alias("lo"))

@@ -19,9 +19,9 @@ def sector_matches(obs: DataFrame, sectors: DataFrame) -> DataFrame:
 
     Both sides meet by one-degree cell; the exact test follows.
     """
-    box = geo.ring_box(F.col("ring"))
-    covered = sectors.withColumn("cell", F.explode(geo.cell_cover(*box)))
-    both = obs.withColumn("cell", geo.cell(F.col("lat"), F.col("lon"))).join(covered, "cell")
+    reach = dict(zip(("s", "n", "w", "e"), geo.ring_reach(F.col("ring")), strict=True))
+    covered = sectors.withColumns(reach).withColumn("cell", F.explode(geo.cell_cover(*map(F.col, reach))))
+    both = obs.withColumn("cell", geo.cell(F.col("lat"), F.col("lon"))).join(covered, "cell").where(F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e")))
     inside = geo.ring_side(F.col("lat"), F.col("lon"), F.col("ring"))
     hits = both.where(F.col("altitude_ft").between(F.col("lower_ft"), F.col("upper_ft")) & valid_at(F.col("observed_at"), F.col("valid_from"), F.col("valid_to"))).withColumn("side", inside).where("side <> 'outside'")
     best = hits.groupBy("event_id").agg(F.min(F.struct((F.col("upper_ft") - F.col("lower_ft")).alias("height"), "sector_id", "side")).alias("b"), F.count("*").alias("matches"))
@@ -101,8 +101,12 @@ def hazards(obs: DataFrame, areas: DataFrame, minutes: int = 15) -> DataFrame:
     to_lat, to_lon = geo.destination(F.col("lat"), F.col("lon"), F.col("track"), F.col("ground_speed") * F.col("minute") / 60, geo.EARTH_NM)
     still = F.col("minute") == 0
     at = course.withColumns({"y": F.when(still, F.col("lat")).otherwise(to_lat), "x": F.when(still, F.col("lon")).otherwise(to_lon)})
-    covered = areas.withColumn("cell", F.explode(geo.cell_cover(*geo.ring_box(F.col("ring")))))
-    both = at.withColumn("cell", geo.cell(F.col("y"), F.col("x"))).join(covered, "cell").where(F.col("altitude_ft").between(F.col("lower_ft"), F.col("upper_ft")))
+    size = 0.5
+    covered = areas.select("sector_id", "ring", "lower_ft", "upper_ft", *(c.alias(n) for c, n in zip(geo.ring_reach(F.col("ring")), "snwe", strict=True)))
+    covered = covered.withColumn("cell", F.explode(geo.cell_cover(*map(F.col, "snwe"), size)))
+    # The exact test is dear: altitude and box come first.
+    beside = F.col("altitude_ft").between(F.col("lower_ft"), F.col("upper_ft")) & F.col("y").between(F.col("s"), F.col("n")) & F.col("x").between(F.col("w"), F.col("e"))
+    both = at.withColumn("cell", geo.cell(F.col("y"), F.col("x"), size)).join(covered, "cell").where(beside)
     hit = both.where(geo.ring_side(F.col("y"), F.col("x"), F.col("ring")) != "outside")
     return hit.groupBy("event_id", "sector_id").agg(F.min("minute").cast("long").alias("minute")).withColumn("relation", F.when(F.col("minute") == 0, "current").otherwise("projected"))
 

@@ -127,6 +127,17 @@ def test_nearest_points_keep_one_row_an_observation(spark):
     assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_hazards_test_few_rings_and_cross_the_date_line(spark):
+    corners = ((0.0, 179.0), (0.0, -179.0), (2.0, -179.0), (2.0, 179.0))
+    ring = F.array(*(F.struct(F.lit(y).alias("lat"), F.lit(x).alias("lon")) for y, x in corners))
+    areas = spark.range(1).select(F.lit(7).alias("sector_id"), ring.alias("ring"), F.lit(0).alias("lower_ft"), F.lit(1000).alias("upper_ft"))
+    rows = [(1, 1.0, 179.5, 500, 0.0, 0.0), (2, 1.0, -179.5, 500, 0.0, 0.0), (3, 1.0, 178.9, 500, 90.0, 60.0), (4, 1.0, 179.5, 2000, 0.0, 0.0), (5, 1.0, 170.0, 500, 90.0, 60.0)]
+    obs = spark.createDataFrame(rows, "event_id long, lat double, lon double, altitude_ft long, track double, ground_speed double")
+    found = matching.hazards(obs, areas)
+    # A knot of 60 is a minute of arc each minute: six of them to longitude 179.
+    assert {(r.event_id, r.minute, r.relation) for r in found.collect()} == {(1, 0, "current"), (2, 0, "current"), (3, 7, "projected")}
+
+
 def test_csv_lines(spark):
     rows = spark.createDataFrame([(1, 'a "b", c', None), (2, None, 1.5), (3, "x\ny", 0.0)], "k long, t string, v double")
     assert [r.line for r in records.csv_lines(rows, ["k", "t", "v"]).collect()] == ['1,"a ""b"", c",', "2,,1.5", '3,"x\ny",0.0']
