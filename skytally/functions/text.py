@@ -16,7 +16,11 @@ def trimmed(raw: Column) -> Column:
 
 def clean_number(raw: Column) -> Column:
     """A finite double or null; hexadecimal whole numbers count as numbers."""
-    text = trimmed(raw)
+    return trimmed_number(trimmed(raw))
+
+
+def trimmed_number(text: Column) -> Column:
+    """The same of a text without white space around it, best a column, as it is looked at several times."""
     number = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
     number = F.when(text.rlike("^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substring(text, 3, 15), 16, 10).try_cast("double")).otherwise(number)
     return F.when(F.abs(number) < float("inf"), number)

@@ -18,27 +18,30 @@ def station_messages(lines: DataFrame, most: int = 4096) -> DataFrame:
 
     An error is one of too_long, malformed, invalid_icao, invalid_position; null if there is none.
     """
-    f = F.split(F.trim("line"), ",", -1)
-    at = lambda k: F.get(f, F.lit(k))
-    kind = F.when(at(1).rlike("^[1-8]$"), at(1).cast("int"))
-    hex_ = F.upper(F.trim(at(4)))
-    lat, lon = (text.clean_number(at(k)) for k in (14, 15))
-    lat, lon = F.when(lat.between(-90, 90), lat), F.when(lon.between(-180, 180), lon)
-    said = F.coalesce(text.clean_text(at(14)), text.clean_text(at(15))).isNotNull()
-    error = F.when(F.length("line") > most, "too_long").when((F.size(f) < 22) | (at(0) != "MSG") | kind.isNull(), "malformed").when(~hex_.rlike("^[0-9A-F]{1,6}$"), "invalid_icao").when(said & (lat.isNull() | lon.isNull()), "invalid_position")
-    ground = F.lower(F.trim(at(21))).isin("-1", "true")
-    fields = {"kind": kind, "icao_hex": F.lpad(hex_, 6, "0"), "callsign": text.clean_text(at(10)), "altitude_ft": text.clean_number(at(11)), "ground_speed": text.clean_number(at(12)), "lat": lat, "lon": lon, "squawk": text.clean_text(at(17)), "on_ground": ground}
-    return lines.withColumn("error", error).select("event_id", "observed_at", "error", *(F.when(F.col("error").isNull(), v).alias(k) for k, v in fields.items()))
+    # Each step's columns are read several times by the next, so each is computed once.
+    keep = ("event_id", "observed_at")
+    words = lines.select(*keep, F.length("line").alias("length"), F.split(F.trim("line"), ",", -1).alias("f"))
+    at = lambda k: F.get("f", F.lit(k))
+    trimmed = {"callsign": 10, "altitude_ft": 11, "ground_speed": 12, "lat": 14, "lon": 15, "squawk": 17}
+    parts = words.select(*keep, "length", F.size("f").alias("size"), at(0).alias("type"), at(1).alias("kind"), F.upper(F.trim(at(4))).alias("icao_hex"), *(text.trimmed(at(k)).alias(c) for c, k in trimmed.items()), F.lower(F.trim(at(21))).alias("ground"))
+    said = (F.col("lat") != "") | (F.col("lon") != "")
+    numbers = parts.withColumns({"said": said, **{c: text.trimmed_number(F.col(c)) for c in ("altitude_ft", "ground_speed", "lat", "lon")}, "kind": F.when(F.col("kind").rlike("^[1-8]$"), F.col("kind").cast("int"))})
+    lat, lon = F.when(F.col("lat").between(-90, 90), F.col("lat")), F.when(F.col("lon").between(-180, 180), F.col("lon"))
+    error = F.when(F.col("length") > most, "too_long").when((F.col("size") < 22) | (F.col("type") != "MSG") | F.col("kind").isNull(), "malformed").when(~F.col("icao_hex").rlike("^[0-9A-F]{1,6}$"), "invalid_icao").when(F.col("said") & (lat.isNull() | lon.isNull()), "invalid_position")
+    clean = lambda c: F.nullif(c, F.lit(""))
+    fields = {"kind": F.col("kind"), "icao_hex": F.lpad("icao_hex", 6, "0"), "callsign": clean("callsign"), "altitude_ft": F.col("altitude_ft"), "ground_speed": F.col("ground_speed"), "lat": lat, "lon": lon, "squawk": clean("squawk"), "on_ground": F.col("ground").isin("-1", "true")}
+    return numbers.withColumn("error", error).select(*keep, "error", *(F.when(F.col("error").isNull(), v).alias(k) for k, v in fields.items()))
 
 
 def tracks(messages: DataFrame) -> DataFrame:
     """One track for each aircraft from partial messages: each field as it was last said, and when the position was."""
-    ok = messages.where("error IS NULL")
+    # Wrong messages say nothing: no filter, which would parse every line once more.
+    ok = F.col("error").isNull()
     order = F.struct("observed_at", "event_id")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
     place = F.max_by(F.struct("lat", "lon", "observed_at"), F.when(F.col("lat").isNotNull(), order))
-    out = ok.groupBy("icao_hex").agg(F.count("*").alias("messages"), last("callsign"), last("altitude_ft"), last("ground_speed"), last("squawk"), place.alias("p"), F.unix_micros(F.max("observed_at")).alias("last_us"))
-    return out.select("icao_hex", "messages", "callsign", "altitude_ft", "ground_speed", "squawk", "p.lat", "p.lon", F.unix_micros("p.observed_at").alias("position_us"), "last_us")
+    out = messages.groupBy("icao_hex").agg(F.count_if(ok).alias("messages"), last("callsign"), last("altitude_ft"), last("ground_speed"), last("squawk"), place.alias("p"), F.unix_micros(F.max(F.when(ok, F.col("observed_at")))).alias("last_us"))
+    return out.where("messages > 0").select("icao_hex", "messages", "callsign", "altitude_ft", "ground_speed", "squawk", "p.lat", "p.lon", F.unix_micros("p.observed_at").alias("position_us"), "last_us")
 
 
 _APRS = r"^([A-Z0-9-]{1,9})>([A-Z0-9]+),[^:]*:/([0-9]{6})h([0-9]{2})([0-9]{2}\.[0-9]{2})([NS])(.)([0-9]{3})([0-9]{2}\.[0-9]{2})([EW])(.)(?:([0-9]{3})/([0-9]{3}))?(.*)$"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skytally.functions import codes, geo, text
 from skytally.operators import matching, records, receiver, reports, sequences
+from skytally.sources import feeds
 
 START = datetime(2024, 1, 1, 12)
 
@@ -138,6 +139,16 @@ def test_hazards_test_few_rings_and_cross_the_date_line(spark):
     assert {(r.event_id, r.minute, r.relation) for r in found.collect()} == {(1, 0, "current"), (2, 0, "current"), (3, 7, "projected")}
 
 
+def test_station_lines_are_split_once(spark):
+    line = "MSG,3,1,1,4ca2d6,1,,,,, CS1 ,1200,,,50.25,14.5,,7700,,,,-1"
+    lines = spark.createDataFrame([(1, at(0), line), (2, at(1), line.replace("50.25", "")), (3, at(2), "MSG,3"), (4, at(3), line.replace("1200", "1300").replace("50.25,14.5", ","))], "event_id long, observed_at timestamp, line string")
+    messages = feeds.station_messages(lines)
+    assert {r.event_id: r.error for r in messages.collect()} == {1: None, 2: "invalid_position", 3: "malformed", 4: None}
+    found = feeds.tracks(messages)
+    assert [(r.icao_hex, r.messages, r.callsign, r.altitude_ft, r.lat, r.position_us < r.last_us) for r in found.collect()] == [("4CA2D6", 2, "CS1", 1300.0, 50.25, True)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_csv_lines(spark):
     rows = spark.createDataFrame([(1, 'a "b", c', None), (2, None, 1.5), (3, "x\ny", 0.0)], "k long, t string, v double")
     assert [r.line for r in records.csv_lines(rows, ["k", "t", "v"]).collect()] == ['1,"a ""b"", c",', "2,,1.5", '3,"x\ny",0.0']
