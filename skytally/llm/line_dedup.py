@@ -30,7 +30,7 @@ shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,7 @@ _TWINS = np.dtype([("a", _PLACE), ("b", _PLACE)])
 _PAIR, _GONE, _MORE, _TWIN = range(4)
 #: An entry may be the earlier line of a pair, the later one, or both.
 _EARLIER, _LATER = 1, 2
+_LINES = "bucket long, lines binary, tokens binary"
 _PACKED = "bucket long, kind int, payload binary"
 _SIDES = [f"{side}_{field}" for side in "ab" for field in ("doc", "text", "line")]
 _FOUND = "kind int, " + ", ".join(f"{c} long" for c in _SIDES) + ", token long"
@@ -156,7 +157,7 @@ def _records(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return records, np.arange(len(records), dtype=np.int64) * records.dtype.itemsize
 
 
-def _joined(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+def _joined(column: pa.Array | pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
@@ -231,12 +232,17 @@ class _Join:
         out["key"], out["check"] = lines.keys()
         out["doc"], out["text"], out["line"], out["n"], out["parity"] = ids[text], digests[text], lines.number[lines.filled], lines.n, lines.parity()
         out["tokens"] = np.bincount(rank[at], minlength=len(out))
-        tokens = key[at]
-        if self.open_tokens is not None:
-            wanted = np.zeros(len(out), bool)
-            wanted[rank[at][_in(self.open_tokens.value, _slot(tokens.astype(np.int64), 0, 0))]] = True
-            out, tokens = out[wanted], tokens[wanted[rank[at]]]
-        return out, tokens
+        return out, key[at]
+
+    def reopened(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of packed lines those with a token that is open; a class's first line has its tokens still."""
+        for batch in batches:
+            lines, tokens = _joined(batch.column("lines"), _LINE), _wide(b"".join(batch.column("tokens").to_pylist()))
+            owner = np.repeat(np.arange(len(lines)), lines["tokens"])
+            wanted = np.zeros(len(lines), bool)
+            wanted[owner[_in(self.open_tokens.value, _slot(tokens.astype(np.int64), 0, 0))]] = True
+            if wanted.any():
+                yield self._flush([(lines[wanted], tokens[wanted[owner]])])
 
     def _flush(self, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         lines, _, tokens = _by_class(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
@@ -371,13 +377,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, t: float, name: str) -> DataFra
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_numpy(), batch.column("text")
-            for r in np.flatnonzero(_in(owners.value, _slot(ids, 0, 0))):
-                text = (texts[int(r)].as_py() or "").encode()
-                digest, parts = int(_digests([text])[0]), text.split(b"\n")
-                at = np.flatnonzero(_in(table.value, _slot(int(ids[r]), digest, np.arange(len(parts)))))
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[r])), pa.array(np.full(len(at), digest)), pa.array(at), pa.array([parts[k] for k in at], pa.binary())], ["doc", "text", "line", "value"])
+            ids = batch.column("doc_id").to_numpy()
+            own = np.flatnonzero(_in(owners.value, _slot(ids, 0, 0)))
+            ids, texts = ids[own], as_bytes(batch.column("text").take(pa.array(own)))
+            for begin, end in chunks(texts):
+                digests, parts = _digests(texts[begin:end]), [text.split(b"\n") for text in texts[begin:end]]
+                counts = np.array([len(p) for p in parts])
+                text = np.repeat(np.arange(len(parts)), counts)
+                line = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+                doc, digest = ids[begin:end][text], digests[text]
+                at = np.flatnonzero(_in(table.value, _slot(doc, digest, line)))
+                values = list(chain.from_iterable(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(digest[at]), pa.array(line[at]), pa.array([values[k] for k in at], pa.binary())], ["doc", "text", "line", "value"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,10 +407,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, t: float, name: str) -> DataFra
     return out
 
 
-def _round(docs: DataFrame, join: _Join, name: str) -> DataFrame:
+def _round(lines: DataFrame, join: _Join, name: str) -> DataFrame:
     # The number of partitions follows the input, so a task's share does not grow with it.
     tasks = -(-join.buckets // TASK_BUCKETS)
-    packed = docs.mapInArrow(join.lines, "bucket long, lines binary, tokens binary").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda key, table: join.classes(key, table), _PACKED)
+    packed = lines.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda key, table: join.classes(key, table), _PACKED)
     return materialise(packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(lambda key, table: join.candidates(key, table), _FOUND), name)
 
 
@@ -433,15 +444,20 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.85, block_bytes: int = 8
     blocks = max(1, -(-size // block_bytes))
     place = list(_PLACE.names)
 
-    found = _round(docs, _Join(t, shared_counts, blocks, nearest, hot), "line-candidates")
+    # Packed lines are kept for the second round, which would tokenise all texts again.
+    first = _Join(t, shared_counts, blocks, nearest, hot)
+    packed = materialise(docs.mapInArrow(first.lines, _LINES), "packed-lines")
+    found = _round(packed, first, "line-candidates")
     settled = _verified(docs, found.where(F.col("kind") == _PAIR), t, "settled-lines")
     open_ = materialise(_later(found.where(F.col("kind") == _MORE), "token").join(settled, place, "left_anti"), "open-lines")
     if not open_.isEmpty():
         lines, tokens = (spark.sparkContext.broadcast(_marked(x)) for x in (open_, open_.select(F.col("token").alias("doc"), F.lit(0).alias("text"), F.lit(0).alias("line"))))
-        rest = _round(docs, _Join(t, shared_counts, blocks, nearest, hot, lines, tokens), "line-rest")
+        second = _Join(t, shared_counts, blocks, nearest, hot, lines, tokens)
+        rest = _round(packed.mapInArrow(second.reopened, _LINES), second, "line-rest")
         again = _verified(docs, rest.where(F.col("kind") == _PAIR), t, "settled-rest")
         discard(rest)
         settled = settled.union(again)
+    discard(packed)
     twins = found.where(F.col("kind") == _TWIN).join(settled.toDF("a_doc", "a_text", "a_line"), ["a_doc", "a_text", "a_line"], "left_semi")
     gone = materialise(_later(found.where(F.col("kind") == _GONE)).union(settled).union(_later(twins)), "gone-lines")
     for spent in (found, open_):

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from skytally.llm import minhash_dedup
+from skytally.llm import line_dedup, minhash_dedup
 from skytally.llm import substring_dedup as substring_dedup_module
 from skytally.llm.exact_dedup import exact_dedup
 from skytally.llm.line_dedup import dedup_lines
@@ -129,3 +129,26 @@ def test_near_odd(table, odd):
     assert {k: v[1:] for k, v in got.items()} == {1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True), 5: (5, True), 6: (5, False), 7: (7, True)}
     assert [got[k][0] for k in (1, 2, 3, 4, 7)] == [0, 0, 0, 1, 1]
     assert near_duplicates(table([])).count() == 0
+
+
+def test_second_round_takes_packed_lines():
+    """What the second round takes from packed lines is what tokenising all texts again would give."""
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    texts = ["one two three four five six seven\none two three four five six eight", "nine ten eleven twelve one two\n\nfive six", "nine ten eleven twelve one two"]
+    counts = Shared(np.full(1 << line_dedup.BUCKET_BITS, 5, np.uint32))
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 1, 2]), pa.array(texts)], ["doc_id", "text"])
+    packed = list(line_dedup._Join(0.5, counts, 4, 1, 100).lines(iter([batch])))
+    heads = np.concatenate([line_dedup._joined(b.column("lines"), line_dedup._LINE) for b in packed])
+    tokens = np.concatenate([line_dedup._wide(b"".join(b.column("tokens").to_pylist())) for b in packed])
+    owner = np.repeat(np.arange(len(heads)), heads["tokens"])
+    for token in np.unique(tokens):
+        table = np.zeros(line_dedup.SLOTS >> 6, np.int64)
+        slot = int(line_dedup._slot(int(token), 0, 0))
+        table[slot >> 6] = np.array([1 << (slot & 63)], np.uint64).view(np.int64)[0]
+        again = list(line_dedup._Join(0.5, counts, 4, 1, 100, Shared(None), Shared(table)).reopened(iter(packed)))
+        found = np.concatenate([line_dedup._joined(b.column("lines"), line_dedup._LINE) for b in again])
+        expected = heads[np.unique(owner[tokens == token])]
+        assert sorted(map(tuple, found.tolist())) == sorted(map(tuple, expected.tolist()))
