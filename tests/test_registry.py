@@ -50,4 +50,4 @@ def test_source_merge_all(spark, tmp_path):
 
 def test_stream_counts_every_event(spark, duck):
     counted = sum(r.available for r in registry.QUERIES["stream_hourly_counts"](spark, FOLDER).collect())
-    assert counted == duck.sql("SELECT count(*) FROM events").fetchone()[0]
+    assert counted == duck.sql("SELECT count(*) FROM events").fetchall()[0][0]
